@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, secrets
+from . import decontaminate, mixing, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +20,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(_table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op8_source_mixing": op8_source_mixing}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op8_source_mixing": op8_source_mixing}
 SQL: dict[str, str] = {}
