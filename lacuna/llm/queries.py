@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, secrets
+from . import decontaminate, mixing, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,5 +28,9 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op8_source_mixing": op8_source_mixing}
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op8_source_mixing": op8_source_mixing, "op9_simhash_dedup": op9_simhash_dedup}
 SQL: dict[str, str] = {}
