@@ -209,9 +209,10 @@ def _correlated(moments: DataFrame) -> DataFrame:
     return moments.mapInPandas(solve, "group string, r array<double>")
 
 
-def _group():
-    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("?"))
-    return F.concat_ws("\x00", part("lang"), part("source"))
+def group_of(*columns: str):
+    """One text for the values of ``columns``; null differs from every value."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("?"))
+    return F.concat_ws("\t", *[part(c) for c in columns])
 
 
 def fitted(stats: DataFrame, least: int = LEAST, **how) -> DataFrame:
@@ -235,7 +236,7 @@ def judged(stats: DataFrame, shapes: DataFrame, cut: float = CUT) -> DataFrame:
 
 
 def grouped_statistics(docs: DataFrame) -> DataFrame:
-    return with_statistics(docs.select("doc_id", _group().alias("group"), "text"), "s").drop("text")
+    return with_statistics(docs.select("doc_id", group_of("lang", "source").alias("group"), "text"), "s").drop("text")
 
 
 def rate(docs: DataFrame, **how) -> DataFrame:
