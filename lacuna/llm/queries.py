@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, secrets, simhash
+from . import decontaminate, mixing, quality, secrets, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +32,20 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op8_source_mixing": op8_source_mixing, "op9_simhash_dedup": op9_simhash_dedup}
-SQL: dict[str, str] = {}
+def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op8_source_mixing": op8_source_mixing, "op9_simhash_dedup": op9_simhash_dedup, "op10_warc_archive": op10_warc_archive}
+SQL: dict[str, str] = {
+    "op10_warc_archive": """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html) as n, sha1(html) as h from p),
+w as (select *, max(page_id) over (partition by h) as top from d),
+q as (select *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, i * 5 + 1, 5))::bigint) as five from w)
+select page_id, n::bigint as payload_bytes,
+  array_to_string(list_transform(five, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::int + 1, 1)), '')), '') as payload_digest,
+  case when page_id is not distinct from top then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from top then top end as refers_to, cast(null as varchar) as error
+from q""",
+}
