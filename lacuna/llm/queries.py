@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, mixing, quality, secrets, simhash, warc
+from . import chunks, decontaminate, mixing, quality, secrets, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,11 @@ def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op8_source_mixing": op8_source_mixing, "op9_simhash_dedup": op9_simhash_dedup, "op10_warc_archive": op10_warc_archive, "op7_chunk_dedup": op7_chunk_dedup}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op8_source_mixing": op8_source_mixing, "op9_simhash_dedup": op9_simhash_dedup, "op10_warc_archive": op10_warc_archive, "op7_chunk_dedup": op7_chunk_dedup, "op4_toxicity": op4_toxicity}
 SQL: dict[str, str] = {
     "op10_warc_archive": """
 with p as (select page_id, coalesce(html, '') as html from pages),
