@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, mixing, quality, secrets, simhash, token_lengths, toxicity, warc
+from . import bitmix, chunks, decontaminate, mixing, quality, secrets, simhash, token_lengths, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +48,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.histogram(_table(spark, sf_dir, "documents"), ("source",))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op8_source_mixing": op8_source_mixing, "op9_simhash_dedup": op9_simhash_dedup, "op10_warc_archive": op10_warc_archive, "op7_chunk_dedup": op7_chunk_dedup, "op4_toxicity": op4_toxicity, "op3_token_counts": op3_token_counts}
+def op6_bit_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitmix.score(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op8_source_mixing": op8_source_mixing, "op9_simhash_dedup": op9_simhash_dedup, "op10_warc_archive": op10_warc_archive, "op7_chunk_dedup": op7_chunk_dedup, "op4_toxicity": op4_toxicity, "op3_token_counts": op3_token_counts, "op6_bit_mixing": op6_bit_mixing}
 SQL: dict[str, str] = {
     "op10_warc_archive": """
 with p as (select page_id, coalesce(html, '') as html from pages),
