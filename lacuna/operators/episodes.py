@@ -42,27 +42,33 @@ def tagged(display: DataFrame, episodes: DataFrame, end: str) -> DataFrame:
     return display.join(bins, ["case_id", "bin"])
 
 
-def observability(display: DataFrame, episodes: DataFrame, step: float, margins: tuple) -> DataFrame:
+def observability(display: DataFrame, episodes: DataFrame, step: float, margins: tuple, thresholds: list[float]) -> DataFrame:
     """Per case, threshold, episode, step and phase: detection, delay, time left, burden before it, and how long the display stays low after the end.
 
-    The stale run counts bins from the end on until the reference is missing or low, or the display unavailable or normal.
+    The stale run counts bins from the end on until the reference is missing or low, or the display unavailable or normal. The bins
+    at which runs break are found for all thresholds in one window; only episodes' own bins are then joined.
     """
-    w = Window.partitionBy("case_id", "threshold", "step", "phase").orderBy("bin")
-    display = display.join(F.broadcast(episodes.select("threshold").distinct()), F.lit(True))  # a few thresholds
-    rows = display
-    stop = F.col("value").isNull() | (F.col("value") < F.col("threshold")) | F.col("shown").isNull() | (F.col("shown") >= F.col("threshold"))
-    last = F.max("bin").over(Window.partitionBy("case_id", "threshold", "step", "phase"))
-    rows = rows.withColumn("break_bin", F.min(F.when(stop, F.col("bin"))).over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("break_bin", F.coalesce("break_bin", last + 1))
-    inside = tagged(rows.withColumnRenamed("threshold", "_t"), episodes.select("case_id", "threshold", "episode", "start_bin", "end_bin", "auc"), "end_bin").where("_t = threshold")
-    keys = ["case_id", "threshold", "episode", "step", "phase"]
-    seen = F.col("shown") < F.col("threshold")
-    out = inside.groupBy(*keys, "start_bin", "end_bin", "auc").agg(F.min(F.when(seen, F.col("bin"))).alias("first_bin"), F.collect_list(F.struct("bin", "value")).alias("_v"))
-    before = F.aggregate(F.filter("_v", lambda x: F.col("first_bin").isNull() | (x["bin"] < F.col("first_bin"))), F.lit(0.0), lambda s, x: s + F.greatest(F.col("threshold") - x["value"], F.lit(0.0)) * (step / 60))
-    ends = rows.select("case_id", "threshold", "step", "phase", F.col("bin").alias("recovery_bin"), "break_bin")
-    out = out.withColumns({"detected": F.col("first_bin").isNotNull(), "delay": (F.col("first_bin") - F.col("start_bin")) * step, "left": (F.col("end_bin") + 1 - F.col("first_bin")) * step, "auc_before": before, "recovery_bin": F.col("end_bin") + 1}).drop("_v")
-    out = out.join(ends, ["case_id", "threshold", "step", "phase", "recovery_bin"], "left")
-    stale = F.when(F.col("detected"), F.coalesce(F.col("break_bin") - F.col("recovery_bin"), F.lit(0)) * step)
-    return out.withColumn("stale", stale).withColumns({f"left_{k}": F.col("detected") & (F.col("left") >= m) for k, m in enumerate(margins, 1)})
+    w = Window.partitionBy("case_id", "step", "phase").orderBy("bin").rowsBetween(0, Window.unboundedFollowing)
+    stop = lambda t: F.col("value").isNull() | (F.col("value") < t) | F.col("shown").isNull() | (F.col("shown") >= t)
+    breaks = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.min(F.when(stop(t), F.col("bin"))).over(w).alias("b")) for t in thresholds])
+    rows = display.select("case_id", "step", "phase", "bin", "value", "shown", breaks.alias("_breaks"), F.max("bin").over(w).alias("_last"))
+    own = episodes.select("case_id", "threshold", "episode", "start_bin", "end_bin", "auc").withColumn("bin", F.explode(F.sequence(F.col("start_bin"), F.col("end_bin") + 1)))
+    found = rows.join(own, ["case_id", "bin"]).withColumn("_inside", F.col("bin") <= F.col("end_bin"))
+    # burden from the episode's start up to each bin, the same for every phase
+    low = F.when(F.col("_inside"), F.greatest(F.col("threshold") - F.col("value"), F.lit(0.0)) * (step / 60)).otherwise(0.0)
+    up = Window.partitionBy("case_id", "threshold", "episode", "step", "phase").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_before", F.coalesce(F.sum(low).over(up), F.lit(0.0)))
+    seen = F.col("_inside") & (F.col("shown") < F.col("threshold"))
+    end = F.when(~F.col("_inside"), F.coalesce(F.filter("_breaks", lambda x: x["t"] == F.col("threshold"))[0]["b"], F.col("_last") + 1))
+    out = found.groupBy("case_id", "threshold", "episode", "step", "phase", "start_bin", "end_bin", "auc").agg(
+        F.min(F.when(seen, F.col("bin"))).alias("first_bin"), F.min_by("_before", F.when(seen, F.col("bin"))).alias("_seen"), F.sum(low).alias("_all"), F.max(end).alias("break_bin"),
+    )
+    recovery = F.col("end_bin") + 1
+    out = out.withColumns({
+        "detected": F.col("first_bin").isNotNull(), "delay": (F.col("first_bin") - F.col("start_bin")) * step, "left": (recovery - F.col("first_bin")) * step,
+        "auc_before": F.coalesce("_seen", "_all"), "stale": F.when(F.col("first_bin").isNotNull(), F.coalesce(F.col("break_bin") - recovery, F.lit(0)) * step),
+    })
+    return out.withColumns({f"left_{k}": F.col("detected") & (F.col("left") >= m) for k, m in enumerate(margins, 1)}).drop("_seen", "_all", "break_bin")
 
 
 def observability_sums(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -519,7 +519,7 @@ o as (select f.*, auc_before, first_bin is not null as detected, (first_bin - st
 
 
 def pairs(spark, d):
-    return episodes.observability(b.display(spark, d), two_bin_episodes(spark, d), b.STEP, (b.STEP, 2 * b.STEP))
+    return episodes.observability(b.display(spark, d), two_bin_episodes(spark, d), b.STEP, (b.STEP, 2 * b.STEP), b.THRESHOLDS)
 
 
 def obs_sums_sql(keys: str) -> str:
