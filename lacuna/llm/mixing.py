@@ -6,11 +6,11 @@ exponentially tilted, ``r = min(most, exp(lambda_s * size / mean size of s))``,
 a convex dual. Its Newton iterations run on counts by (source, size), which hold all that the dual
 needs; each is one join and one aggregation, guarded by bisection, for all sources at once.
 
-Rates become copies by systematic rounding along the sizes of a source: with C the running sum of
-rates, a document gets floor(C + 1/2) - floor(C_before + 1/2) copies, so neighbouring sizes even out
-and a source's tokens miss the target by less than its largest document. Three rounds of repair
-then add or take back one copy of the documents whose size is nearest to what is missing. Ranks
-among documents of one size come from a count by small hash buckets, never from one large group.
+Rates become copies by systematic rounding along the sizes of a source: with C the running sum of rates, the
+documents of one size get floor(C + 1/2) - floor(C_before + 1/2) copies together, so neighbouring sizes even out. What a
+source's tokens then miss is repaired on the same counts: copies of the largest sizes that still fit are added or taken back,
+round by round, until less than the smallest useful size is missing. A size's copies are dealt evenly over its documents;
+ranks among documents of one size come from counts by small hash buckets, never from one large group.
 
 Defined cases: a null or wordless text has size 0 and takes 0; a null source is a source, the last one;
 a source of size 0 has target 0; rows that repeat a doc_id count as documents of their own; ties in size are
@@ -31,7 +31,7 @@ BUCKET_ROWS = 500
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 STEPS = 30
-REPAIRS = 3
+REPAIRS = 5
 #: exp() of more is not needed: the rate is capped long before.
 FAR = 60.0
 
@@ -98,30 +98,34 @@ def copies(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mos
     tilt = tilts(counts, goal, most, steps)
     rated = meet(counts, tilt, ["source"]).select("source", "size", "n", F.when(F.col("full"), F.lit(most)).otherwise(F.least(F.lit(most), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(FAR))))).alias("rate"))
     rated = running_sums(rated.withColumn("mass", F.col("rate") * F.col("n")), ["source"], "size", ["mass"])
+    near = lambda x: F.floor(x + 0.5 + 1e-9)
+    cells = settled(rated.select("source", "size", "n", "rate", (near(F.col("before_mass") + F.col("mass")) - near(F.col("before_mass"))).alias("k")))
+    for last in [False] * repairs + [True]:
+        cells = settled(repaired(cells, goal, int(most), last))
     # where each bucket of a (source, size) begins
     fine = running_sums(fine, ["source", "size"], "bucket", ["n"])
-    spots = meet(fine.drop("n"), rated, ["source", "size"]).select("source", "size", "bucket", "rate", (F.col("before_mass") + F.col("rate") * F.col("before_n")).alias("begin"))
+    spots = meet(fine.drop("n"), cells, ["source", "size"])
     ranked = sized.select("*", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("tie", F.col("doc_id").asc_nulls_last())).alias("rank"))
-    near = lambda x: F.floor(x + 0.5 + 1e-9)
-    made = meet(ranked, spots, ["source", "size", "bucket"]).select(
-        "doc_id", "source", "size", "tie", "rate", (near(F.col("begin") + F.col("rate") * F.col("rank")) - near(F.col("begin") + F.col("rate") * (F.col("rank") - 1))).cast("int").alias("copies"),
-    )
-    made = settled(made)
-    for _ in range(repairs):
-        made = settled(repaired(made, goal, int(most)))
+    dealt = meet(ranked, spots, ["source", "size", "bucket"]).withColumn("p", F.col("before_n") + F.col("rank"))
+    made = dealt.select("doc_id", "source", "size", "rate", F.expr("cast(k * p div n - k * (p - 1) div n as int)").alias("copies"))
     return meet(made, goal, ["source"]).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def repaired(made: DataFrame, goal: DataFrame, most: int) -> DataFrame:
-    """One copy more or less of the one document per source that brings its tokens nearest to the target, if any does."""
-    taken = made.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("got"))
+def repaired(cells: DataFrame, goal: DataFrame, most: int, last: bool) -> DataFrame:
+    """Copies of a source's sizes moved towards its target: the largest that fit, or at ``last`` one copy of the size nearest to what is missing."""
+    taken = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("k")).alias("got"))
     off = meet(goal, taken, ["source"]).select("source", (F.col("target") - F.col("got")).alias("off"))
-    rows = meet(made, off, ["source"])
-    can = F.when(F.col("off") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
-    left = F.abs(F.abs("off") - F.col("size"))
-    best = rows.where(can & (left < F.abs("off"))).groupBy("source").agg(F.min(F.struct(left.alias("left"), "tie", "doc_id", F.sign("off").cast("int").alias("step"))).alias("best"))
-    best = best.select("source", "best.tie", "best.doc_id", "best.step")
-    return meet(made, best, ["source", "tie", "doc_id"], "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("step")
+    rows = meet(cells, off, ["source"]).withColumn("room", F.when(F.col("off") > 0, most * F.col("n") - F.col("k")).otherwise(F.col("k")))
+    left = F.abs("off")
+    if last:
+        gain = left - F.abs(left - F.col("size"))
+        best = rows.where((F.col("room") > 0) & (gain > 0)).groupBy("source").agg(F.max(F.struct(gain.alias("gain"), "size"))["size"].alias("size")).withColumn("move", F.lit(1).cast("long"))
+    else:
+        fits = rows.where((F.col("room") > 0) & (F.col("size") > 0) & (F.col("size") <= left)).select("source", "size", (-F.col("size")).alias("down"), "room", left.alias("left"), (F.col("size") * F.col("room")).alias("mass"))
+        fits = running_sums(fits, ["source"], "down", ["mass"])
+        best = fits.select("source", "size", F.least(F.col("room"), F.floor((F.col("left") - F.col("before_mass")) / F.col("size"))).alias("move")).where("move > 0")
+    moved = meet(rows, best, ["source", "size"], "left")
+    return moved.select("source", "size", "n", "rate", (F.col("k") + F.coalesce("move", F.lit(0)) * F.sign("off").cast("long")).alias("k"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
