@@ -17,6 +17,7 @@ the training rows every score is the share of toxic ones (0 without rows); an em
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -86,25 +87,23 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     rate = float(y.mean()) if len(y) else 0.0
     if not len(y) or rate in (0.0, 1.0):
         return Model({}, -1e9, min(rate, 1 - 1e-9))
-    bags = [[[*dict.fromkeys(s), *{w[:STEM] + b"*" for w in s}] for s in sentences(t)] for t in texts]
-    seen, bad = Counter(), Counter()
-    for bag, toxic in zip(bags, y, strict=True):
-        held = {w for s in bag for w in s}
-        seen.update(held)
-        if toxic:
-            bad.update(held)
-    excess = {w: (k - rate * seen[w]) / (seen[w] * rate * (1 - rate)) ** 0.5 for w, k in bad.items() if k >= LEAST_DOCUMENTS}
-    ranked = sorted((-e, w) for w, e in excess.items() if e >= EXCESS)[:VOCABULARY]
+    features = lambda sentence: dict.fromkeys([*sentence, *(w[:STEM] + b"*" for w in sentence)])
+    held = lambda text: {f for s in sentences(text) for f in features(s)}
+    bad = Counter(f for text, toxic in zip(texts, y, strict=True) if toxic for f in held(text))
+    bad = Counter({f: k for f, k in bad.items() if k >= LEAST_DOCUMENTS})
+    seen = Counter(f for text in texts for f in held(text) if f in bad)
+    excess = {f: (k - rate * seen[f]) / (seen[f] * rate * (1 - rate)) ** 0.5 for f, k in bad.items()}
+    ranked = sorted((-e, f) for f, e in excess.items() if e >= EXCESS)[:VOCABULARY]
     ids = {w: i for i, (_, w) in enumerate(ranked)}
-    word, at_sentence, at_document = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            held = [ids[w] for w in s if w in ids]
-            word += held
-            at_sentence += [len(at_document)] * len(held)
+    word, at_sentence, at_document = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for s in sentences(text):
+            known = [ids[f] for f in features(s) if f in ids]
+            word.extend(known)
+            at_sentence.extend([len(at_document)] * len(known))
             at_document.append(d)
-    word, at_sentence, at_document = (np.array(x, np.int64) for x in (word, at_sentence, at_document))
-    n_s, n_d, n_w = len(at_document), len(bags), max(1, len(ids))
+    word, at_sentence, at_document = (np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (word, at_sentence, at_document))
+    n_s, n_d, n_w = len(at_document), len(texts), max(1, len(ids))
     theta = np.zeros(n_w + 2)
     odds = lambda w: np.log((bad[w] + 0.5) / (seen[w] - bad[w] + 0.5)) - np.log(rate / (1 - rate))
     theta[: len(ids)] = prior = np.array([odds(w) for w in ids])
