@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,16 @@ BATCH_ROWS = 512
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    found = spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
+@lru_cache
+def own_folder(application: str) -> str:
+    """One temporary folder for an application without spark.checkpoint.dir."""
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` as a table written once to the shared folder: it cuts lineage and outlives lost executors."""
     spark = df.sparkSession
@@ -56,7 +60,7 @@ def crc_of_id(doc_id: Column) -> Column:
 def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str], block: int = 1024) -> DataFrame:
     """Adds ``before_<v>``: the sum of ``v`` over the key's rows whose integer ``order`` is smaller.
 
-    (keys, order) must be unique. Two levels keep every window small: sums of blocks of
+    (keys, order) must be unique; without keys there is one sequence. Two levels keep every window small: sums of blocks of
     ``block`` successive orders first, then the rows of one block.
     """
     from pyspark.sql import Window

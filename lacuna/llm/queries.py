@@ -53,7 +53,19 @@ def op6_bit_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op8_source_mixing": op8_source_mixing, "op9_simhash_dedup": op9_simhash_dedup, "op10_warc_archive": op10_warc_archive, "op7_chunk_dedup": op7_chunk_dedup, "op4_toxicity": op4_toxicity, "op3_token_counts": op3_token_counts, "op6_bit_mixing": op6_bit_mixing}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 SQL: dict[str, str] = {
+    "op2_decontamination": f"""
+with i as (select item_id, {_WORDS} as w from benchmark), s as (select *, least(10, len(w)) as n from i where len(w) > 0),
+u as (select item_id, n, array_to_string(w[k:k + n - 1], ' ') as win from s, unnest(range(1, len(w) - n + 2)) r(k)),
+d as (select doc_id, {_WORDS} as w from documents), sizes as (select distinct n from u),
+p as (select doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') as win from d cross join sizes, unnest(range(1, len(w) - n + 2)) r(k)),
+m as (select distinct doc_id, p.n, k, item_id from p join u on u.n = p.n and u.win = p.win),
+h as (select doc_id, count(distinct spot) as n_hit from m, unnest(range(k, k + n)) r(spot) group by 1),
+t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as listed from m group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join t using (doc_id)""",
     "op10_warc_archive": """
 with p as (select page_id, coalesce(html, '') as html from pages),
 d as (select page_id, strlen(html) as n, sha1(html) as h from p),
