@@ -25,14 +25,19 @@ def typed_cell(text: str) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind.isin("int", "float"), t.try_cast("double")).when(kind == "bool", (F.lower(t) == "true").cast("double")).alias("number"))
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """Rounded half up in plain arithmetic, the same in every engine."""
+    return F.floor(x * 10**digits + 0.5).cast("double") / 10**digits
+
+
 def estimate_text(estimate: str, low: str, high: str, digits: int = 2) -> Column:
     """'est (lo to hi)', or 'Not estimable'."""
-    f = lambda c: F.format_string(f"%.{digits}f", F.round(F.col(c), digits))
+    f = lambda c: F.format_string(f"%.{digits}f", half_up(F.col(c), digits))
     return F.when(F.col(estimate).isNull() | F.col(low).isNull() | F.col(high).isNull(), "Not estimable").otherwise(F.concat(f(estimate), F.lit(" ("), f(low), F.lit(" to "), f(high), F.lit(")")))
 
 
 def p_text(p: str) -> Column:
-    return F.when(F.col(p).isNull(), "Not estimable").when(F.col(p) < 0.001, "<0.001").otherwise(F.format_string("%.3f", F.round(F.col(p), 3)))
+    return F.when(F.col(p).isNull(), "Not estimable").when(F.col(p) < 0.001, "<0.001").otherwise(F.format_string("%.3f", half_up(F.col(p), 3)))
 
 
 def inside(df: DataFrame, estimate: str, low: str, high: str) -> DataFrame:

@@ -38,7 +38,7 @@ def typed_cells(spark, d):
     return table(spark, d, "events").select("event_id", cell.alias("text")).withColumn("c", tables.typed_cell("text")).select("event_id", "c.kind", "c.number")
 
 
-@add("format_ci", "with g as (select c_nationkey, avg(c_acctbal) as m, min(c_acctbal) as lo, case when c_nationkey % 6 = 0 then null else max(c_acctbal) end as hi, c_nationkey / 7000.0 as p from customer group by 1) select c_nationkey, case when hi is null then 'Not estimable' else printf('%.2f (%.2f to %.2f)', round(m, 2), round(lo, 2), round(hi, 2)) end as text, case when p < 0.001 then '<0.001' else printf('%.3f', round(p, 3)) end as p_text from g", "")
+@add("format_ci", "with g as (select c_nationkey, avg(c_acctbal) as m, min(c_acctbal) as lo, case when c_nationkey % 6 = 0 then null else max(c_acctbal) end as hi, c_nationkey / 7000.0 as p from customer group by 1) select c_nationkey, case when hi is null then 'Not estimable' else printf('%.2f (%.2f to %.2f)', floor(m * 100 + 0.5) / 100, floor(lo * 100 + 0.5) / 100, floor(hi * 100 + 0.5) / 100) end as text, case when p < 0.001 then '<0.001' else printf('%.3f', floor(p * 1000 + 0.5) / 1000) end as p_text from g", "")
 def format_ci(spark, d):
     g = table(spark, d, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi")).withColumns({"hi": F.when(F.col("c_nationkey") % 6 != 0, F.col("hi")), "p": F.col("c_nationkey") / 7000.0})
     return g.select("c_nationkey", tables.estimate_text("m", "lo", "hi").alias("text"), tables.p_text("p").alias("p_text"))
