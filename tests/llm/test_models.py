@@ -102,14 +102,15 @@ def test_bits_are_a_probability_and_learn():
     counts = np.zeros((bitmix.SLOTS, 2), np.int32)
     g, n = np.unique(bitmix.grams(train)[0], return_counts=True)
     bitmix.add_counts(counts, g, n, code)
-    t, w = bitmix.Tables(counts), np.full((bitmix.GATES, len(bitmix.ORDERS)), 0.3)
+    t, learner = bitmix.Tables(counts), bitmix.Learner()
     for gate, x, bit, m in bitmix.left_out_bits(t, g, n, code):
-        bitmix.learn(w, gate, x, bit, m)
+        learner.learn(gate, x, bit, m)
+    w = learner.weights
     z = np.linspace(-bitmix.LIMIT, bitmix.LIMIT, bitmix.BUCKETS)
     refined = np.tile(1 / (1 + np.exp(-z)), bitmix.GATES)
     # over all 256 next bytes of a context the probabilities add up to one
-    context = int.from_bytes(b"the c", "big") << 8
-    every = np.array([context | b for b in range(256)], np.uint64)
+    last = bitmix.grams([b"the c?"])[0][-1]
+    every = (last & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
     assert np.exp(bitmix.log_probabilities(t, every, code, w, refined)).sum() == pytest.approx(1.0, abs=1e-4)
     bits = lambda text: -bitmix.log_probabilities(t, bitmix.grams([text])[0], code, w, refined).sum() / math.log(2) / len(text)
     assert bits(b"the cat sat on a hat\n") < 1.0 < 4.0 < bits(b"qzx vkw jjq 93 zzz\n")
