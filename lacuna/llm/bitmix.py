@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -122,7 +122,7 @@ def by_depth(g: np.ndarray, code: Code) -> tuple[np.ndarray, list[int]]:
 def add_counts(counts: np.ndarray, g: np.ndarray, n: np.ndarray, code: Code) -> None:
     """Adds n occurrences of each distinct g to counts (slots x 2)."""
     order, active = by_depth(g, code)
-    g, n = g[order], n[order].astype(np.int32)
+    g, n = g[order], n[order].astype(counts.dtype)
     byte, bases, flat = (g & np.uint64(255)).astype(np.int64), context_bases(g), counts.reshape(-1)
     for d, a in enumerate(active):
         if not a:
@@ -148,7 +148,7 @@ class Tables:
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
-        self.seen = counts.sum(1, dtype=np.int32)
+        self.seen = counts.sum(1, dtype=np.int64)
         self.logit = np.clip(np.log((counts[:, 1] + PRIOR) / (counts[:, 0] + PRIOR)), -LIMIT, LIMIT).astype(np.float32)
 
 
@@ -271,7 +271,7 @@ def bit_tables(docs: DataFrame, code: Code) -> np.ndarray:
     """Counts of zeros and ones by slot over all rows: tables of a fixed size, summed within tasks and then block by block."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((SLOTS, 2), np.int32)
+        counts = np.zeros((SLOTS, 2), np.int64)
         for g, n in batches_of_grams(batches, 1):
             add_counts(counts, g, n, code)
         packer = zstandard.ZstdCompressor(level=1)
@@ -291,10 +291,15 @@ def bit_tables(docs: DataFrame, code: Code) -> np.ndarray:
 
     blocks = -(-SLOTS // BLOCK)
     sums = docs.select("text").mapInPandas(count, "block int, data binary").repartition(blocks, "block").mapInPandas(add, "block int, data binary")
-    counts = np.zeros((SLOTS, 2), np.int32)
-    for r in sums.toLocalIterator():
-        part = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), "<i8").reshape(2, -1).T
-        counts[r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = np.minimum(part, 2**30)
+    return joined((r["block"], r["data"]) for r in sums.toLocalIterator())
+
+
+def joined(blocks: Iterable[tuple[int, bytes]]) -> np.ndarray:
+    """The whole table of summed blocks. A slot of a common byte counts billions over a large corpus, so all counts are of 64 bits."""
+    counts = np.zeros((SLOTS, 2), np.int64)
+    for block, data in blocks:
+        part = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8").reshape(2, -1).T
+        counts[block * BLOCK : block * BLOCK + len(part)] = part
     return counts
 
 

@@ -116,6 +116,27 @@ def test_bits_are_a_probability_and_learn():
     assert bits(b"the cat sat on a hat\n") < 1.0 < 4.0 < bits(b"qzx vkw jjq 93 zzz\n")
 
 
+def test_counts_above_32_bits_keep_their_ratio():
+    held = np.zeros((bitmix.BLOCK, 2), np.int64)
+    held[5], held[6] = (12_000_000_000, 3_000_000_000), (2**31, 1)
+    packed = bitmix.zstandard.ZstdCompressor().compress(held.astype("<i8").T.tobytes())
+    counts = bitmix.joined([(0, packed)])
+    assert counts[5].tolist() == [12_000_000_000, 3_000_000_000]
+    t = bitmix.Tables(counts)
+    assert t.seen[5] == 15_000_000_000 and t.seen[6] == 2**31 + 1
+    assert t.logit[5] == pytest.approx(math.log(0.25), abs=1e-5) and t.logit[6] == -bitmix.LIMIT
+
+
+def test_occurrences_above_32_bits_are_counted_and_seen():
+    code = bitmix.Code(np.ones(256, np.int64))
+    g = bitmix.grams([b" e"])[0]
+    counts = np.zeros((bitmix.SLOTS, 2), np.int64)
+    bitmix.add_counts(counts, g, np.full(len(g), 3 * 2**31), code)
+    t, bases = bitmix.Tables(counts), bitmix.context_bases(g)
+    for left_out in (0, 1):
+        assert (bitmix.gates(t.seen, bases, code, left_out) == bitmix.GATES - 1).all()
+
+
 def test_grams_do_not_cross_texts_and_starts_match():
     g, starts = bitmix.grams([b"ab\n", b"\n", b"abc\n"])
     assert list(starts) == [0, 3, 4] and len(g) == 8
