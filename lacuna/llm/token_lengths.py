@@ -6,8 +6,8 @@ each task first. Suffix sums over the histogram then answer for every context li
 so totals, quantiles and the tokens left after truncation are lookups.
 
 Defined cases: a null text has length 0, as the empty one; rows that repeat count each; a null group value is a group; special
-tokens' strings are ordinary text; stretches of over ``PIECE`` characters that the tokenizer's pattern would not split are
-encoded in pieces of that length; an empty table gives no rows; other columns are neither read nor returned.
+tokens' strings are ordinary text; texts are cut only where the tokenizer's pattern splits them too, so every length is that of the
+text encoded whole; an empty table gives no rows; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from .common import meet, running_sums, small_batches
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
-#: Merging one stretch takes time with the square of its length.
-PIECE = 4096
-_LONG = re.compile(r"\S{4097,}|\s{4097,}")
+#: White space of the tokenizer's pattern (Unicode's White_Space; Python's own class has four characters more).
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The pattern's engine fails on about a million characters of white space in a row, so long runs do not go through it.
+_LONG = re.compile(f"[{_WHITE}]{{4097,}}")
 
 
 def tokenizer_file(name: str = TOKENIZER, folder: str = "/opt/tokenizers") -> bytes:
@@ -42,20 +43,21 @@ def encoding(content: bytes):
 
 
 def pieces(text: str) -> list[str]:
-    """The text cut where a stretch without, or of, white space is over PIECE long."""
+    """The text cut around long runs of white space; a run's last character goes with what follows it, as in the tokenizer's pattern."""
     out, at = [], 0
     for m in _LONG.finditer(text):
-        for cut in range(m.start() + PIECE, m.end(), PIECE):
-            out.append(text[at:cut])
-            at = cut
-    return [*out, text[at:]]
+        end = m.end() - (m.end() < len(text))
+        out += [text[at : m.start()], text[m.start() : end]]
+        at = end
+    return [x for x in (*out, text[at:]) if x]
 
 
-def token_length(encode, text: str | None) -> int:
+def token_length(encode, text: str | None, encode_piece=None) -> int:
+    """The number of tokens; ``encode_piece`` encodes what the pattern leaves whole, without searching it."""
     if not text:
         return 0
     text = text.encode("utf-8", "replace").decode()
-    return sum(len(encode(p)) for p in pieces(text))
+    return sum(len((encode_piece if encode_piece and _LONG.fullmatch(p) else encode)(p)) for p in pieces(text))
 
 
 def lengths(docs: DataFrame, content: bytes | None = None) -> DataFrame:
@@ -64,9 +66,9 @@ def lengths(docs: DataFrame, content: bytes | None = None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(content or tokenizer_file())
 
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoding(sent.value).encode_ordinary
+        own = encoding(sent.value)
         for batch in texts:
-            yield pd.Series([token_length(encode, t) for t in batch], dtype="int64")
+            yield pd.Series([token_length(own.encode_ordinary, t, own._encode_single_piece) for t in batch], dtype="int64")
 
     return docs.withColumn("n_tokens", F.pandas_udf(count, "long")("text")).drop("text")
 

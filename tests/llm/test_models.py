@@ -75,6 +75,22 @@ def test_short_texts_are_encoded_whole():
     assert token_lengths.token_length(encode, text) == len(encode(text))
 
 
+def test_long_texts_have_the_length_of_the_whole(spark):
+    own = token_lengths.encoding(token_lengths.tokenizer_file())
+    r = random.Random(6)
+    dense = ["".join(r.choice("abcdefgh" + more) for _ in range(21_000)) for more in ("", ".,;", "0123", "é—中") for _ in range(4)]
+    gap = lambda: "".join(r.choice(" \t\n\xa0\u3000\x0b\x85") for _ in range(r.choice([4095, 4096, 4097, 4098, 9000])))
+    blank = [r.choice(["", "a", "word.", "\x1c"]) + gap() + r.choice(["", "b", " 1", ".", "'s", "\x1d" * 5000]) + r.choice(["", gap() + "z"]) for _ in range(40)]
+    blank += [" " * 4098, "x" + " " * 4097 + "y", "x" + "\n" * 4097 + "y", "x" + " " * 5000 + "\n" + "y"]
+    texts = dense + blank
+    whole = [len(own.encode_ordinary(t)) for t in texts]
+    assert [token_lengths.token_length(own.encode_ordinary, t, own._encode_single_piece) for t in texts] == whole
+    found = token_lengths.histogram(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {x["n_tokens"]: x["documents"] for x in found} == dict(Counter(whole))
+    # the pattern's engine fails on so long a run
+    assert token_lengths.token_length(own.encode_ordinary, "a" + " " * 3_000_000 + "b", own._encode_single_piece) == 1 + len(own._encode_single_piece(" " * 2_999_999)) + len(own.encode_ordinary(" b"))
+
+
 def tokens(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return [*re.findall(r"[^\x20\x09-\x0D]+", low), None]
