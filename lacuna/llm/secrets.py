@@ -2,9 +2,10 @@
 
 Every text is searched once for *parts*. Strong parts are reported as they are; a weak part
 (a plain login id, a random-looking token, an endpoint) counts only where parts of
-complementary roles lie within the same scope, ``radius`` code points around it. The link is
-an interval join within the document, made by a range window over the parts' positions,
-so no pairs are listed and a frame never holds more than a scope.
+complementary roles lie within the same scope, which reaches ``radius`` code points beyond its start and its end;
+a part lies there if any of it does. The link is an interval join within the document: of the parts that begin before the
+scope ends, the one that ends last decides whether any reaches into it, so one running maximum over the positions
+is enough and no pairs are listed.
 
 A weak part is linked when a strong part of another role, one of the two being a secret, lies in
 its scope, or when all three roles (access id, secret, endpoint) meet there.
@@ -91,14 +92,18 @@ def find(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def linked(found: DataFrame, radius: int) -> DataFrame:
     """doc_id, text_key, linked: the weak parts that complementary parts support."""
     role = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(i), F.lit(ROLE[k]))])
-    rows = (
+    listed = (
         found.where("size(weak) > 0").dropDuplicates(["doc_id", "text_key"])
         .select("doc_id", "text_key", F.explode(F.concat("strong", "weak")).alias("p"))
-        .select("doc_id", "text_key", "p", F.col("p.start").alias("at"), role[F.col("p.kind")].alias("role"), (F.col("p.kind") < 3).alias("is_strong"))
+        .select("doc_id", "text_key", "p", role[F.col("p.kind")].alias("role"), (F.col("p.kind") < 3).alias("is_strong"))
     )
-    scope = Window.partitionBy("doc_id", "text_key").orderBy("at").rangeBetween(-radius, radius)
-    seen = {f"{r}_{s}": F.max((F.col("role") == r) & (F.col("is_strong") if s == "strong" else F.lit(True))).over(scope) for r in ("id", "secret", "place") for s in ("strong", "any")}
-    rows = rows.select("*", *[c.alias(k) for k, c in seen.items()])
+    # a part counts from its start on; a weak one looks back from the end of its scope
+    marks = F.array(F.struct(F.col("p.start").alias("at"), F.lit(False).alias("looks")), F.struct((F.col("p.stop") + radius).alias("at"), F.lit(True).alias("looks")))
+    rows = listed.select("*", F.explode(marks).alias("m")).where("not (m.looks and is_strong)").select("doc_id", "text_key", "p", "role", "is_strong", "m.at", "m.looks")
+    before = Window.partitionBy("doc_id", "text_key").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = lambda r, s: F.max(F.when(~F.col("looks") & (F.col("role") == r) & (F.col("is_strong") if s == "strong" else F.lit(True)), F.col("p.stop"))).over(before)
+    seen = {f"{r}_{s}": reach(r, s) for r in ("id", "secret", "place") for s in ("strong", "any")}
+    rows = rows.select("*", *[F.coalesce(c >= F.col("p.start") - radius, F.lit(False)).alias(k) for k, c in seen.items()]).where("looks")
     complete = F.col("id_any") & F.col("secret_any") & F.col("place_any")
     held = F.when(F.col("role") == "secret", F.col("id_strong")).otherwise(F.col("secret_strong"))
     return rows.where(~F.col("is_strong") & (complete | held)).groupBy("doc_id", "text_key").agg(F.collect_list("p").alias("linked"))

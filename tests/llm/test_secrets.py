@@ -52,6 +52,33 @@ def test_weak_parts_outside_the_scope_are_not_linked(spark):
     assert found == {1: 0, 2: 1}
 
 
+def brute_links(text, radius=200):
+    """Weak parts by comparing every pair of spans."""
+    strong, weak = secrets.parts(text)
+    role = lambda p: secrets.ROLE[secrets.KINDS[p[0]]]
+    out = []
+    for p in weak:
+        near = lambda q: q[1] <= p[2] + radius and q[2] >= p[1] - radius  # noqa: B023, E731
+        held = {role(q) for q in strong if near(q)}
+        every = {role(q) for q in strong + weak if near(q)}
+        if len(every) == 3 or ("id" if role(p) == "secret" else "secret") in held:
+            out.append(p)
+    return sorted(out)
+
+
+def test_long_parts_link_on_either_side(spark):
+    import random
+
+    r = random.Random(8)
+    long = "eyJ" + "aB3" * 199
+    pieces = [f"token={long}", f"AKIA{'Q7' * 200}", "client_id=abcd", "https://db.example.com/" + "p" * 500, "see s3://b/k", "aB3" + "dE6" * 150, "secret = s3cr3tvalue", "login: someone"]
+    texts = [f"token={long}\nclient_id=abcd", f"client_id=abcd\ntoken={long}", f"token={long}{' ' * 200}client_id=abcd", f"token={long}{' ' * 201}client_id=abcd", f"client_id=abcd{' ' * 201}token={long}", f"AKIA{'Q7' * 200}\n{'aB3' * 100}"]
+    texts += [" ".join(f"{r.choice(pieces)}{' ' * r.randint(1, 330)}" for _ in range(r.randint(1, 7))) for _ in range(150)]
+    found = {x["doc_id"]: sorted((p["kind"], p["start"], p["stop"]) for p in x["linked"]) for x in secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [len(found[i]) for i in range(6)] == [1, 1, 1, 0, 0, 1]
+    assert found == {i: brute_links(t) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("text,listed,expected", [("ab token=xyz123 c", "assign:3:15", "ab [assign] c"), (None, "assign:0:1", None), ("plain", "", "plain"), ("0123456789", "assign:1:5,hex:3:7", "0[assign]789")])
 def test_cut_out(text, listed, expected):
     import pandas as pd
