@@ -7,7 +7,9 @@ keep the ``kept_share`` of documents nearest in Mahalanobis distance and take th
 covariance, and the start with the smaller determinant wins. Every step is one aggregation of
 moments and one of counts by distance bin, so a group of any size is never gathered. Most shares are
 constant in ordinary text; a floor under the variances (``FLOOR``) keeps the estimate regular and says which
-deviation is too small to matter.
+deviation is too small to matter. The kept documents' covariance is raised to that of all (``consistency``), so that distances follow a
+chi-square law, whose quantile is the cut. A deviation in one statistic gives at most its square over that of the floor: floors are
+so small that each statistic alone can pass the cut, the repeated words within what the base rule allows.
 
 A document is kept if it passes the base rules and its distance is at most ``CUT``, or its group has fewer than
 ``LEAST`` documents that pass (the estimate of all groups together then judges it).
@@ -39,10 +41,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 VECTOR = ("word_length", "symbol_share", "capital_share", "digit_share", "repeat_share", "dup_line_share", "mark_share")
 D = len(VECTOR)
 #: Standard deviations below which a difference does not matter, in the units of VECTOR.
-FLOOR = (0.08, 0.025, 0.08, 0.12, 0.12, 0.15, 0.05)
+FLOOR = (0.08, 0.025, 0.08, 0.11, 0.08, 0.13, 0.05)
 KEPT_SHARE = 0.75
 STEPS = 4
-CUT = 80.0
 LEAST = 40
 #: Squared distances are counted in bins of this ratio.
 BIN = 1.02
@@ -55,6 +56,32 @@ _DIGIT = bytes(range(0x30, 0x3A))
 _BOTH = "struct<" + ",".join([*(f"{c}:long" for c in COUNTS), *(f"{c}:double" for c in VECTOR)]) + ">"
 
 
+def chi_square(x: float, k: int) -> float:
+    """The share of a chi-square law of k degrees of freedom up to x."""
+    share, at = (math.erf(math.sqrt(x / 2)), 1) if k % 2 else (1 - math.exp(-x / 2), 2)
+    for j in range(at, k, 2):
+        share -= (x / 2) ** (j / 2) * math.exp(-x / 2) / math.gamma(j / 2 + 1)
+    return share
+
+
+def chi_square_quantile(share: float, k: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, k) < share else (low, middle)
+    return (low + high) / 2
+
+
+def consistency(kept_share: float) -> float:
+    """The factor from the covariance of the nearest ``kept_share`` of normal rows to that of all."""
+    return 1.0 if kept_share >= 1 else kept_share / chi_square(chi_square_quantile(kept_share, D), D + 2)
+
+
+#: Share of ordinary documents that may lie beyond the cut.
+BEYOND = 1e-4
+CUT = chi_square_quantile(1 - BEYOND, D)
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words inside windows of WINDOW words that the text holds twice or more."""
     n = len(words) - WINDOW + 1
@@ -130,8 +157,8 @@ def _moments(rows: DataFrame, keys: list[str], weight) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.when(weight, F.lit(1))).alias("m"), *sums, *products)
 
 
-def _shape(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: mean, the inverse of the floored covariance (row by row) and its log determinant."""
+def _shape(moments: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """Per key: mean, the inverse of the floored covariance times ``factor`` (row by row) and its log determinant."""
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -142,7 +169,7 @@ def _shape(moments: DataFrame, keys: list[str]) -> DataFrame:
             for i in range(D):
                 for j in range(i, D):
                     cov[:, i, j] = cov[:, j, i] = b[f"p{i}_{j}"].fillna(0).to_numpy(float) / m - mean[:, i] * mean[:, j]
-            cov += np.diag(np.square(FLOOR))
+            cov = cov * factor + np.diag(np.square(FLOOR))
             out["mean"] = list(mean)
             out["inverse"] = list(np.linalg.inv(cov).reshape(len(b), D * D))
             out["log_det"] = np.linalg.slogdet(cov)[1]
@@ -185,7 +212,7 @@ def estimates(rows: DataFrame, kept_share: float = KEPT_SHARE, steps: int = STEP
         far = meet(rows, shape, ["group"]).withColumn("bin", F.floor(F.log(_distance() + 1e-6) / math.log(BIN))).drop("mean", "inverse")
         level = settled(_binned_level(far, ["group", "start"], F.col("bin"), kept_share, "level"))
         near = meet(far, level, ["group", "start"])
-        shape = settled(_shape(_moments(near, ["group", "start"], F.col("bin") < F.col("level")), ["group", "start"]))
+        shape = settled(_shape(_moments(near, ["group", "start"], F.col("bin") < F.col("level")), ["group", "start"], consistency(kept_share)))
     best = shape.groupBy("group").agg(F.min(F.struct("log_det", "start", "mean", "inverse")).alias("b"))
     counts = rows.groupBy("group").agg(F.count("*").alias("n"))
     return meet(best.select("group", "b.mean", "b.inverse"), counts, ["group"])

@@ -51,6 +51,34 @@ def test_keeps_clean_and_rejects_junk(spark):
     assert not kept[2000] and not kept[2001] and kept[2002] and kept[2003]
 
 
+def test_each_kind_of_junk_is_rejected(spark):
+    r = random.Random(3)
+    word = lambda letters="etaoinshrdlu": "".join(r.choice(letters) for _ in range(r.randint(2, 9)))
+    line = lambda n, *how: " ".join(word(*how) for _ in range(n))
+    passage = line(10)
+    kinds = {
+        "lines": "\n".join(f"{line(8)}\nthe same end" for _ in range(20)), "digits": line(60, "0123456789"), "capitals": line(60).upper(),
+        "marks": " ".join(f"{word()}!" for _ in range(60)), "symbols": " ".join(f"{word()}%" for _ in range(60)), "repeats": f"{passage} {line(40)} {passage} {line(40)}",
+        "long words": " ".join(word() + word() + word() for _ in range(60)),
+    }
+    junk = [(3000 + i, text, "en", "s1") for i, text in enumerate(kinds.values())]
+    assert not any(c[0] < 10 or 100 * c[4] > 20 * c[0] for c in (quality.statistics(t) for t in kinds.values()))
+    rows = corpus()[0]
+    kept = {x["doc_id"]: x["kept"] for x in quality.rate(spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert {k: kept[3000 + i] for i, k in enumerate(kinds)} == dict.fromkeys(kinds, False)
+    assert all(kept[i] for i, *_ in rows)
+
+
+def test_cut_is_a_quantile_that_each_statistic_can_reach():
+    import numpy as np
+
+    draws = np.random.default_rng(1).chisquare(quality.D, 400_000)
+    assert quality.chi_square(9.0, quality.D) == pytest.approx((draws <= 9.0).mean(), abs=0.004)
+    assert quality.chi_square_quantile(0.95, 7) == pytest.approx(14.067, abs=1e-3) and quality.chi_square_quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3)
+    most = {"repeat_share": quality.REPEAT_PERCENT / 100}
+    assert all(most.get(v, 1.0) / f**2 > quality.CUT for v, f in zip(quality.VECTOR, quality.FLOOR, strict=True))
+
+
 def test_estimate_is_near_that_of_the_clean_rows(spark):
     import numpy as np
 
