@@ -24,11 +24,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays, once; documents without an id stay as they are."""
-    found = simhash.classes(docs.select("doc_id", "text"))
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each component one row stays: that with the smallest id (a null one comes last), and of equal ids that with the smallest hash of the row."""
+    small_batches(spark)
+    flat = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]  # the hash alone would skip nulls
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64(*flat).alias("key"))
+    prints = settled(keyed.select("doc_id", "key", F.pandas_udf(simhash.fingerprints_of, "long")("text").alias("fp")))
+    roots = settled(simhash.placed(prints).select("fp", "root"))
+    # by fingerprint and a part of the hash first, so that a component of any size is spread
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    least = prints.groupBy("fp", F.pmod("key", F.lit(64)).alias("part")).agg(F.min(rank).alias("rank"))
+    least = settled(meet(least, roots, ["fp"]).groupBy("root").agg(F.min("rank").alias("rank")).select("rank.doc_id", "rank.key"))
+    return meet(keyed, least, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ tasks in blocks of a checked size, and each block meets every row of documents.
 
 Defined cases: a null or wordless text has no words and no hits; an item without words
 gives no units; an item shorter than the window is one unit; equal units of several items
-name all of them; a null item_id is never listed; repeated rows are scored alike; an
+name all of them; the units of a null item_id are searched like all others, only the id is never listed; repeated rows are scored alike; an
 empty table gives no rows or no hits; other columns are neither read nor returned.
 """
 
@@ -53,8 +53,8 @@ def units_of(benchmark: DataFrame, window: int | None) -> DataFrame:
                 rows += [(item, b" ".join(w[i : i + size]).decode("utf-8", "replace")) for i in range(len(w) - size + 1 if w else 0)]
             yield pd.DataFrame(rows, columns=["item_id", "unit"])
 
-    cutout = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
-    return cutout.mapInPandas(cut, "item_id long, unit string").groupBy("unit").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    cutout = benchmark.select(F.col("item_id").cast("long").cast("string").alias("item_id"), "text")  # text: with nulls pandas would hold numbers as doubles
+    return cutout.mapInPandas(cut, "item_id string, unit string").groupBy("unit").agg(F.sort_array(F.collect_set(F.col("item_id").cast("long"))).alias("items"))
 
 
 class Index:

@@ -120,14 +120,18 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def classes(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """Per row: doc_id, fp, component_id (the smallest doc_id of its component) and links (distinct fingerprints linked to its own)."""
     prints = settled(fingerprints(docs))
+    return meet(prints, settled(placed(prints, most).drop("root")), ["fp"])
+
+
+def placed(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """Per distinct fp of ``prints``: root (the least fingerprint of its component), component_id and links."""
     points = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = settled(links(points.select("fp"), most))
     roots = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
-    placed = points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = meet(meet(placed, named, ["root"]), degree, ["fp"], "left").select("fp", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return meet(prints, settled(placed), ["fp"])
+    spots = points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = spots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return meet(meet(spots, named, ["root"]), degree, ["fp"], "left").select("fp", "root", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:

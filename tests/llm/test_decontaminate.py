@@ -51,6 +51,18 @@ def test_equals_brute_force(spark):
     assert found(spark, docs, items) == brute(docs, items)
 
 
+def test_items_without_an_id_are_searched(spark):
+    docs, items = cases()
+    held = " ".join(f"word{i}" for i in range(14))
+    docs, items = [*docs, (200, f"before {held} after"), (201, items[0][1])], [*items, (None, held), (None, items[0][1]), (2**53 + 1, held)]
+    rows = {x[0]: x for x in found(spark, docs, items)}
+    assert rows[200][1:4] == (16, 14, 1) and rows[200][4] == hashlib.sha256(str(2**53 + 1).encode()).hexdigest()
+    expected = {x[0]: x for x in brute(docs, items[:-3] + [(2**53 + 1, held)])}
+    assert rows == expected
+    rows = {x[0]: x for x in found(spark, docs, items[:-1])}
+    assert rows[200] == (200, 16, 14, 0, hashlib.sha256(b"").hexdigest(), True)
+
+
 def test_blocks_give_the_same(spark):
     docs, items = cases()
     assert found(spark, docs, items, block_units=7) == brute(docs, items)

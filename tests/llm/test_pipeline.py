@@ -67,3 +67,14 @@ def test_stages(spark, tmp_path):
         before, kept = now, ids
     assert len(kept) > 120
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "taken").collect())) == sorted((x["doc_id"], x["taken"]) for x in new)
+
+
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    r = random.Random(12)
+    prose = lambda: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(80))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(1, a, "x"), (1, b, "x"), (2, c, None), (5, d, "x"), (5, c, "x"), (None, e, "x"), (None, e, "x"), (None, a, "x"), (7, None, "x"), (8, "", "x"), (9, d, None), (5, d, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, a, "x"), (1, b, "x"), (2, c, None), (5, d, "x"), (None, e, "x"), (7, None, "x")], key=repr)
