@@ -5,7 +5,7 @@ prefix code; every bit is predicted from the hashed contexts of ``ORDERS`` prece
 ones over all training documents. The predictions' logits are mixed with weights that a gate selects (the highest order whose context
 was seen, and how often), learned online within each task and averaged; an adaptive map, gathered in the same pass, then refines the mixed
 probability by what followed it in training. Both are learned with the current occurrence left out of the counts,
-on the contexts whose hash falls into one of ``EVERY`` classes, from every training document. The score is the sum of the bits'
+on every context of every training document. The score is the sum of the bits'
 log10 probabilities, a proper probability over token sequences.
 
 Contexts repeat; within a batch each distinct one (its bytes and the next) is worked out once.
@@ -38,7 +38,6 @@ ORDERS = (1, 2, 3, 4, 5)
 TABLE_BITS = (16, 18, 19, 20, 20)
 PAD = 5
 PRIOR = 0.1
-EVERY = 8
 MINIBATCH = 4096
 LIMIT = 8.0
 #: Seen at least so often: the classes of a gate within an order.
@@ -229,14 +228,10 @@ def pieces_of(texts: pd.Series) -> list[bytes]:
     return [b" ".join(words(t)) + END for t in texts]
 
 
-def batches_of_grams(batches: Iterator[pd.DataFrame], every: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def batches_of_grams(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for b in batches:
         if len(b):
-            g = grams(pieces_of(b["text"]))[0]
-            if every > 1:
-                with np.errstate(over="ignore"):
-                    g = g[((g * _ODD[1]) >> np.uint64(40)) % np.uint64(every) == 0]
-            yield np.unique(g, return_counts=True)
+            yield np.unique(grams(pieces_of(b["text"]))[0], return_counts=True)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -272,7 +267,7 @@ def bit_tables(docs: DataFrame, code: Code) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((SLOTS, 2), np.int64)
-        for g, n in batches_of_grams(batches, 1):
+        for g, n in batches_of_grams(batches):
             add_counts(counts, g, n, code)
         packer = zstandard.ZstdCompressor(level=1)
         for b in range(0, SLOTS, BLOCK):
@@ -313,7 +308,7 @@ def mixing(docs: DataFrame, code: Code, sent) -> tuple[np.ndarray, np.ndarray]:
         t, learner, bits = Tables(sent.value), Learner(), np.zeros(GATES)
         w = learner.weights
         ones, seen = np.zeros(GATES * BUCKETS), np.zeros(GATES * BUCKETS)
-        for g, n in batches_of_grams(batches, EVERY):
+        for g, n in batches_of_grams(batches):
             for gate, x, bit, m in left_out_bits(t, g, n, code):
                 learner.learn(gate, x, bit, m)
                 bits += np.bincount(gate, m, GATES)

@@ -132,6 +132,23 @@ def test_bits_are_a_probability_and_learn():
     assert bits(b"the cat sat on a hat\n") < 1.0 < 4.0 < bits(b"qzx vkw jjq 93 zzz\n")
 
 
+def test_mixing_learns_from_every_occurrence(spark):
+    r = random.Random(7)
+    texts = [prose(r, 30) for _ in range(40)] * 2
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    parts = bitmix.pieces_of(texts)
+    code = bitmix.Code(np.bincount(np.frombuffer(b"".join(parts), np.uint8), minlength=256))
+    counts = bitmix.bit_tables(docs, code)
+    learned, refined = bitmix.mixing(docs, code, spark.sparkContext.broadcast(counts))
+    t, learner, g, n = bitmix.Tables(counts), bitmix.Learner(), *np.unique(bitmix.grams(parts)[0], return_counts=True)
+    met = np.zeros(bitmix.GATES, bool)
+    for gate, x, bit, m in bitmix.left_out_bits(t, g, n, code):
+        learner.learn(gate, x, bit, m)
+        met[gate] = True
+    assert n.sum() == sum(map(len, parts))
+    assert learned[met] == pytest.approx(learner.weights[met], abs=1e-6)
+
+
 def test_counts_above_32_bits_keep_their_ratio():
     held = np.zeros((bitmix.BLOCK, 2), np.int64)
     held[5], held[6] = (12_000_000_000, 3_000_000_000), (2**31, 1)
