@@ -8,17 +8,20 @@ one frame per record. Archives are rows (path, content) as Spark's ``binaryFile`
 Of the records with equal payloads of at least ``least_bytes`` the one with the largest page_id is written as a
 response; the others become revisit records, which carry the digest and name the response but no payload. The
 reader checks magic numbers, the WARC version, mandatory headers, Content-Length against the block, the record's end, and the
-payload digest; a bad record is a row with ``error`` set, and a frame that cannot be decoded ends its archive.
+payload digest; a bad record is a row with ``error`` set and the next frame is read, and a frame that cannot be decoded ends its archive.
+Archives of other writers are read too: all standard record types (a response's payload is its HTTP body, that of others their block),
+header names in any case, and bytes that are no UTF-8 in headers (replaced); a Page-ID that is no number is null.
 
 Defined cases: a null html is an empty payload, and empty payloads are equal; null page_ids never count as largest, and where all are
 null each is a response; rows that repeat the largest page_id are all responses; a null url is written as an empty
-one; an empty table gives no archives and no rows; other columns are neither read nor returned.
+one, control characters in it percent-encoded; an empty table gives no archives and no rows; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -34,6 +37,8 @@ from .common import meet, settled, small_batches
 DICTIONARY_FRAME = 0x184D2A5D
 ZSTD_FRAME = b"\x28\xb5\x2f\xfd"
 VERSION = b"WARC/1.1"
+VERSIONS = (b"WARC/1.0", b"WARC/1.1")
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -49,6 +54,9 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
 
 
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -61,7 +69,7 @@ def record(page_id, url: str, payload: bytes, refers_to) -> bytes:
         "WARC-Type": "response" if refers_to is None else "revisit",
         "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>",
         "WARC-Date": DATE,
-        "WARC-Target-URI": url,
+        "WARC-Target-URI": _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url),
         "WARC-Payload-Digest": f"sha1:{digest}",
         "Page-ID": "" if page_id is None else str(page_id),
     }
@@ -138,31 +146,36 @@ def frames(content: bytes) -> Iterator[bytes]:
 def parsed(data: bytes) -> tuple:
     """The fields of RECORD from one decoded frame."""
     end = data.find(b"\r\n\r\n")
-    if end < 0 or not data.startswith(VERSION + b"\r\n"):
+    first, _, lines = data[: max(end, 0)].partition(b"\r\n")
+    if first not in VERSIONS:
         return (None, None, None, None, None, None, None, "no WARC header")
-    head = {}
-    for line in data[len(VERSION) + 2 : end].decode("utf-8", "surrogatepass").split("\r\n"):
+    head: dict[str, str] = {}
+    for line in re.sub(r"\r\n[ \t]+", " ", lines.decode("utf-8", "replace")).split("\r\n"):  # a line that begins with a blank goes on
         name, colon, value = line.partition(":")
         if not colon:
             return (None, None, None, None, None, None, None, "bad header line")
-        head[name] = value.strip()
-    number = lambda k: int(head[k]) if head.get(k) else None
-    kind, digest, error, payload = head.get("WARC-Type"), head.get("WARC-Payload-Digest", "").removeprefix("sha1:"), None, None
-    block = data[end + 4 : -4]
-    if missing := [k for k in MANDATORY if k not in head]:
+        head.setdefault(name.strip().lower(), value.strip())
+    number = lambda k: int(x) if re.fullmatch("-?[0-9]{1,18}", x := head.get(k, "")) else None
+    kind, digest, error, payload = head.get("warc-type"), head.get("warc-payload-digest", "").removeprefix("sha1:"), None, None
+    block, size = data[end + 4 : -4], head.get("content-length", "")
+    if missing := [k for k in MANDATORY if k.lower() not in head]:
         error = f"missing {missing[0]}"
-    elif not head["Content-Length"].isdigit() or int(head["Content-Length"]) != len(block) or data[-4:] != b"\r\n\r\n":
+    elif not re.fullmatch("[0-9]{1,18}", size) or int(size) != len(block) or data[-4:] != b"\r\n\r\n":
         error = "length does not match"
-    elif kind == "response":
+    elif kind == "response" and block.startswith(b"HTTP/"):
         http = block.find(b"\r\n\r\n")
         payload = block[http + 4 :] if http >= 0 else b""
-        if http < 0 or not block.startswith(b"HTTP/"):
+        if http < 0:
             error = "no HTTP header"
-        elif base32_sha1(payload) != digest:
-            error = "digest does not match"
-    elif kind != "revisit":
+    elif kind == "response" and "page-id" in head:  # this writer's own always have one
+        payload, error = b"", "no HTTP header"
+    elif kind not in TYPES:
         error = "unknown type"
-    return (number("Page-ID"), head.get("WARC-Target-URI"), kind, number("Refers-To-Page-ID"), None if payload is None else len(payload), digest, payload, error)
+    elif kind != "revisit":
+        payload = block
+    if error is None and payload is not None and digest and base32_sha1(payload) != digest:
+        error = "digest does not match"
+    return (number("page-id"), head.get("warc-target-uri"), kind, number("refers-to-page-id"), None if payload is None else len(payload), digest, payload, error)
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ import zstandard
 
 from lacuna.llm import warc
 
-ROWS = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "é", "ü" * 3000), (6, "big", "word " * 400_000), (7, "c", "<p>x</p>"), (7, "c", "<p>x</p>"), (None, "n", "<p>x</p>"), (None, "m", "only null")]
+ROWS = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "é", "ü" * 3000), (6, "big", "word " * 400_000), (7, "c", "<p>x</p>"), (7, "c", "<p>x</p>"), (None, "n", "<p>x</p>"), (None, "m", "only null"), (8, "http://a\r\nWARC-Type: revisit\r\n\r\nx", "<p>line break</p>"), (9, "a\x00\tb\n", "<p>z</p>")]
 
 
 def brute(rows):
@@ -62,3 +62,23 @@ def test_broken_archives_give_an_error_row(spark):
     df = spark.createDataFrame([("a", bytearray(good[:-3])), ("b", bytearray(b"\x00\x01")), ("c", bytearray(good))], "path string, content binary")
     found = warc.read_archives(df).collect()
     assert sum(r["error"] is None for r in found) == 1 and sum((r["error"] or "").startswith("unreadable") for r in found) == 2
+
+
+def foreign(kind, block, version=b"WARC/1.0", **more):
+    head = {"warc-type": kind, "WARC-Record-Id": "<urn:uuid:1>", "WARC-date": "2020-01-01T00:00:00Z", "CONTENT-LENGTH": str(len(block)), **more}
+    return version + b"\r\n" + b"".join(f"{k}: {v}\r\n".encode("latin-1") for k, v in head.items()) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers_are_read_to_the_end(spark):
+    records = [
+        foreign("warcinfo", b"software: x\r\n"), foreign("request", b"GET / HTTP/1.1\r\n\r\n"), foreign("response", b"HTTP/1.1 200 OK\r\n\r\nbody", **{"WARC-Target-URI": "http://\xff"}),
+        foreign("response", b"dns answer"), foreign("metadata", b"m", version=b"WARC/1.1"), foreign("resource", b"r", **{"Page-ID": "none"}), foreign("response", b"HTTP/1.1 200 OK\r\n\r\nx", **{"WARC-Payload-Digest": "sha1:WRONG"}),
+        foreign("response", b"HTTP/1.1 200 OK\r\n\r\ny", **{"WARC-Filename": "one\r\n two"}), foreign("revisit", b"HTTP/1.1 304\r\n\r\n"), foreign("odd", b""), b"no record", warc.record(3, "u", b"last", None),
+    ]
+    found = warc.read_archives(spark.createDataFrame([("a", bytearray(warc.archive(records)))], "path string, content binary")).collect()
+    kinds = [(r["record_type"], r["payload"] and bytes(r["payload"]), r["error"]) for r in found]
+    assert kinds == [
+        ("warcinfo", b"software: x\r\n", None), ("request", b"GET / HTTP/1.1\r\n\r\n", None), ("response", b"body", None), ("response", b"dns answer", None), ("metadata", b"m", None), ("resource", b"r", None),
+        ("response", b"x", "digest does not match"), ("response", b"y", None), ("revisit", None, None), ("odd", None, "unknown type"), (None, None, "no WARC header"), ("response", b"last", None),
+    ]
+    assert found[5]["page_id"] is None and found[-1]["page_id"] == 3
