@@ -64,18 +64,18 @@ def tilts(counts: DataFrame, goal: DataFrame, most: float = MOST, steps: int = S
     mean = counts.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     state = meet(goal, mean, ["source"]).select("source", "target", F.greatest("mean", F.lit(1e-9)).alias("mean"), (F.col("target") >= F.col("source_size") * most).alias("full"))
     state = state.select("*", F.lit(0.0).alias("tilt"), F.lit(-FAR).alias("low"), F.lit(FAR).alias("high"))
+    held = [c for c in state.columns if c != "source"]
     for step in range(steps):
         if step % 5 == 0:  # cuts lineage; settled sources drop out of the work
             state = settled(state)
             if not state.where("not full and high - low > 1e-12").head(1):
                 break
-        rows = meet(counts, state, ["source"]).select("source", "size", "n", "mean", "tilt")
+        # the state goes with the counts through one join and one aggregation, so that steps form a chain
         x = F.col("size") / F.col("mean")
         r = F.exp(F.least(F.col("tilt") * x, F.lit(FAR)))
         got = F.sum(F.col("n") * F.col("size") * F.least(r, F.lit(most)))
         slope = F.sum(F.when(r < most, F.col("n") * F.col("size") * x * r).otherwise(0.0))
-        sums = rows.groupBy("source").agg(got.alias("got"), slope.alias("slope"))
-        state = meet(state, sums, ["source"]).select(
+        state = meet(counts, state, ["source"]).groupBy("source").agg(*[F.max(c).alias(c) for c in held], got.alias("got"), slope.alias("slope")).select(
             "source", "target", "mean", "full", "tilt", "slope", "got",
             F.when(F.col("got") <= F.col("target"), F.col("tilt")).otherwise(F.col("low")).alias("low"), F.when(F.col("got") >= F.col("target"), F.col("tilt")).otherwise(F.col("high")).alias("high"),
         )
@@ -119,13 +119,14 @@ def repaired(cells: DataFrame, goal: DataFrame, most: int, last: bool) -> DataFr
     left = F.abs("off")
     if last:
         gain = left - F.abs(left - F.col("size"))
-        best = rows.where((F.col("room") > 0) & (gain > 0)).groupBy("source").agg(F.max(F.struct(gain.alias("gain"), "size"))["size"].alias("size")).withColumn("move", F.lit(1).cast("long"))
+        best = rows.where((F.col("room") > 0) & (gain > 0)).groupBy("source").agg(F.max(F.struct(gain.alias("gain"), "size"))["size"].alias("best"))
+        rows = meet(rows, best, ["source"], "left").withColumn("move", (F.col("size") == F.coalesce("best", F.lit(-1))).cast("long"))
     else:
-        fits = rows.where((F.col("room") > 0) & (F.col("size") > 0) & (F.col("size") <= left)).select("source", "size", (-F.col("size")).alias("down"), "room", left.alias("left"), (F.col("size") * F.col("room")).alias("mass"))
-        fits = running_sums(fits, ["source"], "down", ["mass"])
-        best = fits.select("source", "size", F.least(F.col("room"), F.floor((F.col("left") - F.col("before_mass")) / F.col("size"))).alias("move")).where("move > 0")
-    moved = meet(rows, best, ["source", "size"], "left")
-    return moved.select("source", "size", "n", "rate", (F.col("k") + F.coalesce("move", F.lit(0)) * F.sign("off").cast("long")).alias("k"))
+        fits = (F.col("room") > 0) & (F.col("size") > 0) & (F.col("size") <= left)
+        rows = rows.withColumns({"down": -F.col("size"), "mass": F.when(fits, F.col("size") * F.col("room")).otherwise(0)})
+        rows = running_sums(rows, ["source"], "down", ["mass"])
+        rows = rows.withColumn("move", F.when(fits, F.greatest(F.least(F.col("room"), F.floor((left - F.col("before_mass")) / F.col("size"))), F.lit(0))).otherwise(0))
+    return rows.select("source", "size", "n", "rate", (F.col("k") + F.col("move") * F.sign("off").cast("long")).alias("k"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
