@@ -11,7 +11,8 @@ The digest's group is never gathered: an aggregation gives the smallest and larg
 and a join (which Spark splits where a digest is hot) brings those that several documents hold back to their places.
 
 Defined cases: a null or short text has no repeated passages; rows that repeat a doc_id are one document that
-repeats itself, which counts with ``within`` only; ties go to the smallest doc_id; a null doc_id is no document of its own and is passed over; an
+repeats itself, which counts with ``within`` only, and their passages are listed text by text; ties go to the smallest doc_id; rows without a doc_id are a document
+for each distinct text, whose first_doc_id is null only where no holder has an id; doc_ids may be numbers or texts; an
 empty table gives no rows; other columns are neither read nor returned.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled, small_batches
@@ -68,15 +69,31 @@ def cuts(data: np.ndarray, gear: np.ndarray, reach: int = REACH, longest: int =
     return ends
 
 
+def named(doc_id: Column, text: Column, kind: str) -> Column:
+    """What tells documents apart: the id, and without one a number or text from the text's hash that comes after all ids."""
+    own = F.shiftrightunsigned(F.xxhash64(text), 2)
+    return F.coalesce(doc_id, own.bitwiseOR(F.lit(1 << 62)) if kind == "bigint" else F.concat(F.lit("\uffff"), F.hex(own)))
+
+
+def unnamed(doc: Column, kind: str) -> Column:
+    """The id again: null where ``named`` took the text's hash."""
+    return F.when(doc < (F.lit(1 << 62) if kind == "bigint" else F.lit("\uffff")), doc)
+
+
+def id_kind(docs: DataFrame) -> str:
+    """bigint for whole numbers, string for all other types."""
+    return "bigint" if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
+
+
 def chunk_pairs(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, start, stop (bytes) and digest of each chunk with its successor; a chunk without one stands alone."""
-    gear = gear_table()
+    """doc (see ``named``), part (a hash of the text), start, stop (bytes) and digest of each chunk with its successor; a chunk without one stands alone."""
+    gear, kind = gear_table(), id_kind(docs)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest_of = xxhash.xxh3_128_digest
+        digest_of, hash_of = xxhash.xxh3_128_digest, xxhash.xxh32_intdigest
         for b in batches:
             parts = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc, text in zip(b["doc"], b["text"], strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 if not raw:
                     continue
@@ -85,15 +102,15 @@ def chunk_pairs(docs: DataFrame, reach: int = REACH) -> DataFrame:
                 stops = ends[1:] if len(ends) > 1 else ends
                 starts = starts[: len(stops)]
                 digests = b"".join([digest_of(raw[a:z]) for a, z in zip(starts.tolist(), stops.tolist(), strict=True)])
-                parts.append((doc_id, starts, stops, np.frombuffer(digests, ">i8").reshape(-1, 2)))
+                parts.append((doc, starts, stops, np.frombuffer(digests, ">i8").reshape(-1, 2), hash_of(raw) - (1 << 31)))
             if parts:
                 n = [len(p[1]) for p in parts]
                 high = np.concatenate([p[3] for p in parts]).astype(np.int64)
-                ids = np.array([p[0] for p in parts], np.int64)
-                yield pd.DataFrame({"doc_id": ids.repeat(n), "start": np.concatenate([p[1] for p in parts]).astype(np.int32), "stop": np.concatenate([p[2] for p in parts]).astype(np.int32), "d1": high[:, 0], "d2": high[:, 1]})
+                whose = pd.Series([p[0] for p in parts]).repeat(n).reset_index(drop=True)
+                yield pd.DataFrame({"doc": whose, "part": np.array([p[4] for p in parts], np.int32).repeat(n), "start": np.concatenate([p[1] for p in parts]).astype(np.int32), "stop": np.concatenate([p[2] for p in parts]).astype(np.int32), "d1": high[:, 0], "d2": high[:, 1]})
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInPandas(cut, "doc_id long, start int, stop int, d1 long, d2 long")
+    return docs.select(named(F.col("doc_id").cast(kind), F.col("text"), kind).alias("doc"), "text").mapInPandas(cut, f"doc {kind}, part int, start int, stop int, d1 long, d2 long")
 
 
 def repeated(docs: DataFrame, reach: int = REACH, least_bytes: int = LEAST_BYTES, within: bool = False) -> DataFrame:
@@ -102,13 +119,14 @@ def repeated(docs: DataFrame, reach: int = REACH, least_bytes: int = LEAST_BYTES
     doc_id, start, stop (bytes of the UTF-8 text), n_bytes, first_doc_id (the smallest that holds the passage's beginning),
     n_places (the largest number of places that any part of it has), is_first (the occurrence that deduplication keeps).
     """
+    kind = id_kind(docs)
     spots = settled(chunk_pairs(docs, reach))
-    known = spots.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n_places"))
+    known = spots.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n_places"))
     known = known.where(F.col("n_places") > 1 if within else F.col("first") < F.col("last")).drop("last")
-    found = spots.join(known, ["d1", "d2"]).select("doc_id", "start", "stop", "first", "n_places")
-    w = Window.partitionBy("doc_id").orderBy("start", "stop")
+    found = spots.join(known, ["d1", "d2"]).select("doc", "part", "start", "stop", "first", "n_places")
+    w = Window.partitionBy("doc", "part").orderBy("start", "stop")
     before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = found.withColumn("new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("first", "start").alias("first_doc_id"), F.max("n_places").alias("n_places"))
+    runs = runs.groupBy("doc", "part", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("first", "start").alias("first"), F.max("n_places").alias("n_places"))
     runs = runs.withColumn("n_bytes", F.col("stop") - F.col("start")).where(F.col("n_bytes") >= least_bytes)
-    return runs.select("doc_id", "start", "stop", "n_bytes", "first_doc_id", "n_places", (F.col("doc_id") == F.col("first_doc_id")).alias("is_first"))
+    return runs.select(unnamed(F.col("doc"), kind).alias("doc_id"), "start", "stop", "n_bytes", unnamed(F.col("first"), kind).alias("first_doc_id"), "n_places", (F.col("doc") == F.col("first")).alias("is_first"))
