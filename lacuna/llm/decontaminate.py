@@ -11,7 +11,7 @@ tasks in blocks of a checked size, and each block meets every row of documents.
 
 Defined cases: a null or wordless text has no words and no hits; an item without words
 gives no units; an item shorter than the window is one unit; equal units of several items
-name all of them; the units of a null item_id are searched like all others, only the id is never listed; repeated rows are scored alike; an
+name all of them; item_ids may be of any type that sorts; the units of a null item_id are searched like all others, only the id is never listed; repeated rows are scored alike; an
 empty table gives no rows or no hits; other columns are neither read nor returned.
 """
 
@@ -34,7 +34,7 @@ WORD_BYTES = bytes(
 SHINGLE_WORDS = 5
 #: Units of the benchmark that one block of the index may hold: about 1 kB each at most in a worker.
 BLOCK_UNITS = 50_000
-HIT = "n_words long, spans array<struct<start:int,stop:int>>, items array<bigint>"
+HIT = "n_words long, spans array<struct<start:int,stop:int>>, items array<%s>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -53,8 +53,8 @@ def units_of(benchmark: DataFrame, window: int | None) -> DataFrame:
                 rows += [(item, b" ".join(w[i : i + size]).decode("utf-8", "replace")) for i in range(len(w) - size + 1 if w else 0)]
             yield pd.DataFrame(rows, columns=["item_id", "unit"])
 
-    cutout = benchmark.select(F.col("item_id").cast("long").cast("string").alias("item_id"), "text")  # text: with nulls pandas would hold numbers as doubles
-    return cutout.mapInPandas(cut, "item_id string, unit string").groupBy("unit").agg(F.sort_array(F.collect_set(F.col("item_id").cast("long"))).alias("items"))
+    cutout = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")  # text: with nulls pandas would hold numbers as doubles
+    return cutout.mapInPandas(cut, "item_id string, unit string").groupBy("unit").agg(F.sort_array(F.collect_set(F.col("item_id").cast(benchmark.schema["item_id"].dataType))).alias("items"))
 
 
 class Index:
@@ -125,10 +125,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def block_hits(index) -> object:
-    """A column function: text to the hits of one block of the index."""
+def block_hits(index, kind: str) -> object:
+    """A column function: text to the hits of one block of the index; ``kind`` is the type of item_id."""
 
-    @F.pandas_udf(HIT)
+    @F.pandas_udf(HIT % kind)
     def hits(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ix: Index = index.value
         get = ix.vocabulary.get
@@ -144,8 +144,8 @@ def block_hits(index) -> object:
     return hits
 
 
-def combined(one: Column, other: Column) -> Column:
-    @F.pandas_udf(HIT)
+def combined(one: Column, other: Column, kind: str) -> Column:
+    @F.pandas_udf(HIT % kind)
     def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for n, s, i, t, j in zip(a["n_words"], a["spans"], a["items"], b["spans"], b["items"], strict=True):
@@ -162,18 +162,18 @@ def add_hits(docs: DataFrame, benchmark: DataFrame, name: str, window: int | Non
     ``window`` None takes whole items as units; ``containment`` is the least share of a unit's distinct
     shingles. An index of over ``block_units`` units is searched block by block over all documents.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, benchmark.schema["item_id"].dataType.simpleString()
     small_batches(spark)
     units = settled(units_of(benchmark, window))
     blocks = max(1, math.ceil(units.count() / block_units))
     for b in range(blocks):
         rows = units.where(F.pmod(F.xxhash64("unit"), F.lit(blocks)) == b).collect() if blocks > 1 else units.collect()
         index = spark.sparkContext.broadcast(Index([(r["unit"], r["items"]) for r in sorted(rows)], shingle, containment))
-        found = block_hits(index)(F.col("text"))
+        found = block_hits(index, kind)(F.col("text"))
         if b == 0:
             docs = docs.withColumn(name, found)
         else:
-            docs = settled(docs.withColumn(f"{name}_", found)).withColumn(name, combined(F.col(name), F.col(f"{name}_"))).drop(f"{name}_")
+            docs = settled(docs.withColumn(f"{name}_", found)).withColumn(name, combined(F.col(name), F.col(f"{name}_"), kind)).drop(f"{name}_")
     return docs
 
 

@@ -80,3 +80,14 @@ def test_empty_tables(spark):
     docs, items = cases()
     assert found(spark, [], items) == []
     assert all(not r[5] for r in found(spark, docs, []))
+
+
+def test_ids_may_be_texts(spark):
+    docs, items = cases()
+    d = spark.createDataFrame([(f"d{i}", t) for i, t in docs], "doc_id string, text string")
+    b = spark.createDataFrame([(None if i == 2 else f"item {i}", t) for i, t in items], "item_id string, text string")
+    for block in (50_000, 20):
+        rows = decontaminate.contamination(d, b, block_units=block).collect()
+        expected = brute([(f"d{i}", t) for i, t in docs], [(f"item {i}", t) for i, t in items if i != 2])
+        assert [x[:2] for x in sorted((tuple(r)[:6] for r in rows), key=repr)] == [x[:2] for x in expected]
+        assert {r["doc_id"]: r["items"] for r in rows}["d101"] in ([], ["item 1"], ["item 3"]) and all(isinstance(i, str) for r in rows for i in r["items"])
