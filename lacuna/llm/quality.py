@@ -11,8 +11,9 @@ deviation is too small to matter. The kept documents' covariance is raised to th
 chi-square law, whose quantile is the cut. A deviation in one statistic gives at most its square over that of the floor: floors are
 so small that each statistic alone can pass the cut, the repeated words within what the base rule allows.
 
-A document is kept if it passes the base rules and its distance is at most ``CUT``, or its group has fewer than
-``LEAST`` documents that pass (the estimate of all groups together then judges it).
+Every group's estimate is drawn to that of all documents by the weight of ``PRIOR`` documents, at every size alike: a large
+group hardly moves, and one of a few documents is not its own measure. A document is kept if it passes the base rules and its
+distance is at most ``CUT``.
 
 Defined cases: a null text has no words and fails; a null language or source is a group of its own; rows that repeat
 count each; equal distances fall into one bin; an empty table gives no rows; other columns are neither read nor
@@ -44,7 +45,8 @@ D = len(VECTOR)
 FLOOR = (0.08, 0.025, 0.08, 0.11, 0.08, 0.13, 0.05)
 KEPT_SHARE = 0.75
 STEPS = 4
-LEAST = 40
+#: Documents that the estimate of all groups counts for in each.
+PRIOR = 40
 #: Squared distances are counted in bins of this ratio.
 BIN = 1.02
 
@@ -242,13 +244,28 @@ def group_of(*columns: str):
     return F.concat_ws("\t", *[part(c) for c in columns])
 
 
-def fitted(stats: DataFrame, least: int = LEAST, **how) -> DataFrame:
-    """group, mean, inverse from a table of group and the statistics struct ``s``; groups with few documents take that of all."""
+def fitted(stats: DataFrame, prior: float = PRIOR, **how) -> DataFrame:
+    """group, mean, inverse from a table of group and the statistics struct ``s``; a row "all" has that of all groups together."""
     own = stats.where(~base_failed("s.n_words", "s.n_repeat_words")).select("group", *[F.col(f"s.{v}").alias(f"x{i}") for i, v in enumerate(VECTOR)])
     found = settled(estimates(settled(own.unionByName(own.withColumn("group", F.lit("all")))), **how))
     shared = found.where("group = 'all'").select(F.col("mean").alias("all_mean"), F.col("inverse").alias("all_inverse"))  # one row
-    few = F.col("n") < least
-    return settled(found.join(F.broadcast(shared), F.lit(True)).select("group", F.when(few, F.col("all_mean")).otherwise(F.col("mean")).alias("mean"), F.when(few, F.col("all_inverse")).otherwise(F.col("inverse")).alias("inverse")))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                mean, inverse = drawn(*(np.stack(b[c].to_list()) for c in ("mean", "inverse", "all_mean", "all_inverse")), b["n"].to_numpy(float), prior)
+                yield pd.DataFrame({"group": b["group"], "mean": list(mean), "inverse": list(inverse)})
+
+    return settled(found.join(F.broadcast(shared), F.lit(True)).mapInPandas(draw, "group string, mean array<double>, inverse array<double>"))
+
+
+def drawn(mean, inverse, all_mean, all_inverse, n, prior) -> tuple[np.ndarray, np.ndarray]:
+    """Means and inverse covariances of groups of n documents mixed with ``prior`` documents of all; the distance between the means counts as variance."""
+    cov, every = (np.linalg.inv(x.reshape(-1, D, D)) for x in (inverse, all_inverse))
+    share = (prior / (n + prior))[:, None] if prior else np.zeros((len(n), 1))
+    off = mean - all_mean
+    cov = (1 - share[:, :, None]) * cov + share[:, :, None] * every + (share * (1 - share))[:, :, None] * off[:, :, None] * off[:, None, :]
+    return mean - share * off, np.linalg.inv(cov).reshape(-1, D * D)
 
 
 def judged(stats: DataFrame, shapes: DataFrame, cut: float = CUT) -> DataFrame:

@@ -91,5 +91,26 @@ def test_estimate_is_near_that_of_the_clean_rows(spark):
     assert np.abs(np.array(found["mean"]) - x[bad:].mean(0)).max() < 0.06
 
 
+def test_groups_of_any_size_are_drawn_to_all():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    a, b = (r.normal(size=(50, quality.D)) @ np.diag(np.arange(1, quality.D + 1)) for _ in range(2))
+    shape = lambda x: (x.mean(0)[None], np.linalg.inv(np.cov(x.T, bias=True)).reshape(1, -1))
+    # of as many documents as the prior has, the result is that of both together
+    mean, inverse = quality.drawn(*shape(a), *shape(b), np.array([50.0]), 50)
+    both = np.concatenate([a, b])
+    assert mean[0] == pytest.approx(both.mean(0)) and np.linalg.inv(inverse.reshape(quality.D, -1)) == pytest.approx(np.cov(both.T, bias=True))
+    mean, inverse = quality.drawn(*shape(a), *shape(b), np.array([1e9]), 40)
+    assert mean[0] == pytest.approx(a.mean(0), abs=1e-5) and inverse[0] == pytest.approx(shape(a)[1][0], rel=1e-3)
+
+
+def test_small_groups_reject_junk_too(spark):
+    rows, junk, _ = corpus()
+    few = [(5000 + i, t, "xx", f"few {i % 3}") for i, (_, t, _, _) in enumerate(rows[:9])] + [(6000 + i, t, "xx", f"few {i}") for i, (_, t, _, _) in enumerate(junk[:3])]
+    kept = {x["doc_id"]: x["kept"] for x in quality.rate(spark.createDataFrame(rows + few, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept[5000 + i] for i in range(9)) and not any(kept[6000 + i] for i in range(3))
+
+
 def test_empty_table(spark):
     assert quality.rate(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
