@@ -1,17 +1,22 @@
 """Language-model scoring by logistic mixing of hashed-context bit predictors.
 
 A text is its words, lower-cased and joined by single spaces, and a final newline. Each byte is spelled by the bits of a
-prefix code; every bit is predicted from the hashed contexts of ``ORDERS`` preceding bytes: slots count zeros and
-ones over all training documents. The predictions' logits are mixed with weights that a gate selects (the highest order whose context
-was seen, and how often), learned online within each task and averaged; an adaptive map, gathered in the same pass, then refines the mixed
-probability by what followed it in training. Both are learned with the current occurrence left out of the counts,
-on every context of every training document. The score is the sum of the bits'
-log10 probabilities, a proper probability over token sequences.
-
-Contexts repeat; within a batch each distinct one (its bytes and the next) is worked out once.
-
-The unigram base joins the tokens of all documents with the counts of all training tokens. At most ``HEAVY`` words, those with the
-highest counts, are looked up within the tasks; all others go through a join on the word, none of which is frequent.
+prefix code made from the training bytes; every bit is predicted from several contexts (``CONTEXTS``: the last one to seven bytes, and the
+current word so far). A context's key is a hash of its bytes into 64 bits with room for the code node (packed, so that no two contexts
+collide); a slot counts the zeros and ones that followed it over all training documents. The predictions' logits are mixed with
+weights that a gate selects (the longest context seen, how often, and how often the current word's beginning was), learned online; an adaptive
+map then refines the mixed probability by what followed it in training. Both are learned with the current occurrence left out
+of the counts, on every occurrence of every training document. The score is the sum of the bits' log10
+probabilities, a proper probability over token sequences.
+
+The work is done once for each distinct *gram* (a byte and the seven before it), however often it occurs: an aggregation counts
+grams; they are dealt by their last two context bytes, so that every slot of a longer context lies in one task, and the slots of
+the last byte alone (65,536 pairs at most) are sent along. One pass learns weights and map, a second one gives each gram
+its log probability. The slots are as many as the corpus has contexts: nothing has a fixed size.
+
+Texts then add up their grams. At most ``HEAVY_GRAMS`` grams and ``HEAVY`` words, those with the highest counts, are looked up within
+the tasks; all others go through joins on the gram or word, none of which is frequent. The unigram base adds up
+the tokens of all documents with the counts of all training tokens in the same way.
 
 Defined cases: a null text is empty and scores its end alone; a null doc_id counts as the empty id; rows that repeat are scored alike and
 counted each; without training rows N and V are 0 and every bit has probability one half; an empty table gives no rows; other columns are neither read nor returned.
@@ -20,40 +25,48 @@ counted each; without training rows N and V are 0 and every bit has probability
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, meet, running_sums, settled, small_batches
 
 FOLDS = 10
-HEAVY = 200_000
-ORDERS = (1, 2, 3, 4, 5)
-#: log2 of the slots of each order.
-TABLE_BITS = (16, 18, 19, 20, 20)
-PAD = 5
+HEAVY = 400_000
+HEAVY_GRAMS = 1 << 21
+#: Bytes of context; the last entry is the current word so far, with the space before it (two bytes at least, PAD at most).
+CONTEXTS = (1, 2, 3, 4, 5, "word")
+K = len(CONTEXTS)
+PAD, LEAST = 7, 5
+#: What stands before a text: its first word begins like any other.
+BEFORE = b"\0" * (PAD - 1) + b" "
 PRIOR = 0.1
 MINIBATCH = 4096
 LIMIT = 8.0
-#: Seen at least so often: the classes of a gate within an order.
+#: Seen at least so often: the classes of a gate.
 SEEN = (1, 3, 16)
+LEVELS = len(SEEN) + 1
+GATES = ((K - 1) * len(SEEN) + 1) * LEVELS
 BUCKETS = 33
-#: Slots of one row of a table on its way to the driver.
-BLOCK = 1 << 16
 END = b"\n"
-#: Distinct words a task counts before it hands them on.
-FLUSH = 200_000
+#: Distinct words, and grams, that a task counts before it hands them on.
+FLUSH = 800_000
+FLUSH_GRAMS = 4_000_000
+#: Grams that are made distinct at once.
+RAW_GRAMS = 4_000_000
+#: Distinct grams of a task, on average.
+TASK_GRAMS = 150_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_START = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])]).astype(np.int64)
-SLOTS = int(_START[-1])
-GATES = len(ORDERS) * len(SEEN) + 1
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_BYTE = np.uint64(8)
+#: By bytes of the current word so far: what a gram keeps.
+_KEPT = np.array([(1 << 8 * (1 + max(LEAST, k))) - 1 for k in range(PAD + 1)], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -61,7 +74,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Code:
-    """A prefix code of bytes: for each byte its length, and for each depth the node and the bit."""
+    """A prefix code of bytes: for each byte its length and rank (the order of the codes), and for each depth the node and the bit."""
 
     def __init__(self, counts: np.ndarray):
         heap = [(int(n) + 1, b, b) for b, n in enumerate(counts)]
@@ -72,126 +85,150 @@ class Code:
             kids[new] = (a, b)
             heapq.heappush(heap, (n + m, new, new))
             new += 1
-        self.length = np.zeros(256, np.int64)
         paths: dict[int, list[tuple[int, int]]] = {heap[0][2]: []}
         for node in sorted(kids, reverse=True):
             for bit, kid in enumerate(kids[node]):
                 paths[kid] = [*paths[node], (node, bit)]
-        depth = max(len(paths[b]) for b in range(256))
-        self.node, self.bit = np.zeros((depth, 256), np.uint64), np.zeros((depth, 256), np.int64)
+        self.length = np.array([len(paths[b]) for b in range(256)])
+        self.node, self.bit = np.zeros((self.length.max(), 256), np.int64), np.zeros((self.length.max(), 256), np.int64)
         for b in range(256):
-            self.length[b] = len(paths[b])
             for d, (node, bit) in enumerate(paths[b]):
                 self.node[d, b], self.bit[d, b] = node, bit
+        self.byte = np.array(sorted(range(256), key=lambda b: [bit for _, bit in paths[b]]))
+        self.rank = np.argsort(self.byte).astype(np.uint64)
+
+
+def pieces_of(texts: pd.Series) -> list[bytes]:
+    return [b" ".join(words(t)) + END for t in texts]
 
 
 def grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each piece, itself and the PAD bytes before it as one number; and where pieces begin."""
-    data = np.frombuffer(b"".join(x for p in pieces for x in (b"\0" * PAD, p)), np.uint8).astype(np.uint64)
-    n = len(data) - PAD
-    g = data[PAD:].copy()
-    for k in range(1, PAD + 1):
-        g |= data[PAD - k : PAD - k + n] << np.uint64(8 * k)
+    """For each byte of each piece, itself (lowest) and the bytes before it as one number; and where pieces begin.
+
+    Of the bytes before it those are kept that a context has: the current word with the space before it up to PAD bytes, and LEAST ones at least.
+    """
+    data = b"".join([x for p in pieces for x in (BEFORE, p)])
+    g = np.ndarray(len(data) - PAD, ">u8", data, 0, (1,)).astype(np.uint64)
+    at = np.arange(len(data), dtype=np.int64)
+    at -= np.maximum.accumulate(np.where(np.frombuffer(data, np.uint8) == 0x20, at, 0))
+    g &= _KEPT[np.minimum(at[PAD - 1 : -1] + 1, PAD)]
     sizes = np.array([len(p) for p in pieces])
-    keep = np.ones(n, bool)
-    ends = np.cumsum(sizes + PAD) - PAD
-    for e in ends[:-1]:
+    keep = np.ones(len(g), bool)
+    for e in (np.cumsum(sizes + PAD) - PAD)[:-1].tolist():
         keep[e : e + PAD] = False
     return g[keep], np.cumsum(sizes) - sizes
 
 
-def context_bases(g: np.ndarray) -> list[np.ndarray]:
-    with np.errstate(over="ignore"):
-        return [((g >> np.uint64(8)) & np.uint64((1 << 8 * o) - 1)) * _ODD[k] + np.uint64(o) for k, o in enumerate(ORDERS)]
-
-
-def slot(base: np.ndarray, k: int, node) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (base ^ (node * _ODD[5])) * _ODD[0]
-    return (x >> np.uint64(64 - TABLE_BITS[k])).astype(np.int64) + _START[k]
+def context(g: np.ndarray, kind) -> np.ndarray:
+    """The context bytes of each gram that a predictor of this kind sees, the latest lowest."""
+    held = g >> _BYTE
+    if kind != "word":
+        return held & np.uint64((1 << 8 * kind) - 1)
+    mask = np.full(len(g), (1 << 8 * PAD) - 1, np.uint64)
+    for j in range(PAD, 0, -1):
+        space = (held >> np.uint64(8 * (j - 1))) & np.uint64(255) == np.uint64(0x20)
+        mask[space] = (1 << 8 * max(2, j)) - 1
+    return held & mask
 
 
-def by_depth(g: np.ndarray, code: Code) -> tuple[np.ndarray, list[int]]:
-    """An order of g by falling code length, and how many have a bit at each depth."""
-    length = code.length[(g & np.uint64(255)).astype(np.int64)]
-    order = np.argsort(-length, kind="stable")
-    return order, [int((length > d).sum()) for d in range(len(code.node))]
+class Slots:
+    """The slot counts that distinct grams ``g``, seen ``n`` times in training, need; all grams with the same last two context bytes must be there.
 
+    ``last`` has the counts of the last byte's contexts: (byte, node, bit). ``order`` sorts the grams by falling code length: at depth d the first ``active[d]`` have a bit.
+    """
 
-def add_counts(counts: np.ndarray, g: np.ndarray, n: np.ndarray, code: Code) -> None:
-    """Adds n occurrences of each distinct g to counts (slots x 2)."""
-    order, active = by_depth(g, code)
-    g, n = g[order], n[order].astype(counts.dtype)
-    byte, bases, flat = (g & np.uint64(255)).astype(np.int64), context_bases(g), counts.reshape(-1)
-    for d, a in enumerate(active):
-        if not a:
-            break
-        node, bit = code.node[d][byte[:a]], code.bit[d][byte[:a]]
-        for k in range(len(ORDERS)):
-            np.add.at(flat, slot(bases[k][:a], k, node) * 2 + bit, n[:a])
-
-
-def gates(counts_seen: np.ndarray, bases: list[np.ndarray], code: Code, left_out: int) -> np.ndarray:
-    """Gate of each context: the highest order seen and how often; 0 where none was."""
-    root = code.node[0][0]
-    gate = np.zeros(len(bases[0]), np.int64)
-    for k, base in enumerate(bases):
-        seen = counts_seen[slot(base, k, root)] - left_out
-        level = sum((seen >= s).astype(np.int64) for s in SEEN)
-        gate = np.where(level > 0, k * len(SEEN) + level, gate)
-    return gate
-
-
-class Tables:
-    """What a task needs of the counts: logits by slot, and how often each slot was seen."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.seen = counts.sum(1, dtype=np.int64)
-        self.logit = np.clip(np.log((counts[:, 1] + PRIOR) / (counts[:, 0] + PRIOR)), -LIMIT, LIMIT).astype(np.float32)
-
-
-def left_out_bits(t: Tables, g: np.ndarray, n: np.ndarray, code: Code) -> Iterator[tuple]:
-    """For learning: by depth, the gates, logits without the occurrence itself, bits and multiplicities."""
-    order, active = by_depth(g, code)
-    g, n = g[order], n[order]
-    byte, bases = (g & np.uint64(255)).astype(np.int64), context_bases(g)
-    gate = gates(t.seen, bases, code, 1)
-    for d, a in enumerate(active):
-        if not a:
-            break
-        node, bit = code.node[d][byte[:a]], code.bit[d][byte[:a]]
-        x = np.empty((len(ORDERS), a))
-        for k in range(len(ORDERS)):
-            c = t.counts[slot(bases[k][:a], k, node)]
-            x[k] = np.clip(np.log((np.maximum(c[:, 1] - bit, 0) + PRIOR) / (np.maximum(c[:, 0] - (1 - bit), 0) + PRIOR)), -LIMIT, LIMIT)
-        yield gate[:a], x, bit, n[:a].astype(float)
+    def __init__(self, g: np.ndarray, n: np.ndarray, code: Code, last: np.ndarray):
+        length = code.length[(g & np.uint64(255)).astype(np.int64)]
+        self.order = np.argsort(-length, kind="stable")
+        self.g, self.n, self.code, self.last = g[self.order], n[self.order].astype(float), code, last
+        self.byte = (self.g & np.uint64(255)).astype(np.int64)
+        self.active = [a for d in range(len(code.node)) if (a := int((length > d).sum()))]
+        self.back, self.rows, seen = [None], [None], [last[(context(self.g, 1)).astype(np.int64), code.node[0, 0]].sum(1)]
+        for kind in CONTEXTS[1:]:
+            key, back = np.unique((context(self.g, kind) << _BYTE) | code.rank[self.byte], return_inverse=True)
+            held, byte = key >> _BYTE, code.byte[(key & np.uint64(255)).astype(np.int64)]
+            total = np.bincount(back, self.n, len(key))
+            run = np.cumsum(np.diff(held, prepend=held[:1]) != 0)
+            seen.append((np.bincount(run, total) if len(run) else total)[run][back])
+            self.back.append(back)
+            self.rows.append((run, byte, total, code.length[byte]))
+        self.seen = seen
+
+    def gates(self, left_out: int) -> np.ndarray:
+        """Of each gram: the longest context seen and how often (0: none), and how often the current word's beginning was."""
+        level = lambda c: sum((c - left_out >= s).astype(np.int64) for s in SEEN)
+        gate = np.zeros(len(self.g), np.int64)
+        for k in range(K - 1):
+            own = level(self.seen[k])
+            gate = np.where(own > 0, k * len(SEEN) + own, gate)
+        return gate * LEVELS + level(self.seen[K - 1])
+
+    def counts(self, k: int, d: int, a: int) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones that followed the k-th context of the first ``a`` grams at the code node of depth d."""
+        if k == 0:
+            c = self.last[context(self.g[:a], 1).astype(np.int64), self.code.node[d][self.byte[:a]]]
+            return c[:, 0], c[:, 1]
+        run, byte, total, length = self.rows[k]
+        own = np.flatnonzero(length > d)
+        run, byte, total = run[own], byte[own], total[own]
+        node = self.code.node[d][byte]
+        # bytes are in the order of their codes, so those below a node follow one another
+        group = np.cumsum(np.concatenate([[False], (run[1:] != run[:-1]) | (node[1:] != node[:-1])]))
+        ones, every = np.bincount(group, total * self.code.bit[d][byte]), np.bincount(group, total)
+        spot = np.zeros(len(length), np.int64)
+        spot[own] = group
+        at = spot[self.back[k][:a]]
+        return every[at] - ones[at], ones[at]
+
+    def bits(self, left_out: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By depth: logits (K x active grams) and bits; ``left_out`` occurrences of the gram itself are taken from the counts."""
+        for d, a in enumerate(self.active):
+            bit = self.code.bit[d][self.byte[:a]]
+            x = np.empty((K, a), np.float32)
+            for k in range(K):
+                zeros, ones = self.counts(k, d, a)
+                if left_out:
+                    zeros, ones = np.maximum(zeros - left_out * (1 - bit), 0), np.maximum(ones - left_out * bit, 0)
+                x[k] = np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)), -LIMIT, LIMIT)
+            yield x, bit
 
 
 class Learner:
     """Weights by gate, learned online: each minibatch takes a Newton step with all the curvature seen so far."""
 
     def __init__(self):
-        k = len(ORDERS)
-        self.weights = np.full((GATES, k), 0.3)
-        self.curve = np.tile(np.eye(k) * 50.0, (GATES, 1, 1))
+        self.weights = np.full((GATES, K), 0.2)
+        self.curve = np.tile(np.eye(K) * 50.0, (GATES, 1, 1))
 
-    def learn(self, gate, x, bit, n) -> None:
-        mix = np.argsort((np.arange(len(bit), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32))
-        k = len(ORDERS)
+    def learn(self, gate: np.ndarray, x: np.ndarray, bit: np.ndarray, n: np.ndarray) -> None:
         for a in range(0, len(bit), MINIBATCH):
-            i = mix[a : a + MINIBATCH]
-            g, m, v = gate[i], n[i], x[:, i]
-            p = 1 / (1 + np.exp(-(self.weights[g].T * v).sum(0)))
-            pull, bend = (bit[i] - p) * m, p * (1 - p) * m
-            slope = np.stack([np.bincount(g, pull * v[r], GATES) for r in range(k)], 1)
-            for r in range(k):
-                for c in range(r, k):
-                    h = np.bincount(g, bend * v[r] * v[c], GATES)
-                    self.curve[:, r, c] += h
+            g, m, v = gate[a : a + MINIBATCH], n[a : a + MINIBATCH], x[:, a : a + MINIBATCH].astype(float)
+            met, g = np.unique(g, return_inverse=True)
+            p = 1 / (1 + np.exp(-(self.weights[met][g].T * v).sum(0)))
+            pull, bend = (bit[a : a + MINIBATCH] - p) * m, p * (1 - p) * m
+            slope = np.stack([np.bincount(g, pull * v[r], len(met)) for r in range(K)], 1)
+            curve = self.curve[met]
+            for r in range(K):
+                for c in range(r, K):
+                    h = np.bincount(g, bend * v[r] * v[c], len(met))
+                    curve[:, r, c] += h
                     if c != r:
-                        self.curve[:, c, r] += h
-            self.weights += np.linalg.solve(self.curve, slope[:, :, None])[:, :, 0]
+                        curve[:, c, r] += h
+            self.curve[met] = curve
+            self.weights[met] += np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+
+
+def training_bits(s: Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gate, logits, bit and multiplicity of every bit of the training grams, in an order without any pattern."""
+    gate, parts = s.gates(1), []
+    for x, bit in s.bits(1):
+        own = np.flatnonzero(s.n[: len(bit)] > 0)
+        parts.append((gate[own], x[:, own], bit[own], s.n[own], (s.g[own] + np.uint64(len(parts))) * _ODD))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros((K, 0), np.float32), np.zeros(0, np.int64), np.zeros(0)
+    gate, bit, n, mixed = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3, 4))
+    order = np.argsort(mixed ^ (mixed >> np.uint64(29)), kind="stable")
+    return gate[order], np.concatenate([p[1] for p in parts], 1)[:, order], bit[order], n[order]
 
 
 def place(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,183 +238,249 @@ def place(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, at - low
 
 
-def log_probabilities(t: Tables, g: np.ndarray, code: Code, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
-    """Natural log probability of the last byte of each g after its context."""
-    order, active = by_depth(g, code)
-    sorted_g = g[order]
-    byte, bases = (sorted_g & np.uint64(255)).astype(np.int64), context_bases(sorted_g)
-    gate = gates(t.seen, bases, code, 0)
-    w, total = weights.astype(np.float32)[gate].T.copy(), np.zeros(len(g))
-    for d, a in enumerate(active):
-        if not a:
-            break
-        node, bit = code.node[d][byte[:a]], code.bit[d][byte[:a]]
-        z = np.zeros(a, np.float32)
-        for k in range(len(ORDERS)):
-            z += w[k, :a] * t.logit[slot(bases[k][:a], k, node)]
+def log_probabilities(s: Slots, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
+    """Natural log probability of the last byte of each gram after its context, in the order in which Slots got them."""
+    gate, total = s.gates(0), np.zeros(len(s.g))
+    w = weights[gate].T
+    for x, bit in s.bits(0):
+        a = len(bit)
+        z = (w[:, :a] * x).sum(0)
         low, part = place(z)
         at = gate[:a] * BUCKETS + low
         p = 0.5 / (1 + np.exp(-z)) + 0.5 * (refined[at] * (1 - part) + refined[at + 1] * part)
         total[:a] += np.log(np.where(bit == 1, p, 1 - p))
-    out = np.empty(len(g))
-    out[order] = total
+    out = np.empty(len(s.g))
+    out[s.order] = total
     return out
 
 
-def pieces_of(texts: pd.Series) -> list[bytes]:
-    return [b" ".join(words(t)) + END for t in texts]
-
+def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(g, n, m): distinct grams with the sums of their counts."""
+    g, n, m = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.argsort(g)
+    g, n, m = g[order], n[order], m[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    return g[first], *(np.add.reduceat(x, first) if len(first) else x for x in (n, m))
 
-def batches_of_grams(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for b in batches:
-        if len(b):
-            yield np.unique(grams(pieces_of(b["text"]))[0], return_counts=True)
 
+def counted(docs: DataFrame) -> DataFrame:
+    """Counts over all rows of (text, held_out): word, g, n, m.
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c: the tokens of all rows, ends included (as a newline, which is in no word)."""
+    A row with a word (an end is a newline, which is in no word) has its training tokens n; one with a gram g (as a signed number) has n in
+    training and m in all documents.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
+        raw, parts = {False: [], True: []}, []
         for b in batches:
-            for t in b["text"]:
-                held.update(words(t))
-            held[END] += len(b)
+            for out in False, True:
+                pieces = []
+                for t in b["text"][b["held_out"] == out]:
+                    w = words(t)
+                    if not out:
+                        held.update(w)
+                    pieces.append(b" ".join(w) + END)
+                if pieces:
+                    held[END] += 0 if out else len(pieces)
+                    raw[out].append(grams(pieces)[0])
+                if sum(map(len, raw[out])) > RAW_GRAMS:
+                    parts.append(distinct(raw[out], out))
+                    raw[out] = []
             if len(held) > FLUSH:
                 yield flat(held)
                 held = Counter()
-        if held:
-            yield flat(held)
+            if sum(len(p[0]) for p in parts) > FLUSH_GRAMS:
+                parts = [summed(parts)]
+                if len(parts[0][0]) > FLUSH_GRAMS // 2:
+                    yield from listed(parts)
+                    parts = []
+        yield flat(held)
+        yield from listed([*parts, *(distinct(raw[out], out) for out in raw if raw[out])])
+
+    def distinct(raw: list[np.ndarray], out: bool) -> tuple[np.ndarray, ...]:
+        g, m = np.unique(np.concatenate(raw), return_counts=True)
+        return g, m * (not out), m
 
     def flat(held: Counter) -> pd.DataFrame:
-        return pd.DataFrame({"word": list(held.keys()), "c": np.fromiter(held.values(), np.int64, len(held))})
-
-    return docs.select("text").mapInPandas(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        held = {w: c for w, c in held.items() if c}
+        return pd.DataFrame({"word": list(held.keys()), "g": pd.array([None] * len(held), "Int64"), "n": np.fromiter(held.values(), np.int64, len(held)), "m": 0})
 
+    def listed(parts: list) -> Iterator[pd.DataFrame]:
+        if parts:
+            g, n, m = summed(parts)
+            for a in range(0, len(g), FLUSH):
+                z = slice(a, a + FLUSH)
+                yield pd.DataFrame({"word": pd.Series([None] * len(g[z]), dtype=object), "g": g[z].view(np.int64), "n": n[z], "m": m[z]})
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The words whose count is so high that at most ``most`` words reach it."""
-    by_count = counts.groupBy("c").agg(F.count("*").alias("n")).withColumn("down", -F.col("c"))
-    least = running_sums(by_count, [], "down", ["n"]).where(F.col("before_n") + F.col("n") <= most).agg(F.min("c").alias("least")).first()["least"]
-    return counts.where(F.col("c") >= F.lit(least)) if least is not None else counts.limit(0)
-
-
-def bit_tables(docs: DataFrame, code: Code) -> np.ndarray:
-    """Counts of zeros and ones by slot over all rows: tables of a fixed size, summed within tasks and then block by block."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((SLOTS, 2), np.int64)
-        for g, n in batches_of_grams(batches):
-            add_counts(counts, g, n, code)
-        packer = zstandard.ZstdCompressor(level=1)
-        for b in range(0, SLOTS, BLOCK):
-            part = counts[b : b + BLOCK]
-            if part.any():
-                yield pd.DataFrame({"block": [b // BLOCK], "data": [packer.compress(part.astype("<i8").T.tobytes())]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, data in zip(b["block"], b["data"], strict=True):
-                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
-                held[block] = held[block] + part if block in held else part
-        for block, total in held.items():
-            yield pd.DataFrame({"block": [block], "data": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
+    rows = docs.select("text", "held_out").mapInPandas(count, "word binary, g long, n long, m long")
+    return rows.groupBy("word", "g").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
-    blocks = -(-SLOTS // BLOCK)
-    sums = docs.select("text").mapInPandas(count, "block int, data binary").repartition(blocks, "block").mapInPandas(add, "block int, data binary")
-    return joined((r["block"], r["data"]) for r in sums.toLocalIterator())
 
+def least_count(counts: DataFrame, count: str, most: int) -> int | None:
+    """The smallest value of ``count`` that at most ``most`` rows reach."""
+    by_count = counts.groupBy(F.col(count).alias("c")).agg(F.count("*").alias("n")).withColumn("down", -F.col("c"))
+    return running_sums(by_count, [], "down", ["n"]).where(F.col("before_n") + F.col("n") <= most).agg(F.min("c").alias("least")).first()["least"]
 
-def joined(blocks: Iterable[tuple[int, bytes]]) -> np.ndarray:
-    """The whole table of summed blocks. A slot of a common byte counts billions over a large corpus, so all counts are of 64 bits."""
-    counts = np.zeros((SLOTS, 2), np.int64)
-    for block, data in blocks:
-        part = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8").reshape(2, -1).T
-        counts[block * BLOCK : block * BLOCK + len(part)] = part
-    return counts
 
+def packed(rows: DataFrame, kinds: tuple[str, str]) -> list[tuple[bytes, bytes]]:
+    """Two columns as bytes, a pair for each Arrow batch: what the driver sends on without looking into it. The rows must be few."""
 
-def mixing(docs: DataFrame, code: Code, sent) -> tuple[np.ndarray, np.ndarray]:
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"a": [END.join(b["a"]) if kinds[0] == "word" else b["a"].to_numpy(kinds[0]).tobytes()], "b": [b["b"].to_numpy(kinds[1]).tobytes()]})
+
+    return [(bytes(r["a"]), bytes(r["b"])) for r in rows.toDF("a", "b").mapInPandas(pack, "a binary, b binary").collect()]
+
+
+class Lookup:
+    """Log probabilities of the most frequent grams: a table of one probe, and a sorted list for the few that share a slot."""
+
+    def __init__(self, sent: list[tuple[bytes, bytes]]):
+        g = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(a, np.uint64) for a, _ in sent]])
+        p = np.concatenate([np.zeros(0), *[np.frombuffer(b, np.float64) for _, b in sent]])
+        order = np.argsort(g)
+        self.g, self.p = g[order], p[order]
+        self.shift = np.uint64(64 - max(10, (3 * len(g)).bit_length()))
+        slot = self.slot(self.g)
+        self.keys, self.values = np.zeros(1 << (64 - int(self.shift)), np.uint64), np.zeros(1 << (64 - int(self.shift)))
+        self.keys[slot], self.values[slot] = self.g, self.p
+
+    def slot(self, g: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((g * _ODD) >> self.shift).astype(np.int64)
+
+    def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log probability of each gram (0 where it is not listed), and which are not listed."""
+        at = self.slot(g)
+        p = self.values.take(at)
+        miss = np.flatnonzero(self.keys.take(at) != g)
+        if not len(miss):
+            return p, miss
+        if not len(self.g):
+            p[miss] = 0.0
+            return p, miss
+        spot = np.minimum(np.searchsorted(self.g, g[miss]), len(self.g) - 1)
+        found = self.g[spot] == g[miss]
+        p[miss] = np.where(found, self.p[spot], 0.0)
+        return p, miss[~found]
+
+
+def slots_of(batches: Iterator[pd.DataFrame], sent) -> tuple[Slots, np.ndarray]:
+    """All grams of a task, by their number, and their slots."""
+    held = [(b["g"].to_numpy(np.int64).view(np.uint64), b["n"].to_numpy(np.int64), b["m"].to_numpy(np.int64)) for b in batches if len(b)]
+    g, n, m = summed(held) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return Slots(g, n, *sent.value), m
+
+
+def mixing(dealt: DataFrame, sent) -> tuple[np.ndarray, np.ndarray]:
     """Weights by gate and context, and the refined probability of a one by gate and bucket of the mixed logit.
 
     Each task learns online from equal first weights, and counts what followed each mixed logit; the weights' mean by bits seen is kept,
     and the counts are added up and drawn to the bucket's own value.
     """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t, learner, bits = Tables(sent.value), Learner(), np.zeros(GATES)
-        w = learner.weights
-        ones, seen = np.zeros(GATES * BUCKETS), np.zeros(GATES * BUCKETS)
-        for g, n in batches_of_grams(batches):
-            for gate, x, bit, m in left_out_bits(t, g, n, code):
-                learner.learn(gate, x, bit, m)
-                bits += np.bincount(gate, m, GATES)
-                low, part = place((w[gate].T * x).sum(0))
-                at = gate * BUCKETS + low + (part > 0.5)
-                seen += np.bincount(at, m, GATES * BUCKETS)
-                ones += np.bincount(at, m * bit, GATES * BUCKETS)
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"gate": np.repeat(np.arange(GATES), len(ORDERS)), "k": np.tile(np.arange(len(ORDERS)), GATES), "x": (w * bits[:, None]).ravel(), "n": np.repeat(bits, len(ORDERS))})
-        yield pd.DataFrame({"gate": -1, "k": at, "x": ones[at], "n": seen[at]})
+        learner = Learner()
+        gate, x, bit, n = training_bits(slots_of(batches, sent)[0])
+        learner.learn(gate, x, bit, n)
+        low, part = place((learner.weights[gate].T * x).sum(0))
+        at = gate * BUCKETS + low + (part > 0.5)
+        bits, seen, ones = np.bincount(gate, n, GATES), np.bincount(at, n, GATES * BUCKETS), np.bincount(at, n * bit, GATES * BUCKETS)
+        yield pd.DataFrame({"gate": np.repeat(np.arange(GATES), K), "k": np.tile(np.arange(K), GATES), "x": (learner.weights * bits[:, None]).ravel(), "n": np.repeat(bits, K)})
+        own = np.flatnonzero(seen)
+        yield pd.DataFrame({"gate": -1, "k": own, "x": ones[own], "n": seen[own]})
 
     z = np.linspace(-LIMIT, LIMIT, BUCKETS)
-    weights, own = Learner().weights, np.tile(1 / (1 + np.exp(-z)), GATES)
+    weights, plain = Learner().weights, np.tile(1 / (1 + np.exp(-z)), GATES)
     ones, seen = np.zeros(GATES * BUCKETS), np.zeros(GATES * BUCKETS)
-    for r in docs.select("text").mapInPandas(run, "gate int, k int, x double, n double").groupBy("gate", "k").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).where("n > 0").collect():
+    for r in dealt.mapInPandas(run, "gate int, k int, x double, n double").groupBy("gate", "k").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).where("n > 0").collect():  # GATES * (K + BUCKETS) rows
         if r["gate"] < 0:
             ones[r["k"]], seen[r["k"]] = r["x"], r["n"]
         else:
             weights[r["gate"], r["k"]] = round(r["x"] / r["n"], 9)
-    return weights, np.clip((ones + 20 * own) / (seen + 20), 1e-5, 1 - 1e-5)
+    return weights, np.clip((ones + 20 * plain) / (seen + 20), 1e-5, 1 - 1e-5)
+
+
+def last_byte(table: DataFrame) -> tuple[Code, np.ndarray]:
+    """The code of the training bytes, and how often each bit followed each last byte at each node."""
+    rows = np.array([(r["pair"], r["n"]) for r in table.groupBy(F.col("g").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).collect()], np.int64).reshape(-1, 2)  # 65,536 rows at most
+    before, byte, n = rows[:, 0] >> 8, rows[:, 0] & 255, rows[:, 1].astype(float)
+    code = Code(np.bincount(byte, n, 256).astype(np.int64))
+    last = np.zeros((256, 512, 2))
+    for d in range(len(code.node)):
+        own = code.length[byte] > d
+        np.add.at(last, (before[own], code.node[d][byte[own]], code.bit[d][byte[own]]), n[own])
+    return code, last
+
+
+def gram_scores(table: DataFrame) -> DataFrame:
+    """g, m and p, the natural log probability of each distinct gram of ``table`` (g, n, m)."""
+    spark = table.sparkSession
+    sent = spark.sparkContext.broadcast(last_byte(table))
+    tasks = max(1, math.ceil(table.count() / TASK_GRAMS))
+    dealt = table.select("g", "n", "m").repartition(tasks, F.shiftrightunsigned("g", 8).bitwiseAND(F.lit(0xFFFF)))
+    learned = spark.sparkContext.broadcast(mixing(dealt, sent))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, m = slots_of(batches, sent)
+        p, g = log_probabilities(s, *learned.value), np.empty(len(s.g), np.uint64)
+        g[s.order] = s.g
+        yield pd.DataFrame({"g": g.view(np.int64), "m": m, "p": p})
+
+    return dealt.mapInPandas(run, "g long, m long, p double")
 
 
-def score(docs: DataFrame, folds: int = FOLDS, heavy: int = HEAVY) -> DataFrame:
+def score(docs: DataFrame, folds: int = FOLDS, heavy: int = HEAVY, heavy_grams: int = HEAVY_GRAMS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text", (crc_of_id(F.col("doc_id")) % folds == 0).alias("held_out"))
-    train = docs.where("not held_out")
-    counts = settled(word_counts(train))
+    both = settled(counted(docs))
+    counts = both.where("word is not null").select("word", F.col("n").alias("c"))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0)).alias("ends")).first()
     n, v, ends = total["n"], total["v"], total["ends"]
-    known = {bytes(r["word"]): r["c"] for r in most_frequent(counts, heavy).collect()}
-    letters = np.zeros(256, np.int64)
-    for w, c in known.items():
-        np.add.at(letters, np.frombuffer(w + b" ", np.uint8), c)
-    code = Code(letters)
-    tables = spark.sparkContext.broadcast(bit_tables(train, code))
-    weights, refined = mixing(train, code, tables)
-    end = float(np.log10((ends + 0.1) / (n + 0.1 * (v + 1))))
-    lookup = spark.sparkContext.broadcast({w: float(np.log10((c + 0.1) / (n + 0.1 * (v + 1)))) for w, c in known.items()})
+    least = least_count(counts, "c", heavy)
+    known = spark.sparkContext.broadcast(packed(counts.where(F.col("word") != F.lit(END)).where(F.col("c") >= F.lit(least)), ("word", "<i8")) if least is not None else [])
+    scored = settled(gram_scores(both.where("g is not null")))
+    least = least_count(scored, "m", heavy_grams)
+    listed = spark.sparkContext.broadcast(packed(scored.where(F.col("m") >= F.lit(least)).select("g", "p"), ("<i8", "<f8")) if least is not None else [])
+    end, below = float(np.log10((ends + 0.1) / (n + 0.1 * (v + 1)))), float(np.log10(n + 0.1 * (v + 1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t, get = Tables(tables.value), lookup.value.get
+        lookup, base = Lookup(listed.value), {}
+        for a, c in known.value:
+            base.update(zip(a.split(END), (np.log10(np.frombuffer(c, "<i8") + 0.1) - below).tolist(), strict=True))
+        get = base.get
         for b in batches:
             rows, pieces = [], []
             for text in b["text"]:
                 held = words(text)
                 found = [get(w) for w in held]
                 rest = [w for w, x in zip(held, found, strict=True) if x is None] if None in found else []
-                rows.append((len(held) + 1, len(held) - len(rest) + (ends > 0), sum([x for x in found if x is not None]) + end, rest))
+                rows.append((len(held) + 1, len(held) - len(rest) + (ends > 0), sum([x for x in found if x is not None] if rest else found) + end, rest))
                 pieces.append(b" ".join(held) + END)
             if not rows:
                 continue
             g, starts = grams(pieces)
-            own, back = np.unique(g, return_inverse=True)
-            bits = np.add.reduceat(log_probabilities(t, own, code, weights, refined)[back], starts)
+            p, miss = lookup.find(g)
+            cut = np.searchsorted(miss, np.append(starts, len(g)))
+            missed = g[miss].view(np.int64)
             yield pd.DataFrame({
                 "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": [r[0] for r in rows], "heavy_known": [r[1] for r in rows], "heavy_score": [r[2] for r in rows],
-                "score": bits / np.log(10), "n_bytes": [len(p) for p in pieces], "rest": [r[3] for r in rows],
+                "heavy_log": np.add.reduceat(p, starts), "n_bytes": [len(x) for x in pieces], "words": [r[3] for r in rows], "grams": [missed[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)],
             })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInPandas(run, f"doc_id {kind}, held_out boolean, n_tokens long, heavy_known long, heavy_score double, score double, n_bytes long, rest array<binary>")
+    rows = docs.mapInPandas(run, f"doc_id {kind}, held_out boolean, n_tokens long, heavy_known long, heavy_score double, heavy_log double, n_bytes long, words array<binary>, grams array<long>")
     rows = settled(rows.withColumn("row", F.monotonically_increasing_id()))
-    spots = rows.select("row", F.explode("rest").alias("word"))
-    found = spots.join(counts, "word", "left").select("row", F.col("c").isNotNull().cast("long").alias("known"), F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(n + 0.1 * (v + 1))).alias("p"))
-    sums = found.groupBy("row").agg(F.sum("known").alias("rest_known"), F.sum("p").alias("rest_score"))
-    rows = meet(rows.drop("rest"), sums, ["row"], "left")
+    found = rows.select("row", F.explode("words").alias("word")).join(counts, "word", "left").select("row", F.col("c").isNotNull().cast("long").alias("known"), (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - below).alias("base"), F.lit(0.0).alias("log"))
+    others = rows.select("row", F.explode("grams").alias("g")).join(scored, "g").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("p").alias("log"))
+    sums = found.unionByName(others).groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("log").alias("log"))
+    rows = meet(rows.drop("words", "grams"), sums, ["row"], "left")
+    log10 = (F.col("heavy_log") + F.coalesce("log", F.lit(0.0))) / math.log(10)
     return rows.select(
-        "doc_id", "held_out", "n_tokens", (F.col("heavy_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("heavy_score") + F.coalesce("rest_score", F.lit(0.0))).alias("base_score"), "score", "n_bytes", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+        "doc_id", "held_out", "n_tokens", (F.col("heavy_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("heavy_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), log10.alias("score"), "n_bytes", (-log10 * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )

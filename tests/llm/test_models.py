@@ -111,69 +111,167 @@ def test_base_score_and_known_tokens(spark, heavy):
     assert all(x["score"] < 0 for x in found)
 
 
+def slots(g, n):
+    """Slots of all grams, as one task sees them, and the code."""
+    pair, byte = (g & np.uint64(0xFFFF)).astype(int), (g & np.uint64(255)).astype(int)
+    code = bitmix.Code(np.bincount(byte, n, 256).astype(np.int64))
+    last = np.zeros((256, 512, 2))
+    for k, b, c in zip(pair >> 8, byte, n, strict=True):
+        for d in range(code.length[b]):
+            last[k, code.node[d][b], code.bit[d][b]] += c
+    return bitmix.Slots(g, n, code, last), code
+
+
+def contexts(text, i):
+    """Brute force: the contexts of byte i of a text, in the order of CONTEXTS."""
+    before = bitmix.BEFORE + text[:i]
+    at = before.rindex(b" ")
+    return [*(before[-k:] for k in range(1, 6)), before[-max(2, min(7, len(before) - at)) :]]
+
+
+def brute_counts(pieces, code):
+    counts = Counter()
+    for p in pieces:
+        for i, b in enumerate(p):
+            for k, c in enumerate(contexts(p, i)):
+                for d in range(code.length[b]):
+                    counts[k, c, code.node[d][b], code.bit[d][b]] += 1
+    return counts
+
+
+def brute_log(text, counts, code, weights, refined):
+    total = 0.0
+    for i, b in enumerate(text):
+        own, root = contexts(text, i), code.node[0][0]
+        seen = [counts[k, c, root, 0] + counts[k, c, root, 1] for k, c in enumerate(own)]
+        level = [sum(s >= x for x in bitmix.SEEN) for s in seen]
+        gate = max([3 * k + x for k, x in enumerate(level[:-1]) if x], default=0) * 4 + level[-1]
+        for d in range(code.length[b]):
+            node, bit = code.node[d][b], code.bit[d][b]
+            z = 0.0
+            for k, c in enumerate(own):
+                x = math.log((counts[k, c, node, 1] + bitmix.PRIOR) / (counts[k, c, node, 0] + bitmix.PRIOR))
+                z += weights[gate, k] * min(bitmix.LIMIT, max(-bitmix.LIMIT, x))
+            at = (min(bitmix.LIMIT, max(-bitmix.LIMIT, z)) + bitmix.LIMIT) * (bitmix.BUCKETS - 1) / (2 * bitmix.LIMIT)
+            low = min(int(at), bitmix.BUCKETS - 2)
+            own_map = refined[gate * bitmix.BUCKETS + low : gate * bitmix.BUCKETS + low + 2]
+            p = 0.5 / (1 + math.exp(-z)) + 0.5 * (own_map[0] * (1 - at + low) + own_map[1] * (at - low))
+            total += math.log10(p if bit else 1 - p)
+    return total
+
+
 def test_bits_are_a_probability_and_learn():
     r = random.Random(5)
     train = [f"the cat sat on {r.choice(['the mat', 'a hat'])}\n".encode() for _ in range(400)]
-    code = bitmix.Code(np.bincount(np.frombuffer(b"".join(train), np.uint8), minlength=256))
-    counts = np.zeros((bitmix.SLOTS, 2), np.int32)
     g, n = np.unique(bitmix.grams(train)[0], return_counts=True)
-    bitmix.add_counts(counts, g, n, code)
-    t, learner = bitmix.Tables(counts), bitmix.Learner()
-    for gate, x, bit, m in bitmix.left_out_bits(t, g, n, code):
-        learner.learn(gate, x, bit, m)
+    s, code = slots(g, n)
+    learner = bitmix.Learner()
+    learner.learn(*bitmix.training_bits(s))
     w = learner.weights
     z = np.linspace(-bitmix.LIMIT, bitmix.LIMIT, bitmix.BUCKETS)
     refined = np.tile(1 / (1 + np.exp(-z)), bitmix.GATES)
+
+    def logs(more):  # the counts of the training grams, asked for others too
+        every = np.unique(np.concatenate([g, more]))
+        own = dict(zip(g.tolist(), n.tolist(), strict=True))
+        found = bitmix.Slots(every, np.array([own.get(x, 0) for x in every.tolist()]), code, s.last)
+        return dict(zip(every.tolist(), bitmix.log_probabilities(found, w, refined).tolist(), strict=True))
+
     # over all 256 next bytes of a context the probabilities add up to one
     last = bitmix.grams([b"the c?"])[0][-1]
     every = (last & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
-    assert np.exp(bitmix.log_probabilities(t, every, code, w, refined)).sum() == pytest.approx(1.0, abs=1e-4)
-    bits = lambda text: -bitmix.log_probabilities(t, bitmix.grams([text])[0], code, w, refined).sum() / math.log(2) / len(text)
+    held = logs(every)
+    assert sum(math.exp(held[x]) for x in every.tolist()) == pytest.approx(1.0, abs=1e-4)
+
+    def bits(text):
+        own = bitmix.grams([text])[0]
+        held = logs(own)
+        return -sum(held[x] for x in own.tolist()) / math.log(2) / len(text)
+
     assert bits(b"the cat sat on a hat\n") < 1.0 < 4.0 < bits(b"qzx vkw jjq 93 zzz\n")
 
 
-def test_mixing_learns_from_every_occurrence(spark):
+@pytest.mark.parametrize(("heavy", "tasks"), [(1 << 20, 1 << 20), (50, 200), (0, 37)])
+def test_score_equals_plain_sums(spark, monkeypatch, heavy, tasks):
+    monkeypatch.setattr(bitmix, "TASK_GRAMS", tasks)
+    r = random.Random(8)
+    vocabulary = [prose(r, 1).strip(".") for _ in range(12)] + ["a", "Extraordinarily", "é"]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 12)))) for i in range(60)] + [(500, None), (None, "a a"), (7, "zq"), (7, "zq")]
+    key = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = []
+    kept = bitmix.mixing
+    monkeypatch.setattr(bitmix, "mixing", lambda *x: learned.append(kept(*x)) or learned[-1])
+    found = bitmix.score(docs, heavy_grams=heavy).collect()
+    train = bitmix.pieces_of([t for i, t in rows if key(i)])
+    code = bitmix.Code(np.bincount(np.frombuffer(b"".join(train), np.uint8), minlength=256))
+    counts = brute_counts(train, code)
+    expected = sorted((repr(i), round(brute_log(bitmix.pieces_of([t])[0], counts, code, *learned[0]), 3)) for i, t in rows)
+    got = sorted((repr(x["doc_id"]), round(x["score"], 3)) for x in found)
+    assert [x[0] for x in got] == [x[0] for x in expected]
+    assert [x[1] for x in got] == pytest.approx([x[1] for x in expected], abs=3e-3)
+
+
+def test_learning_leaves_the_occurrence_itself_out_and_takes_every_one():
     r = random.Random(7)
-    texts = [prose(r, 30) for _ in range(40)] * 2
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
-    parts = bitmix.pieces_of(texts)
-    code = bitmix.Code(np.bincount(np.frombuffer(b"".join(parts), np.uint8), minlength=256))
-    counts = bitmix.bit_tables(docs, code)
-    learned, refined = bitmix.mixing(docs, code, spark.sparkContext.broadcast(counts))
-    t, learner, g, n = bitmix.Tables(counts), bitmix.Learner(), *np.unique(bitmix.grams(parts)[0], return_counts=True)
-    met = np.zeros(bitmix.GATES, bool)
-    for gate, x, bit, m in bitmix.left_out_bits(t, g, n, code):
-        learner.learn(gate, x, bit, m)
-        met[gate] = True
-    assert n.sum() == sum(map(len, parts))
-    assert learned[met] == pytest.approx(learner.weights[met], abs=1e-6)
+    texts = [prose(r, 20) for _ in range(10)] * 2
+    pieces = bitmix.pieces_of(texts)
+    g, n = np.unique(bitmix.grams(pieces)[0], return_counts=True)
+    s, code = slots(g, n)
+    gate, x, bit, m = bitmix.training_bits(s)
+    assert m.sum() == sum(code.length[b] for p in pieces for b in p)
+    counts, expected = brute_counts(pieces, code), Counter()
+    for p in pieces:
+        for i, b in enumerate(p):
+            for d in range(code.length[b]):
+                logits = []
+                for k, c in enumerate(contexts(p, i)):
+                    one, zero = (counts[k, c, code.node[d][b], v] - (code.bit[d][b] == v) for v in (1, 0))
+                    logits.append(round(min(8, max(-8, math.log((one + 0.1) / (zero + 0.1)))), 2))
+                expected[(*logits, int(code.bit[d][b]))] += 1
+    got = Counter()
+    for row, v, w in zip(x.T.tolist(), bit.tolist(), m.tolist(), strict=True):
+        got[(*[round(y, 2) + 0.0 for y in row], v)] += w
+    assert got == {k: v for k, v in expected.items()}
+    # online steps from equal weights end below their loss
+    learner = bitmix.Learner()
+    loss = lambda w: -(m * np.log(np.where(bit == 1, p := 1 / (1 + np.exp(-(w[gate].T * x).sum(0))), 1 - p))).sum()
+    before = loss(learner.weights)
+    learner.learn(gate, x, bit, m)
+    assert loss(learner.weights) < before
 
 
 def test_counts_above_32_bits_keep_their_ratio():
-    held = np.zeros((bitmix.BLOCK, 2), np.int64)
-    held[5], held[6] = (12_000_000_000, 3_000_000_000), (2**31, 1)
-    packed = bitmix.zstandard.ZstdCompressor().compress(held.astype("<i8").T.tobytes())
-    counts = bitmix.joined([(0, packed)])
-    assert counts[5].tolist() == [12_000_000_000, 3_000_000_000]
-    t = bitmix.Tables(counts)
-    assert t.seen[5] == 15_000_000_000 and t.seen[6] == 2**31 + 1
-    assert t.logit[5] == pytest.approx(math.log(0.25), abs=1e-5) and t.logit[6] == -bitmix.LIMIT
-
-
-def test_occurrences_above_32_bits_are_counted_and_seen():
-    code = bitmix.Code(np.ones(256, np.int64))
-    g = bitmix.grams([b" e"])[0]
-    counts = np.zeros((bitmix.SLOTS, 2), np.int64)
-    bitmix.add_counts(counts, g, np.full(len(g), 3 * 2**31), code)
-    t, bases = bitmix.Tables(counts), bitmix.context_bases(g)
-    for left_out in (0, 1):
-        assert (bitmix.gates(t.seen, bases, code, left_out) == bitmix.GATES - 1).all()
+    g = bitmix.grams([b"ab", b"ac"])[0]
+    big = {g[1]: 12_000_000_000, g[3]: 3_000_000_000}
+    u = np.unique(g)
+    s, code = slots(u, np.array([big.get(x, 1) for x in u]))
+    assert max(c.max() for c in s.seen) >= 15_000_000_000
+    at = int(np.flatnonzero(s.g == g[1])[0])
+    for k in range(1, bitmix.K):
+        zeros, ones = next((z, o) for d in range(int(code.length[ord("b")])) for z, o in [s.counts(k, d, s.active[d])] if z[at] and o[at])
+        assert sorted([zeros[at], ones[at]]) == [3_000_000_000, 12_000_000_000]
 
 
 def test_grams_do_not_cross_texts_and_starts_match():
     g, starts = bitmix.grams([b"ab\n", b"\n", b"abc\n"])
     assert list(starts) == [0, 3, 4] and len(g) == 8
-    assert int(g[3]) == ord("\n") and int(g[4]) == ord("a")
+    assert int(g[3]) & 0xFFFF == 0x2000 | ord("\n") and g[0] == g[4] and g[1] == g[5]
+    # the current word counts up to seven bytes, else five
+    held = bitmix.grams([b"wonderful day\n"])[0]
+    assert [int(held[i]).to_bytes(8, "big") for i in (6, 7, 8)] == [b" wonderf", b"wonderfu", b"onderful"]
+    assert int(held[11]).to_bytes(8, "big") == b"\0\0ful da"
+
+
+def test_lookup_finds_listed_grams_and_names_others():
+    r = np.random.default_rng(1)
+    g = np.unique(r.integers(1, 1 << 62, 5000).astype(np.uint64))
+    p = -r.random(len(g))
+    own = bitmix.Lookup([(g[:900].tobytes(), p[:900].tobytes()), (g[900:4000].tobytes(), p[900:4000].tobytes())])
+    found, miss = own.find(g)
+    assert miss.tolist() == list(range(4000, len(g)))
+    assert found[:4000] == pytest.approx(p[:4000]) and not found[4000:].any()
+    assert bitmix.Lookup([]).find(g[:3])[1].tolist() == [0, 1, 2]
 
 
 def test_language_model_edges(spark):
