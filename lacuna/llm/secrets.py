@@ -10,6 +10,9 @@ is enough and no pairs are listed.
 A weak part is linked when a strong part of another role, one of the two being a secret, lies in
 its scope, or when all three roles (access id, secret, endpoint) meet there.
 
+Reported parts whose gaps are at most ``radius`` are one credential (transitively); those with a secret and a part of another role
+are listed with their members, so that it can be told which id and endpoint a secret goes with.
+
 Defined cases: a null text is searched as the empty one; rows that repeat doc_id and text get
 the same result each; a null doc_id is kept; equal starts are ordered by kind as listed in
 KINDS; an empty table gives no rows; other columns are neither read nor returned.
@@ -25,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import meet, small_batches
+from .common import meet, settled, small_batches
 
 #: In the order in which equal starts are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "login", "token", "endpoint")
@@ -84,18 +87,19 @@ def parts_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def find(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Per row of ``docs``: doc_id, strong and linked spans (arrays of kind, start, stop), and text_key, a hash of the text."""
     small_batches(docs.sparkSession)
+    # written once: both sides of the join need the parts, and searching for them is the work
     found = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.pandas_udf(parts_of, f"strong array<{PART}>, weak array<{PART}>")("text").alias("p")).select("doc_id", "text_key", "p.strong", "p.weak")
+    found = settled(found)
     none = F.expr(f"cast(array() as array<{PART}>)")
     return meet(found.drop("weak"), linked(found, radius), ["doc_id", "text_key"], "left").withColumn("linked", F.coalesce("linked", none))
 
 
 def linked(found: DataFrame, radius: int) -> DataFrame:
     """doc_id, text_key, linked: the weak parts that complementary parts support."""
-    role = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(i), F.lit(ROLE[k]))])
     listed = (
         found.where("size(weak) > 0").dropDuplicates(["doc_id", "text_key"])
         .select("doc_id", "text_key", F.explode(F.concat("strong", "weak")).alias("p"))
-        .select("doc_id", "text_key", "p", role[F.col("p.kind")].alias("role"), (F.col("p.kind") < 3).alias("is_strong"))
+        .select("doc_id", "text_key", "p", role_of(F.col("p.kind")).alias("role"), (F.col("p.kind") < 3).alias("is_strong"))
     )
     # a part counts from its start on; a weak one looks back from the end of its scope
     marks = F.array(F.struct(F.col("p.start").alias("at"), F.lit(False).alias("looks")), F.struct((F.col("p.stop") + radius).alias("at"), F.lit(True).alias("looks")))
@@ -109,23 +113,40 @@ def linked(found: DataFrame, radius: int) -> DataFrame:
     return rows.where(~F.col("is_strong") & (complete | held)).groupBy("doc_id", "text_key").agg(F.collect_list("p").alias("linked"))
 
 
+def role_of(kind):
+    return F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(i), F.lit(ROLE[k]))])[kind]
+
+
+def credentials(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, text_key, first, members: a row for each credential; ``found`` has doc_id, text_key and spans (see ``in_order``)."""
+    rows = found.where("size(spans) > 1").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.explode("spans").alias("p"))
+    w = Window.partitionBy("doc_id", "text_key").orderBy("p.start", "p.kind", "p.stop")
+    reach = F.max("p.stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.select("*", F.when(F.col("p.start") <= reach + radius, 0).otherwise(1).alias("new"))
+    rows = rows.select("*", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("credential"))
+    roles = F.collect_set(role_of(F.col("p.kind")))
+    rows = rows.groupBy("doc_id", "text_key", "credential").agg(F.min("p.start").alias("first"), F.array_sort(F.collect_list("p")).alias("members"), roles.alias("roles"))
+    return rows.where((F.size("roles") > 1) & F.array_contains("roles", "secret")).select("doc_id", "text_key", "first", "members")
+
+
 def in_order(spans):
     return F.array_sort(F.transform(spans, lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["stop"].alias("stop"))))
 
 
-def as_text(spans):
+def as_text(spans, between: str = ","):
     names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(spans, lambda p: F.concat_ws(":", F.get(names, p["kind"]), p["start"], p["stop"])), ",")
+    return F.array_join(F.transform(spans, lambda p: F.concat_ws(":", F.get(names, p["kind"]), p["start"], p["stop"])), between)
 
 
 def scan(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Per row of documents: doc_id, counts of the base kinds, base_sha256, spans as text, and the spans themselves."""
-    found = find(docs.select("doc_id", "text"), radius)
+    """Per row of documents: doc_id, counts of the base kinds, base_sha256, spans as text, how many were linked, and the credentials (members joined by +)."""
+    found = find(docs.select("doc_id", "text"), radius).withColumn("spans", in_order(F.concat("strong", "linked")))
+    listed = credentials(found, radius).groupBy("doc_id", "text_key").agg(F.array_join(F.array_sort(F.collect_list(F.struct("first", as_text(F.col("members"), "+").alias("text"))))["text"], ",").alias("credentials"))
     count = lambda k: F.size(F.filter("strong", lambda p: p["kind"] == k)).cast("long")
-    spans = in_order(F.concat("strong", "linked"))
-    return found.select(
+    return meet(found, listed, ["doc_id", "text_key"], "left").select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(as_text(in_order(F.col("strong"))).cast("binary"), 256).alias("base_sha256"), as_text(spans).alias("spans"), F.size("linked").cast("long").alias("n_linked"),
+        F.sha2(as_text(in_order(F.col("strong"))).cast("binary"), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), F.size("linked").cast("long").alias("n_linked"),
+        F.coalesce("credentials", F.lit("")).alias("credentials"),
     )
 
 

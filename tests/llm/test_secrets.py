@@ -79,6 +79,33 @@ def test_long_parts_link_on_either_side(spark):
     assert found == {i: brute_links(t) for i, t in enumerate(texts)}
 
 
+def test_credentials_equal_connected_parts(spark):
+    import random
+
+    r = random.Random(9)
+    pieces = [f"AKIA{'Q7' * 12}", "client_id=abcd", "https://db.example.com/x", "secret = s3cr3tvalue", "login: someone", "0123456789abcdef01234567"]
+    texts = [" ".join(f"{r.choice(pieces)}{' ' * r.choice([1, 150, 198, 199, 200, 201, 202, 400])}" for _ in range(r.randint(0, 7))) for _ in range(150)]
+    rows = [*enumerate(texts), (0, texts[0]), (None, texts[5]), (7, texts[8]), (500, None)]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+
+    def brute(spans):
+        parts = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(",") if x)]
+        groups = [{i} for i in range(len(parts))]
+        for i, p in enumerate(parts):
+            for j, q in enumerate(parts[:i]):
+                if q[1] - 200 <= p[2] and p[1] - 200 <= q[2]:
+                    one, other = (next(g for g in groups if x in g) for x in (i, j))
+                    if one is not other:
+                        groups.remove(other)
+                        one |= other
+        kept = [sorted(g) for g in groups if len(roles := {secrets.ROLE[parts[i][0]] for i in g}) > 1 and "secret" in roles]
+        return ",".join("+".join(":".join(map(str, parts[i])) for i in g) for g in sorted(kept))
+
+    assert [x["credentials"] for x in found] == [brute(x["spans"]) for x in found]
+    assert sum(x["credentials"] != "" for x in found) > 20
+
+
 @pytest.mark.parametrize("text,listed,expected", [("ab token=xyz123 c", "assign:3:15", "ab [assign] c"), (None, "assign:0:1", None), ("plain", "", "plain"), ("0123456789", "assign:1:5,hex:3:7", "0[assign]789")])
 def test_cut_out(text, listed, expected):
     import pandas as pd
