@@ -5,12 +5,13 @@ noisy-or of its sentences: it is toxic unless every sentence is harmless,
 ``1 - (1 - leak) * prod(1 - p_s)``. Only documents have labels; the gradient of the document's likelihood shares the blame among its
 sentences, which is what then locates the offending ones.
 
-The classifier is fitted on at most ``SAMPLE`` labelled documents (the smallest hashes of doc_id; a documented bound) with a
-vocabulary of at most ``VOCABULARY`` words that occur in ``LEAST_DOCUMENTS`` toxic ones or more, and there more often than chance allows; the fitted weights, of a bounded size,
-go to every task, and all documents are scored whole.
+The classifier is fitted on a documented bound of labelled documents, at most ``SAMPLE`` rows and ``SAMPLE_BYTES`` bytes of whole texts: those with the smallest
+hashes of doc_id. The bound holds for rows of documents, however often a doc_id repeats, and only these rows reach the driver.
+Which of their words are features is part of the fit (a test of significance against chance, ``EXCESS``, which takes words of ``LEAST_DOCUMENTS`` toxic documents or more); the fitted weights, of a
+bounded size, go to every task, and all documents are scored whole.
 
 Defined cases: a null or wordless text has no sentences and gets the leak as its score; null or missing labels are not learned
-from; of repeated labels of a doc_id the largest counts; rows that repeat score alike; without both labels among
+from; of repeated labels of a doc_id the largest counts; rows that repeat id and text are learned from once and score alike; without both labels among
 the training rows every score is the share of toxic ones (0 without rows); an empty table gives no rows; other columns are neither read nor returned.
 """
 
@@ -23,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, small_batches
 
 FOLDS = 5
-SAMPLE = 12_000
+SAMPLE, SAMPLE_BYTES = 12_000, 48_000_000
 VOCABULARY = 100_000
 LEAST_DOCUMENTS = 3
 STEM = 5
@@ -59,21 +60,38 @@ def spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text) if m[0].encode("utf-8", "surrogatepass").translate(_BYTES).split()]
 
 
+def stem(word: bytes) -> bytes:
+    """The first STEM code points of a word of UTF-8."""
+    if len(word) <= STEM:
+        return word
+    if word.isascii():
+        return word[:STEM]
+    return word.decode("utf-8", "surrogatepass")[:STEM].encode("utf-8", "surrogatepass")
+
+
+class Weights(dict):
+    """Weight of a word with that of its stem, worked out when first asked for."""
+
+    def __init__(self, weights: dict[bytes, float]):
+        self.known = weights
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = x = self.known.get(word, 0.0) + self.known.get(stem(word) + b"*", 0.0)
+        return x
+
+
 class Model:
-    """Weights of words and of stems (the first STEM bytes of a word, marked by a star), sentence bias and leak."""
+    """Weights of words and of stems (the first STEM code points of a word, marked by a star), sentence bias and leak."""
 
     def __init__(self, weights: dict[bytes, float], bias: float, leak: float):
-        self.weights = {w: x for w, x in weights.items() if not w.endswith(b"*")}
-        self.stems = {w[:-1]: x for w, x in weights.items() if w.endswith(b"*")}
-        self.bias, self.leak = bias, leak
-
-    def logits(self, text: str | None) -> np.ndarray:
-        get, stem = self.weights.get, self.stems.get
-        return np.array([sum([get(w, 0.0) for w in s]) + sum([stem(w[:STEM], 0.0) for w in s]) for s in sentences(text)], float) + self.bias
+        self.weights, self.bias, self.leak = weights, bias, leak
 
-    def score(self, text: str | None) -> tuple[float, int, float, int]:
+    def score(self, text: str | None, weights: Weights | None = None) -> tuple[float, int, float, int]:
         """Document score, the sentence with the highest score (-1: none), its score, and how many offend."""
-        z = self.logits(text)
+        of = (weights or Weights(self.weights)).__getitem__
+        z = np.array([sum(map(of, s)) for s in sentences(text)], float) + self.bias
         if not len(z):
             return self.leak, -1, 0.0, 0
         safe = -np.logaddexp(0, z)
@@ -87,7 +105,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     rate = float(y.mean()) if len(y) else 0.0
     if not len(y) or rate in (0.0, 1.0):
         return Model({}, -1e9, min(rate, 1 - 1e-9))
-    features = lambda sentence: dict.fromkeys([*sentence, *(w[:STEM] + b"*" for w in sentence)])
+    features = lambda sentence: dict.fromkeys([*sentence, *(stem(w) + b"*" for w in sentence)])
     held = lambda text: {f for s in sentences(text) for f in features(s)}
     bad = Counter(f for text, toxic in zip(texts, y, strict=True) if toxic for f in held(text))
     bad = Counter({f: k for f, k in bad.items() if k >= LEAST_DOCUMENTS})
@@ -126,30 +144,36 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     return Model({w: float(theta[i]) for w, i in ids.items()}, float(theta[n_w]), float(1 / (1 + np.exp(-theta[n_w + 1]))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, sample: int = SAMPLE) -> DataFrame:
-    """text and toxic of labelled documents outside the held-out fold, at most ``sample`` of them."""
-    marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marked = marked.where(crc_of_id(F.col("doc_id")) % folds != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(marked, "doc_id").select("doc_id", "text", "toxic")
+def training_rows(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, text and toxic of labelled documents outside the held-out fold: at most ``sample`` rows of ``sample_bytes`` bytes together."""
+    marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(crc_of_id(F.col("doc_id")) % folds != 0)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    order = ["spot", "doc_id", "key"]
+    # ids and sizes of the first rows, so that no text is sorted; the running sum goes over those few
+    first = keyed.select("doc_id", "key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.xxhash64("doc_id").alias("spot")).join(marked, "doc_id")
+    first = first.groupBy("doc_id", "key", "toxic", "spot").agg(F.max("bytes").alias("bytes")).orderBy(*order).limit(sample)
+    first = first.select("doc_id", "key", "toxic", F.sum("bytes").over(Window.orderBy(*order)).alias("bytes")).where(F.col("bytes") <= sample_bytes).drop("bytes")
+    return keyed.join(F.broadcast(first), ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).drop("key")  # ``sample`` rows of three numbers
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, sample: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, and where it offends.
 
     n_offending counts offending sentences; sentence_start and sentence_end (code points) delimit the worst one, sentence_score is its own score.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = training_rows(docs, labels, folds, sample).select("text", "toxic", "doc_id").collect()
+    rows = training_rows(docs, labels, folds, sample, sample_bytes).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     model = spark.sparkContext.broadcast(fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows]))
 
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m: Model = model.value
+        weights = Weights(m.weights)
         for batch in texts:
             out = []
             for text in batch:
-                p, top, own, n = m.score(text)
+                p, top, own, n = m.score(text, weights)
                 start, end = spans(text)[top] if n else (None, None)
                 out.append((p, n, start, end, own))
             yield pd.DataFrame(out, columns=["score", "n", "start", "stop", "own"]).astype({"start": "Int32", "stop": "Int32"})

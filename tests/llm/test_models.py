@@ -42,6 +42,34 @@ def test_toxicity_held_out(spark):
     assert "vile filth" in text[by[5002]["sentence_start"] : by[5002]["sentence_end"]]
 
 
+def test_training_rows_are_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(3, f"text {k}") for k in range(500)] + [(i, "same " * 10) for i in range(4, 40)] + [(4, "same " * 10), (1000, "unlabelled")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(40), *range(5000, 9000)]], "doc_id long, toxic int")
+    every = toxicity.training_rows(docs, labels).collect()
+    kept = [i for i in range(3, 40) if zlib.crc32(str(i).encode()) % 5]
+    assert Counter(r["doc_id"] for r in every) == Counter({i: 500 if i == 3 else 1 for i in kept})
+    assert toxicity.training_rows(docs, labels, sample=20).count() == 20
+    few = toxicity.training_rows(docs, labels, sample_bytes=200).collect()
+    assert 0 < sum(len(r["text"]) for r in few) <= 200 and set(map(tuple, few)) <= set(map(tuple, every))
+
+
+def test_scores_equal_plain_sums():
+    texts = ["Vile words here. Fine ones there!\nvileness and größenwahn", "größenordnung größen", "", None, "fine fine fine"]
+    weights = {b"vile": 2.0, b"vilen*": 1.5, "größe*".encode(): 0.7, b"fine": -1.0}
+    model = toxicity.Model(weights, -2.0, 0.02)
+    for text in texts:
+        safe, own = 0.98, []
+        for sentence in re.split("[.!?\n]", (text or "").lower()):
+            found = re.findall(r"[^\W_]+", sentence)
+            if found:
+                z = -2.0 + sum(weights.get(w.encode(), 0) + weights.get(w[:5].encode() + b"*", 0) for w in found)
+                own.append(1 / (1 + math.exp(-z)))
+                safe *= 1 - own[-1]
+        p, top, worst, offending = model.score(text)
+        assert p == pytest.approx(1 - safe) and offending == sum(x >= 0.5 for x in own)
+        assert (top, worst) == ((own.index(max(own)), pytest.approx(max(own))) if own else (-1, 0.0))
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert toxicity.score(docs, spark.createDataFrame([], "doc_id long, toxic int")).first()["score"] == 0.0
