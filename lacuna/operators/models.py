@@ -5,6 +5,10 @@ Rows stay distributed; only Gram matrices of the few parameters reach the driver
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -26,40 +30,80 @@ def _gram(df: DataFrame, names: list[str], weight) -> np.ndarray:
     return out
 
 
-def poisson_cluster(df: DataFrame, outcome: str, terms: list[str], cluster: str, label: str = "model") -> DataFrame:
-    """label, term, estimate, se, ratio, low, high, n, events, clusters of complete cases.
+@dataclass(frozen=True)
+class Spec:
+    """A model of a sequence: its label, outcome and terms, and which rows it takes (SQL; NULL is no)."""
+
+    label: str
+    outcome: str
+    terms: tuple[str, ...]
+    rows: str = "true"
+
+
+COLUMNS = (
+    "label string, term string, estimate double, se double, ratio double, low double, high double, p double, n long, events double, clusters long, "
+    "parameters long, log_likelihood double, aic double, converged boolean"
+)
+
+
+def poisson_cluster(df: DataFrame, outcome: str, terms: list[str], cluster: str, label: str = "model", most_steps: int = 50) -> DataFrame:
+    """COLUMNS of complete cases, a row per term.
 
     Modified Poisson: the point estimates are those of a Poisson model with log link; the variance is the cluster
-    sandwich with the factor G / (G - 1) * (n - 1) / (n - k).
+    sandwich with the factor G / (G - 1) * (n - 1) / (n - k). A model whose steps do not settle within ``most_steps`` is not converged;
+    without rows all numbers are NULL.
     """
     rows = df.select(outcome, *terms, cluster).dropna().withColumn("_one", F.lit(1.0))
     rows = rows.withColumn(outcome, F.col(outcome).cast("double"))
-    fitted = GeneralizedLinearRegression(family="poisson", link="log", labelCol=outcome, featuresCol="_x", maxIter=50, tol=1e-10).fit(VectorAssembler(inputCols=terms, outputCol="_x").transform(rows))
-    beta = np.array([fitted.intercept, *fitted.coefficients])
     names = ["_one", *terms]
-    eta = sum((F.lit(float(c)) * F.col(n) for c, n in zip(beta[1:], terms, strict=True)), F.lit(float(beta[0])))
-    scored = rows.withColumn("_mu", F.exp(eta)).withColumn("_e", F.col(outcome) - F.col("_mu"))
-    bread = np.linalg.inv(_gram(scored, names, F.col("_mu")))
-    sums = scored.groupBy(cluster).agg(*[F.sum(F.col("_e") * F.col(n)).alias(f"u{i}") for i, n in enumerate(names)])
-    meat = _gram(sums, [f"u{i}" for i in range(len(names))], F.lit(1.0))
-    info = scored.agg(F.count("*").alias("n"), F.sum(outcome).alias("events"), F.count_distinct(cluster).alias("g")).first()
+    info = rows.agg(F.count("*").alias("n"), F.sum(outcome).alias("events"), F.count_distinct(cluster).alias("g")).first()
     n, g, k = info["n"], info["g"], len(names)
-    se = np.sqrt(np.diag(bread @ meat @ bread) * g / (g - 1) * (n - 1) / (n - k))
-    out = [(label, name if name != "_one" else "intercept", float(b), float(s), float(np.exp(b)), float(np.exp(b - 1.959963984540054 * s)), float(np.exp(b + 1.959963984540054 * s)), int(n), float(info["events"]), int(g)) for name, b, s in zip(names, beta, se, strict=True)]
-    return df.sparkSession.createDataFrame(out, "label string, term string, estimate double, se double, ratio double, low double, high double, n long, events double, clusters long")
-
-
-def sequence_of_models(df: DataFrame, outcome: str, specs: dict[str, list[str]], cluster: str) -> DataFrame:
-    out = None
-    for label, terms in specs.items():
-        one = poisson_cluster(df, outcome, terms, cluster, label)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _imputed(df: DataFrame, terms: list[str]) -> DataFrame:
-    middle = df.agg(*[F.median(t).alias(f"_m_{t}") for t in terms])
-    return df.join(F.broadcast(middle), F.lit(True)).withColumns({t: F.coalesce(F.col(t).cast("double"), F.col(f"_m_{t}")) for t in terms}).drop(*[f"_m_{t}" for t in terms])  # one row
+    if not n:
+        return df.sparkSession.createDataFrame([(label, "intercept" if x == "_one" else x, *[None] * 6, 0, 0.0, 0, k, None, None, False) for x in names], COLUMNS)
+    fitted = GeneralizedLinearRegression(family="poisson", link="log", labelCol=outcome, featuresCol="_x", maxIter=most_steps, tol=1e-10).fit(VectorAssembler(inputCols=terms, outputCol="_x").transform(rows))
+    beta = np.array([fitted.intercept, *fitted.coefficients])
+    eta = sum((F.lit(float(c)) * F.col(x) for c, x in zip(beta[1:], terms, strict=True)), F.lit(float(beta[0])))
+    scored = rows.withColumn("_eta", eta).withColumn("_mu", F.exp("_eta")).withColumn("_e", F.col(outcome) - F.col("_mu"))
+    bread = np.linalg.pinv(_gram(scored, names, F.col("_mu")))
+    sums = scored.groupBy(cluster).agg(*[F.sum(F.col("_e") * F.col(x)).alias(f"u{i}") for i, x in enumerate(names)])
+    meat = _gram(sums, [f"u{i}" for i in range(k)], F.lit(1.0))
+    # log of y! by its gamma function is 0 for outcomes 0 and 1; larger ones are counts
+    factorials = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col(outcome).cast("int"), F.lit(1))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+    log_likelihood = scored.agg(F.sum(F.col(outcome) * F.col("_eta") - F.col("_mu") - factorials).alias("l")).first()["l"]
+    factor = g / (g - 1) * (n - 1) / (n - k) if g > 1 and n > k else math.nan
+    se = np.sqrt(np.maximum(np.diag(bread @ meat @ bread), 0) * factor)
+    number = lambda x: float(x) if math.isfinite(x) else None
+    up = lambda x: float(np.exp(x)) if x < 700 else math.inf
+    out = []
+    for x, b, s in zip(names, beta, se, strict=True):
+        p = math.erfc(abs(b) / s / math.sqrt(2)) if s > 0 else math.nan
+        ends = [number(v) for v in (up(b), up(b - 1.959963984540054 * s), up(b + 1.959963984540054 * s), p)]
+        out.append((label, "intercept" if x == "_one" else x, number(b), number(s), *ends, int(n), float(info["events"]), int(g), k, number(log_likelihood), number(2 * k - 2 * log_likelihood), fitted.summary.numIterations < most_steps))
+    return df.sparkSession.createDataFrame(out, COLUMNS)
+
+
+def sequence_of_models(df: DataFrame, specs: list[Spec], cluster: str) -> DataFrame:
+    """The rows of ``poisson_cluster`` for each specification; ``df`` should be a table, as every model reads it anew."""
+    return reduce(DataFrame.unionByName, [poisson_cluster(df.where(x.rows), x.outcome, list(x.terms), cluster, x.label) for x in specs])
+
+
+def dummies(df: DataFrame, column: str, missing: str = "missing") -> tuple[DataFrame, list[str]]:
+    """Adds a 0/1 column for each value of a category but the first (NULL is a value too); the categories are few."""
+    value = F.coalesce(F.col(column).cast("string"), F.lit(missing))
+    levels = [r[0] for r in df.select(value.alias("v")).distinct().orderBy("v").collect()]
+    names = [f"{column}_{i}" for i in range(1, len(levels))]
+    return df.withColumns({n: (value == v).cast("double") for n, v in zip(names, levels[1:], strict=True)}), names
+
+
+def _medians(df: DataFrame, terms: list[str]) -> DataFrame:
+    """One row: the median of each term."""
+    return df.agg(*[F.median(t).alias(f"_m_{t}") for t in terms])
+
+
+def _imputed(df: DataFrame, terms: list[str], medians: DataFrame) -> DataFrame:
+    """Missing numbers become the medians (0 where there is none)."""
+    rows = df.join(F.broadcast(medians), F.lit(True))  # one row
+    return rows.withColumns({t: F.coalesce(F.col(t).cast("double"), F.col(f"_m_{t}"), F.lit(0.0)) for t in terms}).drop(*[f"_m_{t}" for t in terms])
 
 
 def folds(df: DataFrame, key: str, label: str, k: int, seed: int) -> DataFrame:
@@ -68,16 +112,24 @@ def folds(df: DataFrame, key: str, label: str, k: int, seed: int) -> DataFrame:
     return df.withColumn("_h", hashed(F.lit(seed), key)).withColumn("_b", F.col("_h") % 64).withColumn("fold", F.pmod(F.row_number().over(w) + F.col("_b"), F.lit(k))).drop("_h", "_b")
 
 
-def out_of_fold(df: DataFrame, key: str, label: str, terms: list[str], k: int = 5, seed: int = 20260706) -> DataFrame:
-    """key, label, fold, risk: logistic risk from the other folds, classes weighted equally, numbers imputed by their medians."""
-    rows = folds(_imputed(df.select(key, label, *terms).where(F.col(label).isNotNull()), terms), key, label, k, seed)
-    rows = VectorAssembler(inputCols=terms, outputCol="_x").transform(rows.withColumn("_y", F.col(label).cast("double")))
-    n = rows.groupBy("_y").agg(F.count("*").alias("_n"))
-    rows = rows.join(F.broadcast(n), "_y").withColumn("_w", 1.0 / F.col("_n")).drop("_n")  # two rows
+def out_of_fold(df: DataFrame, key: str, label: str, terms: list[str], categories: tuple[str, ...] = (), k: int = 5, seed: int = 20260706) -> DataFrame:
+    """key, label, fold, risk: logistic risk from the other folds, classes weighted equally, numbers imputed by the medians of those folds.
+
+    ``categories`` are one-hot, a missing value being one of its own.
+    """
+    rows, names = df.select(key, label, *terms, *categories).where(F.col(label).isNotNull()), list(terms)
+    for c in categories:
+        rows, more = dummies(rows, c)
+        names += more
+    rows = folds(rows, key, label, k, seed).withColumn("_y", F.col(label).cast("double"))
     out = None
     for f in range(k):
-        model = LogisticRegression(labelCol="_y", featuresCol="_x", weightCol="_w", probabilityCol="_p", regParam=1e-3).fit(rows.where(F.col("fold") != f))
-        one = model.transform(rows.where(F.col("fold") == f)).select(key, label, "fold", vector_to_array("_p")[1].alias("risk"))
+        train = rows.where(F.col("fold") != f)
+        middle, n = _medians(train, terms), train.groupBy("_y").agg(F.count("*").alias("_n"))
+        ready = lambda part: VectorAssembler(inputCols=names, outputCol="_x").transform(_imputed(part, terms, middle))  # noqa: B023, E731
+        weighted = ready(train).join(F.broadcast(n), "_y").withColumn("_w", 1.0 / F.col("_n"))  # two rows
+        model = LogisticRegression(labelCol="_y", featuresCol="_x", weightCol="_w", probabilityCol="_p", regParam=1e-3).fit(weighted)
+        one = model.transform(ready(rows.where(F.col("fold") == f))).select(key, label, "fold", vector_to_array("_p")[1].alias("risk"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -85,7 +137,7 @@ def out_of_fold(df: DataFrame, key: str, label: str, terms: list[str], k: int =
 def transport_weights(source: DataFrame, target: DataFrame, key: str, terms: list[str], least: float = 0.05, most: float = 20.0) -> DataFrame:
     """key, weight of the source rows: odds of belonging to the target, over their median, cut to [least, most]."""
     rows = source.select(key, *terms, F.lit(0.0).alias("_y")).unionByName(target.select(key, *terms, F.lit(1.0).alias("_y")))
-    rows = VectorAssembler(inputCols=terms, outputCol="_x").transform(_imputed(rows, terms))
+    rows = VectorAssembler(inputCols=terms, outputCol="_x").transform(_imputed(rows, terms, _medians(rows, terms)))
     scored = LogisticRegression(labelCol="_y", featuresCol="_x", probabilityCol="_p", regParam=1e-3).fit(rows).transform(rows.where("_y = 0"))
     odds = scored.select(key, vector_to_array("_p").alias("p")).select(key, (F.col("p")[1] / F.col("p")[0]).alias("odds"))
     middle = odds.agg(F.median("odds").alias("_m"))

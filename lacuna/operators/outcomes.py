@@ -51,10 +51,10 @@ def two_by_two(df: DataFrame, exposure: Column, outcome: Column) -> DataFrame:
     return p.withColumns({"estimable": sound, "odds_ratio": F.when(sound, c("a") * c("d") / (c("b") * c("c"))), "fisher_p": F.least("fisher_p", F.lit(1.0))})
 
 
-def spline_basis(df: DataFrame, value: str, knots: DataFrame) -> DataFrame:
-    """Adds s1, s2, s3: quadratic B-spline without intercept with one inner knot. ``knots`` is one row: lo, mid, hi."""
+def spline_basis(df: DataFrame, value: str, knots: DataFrame, key: str | None = None) -> DataFrame:
+    """Adds s1, s2, s3: quadratic B-spline without intercept with one inner knot. ``knots`` is one row: lo, mid, hi; or one for each ``key``."""
     c, x = F.col, F.col(value)
-    rows = df.join(F.broadcast(knots), F.lit(True))  # one row
+    rows = df.join(knots, key) if key else df.join(F.broadcast(knots), F.lit(True))  # one row
     left = x < c("mid")
     a, m, z = c("lo"), c("mid"), c("hi")
     s1 = F.when(left, (x - a) / (m - a) * (m - x) / (m - a) + (z - x) / (z - a) * (x - a) / (m - a)).otherwise((z - x) / (z - a) * (z - x) / (z - m))

@@ -1,12 +1,15 @@
-"""Cluster bootstrap with draws from md5, agreement of two measurements, and other summaries of groups.
+"""Cluster bootstrap with weights from md5, agreement of two measurements, and other summaries of groups.
 
-A draw is the md5 of (seed, group, replicate, slot) modulo the number of clusters: the same on every machine, in every order and for every
-set of other groups. Clusters are reduced to their sums first; replicates then join sums by rank.
+Clusters are reduced to their sums first. In a replicate a cluster has a Poisson weight of mean 1, read from the md5 of (seed, cluster, block of
+replicates): the same on every machine, in every order and for every set of other groups. So replicates are weighted sums, added up
+within each task; there is no join, no ranking of clusters, and only (group, replicate) rows are shuffled. Drawing as many clusters as there are
+with replacement gives weights of the same means and variances; ratios of sums and means of clusters have the same limits.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,19 +17,33 @@ from pyspark.sql import functions as F
 from lacuna.functions.columns import hashed, ratio, tally
 
 
-def ranked_clusters(df: DataFrame, groups: list[str], cluster: str, sums: list[Column]) -> DataFrame:
-    """groups, rank (0, 1, ...), n and the sums of each cluster of a group."""
-    rows = df.where(F.col(cluster).isNotNull()).groupBy(*groups, cluster).agg(*sums)
-    w = Window.partitionBy(*groups)
-    return rows.withColumns({"rank": F.row_number().over(w.orderBy(cluster)) - 1, "n": F.count("*").over(w)})
+#: Cumulative Poisson probabilities of mean 1 as numbers of 32 bits: a hash has the weight of how many it reaches.
+POISSON = [round(2**32 * sum(exp(-1) / factorial(i) for i in range(k + 1))) for k in range(12)]
+#: Hashes of 32 bits in one md5.
+BLOCK = 4
 
 
-def replicates(clusters: DataFrame, groups: list[str], reps: int, seed: int, columns: list[str]) -> DataFrame:
-    """groups, rep and the columns' sums over the clusters drawn."""
-    sizes = clusters.select(*groups, "n").distinct()
-    slots = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    drawn = slots.withColumn("rank", (hashed(F.lit(seed), *groups, "rep", "slot") % F.col("n")).cast("int"))
-    return drawn.drop("n").join(clusters.select(*groups, "rank", *columns), [*groups, "rank"]).groupBy(*groups, "rep").agg(*[F.sum(c).alias(c) for c in columns], F.count("*").alias("drawn"))
+def clusters_of(df: DataFrame, groups: list[str], cluster: str, sums: list[Column]) -> DataFrame:
+    """groups, cluster and the sums of each cluster of a group."""
+    return df.where(F.col(cluster).isNotNull()).groupBy(*groups, cluster).agg(*sums)
+
+
+def draws(clusters: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
+    """Every row of a cluster with rep and w, for each replicate in which the cluster has a weight; weights are worked out once for a cluster's rows."""
+    held = [c for c in clusters.columns if c != cluster]
+    packed = clusters.groupBy(cluster).agg(F.collect_list(F.struct(*held)).alias("_rows"))  # as many as there are groups
+    blocks = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // BLOCK) - 1))))
+    digest = blocks.withColumn("_d", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(cluster).cast("string"), F.col("_block").cast("string"))))
+    part = lambda j: F.conv(F.substring("_d", 1 + 8 * j, 8), 16, 10).cast("long")
+    weight = lambda h: F.size(F.filter(F.array(*[F.lit(t) for t in POISSON]), lambda t: h >= t))
+    drawn = F.explode(F.array(*[F.struct((F.col("_block") * BLOCK + j).alias("rep"), weight(part(j)).alias("w")) for j in range(BLOCK)]))
+    rows = digest.select(cluster, "_rows", drawn.alias("_x")).where(f"_x.w > 0 and _x.rep < {reps}")
+    return rows.select(cluster, F.col("_x.rep").alias("rep"), F.col("_x.w").alias("w"), F.explode("_rows").alias("_r")).select(cluster, "rep", "w", *[F.col(f"_r.{c}").alias(c) for c in held])
+
+
+def replicates(clusters: DataFrame, groups: list[str], cluster: str, reps: int, seed: int, columns: list[str]) -> DataFrame:
+    """groups, rep, the columns' weighted sums over the clusters, and the clusters drawn."""
+    return draws(clusters.select(*groups, cluster, *columns), cluster, reps, seed).groupBy(*groups, "rep").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in columns], F.sum("w").alias("drawn"))
 
 
 def interval(reps: DataFrame, groups: list[str], values: dict[str, Column], low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -37,17 +54,17 @@ def interval(reps: DataFrame, groups: list[str], values: dict[str, Column], low:
 
 def bootstrap_ratio(df: DataFrame, groups: list[str], cluster: str, top: str, bottom: str, reps: int, seed: int) -> DataFrame:
     """groups, clusters, estimate (ratio of sums), low and high."""
-    c = ranked_clusters(df, groups, cluster, [F.sum(top).alias("top"), F.sum(bottom).alias("bottom")])
+    c = clusters_of(df, groups, cluster, [F.sum(top).alias("top"), F.sum(bottom).alias("bottom")])
     point = c.groupBy(*groups).agg(F.count("*").alias("clusters"), ratio(F.sum("top"), F.sum("bottom")).alias("estimate"))
-    ends = interval(replicates(c, groups, reps, seed, ["top", "bottom"]), groups, {"r": ratio("top", "bottom")})
+    ends = interval(replicates(c, groups, cluster, reps, seed, ["top", "bottom"]), groups, {"r": ratio("top", "bottom")})
     return point.join(ends.withColumnsRenamed({"r_low": "low", "r_high": "high"}), groups)
 
 
 def bootstrap_mean(df: DataFrame, groups: list[str], cluster: str, value: str, reps: int, seed: int) -> DataFrame:
     """groups, rows, clusters, estimate (mean of rows), equal (mean of cluster means) and the interval of the latter."""
-    c = ranked_clusters(df.where(F.col(value).isNotNull()), groups, cluster, [F.avg(value).alias("m"), F.sum(value).alias("s"), F.count("*").alias("k")])
+    c = clusters_of(df.where(F.col(value).isNotNull()), groups, cluster, [F.avg(value).alias("m"), F.sum(value).alias("s"), F.count("*").alias("k")])
     point = c.groupBy(*groups).agg(F.sum("k").alias("rows"), F.count("*").alias("clusters"), ratio(F.sum("s"), F.sum("k")).alias("estimate"), F.avg("m").alias("equal"))
-    ends = interval(replicates(c, groups, reps, seed, ["m"]), groups, {"r": F.col("m") / F.col("drawn")})
+    ends = interval(replicates(c, groups, cluster, reps, seed, ["m"]), groups, {"r": F.col("m") / F.col("drawn")})
     return point.join(ends.withColumnsRenamed({"r_low": "low", "r_high": "high"}), groups)
 
 
@@ -75,6 +92,23 @@ def random_intercept(moments: DataFrame) -> DataFrame:
     return out.select(c("k").alias("clusters"), c("total").alias("rows"), "mean", "between", "within", (c("mean") - half).alias("loa_low"), (c("mean") + half).alias("loa_high"))
 
 
+def random_intercept_interval(moments: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
+    """One row: percentile intervals of the mean and of both limits of agreement over resampled clusters."""
+    c = F.col
+    rows = moments.select(cluster, "n", "s", "m", "ss", (c("n") * c("n")).alias("nn"), (c("n") * c("m") * c("m")).alias("nmm"))
+    t = draws(rows, cluster, reps, seed)
+    sums = t.groupBy("rep").agg(F.sum("w").alias("k"), *[F.sum(c(x) * c("w")).alias(f"_{x}") for x in ("n", "s", "ss", "nn", "nmm")])
+    within = c("_ss") / (c("_n") - c("k"))
+    msb = (c("_nmm") - c("_s") * c("_s") / c("_n")) / (c("k") - 1)
+    n0 = (c("_n") - c("_nn") / c("_n")) / (c("k") - 1)
+    parts = sums.where("k > 1 and _n > k").select("rep", within.alias("within"), F.greatest((msb - within) / n0, F.lit(0.0)).alias("between"))
+    # each replicate has weights of its own: one row per replicate goes back to its draws
+    found = t.join(F.broadcast(parts), "rep").withColumn("_v", c("w") / (c("between") + c("within") / c("n")))
+    means = found.groupBy("rep", "between", "within").agg((F.sum(c("_v") * c("m")) / F.sum("_v")).alias("mean"))
+    half = 1.96 * F.sqrt(c("between") + c("within"))
+    return interval(means.withColumn("_all", F.lit(1)), ["_all"], {"mean": c("mean"), "loa_low": c("mean") - half, "loa_high": c("mean") + half}).drop("_all")
+
+
 def reml_profile(moments: DataFrame, ratios: list[float]) -> DataFrame:
     """ratio (between to within variance), loglik: the profiled restricted likelihood on a grid, from cluster moments alone."""
     c = F.col

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lacuna.functions.columns import ratio, tally
-from lacuna.operators import hold, resample
+from lacuna.operators import deficit, hold, resample
 
 from . import bindings as b
 from . import devices, signal
@@ -15,37 +15,40 @@ from .registry import Registry, table
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
 add = R.add
-REPS, SEED = 100, 20260706
+REPS, SEED = 1000, 20260706
+GROUP = ["threshold", "step"]
 
 
 def _means(spark, d):
-    return signal.means(spark, d).where("threshold = 35 and step in (2, 4, 12)").withColumn("subject", F.floor(F.col("case_id") / 3))
+    return signal.means(spark, d).withColumn("subject", F.floor(F.col("case_id") / 3))
 
 
-SUB = f"{b.MEANS}, ms as (select *, case_id // 3 as subject from means where threshold = 35 and step in (2, 4, 12))"
+SUB = f"{b.MEANS}, ms as (select *, case_id // 3 as subject from means)"
 
 
 def boot_sql(groups: str, cluster: str, sums: str, columns: str, source: str, name: str = "rp", seed: int = SEED) -> str:
+    """CTEs: name_c clusters of each group, name_w Poisson weights of each cluster and replicate, name the weighted sums by group and replicate."""
     g = ", ".join(groups.split())
-    key = " || '|' || ".join(f"{x}::varchar" for x in groups.split())
-    return f"""{name}_c as (select {g}, {cluster}, {sums}, row_number() over (partition by {g} order by {cluster}) - 1 as rank, count(*) over (partition by {g}) as n from {source} where {cluster} is not null group by {g}, {cluster}),
-{name}_s as (select distinct {g}, n from {name}_c), {name}_d as (select {g}, rep, ('0x' || substr(md5('{seed}|' || {key} || '|' || rep || '|' || slot), 1, 8))::bigint % n as rank from {name}_s, range({REPS}) r(rep), range(n) s(slot)),
-{name} as (select {', '.join(f'd.{x}' for x in groups.split())}, rep, {columns}, count(*) as drawn from {name}_d d join {name}_c c on {' and '.join(f'd.{x} = c.{x}' for x in groups.split())} and d.rank = c.rank group by all)"""
+    weight = " + ".join(f"(h >= {t})::int" for t in resample.POISSON)
+    return f"""{name}_c as (select {g}, {cluster}, {sums} from {source} where {cluster} is not null group by {g}, {cluster}),
+{name}_h as (select {cluster}, block * 4 + j as rep, ('0x' || substr(md5('{seed}|' || {cluster}::varchar || '|' || block), 1 + 8 * j::int, 8))::bigint as h from (select distinct {cluster} from {name}_c), range({-(-REPS // 4)}) b(block), range(4) q(j)),
+{name}_w as (select {cluster}, rep, {weight} as weight from {name}_h where rep < {REPS}),
+{name} as (select {g}, rep, {', '.join(f'sum({c} * weight) as {c}' for c in columns.split())}, sum(weight) as drawn from {name}_c join {name}_w using ({cluster}) where weight > 0 group by all)"""
 
 
 def ratio_sql(groups: str, cluster: str, top: str, bottom: str, source: str, name: str = "rp") -> str:
     g = ", ".join(groups.split())
-    return f"{boot_sql(groups, cluster, f'sum({top}) as top, sum({bottom}) as bottom', 'sum(top) as top, sum(bottom) as bottom', source, name)}, {name}_q as (select {g}, quantile_cont(top / nullif(bottom, 0), 0.025) as low, quantile_cont(top / nullif(bottom, 0), 0.975) as high from {name} group by {g}), {name}_p as (select {g}, count(*) as clusters, sum(top) / nullif(sum(bottom), 0) as estimate from {name}_c group by {g})"
+    return f"{boot_sql(groups, cluster, f'sum({top}) as top, sum({bottom}) as bottom', 'top bottom', source, name)}, {name}_q as (select {g}, quantile_cont(top / nullif(bottom, 0), 0.025) as low, quantile_cont(top / nullif(bottom, 0), 0.975) as high from {name} group by {g}), {name}_p as (select {g}, count(*) as clusters, sum(top) / nullif(sum(bottom), 0) as estimate from {name}_c group by {g})"
 
 
 @add("bootstrap_ratio", f"{SUB}, {ratio_sql('threshold step', 'subject', 'hidden_auc', 'true_auc', 'ms')} select * from rp_p join rp_q using (threshold, step)", "threshold estimate low high", "step clusters")
 def bootstrap_ratio(spark, d):
-    return resample.bootstrap_ratio(_means(spark, d), ["threshold", "step"], "subject", "hidden_auc", "true_auc", REPS, SEED)
+    return resample.bootstrap_ratio(_means(spark, d), GROUP, "subject", "hidden_auc", "true_auc", REPS, SEED)
 
 
 def mean_sql(groups: str, cluster: str, value: str, source: str, name: str = "rp") -> str:
     g = ", ".join(groups.split())
-    return f"{boot_sql(groups, cluster, f'avg({value}) as m, sum({value}) as s, count(*) as k', 'sum(m) as m', source, name)}, {name}_q as (select {g}, quantile_cont(m / drawn, 0.025) as low, quantile_cont(m / drawn, 0.975) as high from {name} group by {g}), {name}_p as (select {g}, sum(k) as rows, count(*) as clusters, sum(s) / sum(k) as estimate, avg(m) as equal from {name}_c group by {g})"
+    return f"{boot_sql(groups, cluster, f'avg({value}) as m, sum({value}) as s, count(*) as k', 'm', source, name)}, {name}_q as (select {g}, quantile_cont(m / drawn, 0.025) as low, quantile_cont(m / drawn, 0.975) as high from {name} group by {g}), {name}_p as (select {g}, sum(k) as rows, count(*) as clusters, sum(s) / sum(k) as estimate, avg(m) as equal from {name}_c group by {g})"
 
 
 BIAS = f"{devices.PAIR}, bs as (select case_id, event_id, value - reference as bias, reference, (value + reference) / 2 as average, 'all' as part, case_id // 3 as subject from pair where paired)"
@@ -67,19 +70,47 @@ def cluster_mean(spark, d):
     return resample.bootstrap_mean(rows, ["side"], "subject", "bias", REPS, SEED)
 
 
-@add("bootstrap_multi", f"""{SUB}, {boot_sql('step', 'subject', 'sum(hidden_auc) as h, sum(over_auc) as o, sum(true_auc) as t', 'sum(h) as h, sum(o) as o, sum(t) as t', 'ms')}
-select step, quantile_cont(h / t, 0.025) as hdr_low, quantile_cont(h / t, 0.975) as hdr_high, quantile_cont((o - h) / t, 0.025) as net_low, quantile_cont((o - h) / t, 0.975) as net_high from rp group by 1""", "hdr_low hdr_high net_low net_high", "step")
+@add("bootstrap_multi", f"""{SUB}, {boot_sql('threshold step', 'subject', 'sum(hidden_auc) as h, sum(over_auc) as o, sum(true_auc) as t', 'h o t', 'ms')}
+select threshold, step, quantile_cont(h / nullif(t, 0), 0.025) as hdr_low, quantile_cont(h / nullif(t, 0), 0.975) as hdr_high, quantile_cont((o - h) / nullif(t, 0), 0.025) as net_low, quantile_cont((o - h) / nullif(t, 0), 0.975) as net_high from rp group by 1, 2""", "threshold hdr_low hdr_high net_low net_high", "step")
 def bootstrap_multi(spark, d):
-    c = resample.ranked_clusters(_means(spark, d), ["step"], "subject", [F.sum("hidden_auc").alias("h"), F.sum("over_auc").alias("o"), F.sum("true_auc").alias("t")])
-    return resample.interval(resample.replicates(c, ["step"], REPS, SEED, ["h", "o", "t"]), ["step"], {"hdr": ratio("h", "t"), "net": ratio(F.col("o") - F.col("h"), F.col("t"))})
+    c = resample.clusters_of(_means(spark, d), GROUP, "subject", [F.sum("hidden_auc").alias("h"), F.sum("over_auc").alias("o"), F.sum("true_auc").alias("t")])
+    return resample.interval(resample.replicates(c, GROUP, "subject", REPS, SEED, ["h", "o", "t"]), GROUP, {"hdr": ratio("h", "t"), "net": ratio(F.col("o") - F.col("h"), F.col("t"))})
 
 
-@add("cluster_choice", f"{SUB}, {ratio_sql('step', 'subject', 'hidden_auc', 'true_auc', 'ms', 'a')}, {ratio_sql('step', 'case_id', 'hidden_auc', 'true_auc', 'ms', 'z')} select step, a_p.estimate as by_subject, z_p.estimate as by_case, abs(a_p.estimate - z_p.estimate) < 1e-9 as same_point, a_q.high - a_q.low as subject_width, z_q.high - z_q.low as case_width from a_p join a_q using (step) join z_p using (step) join z_q using (step)", "by_subject by_case subject_width case_width", "step")
+@add("cluster_choice", f"{SUB}, {ratio_sql('threshold step', 'subject', 'hidden_auc', 'true_auc', 'ms', 'a')}, {ratio_sql('threshold step', 'case_id', 'hidden_auc', 'true_auc', 'ms', 'z')} select threshold, step, a_p.estimate as by_subject, z_p.estimate as by_case, abs(a_p.estimate - z_p.estimate) < 1e-9 as same_point, a_q.high - a_q.low as subject_width, z_q.high - z_q.low as case_width from a_p join a_q using (threshold, step) join z_p using (threshold, step) join z_q using (threshold, step)", "threshold by_subject by_case subject_width case_width", "step")
 def cluster_choice(spark, d):
     m = _means(spark, d)
-    a = resample.bootstrap_ratio(m, ["step"], "subject", "hidden_auc", "true_auc", REPS, SEED).select("step", F.col("estimate").alias("by_subject"), (F.col("high") - F.col("low")).alias("subject_width"))
-    z = resample.bootstrap_ratio(m, ["step"], "case_id", "hidden_auc", "true_auc", REPS, SEED).select("step", F.col("estimate").alias("by_case"), (F.col("high") - F.col("low")).alias("case_width"))
-    return a.join(z, "step").withColumn("same_point", F.abs(F.col("by_subject") - F.col("by_case")) < 1e-9)
+    a = resample.bootstrap_ratio(m, GROUP, "subject", "hidden_auc", "true_auc", REPS, SEED).select(*GROUP, F.col("estimate").alias("by_subject"), (F.col("high") - F.col("low")).alias("subject_width"))
+    z = resample.bootstrap_ratio(m, GROUP, "case_id", "hidden_auc", "true_auc", REPS, SEED).select(*GROUP, F.col("estimate").alias("by_case"), (F.col("high") - F.col("low")).alias("case_width"))
+    return a.join(z, GROUP).withColumn("same_point", F.abs(F.col("by_subject") - F.col("by_case")) < 1e-9)
+
+
+_PARTS = {"hdr": "h / nullif(t, 0)", "odr": "o / nullif(t, 0)", "net": "(d - t) / nullif(t, 0)", "hdr_valid": "v / nullif(t - u, 0)", "odr_valid": "o / nullif(t - u, 0)", "unavailable_part": "u / nullif(t, 0)", "mismatch_part": "v / nullif(t, 0)"}
+_SUMS = {"t": "true_auc", "h": "hidden_auc", "o": "over_auc", "d": "display_auc", "u": "hidden_unavailable_auc", "v": "hidden_valid_auc"}
+
+
+def _ends(parts: dict) -> str:
+    return ", ".join(f"quantile_cont({e}, {q}) as {n}_{side}" for n, e in parts.items() for side, q in (("low", 0.025), ("high", 0.975)))
+
+
+@add("mechanism_bootstrap", f"{devices.MECH}, cs as ({b.sums_sql('case_id, mechanism, threshold')}), {boot_sql('mechanism threshold', 'case_id', ', '.join(f'sum({x}) as {k}' for k, x in _SUMS.items()), ' '.join(_SUMS), 'cs')}, n as (select mechanism, threshold, count(*) as cases from rp_c group by all) select n.*, q.* exclude (mechanism, threshold) from n join (select mechanism, threshold, {_ends(_PARTS)} from rp group by all) q using (mechanism, threshold)", "threshold " + " ".join(f"{n}_{s}" for n in _PARTS for s in ("low", "high")), "cases")
+def mechanism_bootstrap(spark, d):
+    """Intervals of each mechanism's ratios; a display that is unavailable has no deficit, so what it hides is the true area of its time."""
+    keys = ["mechanism", "threshold"]
+    c = resample.clusters_of(deficit.decompose(devices._mechanisms(spark, d), ["case_id", *keys], b.BIN_MIN), keys, "case_id", [F.sum(x).alias(k) for k, x in _SUMS.items()])
+    ends = resample.interval(resample.replicates(c, keys, "case_id", REPS, SEED, list(_SUMS)), keys, {n: F.expr(e) for n, e in _PARTS.items()})
+    return c.groupBy(*keys).agg(F.count("*").alias("cases")).join(ends, keys)
+
+
+_CELLS = {"sensitivity": "tp / nullif(tp + fn, 0)", "specificity": "tn / nullif(tn + fp, 0)", "ppv": "tp / nullif(tp + fp, 0)", "npv": "tn / nullif(tn + fn, 0)"}
+
+
+@add("confusion_bootstrap", f"{devices.PAIR}, {b.CUTS}, p as (select threshold, case_id // 3 as subject, reference < threshold as lo, value < threshold as dl from pair cross join thr where paired), {boot_sql('threshold', 'subject', 'count(*) filter (lo and dl) as tp, count(*) filter (lo and not dl) as fn, count(*) filter (not lo and dl) as fp, count(*) filter (not lo and not dl) as tn', 'tp fn fp tn', 'p')} select threshold, {_ends(_CELLS)} from rp group by 1", "threshold " + " ".join(f"{n}_{s}" for n in _CELLS for s in ("low", "high")))
+def confusion_bootstrap(spark, d):
+    p = deficit.with_thresholds(devices.paired(spark, d).where("paired"), b.THRESHOLDS).withColumn("subject", F.floor(F.col("case_id") / 3))
+    lo, dl = F.col("reference") < F.col("threshold"), F.col("value") < F.col("threshold")
+    c = resample.clusters_of(p, ["threshold"], "subject", [tally(lo & dl).alias("tp"), tally(lo & ~dl).alias("fn"), tally(~lo & dl).alias("fp"), tally(~lo & ~dl).alias("tn")])
+    return resample.interval(resample.replicates(c, ["threshold"], "subject", REPS, SEED, ["tp", "fn", "fp", "tn"]), ["threshold"], {n: F.expr(e) for n, e in _CELLS.items()})
 
 
 _BA = "count(bias) as n, avg(bias) as mean, stddev_samp(bias) as sd, median(abs(bias)) as median_abs, avg(bias) - 1.96 * stddev_samp(bias) as loa_low, avg(bias) + 1.96 * stddev_samp(bias) as loa_high"
@@ -110,6 +141,14 @@ def random_intercept(spark, d):
     return resample.random_intercept(resample.cluster_moments(bias(spark, d), "case_id", "bias")).withColumnRenamed("between", "between_var")
 
 
+@add("random_intercept_interval", f"""{BIAS}, {_MOM}, {boot_sql('part', 'case_id', 'max(n) as n, max(s) as s, max(m) as m, max(ss) as ss, max(n * n) as nn, max(n * m * m) as nmm', 'n s ss nn nmm', "(select *, 'all' as part from mo)")},
+v as (select rep, ss / (n - drawn) as within, greatest(((nmm - s * s / n) / (drawn - 1) - ss / (n - drawn)) / ((n - nn / n) / (drawn - 1)), 0) as between_ from rp where drawn > 1 and n > drawn),
+e as (select rep, between_, within, sum(weight * m / (between_ + within / n)) / sum(weight / (between_ + within / n)) as mean from v join rp_w using (rep) join rp_c using (case_id) where weight > 0 group by all)
+select {_ends({'mean': 'mean', 'loa_low': 'mean - 1.96 * sqrt(between_ + within)', 'loa_high': 'mean + 1.96 * sqrt(between_ + within)'})} from e""", "mean_low mean_high loa_low_low loa_low_high loa_high_low loa_high_high")
+def random_intercept_interval(spark, d):
+    return resample.random_intercept_interval(resample.cluster_moments(bias(spark, d), "case_id", "bias"), "case_id", REPS, SEED)
+
+
 _GRID = [0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0]
 
 

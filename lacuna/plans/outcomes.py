@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.columns import ratio, tally
 from lacuna.operators import models, outcomes
 from lacuna.operators.outcomes import DAY
+from lacuna.sources import files
 
 from . import bindings as b
 from . import signal
-from .registry import Registry
+from .registry import Registry, table
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -117,21 +119,67 @@ def bspline_basis(spark, d):
 
 @add("poisson_cluster")
 def poisson_cluster(spark, d):
-    return models.poisson_cluster(frame(spark, d), "event", ["log_twa", "baseline_10"], "subject")
+    return models.poisson_cluster(files.settled(frame(spark, d)), "event", ["log_twa", "baseline_10"], "subject")
+
+
+def analysis_rows(spark, d):
+    """A row per case and threshold for the models: exposures, covariates, outcomes by definition, and what populations are chosen by.
+
+    Exposures are per 10 units: hidden area per valid hour, hidden share, share of an episode's area before its first low display.
+    Outcomes: event (7 days), event_2d (48 h), event_late (with a baseline of the last two days before the anchor).
+    """
+    m = signal.means(spark, d).where("step = 4")
+    m = m.select("case_id", "threshold", "true_auc", (ratio("hidden_auc", F.col("valid_min") / 60) / 10).alias("hidden_10"), (10 * F.col("hdr")).alias("hdr_10"), F.log1p(ratio("true_auc", F.col("valid_min") / 60)).alias("burden"))
+    e = signal.pairs(spark, d).where("step = 4").groupBy("case_id", "threshold").agg((10 * ratio(F.sum("auc_before"), F.sum("auc"))).alias("before_10"), (F.count("*") / 4 > 4).cast("int").alias("many"))
+    o = outcome(spark, d)
+    acute = F.coalesce(F.col("max_2d") - F.col("baseline") >= 5, F.lit(False)) | F.coalesce(ratio("max_2d", "baseline") >= 1.5, F.lit(False))
+    late = anchors(spark, d).join(outcomes.latest_before(labs(spark, d), anchors(spark, d).select("case_id", "anchor"), 2 * DAY).withColumnRenamed("value", "baseline"), "case_id", "left")
+    late = outcomes.windowed(labs(spark, d), late, 5.0, 1.5, 200.0).select("case_id", F.col("event").cast("int").alias("event_late"))
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), (F.col("c_acctbal") / 1000).alias("balance"), F.when(F.col("c_nationkey") != 24, F.col("c_mktsegment")).alias("code"))
+    first = F.row_number().over(Window.partitionBy(F.floor(F.col("case_id") / 3)).orderBy("case_id")) == 1
+    o = o.select("case_id", F.floor(F.col("case_id") / 3).alias("subject"), F.col("event").cast("int").alias("event"), F.when(F.col("baseline") > 0, F.when(F.col("n_2d") > 0, acute)).cast("int").alias("event_2d"), (F.col("baseline") / 10).alias("baseline_10"), "n_7d", first.alias("is_first"))
+    return m.join(e, ["case_id", "threshold"], "left").join(o, "case_id").join(late, "case_id", "left").join(people, "case_id", "left")
+
+
+def model_specs(codes: list[str]) -> list[models.Spec]:
+    """Three steps of adjustment, nine incremental models and three that keep cases with a recorded code only."""
+    clinical = ("baseline_10", "balance", *codes)
+    burden = (*clinical, "s1", "s2", "s3")
+    low, main = "threshold = 35 and true_auc > 0", "threshold = 35"
+    one = lambda label, rows=low, exposure="hdr_10", terms=burden, outcome="event": models.Spec(label, outcome, (exposure, *terms), rows)
+    return [
+        one("hidden, unadjusted", main, "hidden_10", ()), one("hidden, clinical", main, "hidden_10", clinical), one("hidden, clinical and burden", main, "hidden_10", burden),
+        one("share"), one("share, threshold 20", "threshold = 20 and true_auc > 0"), one("share, threshold 60", "threshold = 60 and true_auc > 0"), one("area before display", f"{low} and before_10 is not null", "before_10"),
+        one("share, 48 h", outcome="event_2d"), one("share, late baseline", outcome="event_late"), one("share, two measurements", f"{low} and n_7d >= 2"), one("share, baseline below 15", f"{low} and baseline_10 < 15"), one("share, one case each", f"{low} and is_first"),
+        one("hidden, clinical, recorded code", f"{main} and code is not null", "hidden_10", clinical), one("hidden, clinical and burden, recorded code", f"{main} and code is not null", "hidden_10", burden), one("share, recorded code", f"{low} and code is not null"),
+    ]
+
+
+def models_of(spark, d):
+    """All specifications fitted on one table of rows; the burden's spline has its knots at the threshold's smallest, median and largest value."""
+    rows = files.settled(analysis_rows(spark, d))
+    knots = rows.groupBy("threshold").agg(F.min("burden").alias("lo"), F.median("burden").alias("mid"), F.max("burden").alias("hi"))
+    rows, codes = models.dummies(outcomes.spline_basis(rows, "burden", knots, "threshold"), "code")
+    return models.sequence_of_models(files.settled(rows), model_specs(codes), "subject")
 
 
 @add("model_sequence")
 def model_sequence(spark, d):
-    f = frame(spark, d).cache()
-    return models.sequence_of_models(f, "event", {"crude": ["log_twa"], "adjusted": ["log_twa", "baseline_10"], "hidden": ["hdr", "baseline_10"], "coded": ["many", "baseline_10"]}, "subject")
+    return models_of(spark, d)
+
+
+@add("model_stability")
+def model_stability(spark, d):
+    """The exposure's row of every model with what makes it unstable."""
+    rows = models_of(spark, d).where("term in ('hidden_10', 'hdr_10', 'before_10')")
+    gate = rows.select("label", "converged", F.col("ratio").alias("estimate"), "low", "high", "events", "parameters")
+    return outcomes.stability(gate).select("label", "failed", "stable")
 
 
 @add("stability_gate", """with g as (select c_nationkey as id, c_nationkey % 4 <> 1 as converged, avg(c_acctbal) / 4000 as estimate, min(c_acctbal) / 4000 + 0.26 as low, max(c_acctbal) / 4000 as high, count(*)::double as events, 8 as parameters from customer group by 1)
 select id, concat_ws(',', case when not converged then 'converged' end, case when estimate is null or low is null or high is null then 'finite' end, case when not low > 0 then 'positive' end, case when not events / parameters >= 5 then 'events' end, case when not high / low <= 10 then 'width' end) as failed,
 concat_ws(',', case when not converged then 'converged' end, case when not low > 0 then 'positive' end, case when not events / parameters >= 5 then 'events' end, case when not high / low <= 10 then 'width' end) = '' as stable from g""", "", "id")
 def stability_gate(spark, d):
-    from .registry import table
-
     g = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.avg("c_acctbal").alias("m"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.count("*").alias("n"))
     rows = g.select("id", (F.col("id") % 4 != 1).alias("converged"), (F.col("m") / 4000).alias("estimate"), (F.col("lo") / 4000 + 0.26).alias("low"), (F.col("hi") / 4000).alias("high"), F.col("n").cast("double").alias("events"), F.lit(8).alias("parameters"))
     return outcomes.stability(rows).select("id", "failed", "stable")
@@ -139,12 +187,14 @@ def stability_gate(spark, d):
 
 @add("oof_risk")
 def oof_risk(spark, d):
-    return models.out_of_fold(frame(spark, d), "case_id", "event", ["log_twa", "baseline_10", "hdr"])
+    code = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), F.when(F.col("c_nationkey") != 24, F.col("c_mktsegment")).alias("code"))
+    rows = frame(spark, d).join(code, "case_id", "left")
+    return models.out_of_fold(files.settled(rows), "case_id", "event", ["log_twa", "baseline_10", "hdr"], ("code",))
 
 
 @add("transport_weights")
 def transport_weights(spark, d):
-    f = frame(spark, d)
+    f = files.settled(frame(spark, d))
     even = F.pmod("case_id", F.lit(2)) == 0
     return models.transport_weights(f.where(even), f.where(~even), "case_id", ["log_twa", "baseline_10", "hdr"])
 

@@ -23,10 +23,10 @@ def wide_policy(spark, d):
     return tables.wide(n, ["case_id"], "policy", ["original", "runs2", "runs1", "startup6"], "n")
 
 
-@add("union_missing", "select c_custkey as id, c_acctbal as balance, c_mktsegment as segment, null::integer as size from customer where c_acctbal > 9500 union all select p_partkey, null, null, p_size from part where p_size > 45", "balance", "size")
+@add("union_missing", "select c_custkey as id, c_acctbal as balance, c_mktsegment as segment, null::integer as size from customer union all select p_partkey, null, null, p_size from part", "balance", "size")
 def union_missing(spark, d):
-    a = table(spark, d, "customer").where("c_acctbal > 9500").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
-    return tables.union_of(a, table(spark, d, "part").where("p_size > 45").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size")))
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    return tables.union_of(a, table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size")))
 
 
 _CELLS = "case event_id % 6 when 0 then event_id::varchar when 1 then round(value, 2)::varchar when 2 then '' when 3 then 'TRUE' when 4 then event_type else ' ' || (event_id * 3) || ' ' end"
@@ -51,13 +51,13 @@ def json_flatten(spark, d):
     return e.groupBy("event_type", "parameter").agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"))
 
 
-@add("tidy_estimates", f"{inference.SUB}, {inference.ratio_sql('step', 'subject', 'hidden_auc', 'true_auc', 'ms', 'a')}, {inference.ratio_sql('step', 'subject', 'over_auc', 'true_auc', 'ms', 'z')} select 'hidden' as measure, step, estimate, low, high, low <= estimate and estimate <= high as sound from a_p join a_q using (step) union all select 'over', step, estimate, low, high, low <= estimate and estimate <= high from z_p join z_q using (step)", "estimate low high", "step")
+@add("tidy_estimates", f"{inference.SUB}, {inference.ratio_sql('threshold step', 'subject', 'hidden_auc', 'true_auc', 'ms', 'a')}, {inference.ratio_sql('threshold step', 'subject', 'over_auc', 'true_auc', 'ms', 'z')} select 'hidden' as measure, threshold, step, estimate, low, high, low <= estimate and estimate <= high as sound from a_p join a_q using (threshold, step) union all select 'over', threshold, step, estimate, low, high, low <= estimate and estimate <= high from z_p join z_q using (threshold, step)", "threshold estimate low high", "step")
 def tidy_estimates(spark, d):
     from lacuna.operators import resample
 
     m, out = inference._means(spark, d), None
     for name, top in (("hidden", "hidden_auc"), ("over", "over_auc")):
-        one = resample.bootstrap_ratio(m, ["step"], "subject", top, "true_auc", inference.REPS, inference.SEED).drop("clusters").withColumn("measure", F.lit(name))
+        one = resample.bootstrap_ratio(m, inference.GROUP, "subject", top, "true_auc", inference.REPS, inference.SEED).drop("clusters").withColumn("measure", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return tables.inside(out, "estimate", "low", "high")
 

@@ -22,6 +22,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table of the shared folder and read again: for rows that several jobs need."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_tracks(rows: DataFrame, path: str) -> None:
     """tid, sec, value as gzip CSV, a folder per track."""
     rows.write.partitionBy("tid").option("compression", "gzip").option("header", True).csv(path)
