@@ -121,6 +121,49 @@ def category_shares(states: DataFrame, keys: list[str]) -> DataFrame:
     return states.groupBy(*keys).agg(*[F.avg((F.col("category") == c).cast("double")).alias(c) for c in CATEGORIES])
 
 
+#: Why an event is not evaluated, in the order in which it is asked.
+EXCLUSIONS = ("too_early", "poor_support", "short_low_run", "not_first")
+
+
+def scenario(states: DataFrame, events: DataFrame, step: float, first_bin: int, threshold: float, low_bins: int, only_first: bool, subject: Column) -> DataFrame:
+    """Every event with its states (one row per step and phase, none where there is no state), is_low, and why it is excluded.
+
+    Low events need a run of ``low_bins`` bins; with ``only_first`` only the first low event of a subject counts, in the order of case and time.
+    """
+    every = events.select("case_id", "event_id", "sec", (F.floor((F.col("sec") + 1e-9) / step) - 1).alias("_ix"))
+    rows = every.join(states.select("case_id", "event_id", "step", "phase", "value", "category", "low_bins"), ["case_id", "event_id"], "left").withColumn("is_low", F.coalesce(F.col("value") < threshold, F.lit(False)))
+    why = F.when(F.col("_ix") < first_bin, EXCLUSIONS[0]).when(F.col("value").isNull(), EXCLUSIONS[1]).when(F.col("is_low") & (F.col("low_bins") < low_bins), EXCLUSIONS[2])
+    rows = rows.withColumn("why", why)
+    if only_first:
+        each = rows.where("why is null and is_low").select("case_id", "event_id", "sec").distinct().withColumn("_subject", subject)
+        later = each.withColumn("_n", F.row_number().over(Window.partitionBy("_subject").orderBy("case_id", "sec", "event_id"))).where("_n > 1").select("case_id", "event_id", F.lit(True).alias("_later"))
+        rows = rows.join(later, ["case_id", "event_id"], "left").withColumn("why", F.coalesce("why", F.when(F.col("_later"), EXCLUSIONS[3]))).drop("_later")
+    return rows.drop("_ix")
+
+
+def mask_audit(events: DataFrame, states: DataFrame, display: DataFrame, masks: DataFrame, step: float, threshold: float, width: int, after: int) -> DataFrame:
+    """One row of counts: what masked bins (case_id, bin, masked) touch at events, in their support, the low run before them, and the samples shown.
+
+    ``states`` are those of ``states_at``; ``after`` bins follow a low event.
+    """
+    hit = masks.where("masked").select("case_id", "bin")
+    index = F.floor((F.col("sec") + 1e-9) / step) - 1
+    counts = events.agg(F.count("*").alias("_events"), tally(index < width - 1).alias("before_minimum"))
+    known = states.select("case_id", "event_id", "sec", "bin", "value", "low_start").distinct()
+    back = known.withColumnRenamed("bin", "ix").withColumn("bin", F.explode(F.sequence(F.least(F.col("low_start"), F.col("ix") - width + 1), F.col("ix"))))
+    touched = back.join(hit, ["case_id", "bin"]).groupBy("case_id", "event_id").agg(F.bool_or(F.col("bin") > F.col("ix") - width).alias("s"), F.bool_or((F.col("value") < threshold) & (F.col("bin") >= F.col("low_start"))).alias("l"))
+    low = known.where(F.col("value") < threshold).select("case_id", "event_id", F.explode(F.sequence((index + 1).cast("int"), (index + after).cast("int"))).alias("bin"))
+    samples = lambda rows: rows.join(hit.withColumnRenamed("bin", "held_bin"), ["case_id", "held_bin"]).agg(F.count("*").alias("n"))
+    ones = [
+        counts, known.agg(F.count("*").alias("events_checked")), touched.agg(tally(F.col("s")).alias("masked_support"), tally(F.col("l")).alias("masked_low_run")), samples(states).withColumnRenamed("n", "phases_masked_sample"),
+        low.join(hit, ["case_id", "bin"]).agg(F.count_distinct("case_id", "event_id").alias("masked_after")), samples(low.join(display, ["case_id", "bin"])).withColumnRenamed("n", "later_bins_masked_sample"),
+    ]
+    out = ones[0]
+    for x in ones[1:]:
+        out = out.join(F.broadcast(x), F.lit(True))  # one row each
+    return out.withColumn("not_eligible", F.col("_events") - F.col("before_minimum") - F.col("events_checked")).drop("_events")
+
+
 def recovery(events: DataFrame, display: DataFrame, panel: DataFrame, step: float, threshold: float, bins: int, least: float, last_bin: int) -> DataFrame:
     """Per event, step and phase: the first confirmed recovery and how long the display stays low after it.
 

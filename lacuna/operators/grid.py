@@ -6,6 +6,7 @@ never dropped before a window function.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.columns import ratio, tally
+from lacuna.functions.columns import ratio, tally, total
 
 
 def window_bounds(cases: DataFrame, kind: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
@@ -144,6 +145,11 @@ def wave_peaks(samples: DataFrame, step: float, distance: int, prominence: float
     return rows.groupBy("case_id", "bin").applyInPandas(peaks, "case_id long, bin int, peaks int")
 
 
+def pulse_like(coverage: float, span: float, least: int, most: int) -> Column:
+    """Of rows with coverage, span and peaks: enough samples, enough span, and a plausible number of peaks."""
+    return F.coalesce((F.col("coverage") >= coverage) & (F.col("span") >= span) & F.col("peaks").between(least, most), F.lit(False))
+
+
 def _valley(v: np.ndarray, i: int, way: int) -> float:
     low, j = v[i], i + way
     while 0 <= j < len(v) and v[j] <= v[i]:
@@ -151,6 +157,12 @@ def _valley(v: np.ndarray, i: int, way: int) -> float:
     return low
 
 
+def first_samples(samples: DataFrame, order: list[str], interval: float, seconds: float) -> DataFrame:
+    """Adds idx to a case's samples and stops after the first ``seconds`` of them; Spark keeps no more rows of a case than that while it sorts."""
+    rows = samples.withColumn("_n", F.row_number().over(Window.partitionBy("case_id").orderBy(*order))).where(F.col("_n") <= math.ceil(seconds / interval - 1e-9))
+    return rows.withColumn("idx", F.col("_n") - 1).drop("_n")
+
+
 def decoded_times(samples: DataFrame, start: Column, interval: Column) -> DataFrame:
     """Samples numbered by ``idx`` with their time; an interval outside (0, 1] is an error."""
     sound = F.assert_true((interval > 0) & (interval <= 1), F.lit("sampling interval outside (0, 1]"))
@@ -205,10 +217,11 @@ def reconciled(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], t
     )
 
 
-def numeric_screen(grids: dict[str, DataFrame], bins: int, rules: dict[str, Column]) -> DataFrame:
-    """Longest run of each rule over the first ``bins`` bins from the first valid one of the first channel.
+def numeric_screen(grids: dict[str, DataFrame], bins: int, rules: dict[str, Column], threshold: float, minutes: float) -> DataFrame:
+    """Longest run of each rule over the first ``bins`` bins from the first valid one of the first channel, and where its area below the threshold lies.
 
-    ``rules`` are conditions over the channels' names and ``jump``, the change of the first channel between neighbouring bins.
+    ``rules`` are conditions over the channels' names and ``jump``, the change of the first channel between neighbouring bins. The areas: of the
+    whole case, of its first ``bins`` bins, and of as many from the first valid one; the latter two also as shares of the whole.
     """
     names = list(grids)
     joined = None
@@ -218,11 +231,15 @@ def numeric_screen(grids: dict[str, DataFrame], bins: int, rules: dict[str, Colu
     w = Window.partitionBy("case_id")
     first = F.min(F.when(F.col(names[0]).isNotNull(), F.col("bin"))).over(w)
     rows = joined.withColumn("_first", first).withColumn("jump", F.abs(F.col(names[0]) - F.lag(names[0]).over(w.orderBy("bin"))))
-    rows = rows.where((F.col("bin") >= F.col("_first")) & (F.col("bin") < F.col("_first") + bins)).drop("_first")
+    area = lambda on: total(F.when(on & (F.col(names[0]) < threshold), (threshold - F.col(names[0])) * minutes))
+    inside = (F.col("bin") >= F.col("_first")) & (F.col("bin") < F.col("_first") + bins)
+    areas = rows.groupBy("case_id").agg(area(F.lit(True)).alias("auc"), area(F.col("bin") < bins).alias("start_auc"), area(inside).alias("first_auc"))
+    areas = areas.withColumns({"start_share": ratio("start_auc", "auc"), "first_share": ratio("first_auc", "auc")})
+    rows = rows.where(inside).drop("_first")
     out = rows.groupBy("case_id").agg(F.count("*").alias("screened"), tally(F.greatest(*[F.col(n).isNull() for n in names]) == F.lit(False)).alias("paired"))
     for name, rule in rules.items():
         out = out.join(longest_runs(rows, ("case_id",), rule, name), "case_id", "left")
-    return out.fillna(0, list(rules))
+    return out.fillna(0, list(rules)).join(areas, "case_id")
 
 
 def share_of(a: str, b: str) -> Column:

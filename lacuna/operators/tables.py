@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +46,30 @@ def p_text(p: str) -> Column:
 def inside(df: DataFrame, estimate: str, low: str, high: str) -> DataFrame:
     """Adds ``sound``: the estimate lies within its interval."""
     return df.withColumn("sound", (F.col(low) <= F.col(estimate)) & (F.col(estimate) <= F.col(high)))
+
+
+def brought_up_to_date(stored: DataFrame, rows: DataFrame, changed: DataFrame, key: str, summarise: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stored summary with the changed keys summarised again from ``rows`` and all others taken as they are.
+
+    A key that is new must be among the changed ones. The result has a row for every key of ``rows``; another number is an error.
+    """
+    again = summarise(rows.join(changed, key, "left_semi"))
+    out = stored.join(changed, key, "left_anti").unionByName(again)
+    counts = out.agg(F.count("*").alias("_have"), F.count_distinct(key).alias("_keys")).join(F.broadcast(rows.agg(F.count_distinct(key).alias("_want"))), F.lit(True))  # one row each
+    whole = F.assert_true((F.col("_have") == F.col("_want")) & (F.col("_keys") == F.col("_want")), F.lit("the summary does not cover the keys once"))
+    return out.join(F.broadcast(counts), F.lit(True)).where(whole.isNull()).drop("_have", "_keys", "_want")  # one row
+
+
+def consistent(one: DataFrame, other: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """``one`` with largest, the greatest relative difference of its columns from those of ``other``, and passed; a key that only one has does not pass."""
+    rows = one.join(other.withColumnsRenamed({c: f"_{c}" for c in columns}), keys, "full_outer")
+    off = [F.abs(F.col(c) - F.col(f"_{c}")) / F.greatest(F.abs(F.col(c)), F.lit(1.0)) for c in columns]
+    rows = rows.withColumn("largest", F.greatest(*off) if len(off) > 1 else off[0])
+    known = reduce(Column.__and__, [F.col(x).isNotNull() for c in columns for x in (c, f"_{c}")])
+    return rows.withColumn("passed", known & F.coalesce(F.col("largest") <= tolerance, F.lit(False))).drop(*[f"_{c}" for c in columns])
+
+
+def conserved(df: DataFrame, whole: str, parts: list[str]) -> DataFrame:
+    """``df``, in which the parts of every row must add up to the whole."""
+    fits = F.assert_true(F.col(whole) == reduce(Column.__add__, [F.col(c) for c in parts]), F.lit(f"{whole} is not the sum of {', '.join(parts)}"))
+    return df.withColumn(whole, F.when(fits.isNull(), F.col(whole)))

@@ -120,9 +120,15 @@ def text_privacy_scan(spark, d):
 _PHRASES = {"absolute": r"\b(worthless|stupid|never)\b", "marks": r"(\*\*\*|###)", "shout": r"[A-Z]{6,}!!"}
 
 
-@add("phrase_lint", "with m as (select doc_id, r.rule, len(regexp_extract_all(coalesce(text, ''), r.pat)) as n from documents cross join (values ('absolute', '\\b(?:worthless|stupid|never)\\b'), ('marks', '(?:\\*\\*\\*|###)'), ('shout', '[A-Z]{6,}!!')) r(rule, pat)) select rule, count(*) filter (n > 0) as texts, sum(n) as matches, count(*) filter (n > 0) = 0 as passes from m group by 1", "", "texts matches")
+#: Allowed where the claim is: the gate of ``claim_gate`` over all customers opens them.
+_GATED = {"claims": r"\b(proven|certain|always)\b"}
+_GATE = 5
+
+
+@add("phrase_lint", f"with g as (select count(*) filter (c_acctbal > 9000) >= {_GATE} as allowed from customer), m as (select doc_id, r.rule, r.gated, len(regexp_extract_all(coalesce(text, ''), r.pat)) as n from documents cross join (values ('absolute', false, '\\b(?:worthless|stupid|never)\\b'), ('marks', false, '(?:\\*\\*\\*|###)'), ('shout', false, '[A-Z]{{6,}}!!'), ('claims', true, '\\b(?:proven|certain|always)\\b')) r(rule, gated, pat)) select rule, count(*) filter (n > 0) as texts, sum(n) as matches, count(*) filter (n > 0) = 0 or (gated and any_value(allowed)) as passes from m, g group by rule, gated", "", "texts matches")
 def phrase_lint(spark, d):
-    return text_audit.scan(table(spark, d, "documents"), "doc_id", "text", _PHRASES).withColumn("passes", F.col("texts") == 0)
+    allowed = table(spark, d, "customer").agg((tally(F.col("c_acctbal") > 9000) >= _GATE).alias("allowed"))
+    return text_audit.lint(table(spark, d, "documents"), "doc_id", "text", _PHRASES, _GATED, allowed)
 
 
 @add("validated_join", "select o_orderkey, c_mktsegment, c_nationkey from orders left join customer on c_custkey = o_custkey")
@@ -159,16 +165,6 @@ def flow_closure(spark, d):
     return out.withColumn("closes", F.col("total") == F.col("no_balance") + F.col("few_orders") + F.col("kept"))
 
 
-@add("incremental_recompute", f"{b.BASE} select case_id, count(value) as valid, sum(value) as total from panel group by 1", "total", "valid")
-def incremental_recompute(spark, d):
-    """Cases whose panel a mask changed are summarised anew; the others are taken from the earlier summary."""
-    before = b.panel(spark, d)
-    after = before.withColumn("value", F.when((F.col("case_id") % 9 == 0) & (F.col("bin") == 5), F.col("value") * 1.0).otherwise(F.col("value")))
-    summary = lambda p: p.groupBy("case_id").agg(F.count("value").alias("valid"), F.sum("value").alias("total"))
-    changed = before.where((F.col("case_id") % 9 == 0) & (F.col("bin") == 5)).select("case_id").distinct()
-    return summary(before).join(changed, "case_id", "left_anti").unionByName(summary(after.join(changed, "case_id", "left_semi")))
-
-
 @add("dataset_manifest")
 def dataset_manifest(spark, d):
     return files.manifest(spark, f"{d}/orders.parquet")
@@ -176,7 +172,7 @@ def dataset_manifest(spark, d):
 
 @add("track_scan")
 def track_scan(spark, d):
-    """Readings of five users written as one gzip CSV each and read back by directory scan."""
+    """Readings of every user written as gzip CSV in a folder each and read back by directory scan."""
     rows = b.readings(spark, d).select(F.col("case_id").alias("tid"), "sec", "value")
     return files.tracks_round_trip(rows).groupBy("tid").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 

@@ -238,6 +238,16 @@ def changes(spark, d):
     return out
 
 
+def stable_changes(spark, d):
+    """Changes of both tracks that are kept up for a day."""
+    r, out = b.readings(spark, d), None
+    for k in ("error", "purchase"):
+        rows = r.where(F.col("event_type") == k).select("case_id", "event_id", "sec", (F.floor(F.col("value") / 10) * 10).alias("value"))
+        one = devices.sustained(rows, 259200.0, 86400.0).select("case_id", "sec", F.lit(k).alias("track"), "kind")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 BLOCKS = f"""with recursive {b.SIG}, r2 as (select case_id, event_type as track, sec, floor(value / 10) * 10 as value, lag(floor(value / 10) * 10) over w as previous, sec - lag(sec) over w as gap from sig where event_type in ('error', 'purchase') window w as (partition by case_id, event_type order by sec, event_id)),
 ch as (select case_id, sec, track, case when previous = 0 then 'start' else 'increase' end as kind, row_number() over (partition by case_id order by sec, track) as n from r2 where gap > 0 and gap <= 259200 and previous >= 0 and value > previous + 1e-8),
 bl as (select case_id, n, sec, track, kind, sec as anchor from ch where n = 1 union all select c.case_id, c.n, c.sec, c.track, c.kind, case when c.sec > anchor + 172800 + 1e-9 then c.sec else anchor end from bl join ch c on c.case_id = bl.case_id and c.n = bl.n + 1),

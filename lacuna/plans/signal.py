@@ -95,9 +95,8 @@ def reconcile_tables(spark, d):
 
 @add("waveform_decode", f"with {b.SIG}, n as (select case_id, value, row_number() over (partition by case_id order by sec, event_id) - 1 as idx from sig) select case_id, idx, 0.5 * case_id + idx * 0.25 as sec, value from n where 0.5 * case_id + idx * 0.25 < 0.5 * case_id + 5", "sec value", "idx")
 def waveform_decode(spark, d):
-    rows = b.readings(spark, d).withColumn("idx", F.row_number().over(W("case_id").orderBy("sec", "event_id")) - 1).select("case_id", "idx", "value")
-    start = F.col("case_id") * 0.5
-    return grid.decoded_times(rows, start, F.lit(0.25)).where(F.col("sec") < start + 5).select("case_id", "idx", "sec", "value")
+    rows = grid.first_samples(b.readings(spark, d), ["sec", "event_id"], 0.25, 5.0).select("case_id", "idx", "value")
+    return grid.decoded_times(rows, F.col("case_id") * 0.5, F.lit(0.25)).select("case_id", "idx", "sec", "value")
 
 
 @add("wave_bin_metrics", f"""with {b.SIG} select case_id, floor(sec / {b.WIDE})::int as bin, least(count(value) / 3, 1) as coverage, avg(value) as mean, stddev_pop(value) as sd, quantile_cont(value, 0.05) as p05, quantile_cont(value, 0.95) as p95,
@@ -124,21 +123,33 @@ def plateau_flag(spark, d):
 
 
 _KINDS = ("click", "purchase", "signup")
+_SCREEN_BINS = 20
+_SCREEN_RULES = {
+    "low": "coalesce(click < 40, false)", "jumps": "coalesce(jump >= 30, false)", "crossed": "coalesce(purchase < signup, false)",
+    "narrow": "coalesce(purchase - signup between 0 and 5, false)", "outside": "coalesce(purchase is not null and signup is not null and (click < signup - 5 or click > purchase + 5), false)",
+}
 _SCREEN_SQL = f"""with {b.SIG}, {', '.join(b.panel_sql(k, b.WIDE, f"event_type = '{k}'") for k in _KINDS)},
 j as (select case_id, bin, a.value as click, p.value as purchase, s.value as signup from click a join purchase p using (case_id, bin) join signup s using (case_id, bin)),
 f as (select *, min(case when click is not null then bin end) over (partition by case_id) as first, abs(click - lag(click) over (partition by case_id order by bin)) as jump from j),
-q as (select *, coalesce(click < 40, false) as r1, coalesce(jump >= 30, false) as r2, coalesce(purchase < signup, false) as r3 from f where bin >= first and bin < first + 20),
-u as (select case_id, bin, unnest([('low', r1), ('jumps', r2), ('crossed', r3)]) as e from q),
-g as (select case_id, e[1] as rule, bin - row_number() over (partition by case_id, e[1] order by bin) as g from u where e[2]), n as (select case_id, rule, g, count(*) as k from g group by all)
-select q.case_id, count(*) as screened, count(*) filter (click is not null and purchase is not null and signup is not null) as paired,
-coalesce((select max(k) from n where n.case_id = q.case_id and rule = 'low'), 0) as low, coalesce((select max(k) from n where n.case_id = q.case_id and rule = 'jumps'), 0) as jumps,
-coalesce((select max(k) from n where n.case_id = q.case_id and rule = 'crossed'), 0) as crossed from q group by 1"""
-
-
-@add("numeric_screen", _SCREEN_SQL, "", "screened paired low jumps crossed")
+q as (select *, {', '.join(f'{rule} as {name}' for name, rule in _SCREEN_RULES.items())} from f where bin >= first and bin < first + {_SCREEN_BINS}),
+u as (select case_id, bin, unnest([{', '.join(f"('{name}', {name})" for name in _SCREEN_RULES)}]) as e from q),
+g as (select case_id, e[1] as rule, bin - row_number() over (partition by case_id, e[1] order by bin) as g from u where e[2]), n as (select case_id, rule, g, count(*) as k from g group by all),
+w as (select case_id, count(click) over r as n, median(click) over r as m, max(click) over r - min(click) over r as span from q window r as (partition by case_id order by bin rows between current row and 2 following)),
+pl as (select case_id, coalesce(bool_or(n = 3 and m < 40 and span <= 25), false) as plateau from w group by 1),
+au as (select case_id, coalesce(sum(greatest(35 - click, 0)), 0) * 1440 as auc, coalesce(sum(greatest(35 - click, 0)) filter (bin < {_SCREEN_BINS}), 0) * 1440 as start_auc, coalesce(sum(greatest(35 - click, 0)) filter (bin >= first and bin < first + {_SCREEN_BINS}), 0) * 1440 as first_auc from f group by 1),
+sc as (select q.case_id, count(*) as screened, count(*) filter (click is not null and purchase is not null and signup is not null) as paired,
+{', '.join(f"coalesce((select max(k) from n where n.case_id = q.case_id and rule = '{name}'), 0) as {name}" for name in _SCREEN_RULES)} from q group by 1)
+select sc.*, auc, start_auc, first_auc, start_auc / nullif(auc, 0) as start_share, first_auc / nullif(auc, 0) as first_share, plateau, plateau or narrow >= 3 or crossed >= 2 or outside >= 3 as review from sc join au using (case_id) join pl using (case_id)"""
+
+
+@add("numeric_screen", _SCREEN_SQL, "auc start_auc first_auc start_share first_share", "screened paired " + " ".join(_SCREEN_RULES))
 def numeric_screen(spark, d):
     grids = {k: b.panel(spark, d, b.WIDE, (k,)) for k in _KINDS}
-    return grid.numeric_screen(grids, 20, {"low": F.col("click") < 40, "jumps": F.col("jump") >= 30, "crossed": F.col("purchase") < F.col("signup")})
+    found = grid.numeric_screen(grids, _SCREEN_BINS, {name: F.expr(rule) for name, rule in _SCREEN_RULES.items()}, 35.0, 1440.0)
+    first = grids["click"].where("value is not null").groupBy("case_id").agg(F.min("bin").alias("_first"))
+    early = grids["click"].join(first, "case_id").where((F.col("bin") >= F.col("_first")) & (F.col("bin") < F.col("_first") + _SCREEN_BINS)).drop("_first")
+    flags = grid.plateaus(early, 3, 40.0, 25.0)
+    return found.join(flags, "case_id").withColumn("review", F.expr("plateau or narrow >= 3 or crossed >= 2 or outside >= 3"))
 
 
 def policy_panels(panel):

@@ -35,11 +35,14 @@ def write_tracks(rows: DataFrame, path: str) -> None:
 
 
 def read_tracks(spark: SparkSession, *roots: str) -> DataFrame:
-    """tid, sec, value of all tracks below the roots; the first root that has a track wins. Text that is no number is NULL."""
+    """tid, sec, value of all tracks below the roots; the first root that has a track wins. Text that is no number is NULL.
+
+    The first two columns count, whatever they are called; a track with one column has no rows, and so has one without a file.
+    """
     out = None
     for i, root in enumerate(roots):
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(root)
-        one = raw.select(F.col("tid").cast("long").alias("tid"), number("sec").alias("sec"), number("value").alias("value"), F.lit(i).alias("root"))
+        raw = spark.read.schema("first string, second string, tid long").option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(root)
+        one = raw.where("second is not null").select("tid", number("first").alias("sec"), number("second").alias("value"), F.lit(i).alias("root"))
         out = one if out is None else out.unionByName(one)
     if len(roots) == 1:
         return out.drop("root")
@@ -47,6 +50,18 @@ def read_tracks(spark: SparkSession, *roots: str) -> DataFrame:
     return out.join(first, ["tid", "root"], "left_semi").drop("root")
 
 
+def tracks_of(tracks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """tid and readings (an array by time) of every wanted track; one that was not found has none."""
+    held = tracks.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("sec", "value"))).alias("readings"))
+    return wanted.select("tid").join(held, "tid", "left").withColumn("readings", F.coalesce("readings", F.expr("cast(array() as array<struct<sec:double,value:double>>)")))
+
+
+def read_table(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """A CSV table with a header, all columns as text; a byte order mark before the header is no part of the first name."""
+    raw = spark.read.option("header", True).option("encoding", encoding).option("multiLine", False).csv(path)
+    return raw.toDF(*[c.lstrip("\ufeff").strip('"') for c in raw.columns])
+
+
 def tracks_round_trip(rows: DataFrame) -> DataFrame:
     path = shared_path(rows.sparkSession, "tracks")
     write_tracks(rows, path)
@@ -69,25 +84,47 @@ def zipped(rows: DataFrame, key: str, text: str, member: str = "data/signal.csv.
     return rows.select(key, text).mapInPandas(pack, f"{key} long, content binary")
 
 
-def archive_member(archives: DataFrame, suffix: str) -> DataFrame:
-    """case_id, sec, value: rows of the first member of each archive whose name ends in the suffix, with or without .gz."""
+def archive_member(archives: DataFrame, suffix: str, missing: str = "error") -> DataFrame:
+    """case_id, sec, value: rows of the first member of each archive whose name ends in the suffix, with or without .gz.
+
+    Text that is no number is NULL, and a line of one column has no value. An archive without such a member is an error; with
+    ``missing`` "empty" it has no rows.
+    """
+    if missing not in ("error", "empty"):
+        raise ValueError(f"missing must be error or empty, not {missing}")
+
+    def cell(line: list[str], i: int) -> float:
+        try:
+            return float(line[i])
+        except (ValueError, IndexError):
+            return float("nan")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for key, content in zip(b["case_id"], b["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     name = next((n for n in z.namelist() if n.endswith((suffix, f"{suffix}.gz"))), None)
+                    if name is None and missing == "error":
+                        raise ValueError(f"archive {key} has no member {suffix}")
                     data = b"" if name is None else z.read(name)
                 data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = [line.split(",") for line in data.decode().split("\n") if line]
-                yield pd.DataFrame({"case_id": key, "sec": [float(r[0]) for r in rows], "value": [float(r[1]) for r in rows]})
+                rows = [line.split(",") for line in data.decode("utf-8-sig").splitlines() if line]
+                yield pd.DataFrame({"case_id": key, "sec": [cell(r, 0) for r in rows], "value": [cell(r, 1) for r in rows]})
+
+    rows = archives.mapInPandas(read, "case_id long, sec double, value double")
+    return rows.select("case_id", number("sec").alias("sec"), number("value").alias("value"))
+
 
-    return archives.mapInPandas(read, "case_id long, sec double, value double")
+#: Bytes of a file that are hashed in one piece: Spark holds a file as one value, of 2 GB at most.
+LARGEST_FILE = 2_000_000_000
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """name, bytes, sha256 of every file at the path."""
+    """name, bytes, sha256 of every file at the path; a file over ``LARGEST_FILE`` is an error, before it is read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    large = f.select("path", "length").where(F.col("length") > LARGEST_FILE).head(1)
+    if large:
+        raise ValueError(f"{large[0]['path']} has {large[0]['length']} bytes; files of over {LARGEST_FILE} cannot be hashed in one piece")
     return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
