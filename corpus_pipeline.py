@@ -2,6 +2,10 @@
 
 Each stage is a function of (spark, docs, sf_dir). All but the last return the columns of ``docs``;
 each result is written as Parquet and read again for the next stage, so a lost executor costs one stage at most.
+
+Defined cases: an empty table goes through all stages as one; an empty benchmark takes nothing; a null or wordless text fails the quality rules;
+rows that repeat are near-duplicates of each other, of which one stays; of equal ids and texts any row is the same, and texts that share an id are documents of their own;
+a null doc_id is a document like others, and comes last where ties are settled by id; extra columns are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -17,10 +21,9 @@ from lacuna.llm.common import meet, settled, shared_dir, small_batches
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules or lie outside their group's estimate go."""
-    shapes = quality.fitted(settled(quality.grouped_statistics(docs)))
     named = docs.select(F.struct(*docs.columns).alias("row"), "text", quality.group_of("lang", "source").alias("group"))
-    judged = quality.judged(quality.with_statistics(named, "s").drop("text"), shapes)
-    return judged.where("kept").select("row.*")
+    stats = settled(quality.with_statistics(named, "s").drop("text"))  # rows with their statistics, read again by columns
+    return quality.judged(stats, quality.fitted(stats.select("group", "s"))).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

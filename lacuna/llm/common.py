@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -13,13 +14,17 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
-#: Records an Arrow batch may hold. Texts can be long; this bounds a Python worker's memory.
-BATCH_ROWS = 512
+#: Records, and bytes, that an Arrow batch may hold. Texts can be long; this bounds a Python worker's memory.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark.sparkContext.applicationId)
+    """The folder that all executors share: spark.checkpoint.dir. A session of one machine may do without (tests) and has a temporary one; a cluster must name it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = own_folder(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
@@ -38,8 +43,9 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the Arrow batch size that the text operators need; the setting belongs to the session."""
+    """Sets the Arrow batch sizes that the text operators need; the settings belong to the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def meet(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -31,7 +31,7 @@ BUCKET_ROWS = 500
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 STEPS = 30
-REPAIRS = 5
+REPAIRS = 3
 #: exp() of more is not needed: the rate is capped long before.
 FAR = 60.0
 

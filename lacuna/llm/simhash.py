@@ -17,6 +17,7 @@ a component unless no member has an id (then the component is null); an empty ta
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ MOST_BITS = 3
 #: Segments of two bits: counts 0 to 2, 16 segments in each half.
 SEGMENTS = 32
 ROUNDS = 40
+#: Fingerprints that one task turns into cells: each has up to 34.
+TASK_POINTS = 10_000
 
 #: A-Z to a-z; all other bytes stay.
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -87,7 +90,7 @@ def links(points: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """a < b: distinct fingerprints that differ in at most ``most`` (up to 3) bits."""
     if most > MOST_BITS:
         raise ValueError("a half at most 1 apart is certain only for 3 bits or fewer")
-    own = cells(points)
+    own = cells(points.repartition(max(1, math.ceil(points.count() / TASK_POINTS)), "fp"))
     left = own.select(F.col("fp").alias("a"), "half", "cell", "up")
     right = own.where("not up").select(F.col("fp").alias("b"), F.col("half").alias("half_"), F.col("cell").alias("cell_"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most

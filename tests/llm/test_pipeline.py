@@ -78,3 +78,13 @@ def test_near_duplicates_keep_one_row_of_each_component(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, a, "x"), (1, b, "x"), (2, c, None), (5, d, "x"), (None, e, "x"), (7, None, "x")], key=repr)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    r = random.Random(13)
+    text = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(60))
+    docs = spark.createDataFrame([(1, text, "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.decontamination(spark, docs, str(tmp_path)).count() == 1
