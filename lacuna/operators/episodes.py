@@ -48,7 +48,7 @@ def observability(display: DataFrame, episodes: DataFrame, step: float, margins:
     The stale run counts bins from the end on until the reference is missing or low, or the display unavailable or normal. The bins
     at which runs break are found for all thresholds in one window; only episodes' own bins are then joined.
     """
-    w = Window.partitionBy("case_id", "step", "phase").orderBy("bin").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy("case_id", "step", "phase").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # from the end on, so that a frame only grows
     stop = lambda t: F.col("value").isNull() | (F.col("value") < t) | F.col("shown").isNull() | (F.col("shown") >= t)
     breaks = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.min(F.when(stop(t), F.col("bin"))).over(w).alias("b")) for t in thresholds])
     rows = display.select("case_id", "step", "phase", "bin", "value", "shown", breaks.alias("_breaks"), F.max("bin").over(w).alias("_last"))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.columns import hashed
 
+from . import ranks
+
 
 def _gram(df: DataFrame, names: list[str], weight) -> np.ndarray:
     k = len(names)
@@ -97,7 +99,7 @@ def dummies(df: DataFrame, column: str, missing: str = "missing") -> tuple[DataF
 
 def _medians(df: DataFrame, terms: list[str]) -> DataFrame:
     """One row: the median of each term."""
-    return df.agg(*[F.median(t).alias(f"_m_{t}") for t in terms])
+    return ranks.quantiles(df, [], {f"_m_{t}": (F.col(t), 0.5) for t in terms})
 
 
 def _imputed(df: DataFrame, terms: list[str], medians: DataFrame) -> DataFrame:
@@ -140,5 +142,5 @@ def transport_weights(source: DataFrame, target: DataFrame, key: str, terms: lis
     rows = VectorAssembler(inputCols=terms, outputCol="_x").transform(_imputed(rows, terms, _medians(rows, terms)))
     scored = LogisticRegression(labelCol="_y", featuresCol="_x", probabilityCol="_p", regParam=1e-3).fit(rows).transform(rows.where("_y = 0"))
     odds = scored.select(key, vector_to_array("_p").alias("p")).select(key, (F.col("p")[1] / F.col("p")[0]).alias("odds"))
-    middle = odds.agg(F.median("odds").alias("_m"))
+    middle = ranks.quantiles(odds, [], {"_m": (F.col("odds"), 0.5)})
     return odds.join(F.broadcast(middle), F.lit(True)).select(key, F.least(F.greatest(F.col("odds") / F.col("_m"), F.lit(least)), F.lit(most)).alias("weight"))  # one row

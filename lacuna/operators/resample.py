@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.columns import hashed, ratio, tally
+from lacuna.sources.files import settled
+
+from . import ranks
 
 
 #: Cumulative Poisson probabilities of mean 1 as numbers of 32 bits: a hash has the weight of how many it reaches.
@@ -70,7 +73,9 @@ def bootstrap_mean(df: DataFrame, groups: list[str], cluster: str, value: str, r
 
 def agreement(df: DataFrame, groups: list[str], bias: str = "bias") -> DataFrame:
     """Bland-Altman: mean, sd, limits at 1.96 sd, median absolute difference."""
-    out = df.groupBy(*groups).agg(F.count(bias).alias("n"), F.avg(bias).alias("mean"), F.stddev_samp(bias).alias("sd"), F.median(F.abs(bias)).alias("median_abs"))
+    rows = settled(df.select(*groups, bias))
+    out = rows.groupBy(*groups).agg(F.count(bias).alias("n"), F.avg(bias).alias("mean"), F.stddev_samp(bias).alias("sd"))
+    out = ranks.with_quantiles(out, rows, groups, {"median_abs": (F.abs(bias), 0.5)})
     return out.withColumns({"loa_low": F.col("mean") - 1.96 * F.col("sd"), "loa_high": F.col("mean") + 1.96 * F.col("sd")})
 
 
@@ -155,9 +160,8 @@ def pareto(df: DataFrame, keys: list[str], burden: str, benefit: str) -> DataFra
 
 def capture(df: DataFrame, score: str, outcome: Column, tie: str, shares: list[float]) -> DataFrame:
     """share, taken, captured, capture_rate, needed: outcomes among the highest scores."""
-    w = Window.orderBy(F.desc(score), tie)
     n = df.agg(F.count("*").alias("n"), tally(outcome).alias("all"))
-    rows = df.withColumns({"_r": F.row_number().over(w), "_o": outcome}).join(F.broadcast(n), F.lit(True))  # one row
+    rows = ranks.numbered(df.withColumn("_o", outcome), [F.desc(score), F.col(tie)], "_r").join(F.broadcast(n), F.lit(True))  # one row
     rows = rows.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares]))).where(F.col("_r") <= F.ceil(F.col("n") * F.col("share")))
     out = rows.groupBy("share").agg(F.count("*").alias("taken"), tally(F.col("_o")).alias("captured"), F.max("all").alias("_all"))
     return out.withColumns({"capture_rate": ratio("captured", "_all"), "needed": ratio("taken", "captured")}).drop("_all")
@@ -165,6 +169,6 @@ def capture(df: DataFrame, score: str, outcome: Column, tie: str, shares: list[f
 
 def quantile_bins(df: DataFrame, value: str, bins: int, keep: list[Column]) -> DataFrame:
     """bin 1..bins by linear quantile edges, right-closed, the lowest included, with the aggregates."""
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_e"))
-    at = reduce(lambda a, i: a + F.when(F.col(value) > F.get("_e", F.lit(i)), 1).otherwise(0), range(bins - 1), F.lit(1))
+    edges = ranks.quantiles(df, [], {f"_e{i}": (F.col(value), i / bins) for i in range(1, bins)})
+    at = reduce(lambda a, i: a + F.when(F.col(value) > F.col(f"_e{i}"), 1).otherwise(0), range(1, bins), F.lit(1))
     return df.join(F.broadcast(edges), F.lit(True)).where(F.col(value).isNotNull()).withColumn("bin", at).groupBy("bin").agg(*keep)  # one row

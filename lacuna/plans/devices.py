@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lacuna.functions.columns import ratio, tally
-from lacuna.operators import deficit, devices, grid, hold
+from lacuna.operators import deficit, devices, grid, hold, ranks
+from lacuna.sources import files
 
 from . import bindings as b
 from .registry import Registry
@@ -361,8 +362,9 @@ def track_diagnostics(spark, d):
     r = b.readings(spark, d)
     w = Window.partitionBy("event_type", "case_id").orderBy("sec", "event_id")
     rows = r.withColumns({"gap": F.col("sec") - F.lag("sec").over(w), "step": F.col("value") - F.lag("value").over(w)})
-    rows = devices.nearest(rows, r.where("event_type = 'view'").select("case_id", "sec", "value"), "view")
-    out = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("case_id").alias("cases"), tally(F.col("value") > 50).alias("high"), tally(F.col("step") < 0).alias("down"), F.median("gap").alias("middle_gap"), tally(F.col("view_distance") <= 21600).alias("near_view"))
+    rows = files.settled(devices.nearest(rows, r.where("event_type = 'view'").select("case_id", "sec", "value"), "view"))
+    out = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("case_id").alias("cases"), tally(F.col("value") > 50).alias("high"), tally(F.col("step") < 0).alias("down"), tally(F.col("view_distance") <= 21600).alias("near_view"))
+    out = ranks.with_quantiles(out, rows, ["event_type"], {"middle_gap": (F.col("gap"), 0.5)})
     early = r.where("sec < 259200").groupBy("event_type").agg(F.count_distinct("case_id").alias("k"))
     every = r.agg(F.count_distinct("case_id").alias("all_cases"))
     return out.join(early, "event_type", "left").join(F.broadcast(every), F.lit(True)).withColumn("empty_start", F.col("all_cases") - F.coalesce("k", F.lit(0))).drop("k", "all_cases")  # one row

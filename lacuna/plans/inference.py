@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lacuna.functions.columns import ratio, tally
-from lacuna.operators import deficit, hold, resample
+from lacuna.operators import deficit, hold, ranks, resample
+from lacuna.sources import files
 
 from . import bindings as b
 from . import devices, signal
@@ -191,9 +191,9 @@ def smd_weighted(spark, d):
 
 @add("characteristics", "select c_mktsegment, count(*) as n, median(c_acctbal) as middle, quantile_cont(c_acctbal, 0.25) as q1, quantile_cont(c_acctbal, 0.75) as q3, count(*) filter (c_nationkey < 5) as near_n, 100 * count(*) filter (c_nationkey < 5) / count(c_nationkey) as near_pct from customer group by 1", "middle q1 q3 near_pct", "n near_n")
 def characteristics(spark, d):
-    q = F.percentile("c_acctbal", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
-    out = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), q.alias("q"), tally(F.col("c_nationkey") < 5).alias("near_n"), (100 * ratio(tally(F.col("c_nationkey") < 5), F.count("c_nationkey"))).alias("near_pct"))
-    return out.select("c_mktsegment", "n", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("middle", "q1", "q3"))], "near_n", "near_pct")
+    c = table(spark, d, "customer")
+    out = c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), tally(F.col("c_nationkey") < 5).alias("near_n"), (100 * ratio(tally(F.col("c_nationkey") < 5), F.count("c_nationkey"))).alias("near_pct"))
+    return ranks.with_quantiles(out, c, ["c_mktsegment"], {n: (F.col("c_acctbal"), q) for n, q in (("middle", 0.5), ("q1", 0.25), ("q3", 0.75))})
 
 
 @add("code_validity", "with k as (select case when c_nationkey = 24 then null else c_nationkey end as code from customer) select count(*) filter (code between 1 and 20) as valid, count(*) filter (code not between 1 and 20) as outside, (select string_agg(code::varchar, ',' order by code) from (select distinct code from k where code not between 1 and 20)) as outside_codes, count(*) filter (code is null) as missing from k", "", "valid outside missing")
@@ -239,16 +239,16 @@ def strategy_summary(spark, d):
 
 @add("pairs_per_case", f"{BIAS}, n as (select case_id, count(*) as n from bs group by 1) select count(*) as cases, avg(n) as mean, stddev_samp(n) as sd, min(n) as least, quantile_cont(n, 0.25) as q1, median(n) as middle, quantile_cont(n, 0.75) as q3, max(n) as most from n", "mean sd q1 middle q3", "cases least most")
 def pairs_per_case(spark, d):
-    n = bias(spark, d).groupBy("case_id").agg(F.count("*").alias("n"))
-    return n.agg(F.count("*").alias("cases"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"), F.min("n").alias("least"), F.percentile("n", F.lit(0.25)).alias("q1"), F.median("n").alias("middle"), F.percentile("n", F.lit(0.75)).alias("q3"), F.max("n").alias("most"))
+    n = files.settled(bias(spark, d).groupBy("case_id").agg(F.count("*").alias("n")))
+    out = n.agg(F.count("*").alias("cases"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return ranks.with_quantiles(out, n, [], {x: (F.col("n"), q) for x, q in (("q1", 0.25), ("middle", 0.5), ("q3", 0.75))})
 
 
 @add("ecdf", f"{BIAS} select event_id, bias, cume_dist() over (order by bias) as share, 1 - cume_dist() over (order by bias) as remaining from bs", "bias share remaining")
 def ecdf(spark, d):
-    w = Window.orderBy("bias")
-    rows = bias(spark, d).select("event_id", "bias")
+    rows = files.settled(bias(spark, d).select("event_id", "bias"))
     counts = rows.groupBy("bias").agg(F.count("*").alias("n"))
     total = rows.agg(F.count("*").alias("all"))
-    upto = counts.select("bias", F.sum("n").over(w).alias("upto")).join(F.broadcast(total), F.lit(True))  # one row
-    share = F.col("upto") / F.col("all")
+    upto = ranks.running(counts, [F.col("bias")], F.col("n"), "before").join(F.broadcast(total), F.lit(True))  # one row
+    share = (F.col("before") + F.col("n")) / F.col("all")
     return rows.join(upto, "bias").select("event_id", "bias", share.alias("share"), (1 - share).alias("remaining"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.columns import ratio, tally
-from lacuna.operators import models, outcomes
+from lacuna.operators import models, outcomes, ranks
 from lacuna.operators.outcomes import DAY
 from lacuna.sources import files
 
@@ -112,8 +112,8 @@ _SPLINE = f"{_FRAME}, k as (select min(baseline_10) as lo, median(baseline_10) a
 @add("bspline_basis", f"""{_SPLINE} select case_id, case when x < mid then (x - lo) / (mid - lo) * (mid - x) / (mid - lo) + (hi - x) / (hi - lo) * (x - lo) / (mid - lo) else (hi - x) / (hi - lo) * (hi - x) / (hi - mid) end as s1,
 case when x < mid then (x - lo) / (hi - lo) * (x - lo) / (mid - lo) else (x - lo) / (hi - lo) * (hi - x) / (hi - mid) + (hi - x) / (hi - mid) * (x - mid) / (hi - mid) end as s2, case when x < mid then 0 else ((x - mid) / (hi - mid)) ** 2 end as s3 from sp""", "s1 s2 s3")
 def bspline_basis(spark, d):
-    f = frame(spark, d)
-    knots = f.agg(F.min("baseline_10").alias("lo"), F.median("baseline_10").alias("mid"), F.max("baseline_10").alias("hi"))
+    f = files.settled(frame(spark, d))
+    knots = ranks.with_quantiles(f.agg(F.min("baseline_10").alias("lo"), F.max("baseline_10").alias("hi")), f, [], {"mid": (F.col("baseline_10"), 0.5)})
     return outcomes.spline_basis(f.where("baseline_10 is not null"), "baseline_10", knots).select("case_id", "s1", "s2", "s3")
 
 
@@ -158,7 +158,7 @@ def model_specs(codes: list[str]) -> list[models.Spec]:
 def models_of(spark, d):
     """All specifications fitted on one table of rows; the burden's spline has its knots at the threshold's smallest, median and largest value."""
     rows = files.settled(analysis_rows(spark, d))
-    knots = rows.groupBy("threshold").agg(F.min("burden").alias("lo"), F.median("burden").alias("mid"), F.max("burden").alias("hi"))
+    knots = ranks.with_quantiles(rows.groupBy("threshold").agg(F.min("burden").alias("lo"), F.max("burden").alias("hi")), rows, ["threshold"], {"mid": (F.col("burden"), 0.5)})
     rows, codes = models.dummies(outcomes.spline_basis(rows, "burden", knots, "threshold"), "code")
     return models.sequence_of_models(files.settled(rows), model_specs(codes), "subject")
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lacuna.functions.columns import ratio, tally
-from lacuna.operators import deficit, episodes, grid, hold
+from lacuna.operators import deficit, episodes, grid, hold, ranks
+from lacuna.sources import files
 
 from . import bindings as b
 from .registry import Registry, table
@@ -22,7 +23,9 @@ W = lambda *k: Window.partitionBy(*k)
 @add("range_filter", f"with {b.SIG} select event_type, count(*) as rows, count(*) filter (value between 1 and 300) as plausible, median(value) filter (value between 1 and 300) as middle from sig group by 1", "middle", "rows plausible")
 def range_filter(spark, d):
     ok = F.col("value").between(b.LOW, b.HIGH)
-    return b.readings(spark, d).groupBy("event_type").agg(F.count("*").alias("rows"), tally(ok).alias("plausible"), F.median(F.when(ok, F.col("value"))).alias("middle"))
+    r = b.readings(spark, d)
+    out = r.groupBy("event_type").agg(F.count("*").alias("rows"), tally(ok).alias("plausible"))
+    return ranks.with_quantiles(out, r, ["event_type"], {"middle": (F.when(ok, F.col("value")), 0.5)})
 
 
 @add("median_grid", f"{b.BASE} select * from panel", "value", "bin")
@@ -46,8 +49,9 @@ def window_coverage(spark, d):
     wide = b.panel(spark, d, b.WIDE)
     windows = F.array(*[F.struct(F.lit(n).alias("win"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in (("month", 0, 30), ("first_half", 0, 15), ("second_half", 15, 30))])
     rows = wide.withColumn("w", F.explode(windows)).where((F.col("bin") >= F.col("w.lo")) & (F.col("bin") < F.col("w.hi"))).withColumn("win", F.col("w.win"))
-    c = grid.coverage(rows, ("win", "case_id"), 1440.0, 0.8, 60.0)
-    return c.groupBy("win").agg(F.count_distinct("case_id").alias("cases"), tally(F.col("include")).alias("included"), F.median("share").alias("middle_share"), F.sum("valid").alias("valid"))
+    c = files.settled(grid.coverage(rows, ("win", "case_id"), 1440.0, 0.8, 60.0))
+    out = c.groupBy("win").agg(F.count_distinct("case_id").alias("cases"), tally(F.col("include")).alias("included"), F.sum("valid").alias("valid"))
+    return ranks.with_quantiles(out, c, ["win"], {"middle_share": (F.col("share"), 0.5)})
 
 
 @add("grid_qc", f"""{b.BASE}, v as (select case_id, bin, value, lag(value) over (partition by case_id order by bin) as before from panel where value is not null)
@@ -177,9 +181,10 @@ def mask_policies(spark, d):
 @add("mask_summary", f"""{b.BASE}, {_POLICY}, c as (select policy, case_id, count(value) / count(*) as share, count(*) filter (masked and raw is not null) as masked from masked group by 1, 2)
 select policy, count(*) as cases, count(*) filter (share >= 0.55 or policy in ('original', 'startup6')) as retained, sum(masked) as masked_bins, count(*) filter (masked > 0) as masked_cases, median(share) as middle_share from c group by 1""", "middle_share", "cases retained masked_bins masked_cases")
 def mask_summary(spark, d):
-    c = policy_panels(b.panel(spark, d)).groupBy("policy", "case_id").agg((F.count("value") / F.count("*")).alias("share"), tally(F.col("masked") & F.col("raw").isNotNull()).alias("masked"))
+    c = files.settled(policy_panels(b.panel(spark, d)).groupBy("policy", "case_id").agg((F.count("value") / F.count("*")).alias("share"), tally(F.col("masked") & F.col("raw").isNotNull()).alias("masked")))
     kept = (F.col("share") >= 0.55) | F.col("policy").isin("original", "startup6")
-    return c.groupBy("policy").agg(F.count("*").alias("cases"), tally(kept).alias("retained"), F.sum("masked").alias("masked_bins"), tally(F.col("masked") > 0).alias("masked_cases"), F.median("share").alias("middle_share"))
+    out = c.groupBy("policy").agg(F.count("*").alias("cases"), tally(kept).alias("retained"), F.sum("masked").alias("masked_bins"), tally(F.col("masked") > 0).alias("masked_cases"))
+    return ranks.with_quantiles(out, c, ["policy"], {"middle_share": (F.col("share"), 0.5)})
 
 
 @add("mask_intervals", f"""{b.BASE}, {_POLICY}, g as (select *, bin - row_number() over (partition by policy, case_id order by bin) as g from masked where masked)
@@ -223,10 +228,9 @@ def screen_rollup(spark, d):
 o as (select case_id, row_number() over (partition by status order by md5('20261007|' || case_id), case_id) as n from r where not (calm_sec >= 259200 or longest >= 2))
 select case_id, printf('QC%03d', n) as code, 'review' as part from k union all select case_id, printf('CT%03d', n), 'control' from o where n <= 20""")
 def review_list(spark, d):
-    r = _rollup(spark, d)
+    r = files.settled(_rollup(spark, d))
     flagged = (F.col("calm_sec") >= 259200) | (F.col("longest") >= 2)
-    # one window over the flagged cases: the list is the product
-    first = r.where(flagged).select("case_id", F.row_number().over(Window.orderBy(F.desc("longest"), F.desc("calm_sec"), "case_id")).alias("n"), F.lit("QC").alias("p"), F.lit("review").alias("part"))
+    first = ranks.numbered(r.where(flagged), [F.desc("longest"), F.desc("calm_sec"), F.col("case_id")]).select("case_id", "n", F.lit("QC").alias("p"), F.lit("review").alias("part"))
     other = r.where(~flagged).select("case_id", F.row_number().over(W("status").orderBy(F.md5(F.concat(F.lit("20261007|"), F.col("case_id").cast("string"))), "case_id")).alias("n"), F.lit("CT").alias("p"), F.lit("control").alias("part")).where("n <= 20")
     return first.unionByName(other).select("case_id", F.concat("p", F.format_string("%03d", "n")).alias("code"), "part")
 
@@ -358,7 +362,9 @@ def offset_variability(spark, d):
 
 @add("denominator_checks", f"{b.MEANS} select threshold, step, count(distinct case_id) as cases, count(*) filter (true_auc > 0) as with_auc, sum(true_auc) as auc_total, median(true_auc) as auc_median, median(valid_min) as valid_median from means group by 1, 2", "threshold auc_total auc_median valid_median", "step cases with_auc")
 def denominator_checks(spark, d):
-    return means(spark, d).groupBy("threshold", "step").agg(F.count_distinct("case_id").alias("cases"), tally(F.col("true_auc") > 0).alias("with_auc"), F.sum("true_auc").alias("auc_total"), F.median("true_auc").alias("auc_median"), F.median("valid_min").alias("valid_median"))
+    m = files.settled(means(spark, d).select("case_id", "threshold", "step", "true_auc", "valid_min"))
+    out = m.groupBy("threshold", "step").agg(F.count_distinct("case_id").alias("cases"), tally(F.col("true_auc") > 0).alias("with_auc"), F.sum("true_auc").alias("auc_total"))
+    return ranks.with_quantiles(out, m, ["threshold", "step"], {"auc_median": (F.col("true_auc"), 0.5), "valid_median": (F.col("valid_min"), 0.5)})
 
 
 _INIT = f"""{b.BASE}, {b.CUTS}, h as (select case_id, bin, value, s.phase::int as phase, last_value(case when (bin - s.phase) % 4 = 0 and bin >= s.phase and value is not null then value end ignore nulls) over (partition by case_id, s.phase order by bin rows between unbounded preceding and current row) as shown,
@@ -397,8 +403,8 @@ cut as (select quantile_cont(same, 0.95) as c from q), sub as (select 'all' as s
 @add("coverage_sensitivity", f"{_SUBSETS} select subset, threshold, step, count(*) as cases, sum(hidden_auc) / sum(true_auc) as hdr, sum(over_auc) / sum(true_auc) as odr from sub join means using (case_id) group by 1, 2, 3", "threshold hdr odr", "step cases")
 def coverage_sensitivity(spark, d):
     p = b.panel(spark, d).withColumn("before", F.lag("value").over(W("case_id").orderBy("bin")))
-    q = p.groupBy("case_id").agg((F.count("value") / F.count("*")).alias("share"), tally(F.abs(F.col("value") - F.col("before")) < 1).alias("same"))
-    cut = q.agg(F.percentile("same", F.lit(0.95)).alias("cut"))
+    q = files.settled(p.groupBy("case_id").agg((F.count("value") / F.count("*")).alias("share"), tally(F.abs(F.col("value") - F.col("before")) < 1).alias("same")))
+    cut = ranks.quantiles(q, [], {"cut": (F.col("same"), 0.95)})
     q = q.join(F.broadcast(cut), F.lit(True))  # one row
     subsets = F.array_compact(F.array(F.lit("all"), F.when(F.col("share") >= 0.6, "share60"), F.when(F.col("share") >= 0.65, "share65"), F.when(F.col("same") <= F.col("cut"), "not_flat")))
     sub = q.select("case_id", F.explode(subsets).alias("subset"))
@@ -408,12 +414,12 @@ def coverage_sensitivity(spark, d):
 @add("case_phase_quantiles", f"""{b.MEANS}, r as (select case_id, threshold, step, max(hidden_auc) - min(hidden_auc) as phase_range from facts group by 1, 2, 3), j as (select threshold, step, hdr, odr, phase_range from means join r using (case_id, threshold, step)),
 u as (unpivot j on hdr, odr, phase_range into name metric value v) select threshold, step, metric, count(v) as n, quantile_cont(v, 0.05) as p05, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as median, quantile_cont(v, 0.75) as q3, quantile_cont(v, 0.95) as p95 from u group by 1, 2, 3""", "threshold p05 q1 median q3 p95", "step n")
 def case_phase_quantiles(spark, d):
-    f = facts(spark, d)
-    m = deficit.phase_means(f, ["case_id", "threshold", "step"]).join(f.groupBy("case_id", "threshold", "step").agg((F.max("hidden_auc") - F.min("hidden_auc")).alias("phase_range")), ["case_id", "threshold", "step"])
-    u = m.unpivot(["threshold", "step"], ["hdr", "odr", "phase_range"], "metric", "v").where("v is not null")
-    q = F.percentile("v", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    out = u.groupBy("threshold", "step", "metric").agg(F.count("v").alias("n"), q.alias("q"))
-    return out.select("threshold", "step", "metric", "n", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p05", "q1", "median", "q3", "p95"))])
+    sums = facts(spark, d).groupBy("case_id", "threshold", "step").agg(*[F.avg(f"{m}_auc").alias(m) for m in ("hidden", "over", "true")], (F.max("hidden_auc") - F.min("hidden_auc")).alias("phase_range"))
+    m = sums.select("threshold", "step", ratio("hidden", "true").alias("hdr"), ratio("over", "true").alias("odr"), "phase_range")
+    u = files.settled(m.unpivot(["threshold", "step"], ["hdr", "odr", "phase_range"], "metric", "v").where("v is not null"))
+    keys = ["threshold", "step", "metric"]
+    shares = {"p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}
+    return ranks.with_quantiles(u.groupBy(*keys).agg(F.count("v").alias("n")), u, keys, {n: (F.col("v"), q) for n, q in shares.items()})
 
 
 @add("phase_schedule", f"{b.FACTS} select threshold, step, phase, 100 * sum(hidden_auc) / sum(true_auc) as hidden_pct, 100 * sum(over_auc) / sum(true_auc) as over_pct, 100 * sum(available_min) / sum(valid_min) as available_pct from facts group by 1, 2, 3", "threshold hidden_pct over_pct available_pct", "step phase")
@@ -600,8 +606,9 @@ def class_by_duration(spark, d):
 select threshold, step, count(*) as cases, avg(miss) as mean_miss, quantile_cont(miss, 0.25) as q1, quantile_cont(miss, 0.75) as q3, median(span) as middle_span from r group by 1, 2""", "threshold mean_miss q1 q3 middle_span", "step cases")
 def miss_by_phase(spark, d):
     c = classed(spark, d).groupBy("case_id", "threshold", "step", "phase").agg(F.avg((F.col("class") == "never").cast("double")).alias("miss"))
-    r = c.groupBy("case_id", "threshold", "step").agg(F.avg("miss").alias("m"), (F.max("miss") - F.min("miss")).alias("span"))
-    return r.groupBy("threshold", "step").agg(F.count("*").alias("cases"), F.avg("m").alias("mean_miss"), F.percentile("m", F.lit(0.25)).alias("q1"), F.percentile("m", F.lit(0.75)).alias("q3"), F.median("span").alias("middle_span"))
+    r = files.settled(c.groupBy("case_id", "threshold", "step").agg(F.avg("miss").alias("m"), (F.max("miss") - F.min("miss")).alias("span")))
+    out = r.groupBy("threshold", "step").agg(F.count("*").alias("cases"), F.avg("m").alias("mean_miss"))
+    return ranks.with_quantiles(out, r, ["threshold", "step"], {"q1": (F.col("m"), 0.25), "q3": (F.col("m"), 0.75), "middle_span": (F.col("span"), 0.5)})
 
 
 @add("count_integrity", f"{CLASSES}, n as (select threshold, step, class, count(*) / step as per_phase from cls group by threshold, step, class) select threshold, step, sum(per_phase) as events, abs(sum(per_phase) - round(sum(per_phase))) < 1e-7 as whole from n group by 1, 2", "threshold events", "step")
