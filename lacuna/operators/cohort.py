@@ -99,6 +99,11 @@ def membership(cohorts: dict[str, DataFrame], key: str) -> DataFrame:
     return rows.groupBy(key).agg(*[F.bool_or(F.col("_c") == n).alias(n) for n in cohorts])
 
 
+#: Ids of one list: their text stays well under the 2 GB of a value.
+MOST_IDS = 50_000_000
+
+
 def ids_digest(df: DataFrame, key: str) -> Column:
-    """Digest of the exact list of ids, in order, one a line."""
-    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda x: x.cast("string")), "\n").cast("binary"), 256)
+    """Digest of the exact list of ids, in order, one a line. The digest is of one text, so a group may have at most ``MOST_IDS`` ids; more are an error."""
+    whole = F.assert_true(F.count(key) <= MOST_IDS, F.lit(f"over {MOST_IDS} ids in one list"))
+    return F.when(whole.isNull(), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda x: x.cast("string")), "\n").cast("binary"), 256))

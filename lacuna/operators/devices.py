@@ -16,12 +16,19 @@ CATEGORIES = ("reference_normal", "unavailable", "normal_display", "fresh_low",
 
 def collapsed(rows: DataFrame, hold: float, gap: float, low: float, high: float, keys: tuple = ("case_id",)) -> DataFrame:
     """keys, sec, value, reason of the records kept: the first, a change by 1 or more from the last kept, or ``gap`` later and not within ``hold``."""
+    return collapsed_each(rows, [(hold, gap)], low, high, keys).drop("hold", "gap")
+
+
+def collapsed_each(rows: DataFrame, settings: list[tuple[float, float]], low: float, high: float, keys: tuple = ("case_id",)) -> DataFrame:
+    """``collapsed`` with hold and gap, for every pair of them; a case's records are collected once."""
     clean = rows.where(F.col("value").between(low, high) & F.col("sec").isNotNull()).select(*keys, "sec", "value").distinct()
     series = clean.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sec", "value"))).alias("s"))
     start = F.expr("named_struct('t', cast(null as double), 'v', cast(null as double), 'kept', cast(array() as array<struct<sec:double,value:double,reason:string>>))")
-    reason = f"case when s.t is null then 'initial' when abs(x.value - s.v) >= 1 then 'change' when x.sec - s.t >= {gap}d and x.sec - s.t >= {hold}d then 'timer' end"
+    reason = "case when s.t is null then 'initial' when abs(x.value - s.v) >= 1 then 'change' when x.sec - s.t >= gap and x.sec - s.t >= hold then 'timer' end"
     fold = F.expr(f"aggregate(s, _start, (s, x) -> if(({reason}) is null, s, named_struct('t', x.sec, 'v', x.value, 'kept', concat(s.kept, array(named_struct('sec', x.sec, 'value', x.value, 'reason', {reason}))))))")
-    return series.withColumn("_start", start).withColumn("_k", F.explode(fold["kept"])).select(*keys, "_k.sec", "_k.value", "_k.reason")
+    each = F.explode(F.array(*[F.struct(F.lit(float(h)).alias("hold"), F.lit(float(g)).alias("gap")) for h, g in settings]))
+    rows = series.withColumn("_set", each).select(*keys, "s", "_set.hold", "_set.gap", start.alias("_start"))
+    return rows.withColumn("_k", F.explode(fold["kept"])).select(*keys, "hold", "gap", "_k.sec", "_k.value", "_k.reason")
 
 
 def retention(raw: DataFrame, kept: DataFrame, low: float, high: float) -> DataFrame:

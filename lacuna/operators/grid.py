@@ -169,13 +169,18 @@ def decoded_times(samples: DataFrame, start: Column, interval: Column) -> DataFr
     return samples.withColumn("sec", F.when(sound.isNull(), start + F.col("idx") * interval))
 
 
-def masked(panel: DataFrame, flag: Column, least_run: int) -> DataFrame:
-    """Adds ``masked``: in an unbroken run of at least ``least_run`` flagged bins."""
+def flagged_runs(panel: DataFrame, flag: Column) -> DataFrame:
+    """Adds run: the length of the unbroken run of flagged bins that a bin is in (0: not flagged)."""
     rows = panel.withColumn("_flag", F.coalesce(flag, F.lit(False)))
     w = Window.partitionBy("case_id").orderBy("bin")
     rows = rows.withColumn("_breaks", F.sum(F.when(F.col("_flag"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     run = tally(F.col("_flag")).over(Window.partitionBy("case_id", "_breaks"))
-    return rows.withColumn("masked", F.col("_flag") & (run >= least_run)).drop("_flag", "_breaks")
+    return rows.withColumn("run", F.when(F.col("_flag"), run).otherwise(0)).drop("_flag", "_breaks")
+
+
+def masked(panel: DataFrame, flag: Column, least_run: int) -> DataFrame:
+    """Adds ``masked``: in an unbroken run of at least ``least_run`` flagged bins."""
+    return flagged_runs(panel, flag).withColumn("masked", F.col("run") >= least_run).drop("run")
 
 
 def first_bins(panel: DataFrame, width: int) -> DataFrame:

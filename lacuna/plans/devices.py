@@ -53,12 +53,9 @@ def retention(spark, d):
 
 @add("collapse_grid", f"{collapse_sql('(select * from (values (43200.0::double), (86400.0), (129600.0), (172800.0)) a(h) cross join (values (86400.0::double), (129600.0), (172800.0), (259200.0)) z(g))')} select hold, gap, count(*) as kept, count(distinct case_id) as cases, count(*) filter (reason = 'timer') as timers from kept group by 1, 2", "hold gap", "kept cases timers")
 def collapse_grid(spark, d):
-    rows, out = raw(spark, d), None
-    for h in (43200.0, 86400.0, 129600.0, 172800.0):
-        for g in (86400.0, 129600.0, 172800.0, 259200.0):
-            one = devices.collapsed(rows, h, g, 0.0, 300.0).agg(F.lit(h).alias("hold"), F.lit(g).alias("gap"), F.count("*").alias("kept"), F.count_distinct("case_id").alias("cases"), tally(F.col("reason") == "timer").alias("timers"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    settings = [(h, g) for h in (43200.0, 86400.0, 129600.0, 172800.0) for g in (86400.0, 129600.0, 172800.0, 259200.0)]
+    k = devices.collapsed_each(raw(spark, d), settings, 0.0, 300.0)
+    return k.groupBy("hold", "gap").agg(F.count("*").alias("kept"), F.count_distinct("case_id").alias("cases"), tally(F.col("reason") == "timer").alias("timers"))
 
 
 @add("record_classes", f"{collapse_sql()}, o as (select case_id, sec from sig where event_type = 'signup'), k as (select k.case_id, k.reason, k.sec, (select min(abs(o.sec - k.sec)) from o where o.case_id = k.case_id) as dist from kept k) select reason, count(*) as n, count(*) filter (dist <= 43200) as near_other from k group by 1", "", "n near_other")

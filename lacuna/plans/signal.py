@@ -158,13 +158,10 @@ def numeric_screen(spark, d):
 
 def policy_panels(panel):
     """The panel under each mask policy: policy, case_id, bin, raw, value, masked."""
-    suspicious = (F.col("value") < 20) | (F.col("value") > 150)
-    made = {"original": panel.withColumn("masked", F.lit(False)), "runs2": grid.masked(panel, suspicious, 2), "runs1": grid.masked(panel, suspicious, 1), "startup6": grid.first_bins(panel, 6)}
-    out = None
-    for name, rows in made.items():
-        rows = rows.select(F.lit(name).alias("policy"), "case_id", "bin", F.col("value").alias("raw"), F.when(~F.col("masked"), F.col("value")).alias("value"), "masked")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = grid.flagged_runs(grid.first_bins(panel, 6), (F.col("value") < 20) | (F.col("value") > 150))
+    rules = {"original": F.lit(False), "runs2": F.col("run") >= 2, "runs1": F.col("run") >= 1, "startup6": F.col("masked")}
+    each = rows.withColumn("_p", F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), m.alias("masked")) for n, m in rules.items()])))
+    return each.select("_p.policy", "case_id", "bin", F.col("value").alias("raw"), F.when(~F.col("_p.masked"), F.col("value")).alias("value"), "_p.masked")
 
 
 _POLICY = """flag as (select *, coalesce(value < 20 or value > 150, false) as f, min(case when value is not null then bin end) over (partition by case_id) as first from panel),
