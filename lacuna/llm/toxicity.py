@@ -69,29 +69,23 @@ def stem(word: bytes) -> bytes:
     return word.decode("utf-8", "surrogatepass")[:STEM].encode("utf-8", "surrogatepass")
 
 
-class Weights(dict):
-    """Weight of a word with that of its stem, worked out when first asked for."""
-
-    def __init__(self, weights: dict[bytes, float]):
-        self.known = weights
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = x = self.known.get(word, 0.0) + self.known.get(stem(word) + b"*", 0.0)
-        return x
-
-
 class Model:
     """Weights of words and of stems (the first STEM code points of a word, marked by a star), sentence bias and leak."""
 
     def __init__(self, weights: dict[bytes, float], bias: float, leak: float):
-        self.weights, self.bias, self.leak = weights, bias, leak
+        self.words = {w: x for w, x in weights.items() if not w.endswith(b"*")}
+        self.stems = {w[:-1]: x for w, x in weights.items() if w.endswith(b"*")}
+        self.bias, self.leak = bias, leak
+
+    def logits(self, text: str | None) -> np.ndarray:
+        get, stem_of = self.words.get, self.stems.get
+        if (text or "").isascii():
+            return np.array([sum([get(w, 0.0) for w in s]) + sum([stem_of(w[:STEM], 0.0) for w in s]) for s in sentences(text)], float) + self.bias
+        return np.array([sum([get(w, 0.0) for w in s]) + sum([stem_of(w[:STEM] if w.isascii() else stem(w), 0.0) for w in s]) for s in sentences(text)], float) + self.bias
 
-    def score(self, text: str | None, weights: Weights | None = None) -> tuple[float, int, float, int]:
+    def score(self, text: str | None) -> tuple[float, int, float, int]:
         """Document score, the sentence with the highest score (-1: none), its score, and how many offend."""
-        of = (weights or Weights(self.weights)).__getitem__
-        z = np.array([sum(map(of, s)) for s in sentences(text)], float) + self.bias
+        z = self.logits(text)
         if not len(z):
             return self.leak, -1, 0.0, 0
         safe = -np.logaddexp(0, z)
@@ -169,11 +163,10 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, sample: int =
 
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m: Model = model.value
-        weights = Weights(m.weights)
         for batch in texts:
             out = []
             for text in batch:
-                p, top, own, n = m.score(text, weights)
+                p, top, own, n = m.score(text)
                 start, end = spans(text)[top] if n else (None, None)
                 out.append((p, n, start, end, own))
             yield pd.DataFrame(out, columns=["score", "n", "start", "stop", "own"]).astype({"start": "Int32", "stop": "Int32"})
