@@ -28,6 +28,8 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from uuid import uuid4
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -55,17 +57,17 @@ GATES = ((K - 1) * len(SEEN) + 1) * LEVELS
 BUCKETS = 33
 END = b"\n"
 #: Distinct words, and grams, that a task counts before it hands them on.
-FLUSH = 800_000
-FLUSH_GRAMS = 4_000_000
+FLUSH = 300_000
+FLUSH_GRAMS = 2_000_000
+#: Parts by hash for each task that adds them up.
+PARTS = 4
 #: Grams that are made distinct at once.
-RAW_GRAMS = 4_000_000
+RAW_GRAMS = 2_000_000
 #: Distinct grams of a task, on average.
 TASK_GRAMS = 150_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _BYTE = np.uint64(8)
-#: By bytes of the current word so far: what a gram keeps.
-_KEPT = np.array([(1 << 8 * (1 + max(LEAST, k))) - 1 for k in range(PAD + 1)], np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,14 +111,17 @@ def grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """
     data = b"".join([x for p in pieces for x in (BEFORE, p)])
     g = np.ndarray(len(data) - PAD, ">u8", data, 0, (1,)).astype(np.uint64)
-    at = np.arange(len(data), dtype=np.int64)
-    at -= np.maximum.accumulate(np.where(np.frombuffer(data, np.uint8) == 0x20, at, 0))
-    g &= _KEPT[np.minimum(at[PAD - 1 : -1] + 1, PAD)]
+    space = np.frombuffer(data, np.uint8) == 0x20
+    near = space[PAD - 1 : -1].copy()  # is there a space among the last LEAST context bytes, and one more
+    for k in range(1, LEAST):
+        near |= space[PAD - 1 - k : -1 - k]
+    for k in range(LEAST, PAD):
+        # beyond the space before the current word nothing is kept
+        g &= ~(near.astype(np.uint64) * np.uint64(0xFF << 8 * (k + 1)))
+        near |= space[PAD - 1 - k : len(space) - 1 - k]
     sizes = np.array([len(p) for p in pieces])
-    keep = np.ones(len(g), bool)
-    for e in (np.cumsum(sizes + PAD) - PAD)[:-1].tolist():
-        keep[e : e + PAD] = False
-    return g[keep], np.cumsum(sizes) - sizes
+    ends = np.cumsum(sizes + PAD) - PAD
+    return np.concatenate([g[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]), np.cumsum(sizes) - sizes
 
 
 def context(g: np.ndarray, kind) -> np.ndarray:
@@ -267,12 +272,15 @@ def counted(docs: DataFrame) -> DataFrame:
     """Counts over all rows of (text, held_out): word, g, n, m.
 
     A row with a word (an end is a newline, which is in no word) has its training tokens n; one with a gram g (as a signed number) has n in
-    training and m in all documents.
+    training and m in all documents. Each task counts for itself and hands on what it has in parts by hash, a few packed values each, which are added up part by part.
     """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS * tasks
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _KEPT.clear()  # of an earlier scoring in this process
         held: Counter = Counter()
-        raw, parts = {False: [], True: []}, []
+        raw, done = {False: [], True: []}, []
         for b in batches:
             for out in False, True:
                 pieces = []
@@ -282,39 +290,65 @@ def counted(docs: DataFrame) -> DataFrame:
                         held.update(w)
                     pieces.append(b" ".join(w) + END)
                 if pieces:
-                    held[END] += 0 if out else len(pieces)
+                    held[b""] += 0 if out else len(pieces)  # the end, as long as words are packed
                     raw[out].append(grams(pieces)[0])
                 if sum(map(len, raw[out])) > RAW_GRAMS:
-                    parts.append(distinct(raw[out], out))
+                    done.append(distinct(raw[out], out))
                     raw[out] = []
             if len(held) > FLUSH:
-                yield flat(held)
+                yield pack_words(held)
                 held = Counter()
-            if sum(len(p[0]) for p in parts) > FLUSH_GRAMS:
-                parts = [summed(parts)]
-                if len(parts[0][0]) > FLUSH_GRAMS // 2:
-                    yield from listed(parts)
-                    parts = []
-        yield flat(held)
-        yield from listed([*parts, *(distinct(raw[out], out) for out in raw if raw[out])])
+            if sum(len(p[0]) for p in done) > FLUSH_GRAMS:
+                done = [summed(done)]
+                if len(done[0][0]) > 3 * FLUSH_GRAMS // 4:
+                    yield pack_grams(done)
+                    done = []
+        yield pack_words(held)
+        yield pack_grams([*done, *(distinct(raw[out], out) for out in raw if raw[out])])
 
     def distinct(raw: list[np.ndarray], out: bool) -> tuple[np.ndarray, ...]:
         g, m = np.unique(np.concatenate(raw), return_counts=True)
         return g, m * (not out), m
 
-    def flat(held: Counter) -> pd.DataFrame:
-        held = {w: c for w, c in held.items() if c}
-        return pd.DataFrame({"word": list(held.keys()), "g": pd.array([None] * len(held), "Int64"), "n": np.fromiter(held.values(), np.int64, len(held)), "m": 0})
+    def dealt(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order by part, and (part, first, last) of each."""
+        order = np.argsort(part, kind="stable")
+        edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts))
+        return order, [(int(part[order[a]]), a, z) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
-    def listed(parts: list) -> Iterator[pd.DataFrame]:
-        if parts:
-            g, n, m = summed(parts)
-            for a in range(0, len(g), FLUSH):
-                z = slice(a, a + FLUSH)
-                yield pd.DataFrame({"word": pd.Series([None] * len(g[z]), dtype=object), "g": g[z].view(np.int64), "n": n[z], "m": m[z]})
+    def pack_words(held: Counter) -> pd.DataFrame:
+        kept = [w for w, c in held.items() if c]
+        n = np.fromiter((held[w] for w in kept), "<i8", len(kept))
+        order, spans = dealt(np.fromiter(map(crc32, kept), np.int64, len(kept)) % parts)
+        return pd.DataFrame([(k, END.join([kept[i] for i in order[a:z].tolist()]), n[order[a:z]].tobytes(), None) for k, a, z in spans], columns=["part", "a", "n", "m"])
 
-    rows = docs.select("text", "held_out").mapInPandas(count, "word binary, g long, n long, m long")
-    return rows.groupBy("word", "g").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    def pack_grams(done: list) -> pd.DataFrame:
+        g, n, m = summed(done) if done else (np.zeros(0, np.uint64),) * 3
+        with np.errstate(over="ignore"):
+            order, spans = dealt((((g * _ODD) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64))
+        return pd.DataFrame([(k, *(x[order[a:z]].astype("<i8").tobytes() for x in (g.view(np.int64), n, m))) for k, a, z in spans], columns=["part", "a", "n", "m"])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, int] = {}
+        done: list = []
+        for b in batches:
+            for a, n, m in zip(b["a"], b["n"], b["m"], strict=True):
+                n = np.frombuffer(n, "<i8")
+                if m is not None:
+                    done.append((np.frombuffer(a, "<u8").astype(np.uint64), n, np.frombuffer(m, "<i8")))
+                else:
+                    for w, c in zip(a.split(END), n.tolist(), strict=True):
+                        held[w] = held.get(w, 0) + c
+            if sum(len(p[0]) for p in done) > FLUSH_GRAMS:
+                done = [summed(done)]
+        if held:
+            yield pd.DataFrame({"word": [w or END for w in held], "g": pd.array([None] * len(held), "Int64"), "n": np.fromiter(held.values(), np.int64, len(held)), "m": 0})
+        if done:
+            g, n, m = summed(done)
+            yield pd.DataFrame({"word": pd.Series([None] * len(g), dtype=object), "g": g.view(np.int64), "n": n, "m": m})
+
+    packs = docs.select("text", "held_out").mapInPandas(count, "part int, a binary, n binary, m binary")
+    return packs.repartition(tasks, "part").mapInPandas(add, "word binary, g long, n long, m long")
 
 
 def least_count(counts: DataFrame, count: str, most: int) -> int | None:
@@ -367,8 +401,20 @@ class Lookup:
         return p, miss[~found]
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept_for(token: str, make):
+    """What ``make`` gives, kept for the next tasks of the same worker process; the one before is dropped."""
+    if token not in _KEPT:
+        _KEPT.clear()
+        _KEPT[token] = make()
+    return _KEPT[token]
+
+
 def slots_of(batches: Iterator[pd.DataFrame], sent) -> tuple[Slots, np.ndarray]:
     """All grams of a task, by their number, and their slots."""
+    _KEPT.clear()
     held = [(b["g"].to_numpy(np.int64).view(np.uint64), b["n"].to_numpy(np.int64), b["m"].to_numpy(np.int64)) for b in batches if len(b)]
     g, n, m = summed(held) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     return Slots(g, n, *sent.value), m
@@ -448,10 +494,16 @@ def score(docs: DataFrame, folds: int = FOLDS, heavy: int = HEAVY, heavy_grams:
     listed = spark.sparkContext.broadcast(packed(scored.where(F.col("m") >= F.lit(least)).select("g", "p"), ("<i8", "<f8")) if least is not None else [])
     end, below = float(np.log10((ends + 0.1) / (n + 0.1 * (v + 1)))), float(np.log10(n + 0.1 * (v + 1)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup, base = Lookup(listed.value), {}
+    token = uuid4().hex
+
+    def tables() -> tuple[Lookup, dict]:
+        base: dict[bytes, float] = {}
         for a, c in known.value:
             base.update(zip(a.split(END), (np.log10(np.frombuffer(c, "<i8") + 0.1) - below).tolist(), strict=True))
+        return Lookup(listed.value), base
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lookup, base = kept_for(token, tables)
         get = base.get
         for b in batches:
             rows, pieces = [], []
