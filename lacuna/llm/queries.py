@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitmix, chunks, decontaminate, mixing, quality, secrets, sharding, simhash, token_lengths, toxicity, warc
+from . import bitmix, chunks, collocations, decontaminate, mixing, quality, secrets, sharding, simhash, token_lengths, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,11 @@ def op11_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op8_source_mixing": op8_source_mixing, "op9_simhash_dedup": op9_simhash_dedup, "op10_warc_archive": op10_warc_archive, "op7_chunk_dedup": op7_chunk_dedup, "op4_toxicity": op4_toxicity, "op3_token_counts": op3_token_counts, "op6_bit_mixing": op6_bit_mixing, "op11_histogram_sharding": op11_histogram_sharding}
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op8_source_mixing": op8_source_mixing, "op9_simhash_dedup": op9_simhash_dedup, "op10_warc_archive": op10_warc_archive, "op7_chunk_dedup": op7_chunk_dedup, "op4_toxicity": op4_toxicity, "op3_token_counts": op3_token_counts, "op6_bit_mixing": op6_bit_mixing, "op11_histogram_sharding": op11_histogram_sharding, "op12_phrase_collocations": op12_phrase_collocations}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL: dict[str, str] = {
@@ -80,4 +84,17 @@ select page_id, n::bigint as payload_bytes,
   case when page_id is not distinct from top then 'response' else 'revisit' end as record_type,
   case when page_id is distinct from top then top end as refers_to, cast(null as varchar) as error
 from q""",
+    "op12_phrase_collocations": r"""
+with t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+p as (select lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) as piece from t), w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+total as (select lang, sum(len(w)) as n from w group by 1),
+g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from w, range(1, 5) r(k), unnest(range(1, len(w) - k + 2)) u(i)),
+f as (select lang, k, phrase, string_split(phrase, ' ') as w, count(*) as a from g group by all having count(*) >= 30),
+inner_ as (select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(a) as top from f, unnest(range(2, k)) r(m), unnest(range(1, k - m + 2)) u(i) group by 1, 2),
+c as (select f.* from f left join inner_ using (lang, phrase) where k > 1 and (top is null or 100 * top < 80 * a)),
+cut as (select lang, phrase, a, j, array_to_string(w[1:j], ' ') as x, array_to_string(w[j + 1:k], ' ') as y from c, unnest(range(1, k)) r(j)),
+s as (select cut.lang, cut.phrase, cut.a, j, x.a as l, y.a as r, (2000000::hugeint * cut.a) // (x.a + y.a) as score from cut join f x on x.lang = cut.lang and x.phrase = cut.x join f y on y.lang = cut.lang and y.phrase = cut.y),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from o join total using (lang) where rank <= 2000""",
 }
