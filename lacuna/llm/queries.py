@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitmix, chunks, collocations, decontaminate, mixing, quality, secrets, sharding, simhash, token_lengths, toxicity, warc
+from . import bitmix, chunks, collocations, decontaminate, mixing, quality, secrets, sharding, simhash, token_lengths, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,11 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op8_source_mixing": op8_source_mixing, "op9_simhash_dedup": op9_simhash_dedup, "op10_warc_archive": op10_warc_archive, "op7_chunk_dedup": op7_chunk_dedup, "op4_toxicity": op4_toxicity, "op3_token_counts": op3_token_counts, "op6_bit_mixing": op6_bit_mixing, "op11_histogram_sharding": op11_histogram_sharding, "op12_phrase_collocations": op12_phrase_collocations}
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_decontamination": op2_decontamination, "op5_quality_rules": op5_quality_rules, "op8_source_mixing": op8_source_mixing, "op9_simhash_dedup": op9_simhash_dedup, "op10_warc_archive": op10_warc_archive, "op7_chunk_dedup": op7_chunk_dedup, "op4_toxicity": op4_toxicity, "op3_token_counts": op3_token_counts, "op6_bit_mixing": op6_bit_mixing, "op11_histogram_sharding": op11_histogram_sharding, "op12_phrase_collocations": op12_phrase_collocations, "op13_embedding_whitening": op13_embedding_whitening}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL: dict[str, str] = {
