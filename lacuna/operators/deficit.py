@@ -7,7 +7,7 @@ deficit, and its hidden part is counted on its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.columns import ratio, tally, total
@@ -45,6 +45,43 @@ def decompose(df: DataFrame, keys: list[str], minutes: float) -> DataFrame:
     return with_ratios(out)
 
 
+def sum_samples(rows: DataFrame, keys: list[str], thresholds: list[float], minutes: float, share: Column | float = 1.0) -> DataFrame:
+    """The same sums from ``hold.samples(..., seen=True)``, per key and threshold, times ``share``; thresholds become rows after the sums.
+
+    A row stands for the bins that show one sample. Its measures are sums over the list of their valid values; where none of these is low or the display is
+    not low, they follow without another look at the list.
+    """
+    zero = F.lit(0.0)
+    up, shown, valid = F.col("shown").isNotNull(), F.col("shown"), F.size("seen")
+    below = lambda t: lambda x: x < t
+    over_list = lambda low, f: F.aggregate(low, zero, lambda s, x: s + f(x))
+    rows = rows.select(*keys, "shown", "seen", valid.alias("_valid"))
+    order = sorted(range(len(thresholds)), key=lambda i: -thresholds[i])
+    lists = "seen"
+    sums: dict[str, Column] = {}
+    for i in order:
+        t, low, n = F.lit(float(thresholds[i])), F.col(f"_low{i}"), F.size(f"_low{i}")
+        rows = rows.withColumn(f"_low{i}", F.filter(lists, below(t)))
+        rows = rows.withColumn(f"_true{i}", F.when(n > 0, over_list(low, lambda x, t=t: t - x)).otherwise(zero))
+        lists, dlow, both = f"_low{i}", up & (shown < t), (n > 0) & up & (shown < t)
+        rows = rows.withColumns({
+            f"_hidden{i}": F.when(both, over_list(low, lambda x: F.greatest(shown - x, zero))).otherwise(F.col(f"_true{i}")),
+            f"_over{i}": F.when(dlow, (t - shown) * (F.col("_valid") - n)).otherwise(zero) + F.when(both, over_list(low, lambda x: F.greatest(x - shown, zero))).otherwise(zero),
+            f"_both{i}": F.when(both, over_list(low, lambda x, t=t: F.least(t - x, t - shown))).otherwise(zero),
+        })
+        hidden, count = F.col(f"_hidden{i}"), lambda c, x: F.when(c, x).otherwise(0)
+        sums |= {f"{m}_{i}": F.sum(x) for m, x in {
+            "true_auc": F.col(f"_true{i}"), "display_auc": F.when(dlow, (t - shown) * F.col("_valid")).otherwise(zero), "hidden_auc": hidden, "over_auc": F.col(f"_over{i}"), "concordant_auc": F.col(f"_both{i}"),
+            "hidden_unavailable_auc": F.when(~up, hidden).otherwise(zero), "hidden_valid_auc": F.when(up, hidden).otherwise(zero), "true_low_min": n, "display_low_min": count(dlow, F.col("_valid")), "both_low_min": count(dlow, n),
+            "normal_discordant_min": count(up & (shown >= t), n), "low_discordant_min": count(dlow, F.col("_valid") - n), "unavailable_low_min": count(~up, n),
+        }.items()}
+    sums |= {"valid_min": F.sum("_valid"), "available_min": F.sum(F.when(up, F.col("_valid")).otherwise(0))}
+    one = lambda i: F.struct(F.lit(float(thresholds[i])).alias("threshold"), *[F.col(f"{m}_{i}" if f"{m}_{i}" in sums else m).cast("double").alias(m) for m in MEASURES])
+    out = rows.groupBy(*keys).agg(*[x.alias(m) for m, x in sums.items()]).select(*keys, F.explode(F.array(*[one(i) for i in range(len(thresholds))])).alias("_m"))
+    factor = share * minutes if isinstance(share, Column) else F.lit(float(share * minutes))
+    return with_ratios(out.select(*keys, "_m.threshold", *[(F.col(f"_m.{m}") * factor).alias(m) for m in MEASURES]))
+
+
 def with_ratios(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "hdr": ratio("hidden_auc", "true_auc"), "odr": ratio("over_auc", "true_auc"), "net": ratio(F.col("over_auc") - F.col("hidden_auc"), F.col("true_auc")),

@@ -1,6 +1,6 @@
 """Events of a second device, change events, and states and recovery around them.
 
-Decisions that compare with the last kept record are folds over a case's records in order; range and as-of joins are
+Decisions that compare with the last kept record are scans over sorted records (``scan``); range and as-of joins are
 equi-joins on bins or one window over the union of both sides.
 """
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.columns import ratio, tally
 
+from . import hold, scan
+
 CATEGORIES = ("reference_normal", "unavailable", "normal_display", "fresh_low", "inherited_low")
 
 
@@ -20,15 +22,10 @@ def collapsed(rows: DataFrame, hold: float, gap: float, low: float, high: float,
 
 
 def collapsed_each(rows: DataFrame, settings: list[tuple[float, float]], low: float, high: float, keys: tuple = ("case_id",)) -> DataFrame:
-    """``collapsed`` with hold and gap, for every pair of them; a case's records are collected once."""
-    clean = rows.where(F.col("value").between(low, high) & F.col("sec").isNotNull()).select(*keys, "sec", "value").distinct()
-    series = clean.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sec", "value"))).alias("s"))
-    start = F.expr("named_struct('t', cast(null as double), 'v', cast(null as double), 'kept', cast(array() as array<struct<sec:double,value:double,reason:string>>))")
-    reason = "case when s.t is null then 'initial' when abs(x.value - s.v) >= 1 then 'change' when x.sec - s.t >= gap and x.sec - s.t >= hold then 'timer' end"
-    fold = F.expr(f"aggregate(s, _start, (s, x) -> if(({reason}) is null, s, named_struct('t', x.sec, 'v', x.value, 'kept', concat(s.kept, array(named_struct('sec', x.sec, 'value', x.value, 'reason', {reason}))))))")
-    each = F.explode(F.array(*[F.struct(F.lit(float(h)).alias("hold"), F.lit(float(g)).alias("gap")) for h, g in settings]))
-    rows = series.withColumn("_set", each).select(*keys, "s", "_set.hold", "_set.gap", start.alias("_start"))
-    return rows.withColumn("_k", F.explode(fold["kept"])).select(*keys, "hold", "gap", "_k.sec", "_k.value", "_k.reason")
+    """``collapsed`` with hold and gap, for every pair of them, in one pass over the records."""
+    clean = rows.where(F.col("value").between(low, high) & F.col("sec").isNotNull()).select(*keys, F.col("sec").cast("double").alias("sec"), F.col("value").cast("double").alias("value")).distinct()
+    settings = [(float(h), float(g)) for h, g in settings]
+    return scan.scanned(clean, list(keys), ["sec", "value"], ["sec", "value"], "hold double, gap double, sec double, value double, reason string", scan.kept_changes(settings))
 
 
 def retention(raw: DataFrame, kept: DataFrame, low: float, high: float) -> DataFrame:
@@ -87,28 +84,17 @@ def rate_transitions(rows: DataFrame, most_gap: float, tiny: float = 1e-8) -> Da
 
 def sustained(rows: DataFrame, most_gap: float, stay: float, tiny: float = 1e-8) -> DataFrame:
     """Increases whose records stay above the previous rate, without long gaps, up to the first record ``stay`` later."""
-    series = rows.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("sec", "event_id", "value"))).alias("s"))
-    at = F.expr("filter(sequence(1, size(s) - 1), i -> size(s) > 1)")
-    r = series.where("size(s) > 1").withColumn("i", F.explode(at)).withColumns({"x": F.get("s", F.col("i")), "p": F.get("s", F.col("i") - 1)})
-    r = r.where((F.col("p.value") >= 0) & (F.col("x.value") > F.col("p.value") + tiny) & (F.col("x.sec") - F.col("p.sec") > 0) & (F.col("x.sec") - F.col("p.sec") <= most_gap))
-    r = r.withColumn("end", F.expr(f"array_min(filter(sequence(i, size(s) - 1), j -> s[j].sec >= x.sec + {stay}d))")).where("end is not null")
-    steady = F.expr(f"forall(sequence(i, end), j -> s[j].value is not null and s[j].value > p.value + {tiny} and (j = i or s[j].sec - s[j - 1].sec <= {most_gap}d))")
-    return r.where(steady).select("case_id", F.col("x.sec").alias("sec"), F.when(F.col("p.value") == 0, "start").otherwise("increase").alias("kind"), F.col("p.value").alias("previous"), F.col("x.value").alias("value"))
+    return scan.scanned(rows, ["case_id"], ["sec", "event_id", "value"], ["sec", "value"], "sec double, kind string, previous double, value double", scan.steady_increases(most_gap, stay, tiny))
 
 
 def anchored_blocks(changes: DataFrame, width: float) -> DataFrame:
     """case_id, sec, tracks, kind, changes: blocks that span at most ``width`` from their first change, so that blocks do not chain."""
-    series = changes.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("sec", "track", "kind"))).alias("s"))
-    start = F.expr("cast(array() as array<struct<sec:double,n:int>>)")
-    fold = F.expr(f"aggregate(s, _start, (a, x) -> if(size(a) = 0 or x.sec > element_at(a, -1).sec + {width}d + 1e-9, concat(a, array(named_struct('sec', x.sec, 'n', 1))), a))")
-    blocks = series.withColumn("_start", start).withColumn("_a", fold).select("case_id", "s", F.explode("_a").alias("a"))
-    inside = F.filter("s", lambda x: (x["sec"] >= F.col("a.sec")) & (x["sec"] <= F.col("a.sec") + width + 1e-9))
-    b = blocks.withColumn("m", inside)
-    kinds = F.array_distinct(F.transform("m", lambda x: x["kind"]))
-    return b.select("case_id", F.col("a.sec").alias("sec"), F.array_join(F.array_sort(F.array_distinct(F.transform("m", lambda x: x["track"]))), "+").alias("tracks"), F.when(F.size(kinds) > 1, "mixed").otherwise(F.get(kinds, F.lit(0))).alias("kind"), F.size("m").alias("changes"))
+    rows = scan.scanned(changes, ["case_id"], ["sec", "track", "kind"], ["sec", "track", "kind"], "anchor double, track string, kind string", scan.anchors(width))
+    b = rows.groupBy("case_id", F.col("anchor").alias("sec")).agg(F.array_join(F.array_sort(F.collect_set("track")), "+").alias("tracks"), F.min("kind").alias("kind"), F.max("kind").alias("_last"), F.count("*").alias("changes"))
+    return b.select("case_id", "sec", "tracks", F.when(F.col("kind") != F.col("_last"), "mixed").otherwise(F.col("kind")).alias("kind"), "changes")
 
 
-def states_at(events: DataFrame, display: DataFrame, panel: DataFrame, step: float, threshold: float, width: int = 6, least: int = 5) -> DataFrame:
+def states_at(events: DataFrame, samples: DataFrame, steps: list[int], panel: DataFrame, step: float, threshold: float, width: int = 6, least: int = 5) -> DataFrame:
     """Category of each phase's display at an event (case_id, event_id, sec), from completed bins only.
 
     The last completed bin must be valid, have ``width - 1`` before it, and at least ``least`` of the last ``width`` must be valid.
@@ -119,7 +105,7 @@ def states_at(events: DataFrame, display: DataFrame, panel: DataFrame, step: flo
     prepared = prepared.withColumn("low_start", F.coalesce(F.last("_not_low", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1, F.lit(0))).drop("_not_low")
     at = events.withColumn("bin", (F.floor((F.col("sec") + 1e-9) / step) - 1).cast("int")).where(F.col("bin") >= width - 1)
     base = at.join(prepared, ["case_id", "bin"]).where(F.col("value").isNotNull() & (F.col("support") >= least))
-    rows = base.join(display.select("case_id", "bin", "step", "phase", "held_bin", "shown"), ["case_id", "bin"])
+    rows = hold.shown_at(samples, base, steps)
     category = F.when(F.col("value") >= threshold, CATEGORIES[0]).when(F.col("shown").isNull(), CATEGORIES[1]).when(F.col("shown") >= threshold, CATEGORIES[2]).when(F.col("held_bin") >= F.col("low_start"), CATEGORIES[3]).otherwise(CATEGORIES[4])
     return rows.withColumns({"category": category, "low_bins": F.when(F.col("value") < threshold, F.col("bin") - F.col("low_start") + 1).otherwise(0)})
 
@@ -148,8 +134,8 @@ def scenario(states: DataFrame, events: DataFrame, step: float, first_bin: int,
     return rows.drop("_ix")
 
 
-def mask_audit(events: DataFrame, states: DataFrame, display: DataFrame, masks: DataFrame, step: float, threshold: float, width: int, after: int) -> DataFrame:
-    """One row of counts: what masked bins (case_id, bin, masked) touch at events, in their support, the low run before them, and the samples shown.
+def mask_audit(events: DataFrame, states: DataFrame, samples: DataFrame, steps: list[int], masks: DataFrame, step: float, threshold: float, width: int, after: int) -> DataFrame:
+    """One row of counts: what masked bins (case_id, bin, masked; all bins of the panel) touch at events, in their support, the low run before them, and the samples shown.
 
     ``states`` are those of ``states_at``; ``after`` bins follow a low event.
     """
@@ -160,10 +146,10 @@ def mask_audit(events: DataFrame, states: DataFrame, display: DataFrame, masks:
     back = known.withColumnRenamed("bin", "ix").withColumn("bin", F.explode(F.sequence(F.least(F.col("low_start"), F.col("ix") - width + 1), F.col("ix"))))
     touched = back.join(hit, ["case_id", "bin"]).groupBy("case_id", "event_id").agg(F.bool_or(F.col("bin") > F.col("ix") - width).alias("s"), F.bool_or((F.col("value") < threshold) & (F.col("bin") >= F.col("low_start"))).alias("l"))
     low = known.where(F.col("value") < threshold).select("case_id", "event_id", F.explode(F.sequence((index + 1).cast("int"), (index + after).cast("int"))).alias("bin"))
-    samples = lambda rows: rows.join(hit.withColumnRenamed("bin", "held_bin"), ["case_id", "held_bin"]).agg(F.count("*").alias("n"))
+    shown = lambda rows: rows.join(hit.withColumnRenamed("bin", "held_bin"), ["case_id", "held_bin"]).agg(F.count("*").alias("n"))
     ones = [
-        counts, known.agg(F.count("*").alias("events_checked")), touched.agg(tally(F.col("s")).alias("masked_support"), tally(F.col("l")).alias("masked_low_run")), samples(states).withColumnRenamed("n", "phases_masked_sample"),
-        low.join(hit, ["case_id", "bin"]).agg(F.count_distinct("case_id", "event_id").alias("masked_after")), samples(low.join(display, ["case_id", "bin"])).withColumnRenamed("n", "later_bins_masked_sample"),
+        counts, known.agg(F.count("*").alias("events_checked")), touched.agg(tally(F.col("s")).alias("masked_support"), tally(F.col("l")).alias("masked_low_run")), shown(states).withColumnRenamed("n", "phases_masked_sample"),
+        low.join(hit, ["case_id", "bin"]).agg(F.count_distinct("case_id", "event_id").alias("masked_after")), shown(hold.shown_at(samples, low.join(masks.select("case_id", "bin"), ["case_id", "bin"], "left_semi"), steps)).withColumnRenamed("n", "later_bins_masked_sample"),
     ]
     out = ones[0]
     for x in ones[1:]:
@@ -171,7 +157,7 @@ def mask_audit(events: DataFrame, states: DataFrame, display: DataFrame, masks:
     return out.withColumn("not_eligible", F.col("_events") - F.col("before_minimum") - F.col("events_checked")).drop("_events")
 
 
-def recovery(events: DataFrame, display: DataFrame, panel: DataFrame, step: float, threshold: float, bins: int, least: float, last_bin: int) -> DataFrame:
+def recovery(events: DataFrame, samples: DataFrame, steps: list[int], panel: DataFrame, step: float, threshold: float, bins: int, least: float, last_bin: int) -> DataFrame:
     """Per event, step and phase: the first confirmed recovery and how long the display stays low after it.
 
     Bins become available at their end. The ``bins`` after the event must all exist and a share ``least`` of them be valid. Recovery is the
@@ -185,10 +171,10 @@ def recovery(events: DataFrame, display: DataFrame, panel: DataFrame, step: floa
     ok = F.col("value") >= threshold
     spots = spots.withColumn("confirmed", ok & F.lag(ok).over(w))
     found = spots.groupBy("case_id", "event_id", "first").agg(F.count("value").alias("valid"), F.min(F.when(F.col("confirmed"), F.col("bin"))).alias("recovery_bin"), F.max("sec").alias("sec")).where(F.col("valid") >= least * bins)
-    steps = display.select("step", "phase").distinct()
-    base = found.join(F.broadcast(steps), F.lit(True))  # a few schedules
-    later = found.where("recovery_bin is not null").withColumn("bin", F.explode(F.sequence(F.col("recovery_bin"), F.col("first") + bins - 1))).select("case_id", "event_id", "recovery_bin", "bin", "sec")
-    rows = later.join(display, ["case_id", "bin"])
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("step"), F.lit(p).alias("phase")) for s in steps for p in range(s)]))
+    base = found.withColumn("_s", each).select("case_id", "event_id", "first", "valid", "recovery_bin", "sec", "_s.*")
+    later = spots.select("case_id", "event_id", "bin", "value").join(found.select("case_id", "event_id", "recovery_bin", "sec"), ["case_id", "event_id"]).where(F.col("bin") >= F.col("recovery_bin"))
+    rows = hold.shown_at(samples, later, steps)
     reason = F.when(F.col("value").isNull(), "missing_reference").when(F.col("value") < threshold, "recurrent_low").when(F.col("shown").isNull(), "unavailable_display").when(F.col("shown") >= threshold, "normal_display")
     horizon = F.col("sec") + bins * step
     ended = (F.col("bin") + 1) * step >= horizon - 1e-9

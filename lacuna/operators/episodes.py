@@ -35,40 +35,60 @@ def bridged(panel: DataFrame, gap_bins: Column | int, least_low: Column | int, k
     return out.where(F.col("n_low") >= F.col("_least")).drop("_least")
 
 
-def tagged(display: DataFrame, episodes: DataFrame, end: str) -> DataFrame:
-    """Display rows (case_id, bin, step, phase, value, shown, held_bin) that lie inside an episode, by an equi-join on its bins."""
-    last = F.col("end_bin") if end == "end_bin" else F.col("end_excl") - 1
-    bins = episodes.withColumn("bin", F.explode(F.sequence(F.col("start_bin"), last)))
-    return display.join(bins, ["case_id", "bin"])
+def on_show(samples: DataFrame, spans: DataFrame, first: str, last: str, steps: list[int]) -> DataFrame:
+    """Spans of bins (case_id, ``first``, ``last``, ...) with the samples that are on show in them, and ``since``, the bin of the span from which on.
+
+    A phase has one sample that stands at the first bin, taken there or before, and those that follow up to the last: an equi-join on bins with as many rows as
+    a span has bins and an interval phases.
+    """
+    spots = spans.withColumn("bin", F.explode(F.sequence(F.col(first) - (max(steps) - 1), F.col(last))))
+    return spots.join(samples, ["case_id", "bin"]).where(F.col("bin") > F.col(first) - F.col("step")).withColumn("since", F.greatest("bin", F.col(first)))
+
+
+def detected(samples: DataFrame, spans: DataFrame, first: str, last: str, steps: list[int], keys: list[str]) -> DataFrame:
+    """Per span, step, phase and more ``keys``: the first bin at which the display is below the span's ``t``, NULL if there is none."""
+    rows = on_show(samples, spans, first, last, steps)
+    return rows.groupBy(*keys, "step", "phase").agg(F.min(F.when(F.col("shown") < F.col("t"), F.col("since"))).alias("first_bin"), F.first(first).alias(first))
 
 
-def observability(display: DataFrame, episodes: DataFrame, step: float, margins: tuple, thresholds: list[float]) -> DataFrame:
+def observability(samples: DataFrame, episodes: DataFrame, steps: list[int], step: float, margins: tuple, thresholds: list[float]) -> DataFrame:
     """Per case, threshold, episode, step and phase: detection, delay, time left, burden before it, and how long the display stays low after the end.
 
-    The stale run counts bins from the end on until the reference is missing or low, or the display unavailable or normal. The bins
-    at which runs break are found for all thresholds in one window; only episodes' own bins are then joined.
+    The stale run counts bins from the end on until the reference is missing or low, or the display unavailable or normal. The burden before a bin, the next bin
+    at which the reference breaks a run and the next sample of a phase that does are worked out once for each sample and threshold, before the join with episodes.
     """
-    w = Window.partitionBy("case_id", "step", "phase").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # from the end on, so that a frame only grows
-    stop = lambda t: F.col("value").isNull() | (F.col("value") < t) | F.col("shown").isNull() | (F.col("shown") >= t)
-    breaks = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.min(F.when(stop(t), F.col("bin"))).over(w).alias("b")) for t in thresholds])
-    rows = display.select("case_id", "step", "phase", "bin", "value", "shown", breaks.alias("_breaks"), F.max("bin").over(w).alias("_last"))
-    own = episodes.select("case_id", "threshold", "episode", "start_bin", "end_bin", "auc").withColumn("bin", F.explode(F.sequence(F.col("start_bin"), F.col("end_bin") + 1)))
-    found = rows.join(own, ["case_id", "bin"]).withColumn("_inside", F.col("bin") <= F.col("end_bin"))
-    # burden from the episode's start up to each bin, the same for every phase
-    low = F.when(F.col("_inside"), F.greatest(F.col("threshold") - F.col("value"), F.lit(0.0)) * (step / 60)).otherwise(0.0)
-    up = Window.partitionBy("case_id", "threshold", "episode", "step", "phase").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("_before", F.coalesce(F.sum(low).over(up), F.lit(0.0)))
-    seen = F.col("_inside") & (F.col("shown") < F.col("threshold"))
-    end = F.when(~F.col("_inside"), F.coalesce(F.filter("_breaks", lambda x: x["t"] == F.col("threshold"))[0]["b"], F.col("_last") + 1))
-    out = found.groupBy("case_id", "threshold", "episode", "step", "phase", "start_bin", "end_bin", "auc").agg(
-        F.min(F.when(seen, F.col("bin"))).alias("first_bin"), F.min_by("_before", F.when(seen, F.col("bin"))).alias("_seen"), F.sum(low).alias("_all"), F.max(end).alias("break_bin"),
+    back = Window.partitionBy("case_id", "step").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("case_id", "step").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # from the end on, so that a frame only grows
+    after = Window.partitionBy("case_id", "step", "phase").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    real = F.col("bin") >= 0
+    low = lambda t: F.when(F.col("value") < t, t - F.col("value")) * (step / 60)
+    stop = lambda t: F.when(real & (F.col("value").isNull() | (F.col("value") < t)), F.col("bin"))
+    clear = lambda t: F.when(F.col("shown").isNull() | (F.col("shown") >= t), F.col("bin"))
+    ts = [F.lit(float(t)) for t in thresholds]
+    rows = samples.withColumn("_clear", F.array(*[F.min(clear(t)).over(after) for t in ts]))
+    rows = rows.withColumns({"_stop": F.array(*[F.min(stop(t)).over(ahead) for t in ts]), "_last": F.max("bin").over(ahead)})
+    rows = rows.withColumn("_burden", F.array(*[F.coalesce(F.sum(low(t)).over(back), F.lit(0.0)) for t in ts]))
+    which = F.array_position(F.array(*ts), F.col("threshold")).cast("int") - 1
+    own = episodes.select("case_id", "threshold", "episode", "start_bin", "end_bin", "auc", (F.col("end_bin") + 1).alias("_end"), which.alias("_i"))
+    found = on_show(rows, own, "start_bin", "_end", steps)
+    mine = lambda c: F.get(c, F.col("_i"))
+    keys = ["case_id", "threshold", "episode", "step"]
+    every = Window.partitionBy(*keys)
+    found = found.select(*keys, "phase", "start_bin", "end_bin", "_end", "auc", "bin", "since", "shown", "_last", mine("_clear").alias("_clear"), mine("_burden").alias("_burden"), mine("_stop").alias("_stop"))
+    found = found.withColumns({"_at_start": F.max(F.when(F.col("bin") == F.col("start_bin"), F.col("_burden"))).over(every), "_ref": F.max(F.when(F.col("bin") == F.col("_end"), F.coalesce("_stop", F.col("_last") + 1))).over(every)})
+    seen = (F.col("shown") < F.col("threshold")) & (F.col("bin") <= F.col("end_bin"))
+    at_end = F.col("bin") > F.col("_end") - F.col("step")  # the sample that stands at the first bin after the end
+    out = found.groupBy(*keys, "phase", "start_bin", "end_bin", "auc").agg(
+        F.min(F.when(seen, F.col("since"))).alias("first_bin"), F.min_by(F.when(F.col("bin") >= F.col("start_bin"), F.col("_burden") - F.col("_at_start")).otherwise(0.0), F.when(seen, F.col("since"))).alias("_before"),
+        F.max(F.when(at_end, F.least("_ref", F.greatest(F.coalesce("_clear", F.col("_last") + 1), "_end")))).alias("break_bin"),
     )
     recovery = F.col("end_bin") + 1
+    hit = F.col("first_bin").isNotNull()
     out = out.withColumns({
-        "detected": F.col("first_bin").isNotNull(), "delay": (F.col("first_bin") - F.col("start_bin")) * step, "left": (recovery - F.col("first_bin")) * step,
-        "auc_before": F.coalesce("_seen", "_all"), "stale": F.when(F.col("first_bin").isNotNull(), F.coalesce(F.col("break_bin") - recovery, F.lit(0)) * step),
+        "detected": hit, "delay": (F.col("first_bin") - F.col("start_bin")) * step, "left": (recovery - F.col("first_bin")) * step,
+        "auc_before": F.when(hit, F.col("_before")).otherwise(F.col("auc")), "stale": F.when(hit, F.coalesce(F.col("break_bin") - recovery, F.lit(0)) * step),
     })
-    return out.withColumns({f"left_{k}": F.col("detected") & (F.col("left") >= m) for k, m in enumerate(margins, 1)}).drop("_seen", "_all", "break_bin")
+    return out.withColumns({f"left_{k}": F.col("detected") & (F.col("left") >= m) for k, m in enumerate(margins, 1)}).drop("_before", "break_bin")
 
 
 def observability_sums(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,15 +100,15 @@ def observability_sums(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumns({"miss_fraction": 1 - ratio("detected_pairs", "pairs"), "mean_delay": ratio("delay_sum", "detected_pairs"), "mean_left": ratio("left_sum", "detected_pairs"), "mean_stale": ratio("stale_sum", "detected_pairs"), "p_left_1": ratio("left_1_pairs", "pairs"), "p_left_2": ratio("left_2_pairs", "pairs"), "auc_before_share": ratio("auc_before_sum", "auc_sum")})
 
 
-def classes(display: DataFrame, events: DataFrame) -> DataFrame:
+def classes(samples: DataFrame, events: DataFrame, steps: list[int]) -> DataFrame:
     """Per event and schedule: fresh (a low value sampled inside), inherited (only held low values), never; carry-in and whether the first low one is inherited."""
-    rows = tagged(display, events.withColumnRenamed("threshold", "t"), "end_excl")
+    rows = on_show(samples, events.withColumnRenamed("threshold", "t").withColumn("_last", F.col("end_excl") - 1), "start_bin", "_last", steps)
     low = F.col("shown") < F.col("t")
-    fresh = low & (F.col("held_bin") == F.col("bin"))
+    fresh = low & (F.col("held_bin") == F.col("bin")) & (F.col("bin") >= F.col("start_bin"))
     out = rows.groupBy("case_id", F.col("t").alias("threshold"), "event", "step", "phase", "start_bin", "end_excl", "n_low").agg(
         F.coalesce(F.bool_or(fresh), F.lit(False)).alias("fresh"), F.coalesce(F.bool_or(low), F.lit(False)).alias("any_low"),
-        F.coalesce(F.bool_or(low & (F.col("bin") == F.col("start_bin")) & (F.col("held_bin") < F.col("start_bin"))), F.lit(False)).alias("carry_in"),
-        F.min_by("held_bin", F.when(low, F.col("bin"))).alias("_first_held"),
+        F.coalesce(F.bool_or(low & (F.col("bin") <= F.col("start_bin")) & (F.col("held_bin") < F.col("start_bin"))), F.lit(False)).alias("carry_in"),
+        F.min_by("held_bin", F.when(low, F.col("since"))).alias("_first_held"),
     )
     kind = F.when(F.col("fresh"), "fresh").when(F.col("any_low"), "inherited").otherwise("never")
     return out.withColumns({"class": kind, "first_inherited": F.coalesce(F.col("_first_held") < F.col("start_bin"), F.lit(False))}).drop("fresh", "any_low", "_first_held")

@@ -1,15 +1,20 @@
 """Sample-and-hold displays of a panel.
 
 All phases of an interval come from one window: within each residue class of bins the last valid value is carried
-forward, and the display of phase p at bin b is the carried value of the newest bin up to b in class p. So an
-interval costs one pass however many phases it has; phases are only listed as rows where they are asked for.
+forward, and the display of phase p at bin b is the carried value of the newest bin up to b in class p. A bin is sampled by one phase
+of an interval, so ``samples`` has a row for each bin and interval however many phases there are; what a phase shows changes at
+its samples only. Sums and searches go over these rows; ``by_phase`` lists every phase at every bin, where that is asked for.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 _BACK = (Window.unboundedPreceding, 0)
 
 
@@ -41,6 +46,34 @@ def initialised(display: DataFrame) -> DataFrame:
     return rows.withColumns({"shown": F.when(early, F.col("_first.v")).otherwise(F.col("shown")), "held_bin": F.when(early, F.col("_first.b")).otherwise(F.col("held_bin"))}).drop("_first")
 
 
+def samples(panel: DataFrame, steps: list[int], seen: bool = False) -> DataFrame:
+    """case_id, step, phase, bin, value, held_bin, shown: a row for each sample, which stands for the ``step`` bins from its own on.
+
+    A phase p > 0 also has a row at bin p - step, a negative one, for the bins before its first sample: it shows nothing. ``seen`` adds the valid
+    values of the bins that a row stands for, and ``bins``, how many of them the panel has. The panel must be complete from bin 0 on.
+    """
+    most, common = max(steps), math.lcm(*steps)
+    every = F.when(F.col("bin") == 0, F.sequence(F.lit(1 - most), F.lit(0))).otherwise(F.array("bin"))
+    rows = panel.select("case_id", F.col("bin").alias("_own"), "value", F.explode(every).alias("bin")).withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps])))
+    rows = rows.where(F.col("bin") > -F.col("step")).repartition("case_id", "step").select("case_id", "step", F.pmod("bin", "step").alias("phase"), "bin", F.when(F.col("bin") == F.col("_own"), F.col("value")).alias("value"), (F.col("bin") == F.col("_own")).cast("int").alias("_real"))
+    held = F.last(F.when(F.col("value").isNotNull(), F.struct(F.col("bin").alias("b"), F.col("value").alias("v"))), ignorenulls=True).over(_by_bin("step", "phase").rowsBetween(*_BACK))
+    out = ["case_id", "step", "phase", "bin", "value", F.col("_h.b").alias("held_bin"), F.col("_h.v").alias("shown")]
+    rows = rows.withColumn("_h", held)
+    if not seen:
+        return rows.select(*out)
+    # bins at a distance of common / step: one frame then spans ``step`` bins in the rows of every step
+    ahead = Window.partitionBy("case_id", "step").orderBy("_at").rangeBetween(0, common - 1)
+    rows = rows.withColumn("_at", F.col("bin") * F.expr(f"{common} div step"))
+    return rows.withColumns({"seen": F.collect_list("value").over(ahead), "bins": F.sum("_real").over(ahead)}).select(*out, "seen", "bins")
+
+
+def shown_at(samples: DataFrame, rows: DataFrame, steps: list[int]) -> DataFrame:
+    """``rows`` (case_id, bin, ...; bins of the panel) with step, phase, held_bin and shown of every phase: an equi-join with the sample that is on show."""
+    spots = rows.withColumn("_s", F.explode(F.sequence(F.col("bin") - (max(steps) - 1), F.col("bin"))))
+    on = samples.select("case_id", F.col("bin").alias("_s"), "step", "phase", "held_bin", "shown")
+    return spots.join(on, ["case_id", "_s"]).where(F.col("_s") > F.col("bin") - F.col("step")).drop("_s")
+
+
 def phase_arrays(panel: DataFrame, steps: list[int]) -> DataFrame:
     """case_id, bin, value, step, carried: what each residue class holds, from ``step - 1`` bins back to this one."""
     rows = panel.withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps]))).withColumn("_class", F.pmod("bin", "step"))
@@ -71,21 +104,11 @@ def event_display(panel: DataFrame, events: DataFrame, step: float, limit: float
 
 
 def adaptive_samples(panel: DataFrame, rule: str, base: int, close: int, hold: int, low: float, drop: float) -> DataFrame:
-    """case_id, samples, triggers: bins at which an adaptive schedule samples, by a fold over the case's bins.
+    """case_id, bin, fires: the bins at which an adaptive schedule samples, and whether the sample there intensifies it.
 
     The next sample follows ``close`` bins later while intensified and ``base`` bins later otherwise. A sample below ``low`` (rule
     'threshold'), or ``drop`` under the one before (rule 'trend', which knows both), intensifies for ``hold`` bins.
     """
     if rule not in ("threshold", "trend"):
         raise ValueError(f"unknown rule: {rule}")
-    series = panel.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("bin", "value"))).alias("s"))
-    start = F.expr("named_struct('next', 0, 'until', -1, 'before', cast(null as double), 'bins', cast(array() as array<int>), 'triggers', 0)")
-    fell = f"(s.before is not null and s.before - x.value >= {drop}d)" if rule == "trend" else "false"
-    fires = f"(x.value is not null and (x.value < {low}d or {fell}))"
-    until = f"if({fires}, greatest(s.until, x.bin + {hold}), s.until)"
-    fold = F.expr(
-        "aggregate(s, _start, (s, x) -> if(x.bin < s.next, s, named_struct("
-        f"'next', x.bin + if(x.bin < {until}, {close}, {base}), 'until', {until}, 'before', x.value, "
-        f"'bins', concat(s.bins, array(x.bin)), 'triggers', s.triggers + if({fires}, 1, 0))))"
-    )
-    return series.withColumn("_start", start).withColumn("_f", fold).select("case_id", F.col("_f.bins").alias("samples"), F.col("_f.triggers").alias("triggers"))
+    return scan.scanned(panel, ["case_id"], ["bin"], ["bin", "value"], "bin int, fires boolean", scan.adaptive(rule, base, close, hold, low, drop))

@@ -80,9 +80,10 @@ def mask_audit(spark, d):
     p = b.panel(spark, d)
     flag = F.coalesce((F.col("value") < 20) | (F.col("value") > 150), F.lit(False))
     every = events.block_events(spark, d).select("case_id", "event_id", "sec")
-    display = hold.by_phase(hold.phase_arrays(p, [2, 4, 6]))
-    states = devices.states_at(every, display, p, b.STEP, events.T, 6, 3)
-    return devices.mask_audit(every, states, display, p.select("case_id", "bin", flag.alias("masked")), b.STEP, events.T, 6, 8).select(*_AUDIT)
+    steps = [2, 4, 6]
+    samples = hold.samples(p, steps)
+    states = devices.states_at(every, samples, steps, p, b.STEP, events.T, 6, 3)
+    return devices.mask_audit(every, states, samples, steps, p.select("case_id", "bin", flag.alias("masked")), b.STEP, events.T, 6, 8).select(*_AUDIT)
 
 
 def _scenarios(spark, d):
@@ -95,11 +96,11 @@ def _scenarios(spark, d):
     }
 
 
-def scenario_events(spark, d, panel, display, changes, width, first_bin, low_bins, only_first):
+def scenario_events(spark, d, panel, samples, steps, changes, width, first_bin, low_bins, only_first):
     """Blocks of a scenario with their state per phase of each step; ``why`` says what excludes an event (NULL: nothing)."""
     w = Window.partitionBy("case_id").orderBy("sec")
     every = devices.anchored_blocks(changes, width).withColumn("event_id", F.row_number().over(w)).select("case_id", "event_id", "sec")
-    states = devices.states_at(every, display, panel, b.STEP, events.T, 6, 3)
+    states = devices.states_at(every, samples, steps, panel, b.STEP, events.T, 6, 3)
     return every, devices.scenario(states, every, b.STEP, max(first_bin, 5), events.T, low_bins, only_first, F.floor(F.col("case_id") / 3))
 
 
@@ -107,9 +108,10 @@ def scenario_events(spark, d, panel, display, changes, width, first_bin, low_bin
 def event_scenarios(spark, d):
     """Per scenario and step: events, low ones, and the mean share of phases in each state at low events; also with every subject weighing alike."""
     p = b.panel(spark, d)
-    display, out = files.settled(hold.by_phase(hold.phase_arrays(p, [2, 4, 6]))), []
+    steps, out = [2, 4, 6], []
+    samples = files.settled(hold.samples(p, steps))
     for name, how in _scenarios(spark, d).items():
-        _, rows = scenario_events(spark, d, p, display, *how)
+        _, rows = scenario_events(spark, d, p, samples, steps, *how)
         kept = rows.where("why is null and step is not null")
         share = devices.category_shares(kept.where("is_low"), ["case_id", "event_id", "step"]).withColumn("subject", F.floor(F.col("case_id") / 3))
         n = kept.groupBy("step").agg(F.count_distinct("case_id", "event_id").alias("events"), F.count_distinct(F.when(F.col("is_low"), F.struct("case_id", "event_id"))).alias("low_events"))
@@ -125,9 +127,10 @@ def event_scenarios(spark, d):
 def scenario_flow(spark, d):
     """Per scenario: changes, blocks, what excludes blocks, low and normal ones; a row whose parts do not add up is an error."""
     p = b.panel(spark, d)
-    display, out = files.settled(hold.by_phase(hold.phase_arrays(p, [2]))), []
+    steps, out = [2], []
+    samples = files.settled(hold.samples(p, steps))
     for name, how in _scenarios(spark, d).items():
-        every, rows = scenario_events(spark, d, p, display, *how)
+        every, rows = scenario_events(spark, d, p, samples, steps, *how)
         each = rows.select("case_id", "event_id", "why", "is_low").distinct()
         n = each.agg(F.count("*").alias("blocks"), *[tally(F.col("why") == x).alias(x) for x in devices.EXCLUSIONS], tally(F.col("why").isNull()).alias("eligible"), tally(F.col("why").isNull() & F.col("is_low")).alias("low"), tally(F.col("why").isNull() & ~F.col("is_low")).alias("normal"))
         out.append(n.join(how[0].agg(F.count("*").alias("changes")), F.lit(True)).select(F.lit(name).alias("scenario"), "changes", "blocks", *devices.EXCLUSIONS, "eligible", "low", "normal"))  # one row each

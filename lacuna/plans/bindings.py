@@ -40,9 +40,9 @@ def panel(spark: SparkSession, sf_dir: str, step: float = STEP, kinds: tuple = (
     return grid.median_grid(kept, case_windows(rows), step, LOW, HIGH)
 
 
-def display(spark: SparkSession, sf_dir: str, steps: list[int] | None = None) -> DataFrame:
-    """case_id, bin, value, step, phase, held_bin, shown for all phases."""
-    return hold.by_phase(hold.phase_arrays(panel(spark, sf_dir), steps or STEPS))
+def samples(spark: SparkSession, sf_dir: str, seen: bool = False) -> DataFrame:
+    """What all phases of all intervals sample."""
+    return hold.samples(panel(spark, sf_dir), STEPS, seen)
 
 
 #: CTEs of the same bindings for DuckDB.

@@ -262,6 +262,7 @@ def anchored_blocks(spark, d):
 
 
 T = 35.0
+_STATE_STEPS = [2, 4, 6]
 
 
 def block_events(spark, d):
@@ -271,7 +272,7 @@ def block_events(spark, d):
 
 def _block_states(spark, d):
     p = b.panel(spark, d)
-    return devices.states_at(block_events(spark, d), hold.by_phase(hold.phase_arrays(p, [2, 4, 6])), p, b.STEP, T, 6, 3)
+    return devices.states_at(block_events(spark, d), hold.samples(p, _STATE_STEPS), _STATE_STEPS, p, b.STEP, T, 6, 3)
 
 
 STATES = f"""{BLOCKS.replace('with recursive ' + b.SIG, 'with recursive ' + b.SIG + ', ' + b.panel_sql())}, be as (select *, row_number() over (partition by case_id order by sec) as event_id from block),
@@ -304,7 +305,7 @@ def event_phase_shares(spark, d):
 def _recovered(spark, d):
     p = b.panel(spark, d)
     low = _block_states(spark, d).where(F.col("value") < T).select("case_id", "event_id", "sec").distinct()
-    return devices.recovery(low, hold.by_phase(hold.phase_arrays(p, [2, 4, 6])), p, b.STEP, T, 8, 0.5, b.BINS - 1)
+    return devices.recovery(low, hold.samples(p, _STATE_STEPS), _STATE_STEPS, p, b.STEP, T, 8, 0.5, b.BINS - 1)
 
 
 RECOVERY = f"""{STATES}, le as (select distinct case_id, event_id, sec, floor((sec + 1e-9) / {b.STEP})::int as first from st where value < {T} and floor((sec + 1e-9) / {b.STEP}) + 7 <= 59),

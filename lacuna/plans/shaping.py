@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.columns import tally
@@ -72,12 +73,11 @@ select policy, threshold, count(*) as pairs, count(*) filter (det) as detected f
 @add("episode_policy", _EPO, "threshold", "pairs detected")
 def episode_policy(spark, d):
     p = b.panel(spark, d)
-    shown = hold.by_phase(hold.phase_arrays(p, [4]))
-    first = p.where("value is not null").groupBy("case_id").agg(F.min(F.struct("bin", "value")).alias("f"))
-    started = shown.join(first, "case_id", "left").withColumn("shown", F.when(F.col("shown").isNull() & (F.col("bin") >= F.col("f.bin")), F.col("f.value")).otherwise(F.col("shown"))).drop("f")
-    rows = shown.withColumn("policy", F.lit("unavailable")).unionByName(started.withColumn("policy", F.lit("initialised")))
-    tagged = episodes.tagged(rows, signal.two_bin_episodes(spark, d).withColumnRenamed("threshold", "t"), "end_bin")
-    q = tagged.groupBy("policy", "case_id", F.col("t").alias("threshold"), "episode", "phase").agg(F.coalesce(F.bool_or(F.col("shown") < F.col("t")), F.lit(False)).alias("det"))
+    first = F.first("value", ignorenulls=True).over(Window.partitionBy("case_id", "step").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    each = F.array(*[F.struct(F.lit(n).alias("policy"), c.alias("shown")) for n, c in (("unavailable", F.col("shown")), ("initialised", F.coalesce("shown", "_first")))])
+    rows = hold.samples(p, [4]).withColumn("_first", first).select("case_id", "step", "phase", "bin", F.explode(each).alias("_p")).select("case_id", "step", "phase", "bin", "_p.*")
+    spans = signal.two_bin_episodes(spark, d).select("case_id", "episode", "start_bin", "end_bin", "threshold", F.col("threshold").alias("t"))
+    q = episodes.detected(rows, spans, "start_bin", "end_bin", [4], ["policy", "case_id", "threshold", "episode"]).withColumn("det", F.col("first_bin").isNotNull())
     return q.groupBy("policy", "threshold").agg(F.count("*").alias("pairs"), tally(F.col("det")).alias("detected"))
 
 

@@ -283,7 +283,11 @@ def event_hold(spark, d):
 
 @add("phase_hold", f"{b.DISPLAY} select case_id, step, phase, count(*) as bins, count(shown) as available, sum(shown) as shown_sum, max(bin - held_bin) as oldest from display group by 1, 2, 3", "shown_sum", "step phase bins available oldest")
 def phase_hold(spark, d):
-    return b.display(spark, d).groupBy("case_id", "step", "phase").agg(F.count("*").alias("bins"), F.count("shown").alias("available"), F.sum("shown").alias("shown_sum"), F.max(F.col("bin") - F.col("held_bin")).alias("oldest"))
+    up = F.col("shown").isNotNull()
+    rows = b.samples(spark, d, seen=True)
+    # the first bin that a sample with a negative bin stands for is 0; the last shows the oldest value
+    oldest = F.greatest("bin", F.lit(0)) + F.col("bins") - 1 - F.col("held_bin")
+    return rows.groupBy("case_id", "step", "phase").agg(F.sum("bins").alias("bins"), F.sum(F.when(up, F.col("bins")).otherwise(0)).alias("available"), F.sum(F.col("shown") * F.col("bins")).alias("shown_sum"), F.max(oldest).alias("oldest"))
 
 
 _FIXED = {"every4": "bin % 4 = 0", "early": "bin < 12 or (bin - 12) % 6 = 0", "continuous": "true"}
@@ -310,7 +314,7 @@ def _adaptive_sql(rule: str) -> str:
 def strategy_adaptive(spark, d):
     p, out = b.panel(spark, d), None
     for rule in ("threshold", "trend"):
-        s = hold.adaptive_samples(p, rule, 6, 1, 6, 35.0, 8.0).select(F.lit(rule).alias("rule"), "case_id", F.size("samples").alias("samples"), "triggers", F.expr("aggregate(samples, 0L, (s, x) -> s + x)").alias("bin_sum"))
+        s = hold.adaptive_samples(p, rule, 6, 1, 6, 35.0, 8.0).groupBy(F.lit(rule).alias("rule"), "case_id").agg(F.count("*").alias("samples"), tally(F.col("fires")).alias("triggers"), F.sum("bin").alias("bin_sum"))
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -318,11 +322,12 @@ def strategy_adaptive(spark, d):
 # ---------------------------------------------------------------- decomposition
 
 def facts(spark, d):
-    return deficit.decompose(deficit.with_thresholds(b.display(spark, d), b.THRESHOLDS), ["case_id", "threshold", "step", "phase"], b.BIN_MIN)
+    return deficit.sum_samples(b.samples(spark, d, seen=True), ["case_id", "step", "phase"], b.THRESHOLDS, b.BIN_MIN)
 
 
 def means(spark, d):
-    return deficit.phase_means(facts(spark, d), ["case_id", "threshold", "step"])
+    """Means over phases: every phase of a step counts alike, so they are sums over all samples by the step."""
+    return deficit.sum_samples(b.samples(spark, d, seen=True), ["case_id", "step"], b.THRESHOLDS, b.BIN_MIN, 1 / F.col("step")).withColumn("phases", F.col("step"))
 
 
 @add("decompose", f"{b.FACTS} select *, {b.RATIOS_SQL} from facts", f"threshold {b.MEASURES} {b.RATIOS}", "step phase")
@@ -353,7 +358,7 @@ def population_ratios(spark, d):
 @add("offset_variability", f"""{b.FACTS}, p as (select threshold, step, phase, sum(hidden_auc) / sum(true_auc) as hdr, sum(over_auc) / sum(true_auc) as odr from facts group by 1, 2, 3)
 select threshold, step, min(hdr) as hdr_min, median(hdr) as hdr_median, max(hdr) as hdr_max, stddev_samp(hdr) as hdr_sd, min(odr) as odr_min, median(odr) as odr_median, max(odr) as odr_max, stddev_samp(odr) as odr_sd from p group by 1, 2""", "threshold hdr_min hdr_median hdr_max hdr_sd odr_min odr_median odr_max odr_sd", "step")
 def offset_variability(spark, d):
-    p = facts(spark, d).groupBy("threshold", "step", "phase").agg(ratio(F.sum("hidden_auc"), F.sum("true_auc")).alias("hdr"), ratio(F.sum("over_auc"), F.sum("true_auc")).alias("odr"))
+    p = deficit.sum_samples(b.samples(spark, d, seen=True), ["step", "phase"], b.THRESHOLDS, b.BIN_MIN)
     return p.groupBy("threshold", "step").agg(*[f(m).alias(f"{m}_{n}") for m in ("hdr", "odr") for n, f in (("min", F.min), ("median", F.median), ("max", F.max), ("sd", F.stddev_samp))])
 
 
@@ -378,19 +383,15 @@ select policy, threshold, sum(true_auc) as true_auc, sum(hidden_auc) as hidden_a
 
 @add("initial_policy", _INIT, "threshold true_auc hidden_auc over_auc excluded_min hdr odr")
 def initial_policy(spark, d):
-    p = b.panel(spark, d)
-    plain = hold.by_phase(hold.phase_arrays(p, [4]))
-    first = F.first(F.when(F.col("value").isNotNull(), F.struct("bin", "value")), ignorenulls=True).over(W("case_id", "phase").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    """What is shown before a phase's first sample: nothing; the case's first valid value; or these bins are left out."""
+    first = F.first("value", ignorenulls=True).over(W("case_id", "step").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     early = F.col("shown").isNull()
-    started = plain.withColumn("_f", first).withColumn("shown", F.when(early & (F.col("bin") >= F.col("_f.bin")), F.col("_f.value")).otherwise(F.col("shown"))).drop("_f")
-    cut = plain.withColumns({"gone": early & F.col("value").isNotNull(), "value": F.when(~early, F.col("value"))})
-    out = plain.withColumns({"policy": F.lit("unavailable"), "gone": F.lit(False)}).unionByName(started.withColumns({"policy": F.lit("initialised"), "gone": F.lit(False)})).unionByName(cut.withColumn("policy", F.lit("excluded")))
-    rows = deficit.with_thresholds(out, b.THRESHOLDS)
-    keys = ["policy", "threshold", "case_id", "phase"]
-    f = deficit.decompose(rows, keys, b.BIN_MIN).join(rows.groupBy(*keys).agg((tally(F.col("gone")) * b.BIN_MIN).alias("excluded_min")), keys)
-    m = f.groupBy("policy", "threshold", "case_id").agg(*[F.avg(c).alias(c) for c in ("true_auc", "hidden_auc", "over_auc", "excluded_min")])
-    m = m.groupBy("policy", "threshold").agg(*[F.sum(c).alias(c) for c in ("true_auc", "hidden_auc", "over_auc", "excluded_min")])
-    return m.withColumns({"hdr": ratio("hidden_auc", "true_auc"), "odr": ratio("over_auc", "true_auc")})
+    policies = {"unavailable": ("shown", "seen"), "initialised": (F.coalesce("shown", "_first"), "seen"), "excluded": ("shown", F.when(~early, F.col("seen")).otherwise(F.array()))}
+    each = F.array(*[F.struct(F.lit(n).alias("policy"), (F.col(x) if isinstance(x, str) else x).alias("shown"), (F.col(y) if isinstance(y, str) else y).alias("seen")) for n, (x, y) in policies.items()])
+    rows = hold.samples(b.panel(spark, d), [4], seen=True).withColumn("_first", first).select("case_id", "step", F.when(early, F.size("seen")).otherwise(0).alias("gone"), F.explode(each).alias("p")).select("case_id", "step", "gone", "p.*")
+    m = deficit.sum_samples(rows, ["policy"], b.THRESHOLDS, b.BIN_MIN, 1 / 4)
+    gone = rows.groupBy("policy").agg((F.sum(F.when(F.col("policy") == "excluded", F.col("gone")).otherwise(0)) * (b.BIN_MIN / 4)).alias("excluded_min"))
+    return m.join(F.broadcast(gone), "policy").select("policy", "threshold", "true_auc", "hidden_auc", "over_auc", "excluded_min", "hdr", "odr")  # a row for each policy
 
 
 _SUBSETS = f"""{b.MEANS}, q as (select case_id, count(value) / count(*) as share, count(*) filter (abs(value - before) < 1) as same from (select *, lag(value) over (partition by case_id order by bin) as before from panel) group by 1),
@@ -421,8 +422,8 @@ def case_phase_quantiles(spark, d):
 
 @add("phase_schedule", f"{b.FACTS} select threshold, step, phase, 100 * sum(hidden_auc) / sum(true_auc) as hidden_pct, 100 * sum(over_auc) / sum(true_auc) as over_pct, 100 * sum(available_min) / sum(valid_min) as available_pct from facts group by 1, 2, 3", "threshold hidden_pct over_pct available_pct", "step phase")
 def phase_schedule(spark, d):
-    pct = lambda a, c: 100 * ratio(F.sum(a), F.sum(c))
-    return facts(spark, d).groupBy("threshold", "step", "phase").agg(pct("hidden_auc", "true_auc").alias("hidden_pct"), pct("over_auc", "true_auc").alias("over_pct"), pct("available_min", "valid_min").alias("available_pct"))
+    p = deficit.sum_samples(b.samples(spark, d, seen=True), ["step", "phase"], b.THRESHOLDS, b.BIN_MIN)
+    return p.select("threshold", "step", "phase", *[(100 * ratio(x, y)).alias(n) for n, x, y in (("hidden_pct", "hidden_auc", "true_auc"), ("over_pct", "over_auc", "true_auc"), ("available_pct", "available_min", "valid_min"))])
 
 
 @add("displayed_minutes", f"""{b.MEANS}, x as (select *, true_low_min - unavailable_low_min - normal_discordant_min + low_discordant_min as m from means)
@@ -457,9 +458,10 @@ select scenario, threshold, sum(true_auc) / 6 as true_auc, sum(hidden_auc) / 6 a
 def startup_sensitivity(spark, d):
     p, out = b.panel(spark, d), None
     for name, rows in {"none": p, "first6": p.withColumn("value", F.when(F.col("bin") >= 6, F.col("value"))), "valid6": grid.unmasked(grid.first_bins(p, 6)).drop("masked")}.items():
-        f = deficit.decompose(deficit.with_thresholds(hold.by_phase(hold.phase_arrays(rows, [6])), b.THRESHOLDS), ["threshold", "case_id", "phase"], b.BIN_MIN).withColumn("scenario", F.lit(name))
+        f = hold.samples(rows, [6], seen=True).withColumn("scenario", F.lit(name))
         out = f if out is None else out.unionByName(f)
-    return out.groupBy("scenario", "threshold").agg(*[(F.sum(c) / 6).alias(c) for c in ("true_auc", "hidden_auc", "over_auc", "concordant_auc", "valid_min", "available_min")])
+    kept = ("true_auc", "hidden_auc", "over_auc", "concordant_auc", "valid_min", "available_min")
+    return deficit.sum_samples(out, ["scenario"], b.THRESHOLDS, b.BIN_MIN, 1 / 6).select("scenario", "threshold", *kept)
 
 
 @add("area_identity", f"{b.MEANS} select threshold, step, count(*) as rows, count(*) filter (abs((display_auc - true_auc) - (over_auc - hidden_auc)) > 1e-6) as faults, sum(over_auc - hidden_auc) as net from means group by 1, 2", "threshold net", "step rows faults")
@@ -517,9 +519,8 @@ q as (select case_id, threshold, episode, step, phase, coalesce(bool_or(shown <
 select threshold, step, count(*) as pairs, count(*) filter (documented) as documented, avg(delay) as mean_delay from q group by 1, 2""", "threshold mean_delay", "step pairs documented")
 def episode_detection(spark, d):
     e = two_bin_episodes(spark, d).withColumn("end_bin", F.col("end_bin") + 1)  # one bin of grace
-    rows = episodes.tagged(b.display(spark, d), e.withColumnRenamed("threshold", "t"), "end_bin")
-    low = F.col("shown") < F.col("t")
-    q = rows.groupBy("case_id", F.col("t").alias("threshold"), "episode", "step", "phase").agg(F.coalesce(F.bool_or(low), F.lit(False)).alias("documented"), (F.min(F.when(low, F.col("bin"))) - F.min("start_bin")).alias("delay"))
+    q = episodes.detected(b.samples(spark, d), e.select("case_id", "episode", "start_bin", "end_bin", "threshold", F.col("threshold").alias("t")), "start_bin", "end_bin", b.STEPS, ["case_id", "threshold", "episode"])
+    q = q.withColumns({"documented": F.col("first_bin").isNotNull(), "delay": F.col("first_bin") - F.col("start_bin")})
     return q.groupBy("threshold", "step").agg(F.count("*").alias("pairs"), tally(F.col("documented")).alias("documented"), F.avg("delay").alias("mean_delay"))
 
 
@@ -533,7 +534,7 @@ o as (select f.*, auc_before, first_bin is not null as detected, (first_bin - st
 
 
 def pairs(spark, d):
-    return episodes.observability(b.display(spark, d), two_bin_episodes(spark, d), b.STEP, (b.STEP, 2 * b.STEP), b.THRESHOLDS)
+    return episodes.observability(b.samples(spark, d), two_bin_episodes(spark, d), b.STEPS, b.STEP, (b.STEP, 2 * b.STEP), b.THRESHOLDS)
 
 
 def obs_sums_sql(keys: str) -> str:
@@ -573,7 +574,7 @@ coalesce(bool_or(shown < threshold and bin = start_bin and held_bin < start_bin)
 
 
 def classed(spark, d):
-    return episodes.classes(b.display(spark, d), events(spark, d))
+    return episodes.classes(b.samples(spark, d), events(spark, d), b.STEPS)
 
 
 @add("event_classes", f"{CLASSES} select * from cls", "threshold", "event step phase start_bin end_excl n_low")

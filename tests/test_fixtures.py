@@ -84,9 +84,9 @@ def test_missing_bins_split_bridged_events(spark):
 @pytest.mark.parametrize("step,phase,kinds,carry,inherited", [(4, 0, ["inherited", "never"], [True, False], None), (3, 0, ["fresh", "fresh"], None, [True, True])])
 def test_event_classes(spark, step, phase, kinds, carry, inherited):
     p = panel(spark, [60, 70, 60, 60, 70, 60, 60, 70])
-    shown = hold.by_phase(hold.phase_arrays(p, [step])).where(F.col("phase") == phase)
+    shown = hold.samples(p, [step]).where(F.col("phase") == phase)
     events = spark.createDataFrame([(1, 65.0, 1, 2, 4, 2), (1, 65.0, 2, 5, 7, 2)], "case_id long, threshold double, event int, start_bin int, end_excl int, n_low int")
-    rows = episodes.classes(shown, events).orderBy("event").collect()
+    rows = episodes.classes(shown, events, [step]).orderBy("event").collect()
     assert [r["class"] for r in rows] == kinds
     assert carry is None or [r["carry_in"] for r in rows] == carry
     assert inherited is None or [r["first_inherited"] for r in rows] == inherited
@@ -95,7 +95,7 @@ def test_event_classes(spark, step, phase, kinds, carry, inherited):
 def test_observability_of_one_episode(spark):
     p = panel(spark, [75.0] * 10 + [60.0] * 12 + [75.0] * 38)
     e = episodes.tolerant(deficit.with_thresholds(p, [65.0]), 10.0, 60.0, 0.0)
-    pairs = episodes.observability(hold.by_phase(hold.phase_arrays(p, [30])), e, 10.0, (60.0, 120.0), [65.0])
+    pairs = episodes.observability(hold.samples(p, [30]), e, [30], 10.0, (60.0, 120.0), [65.0])
     s = episodes.observability_sums(pairs, ["threshold"]).first()
     assert (s["pairs"], s["detected_pairs"]) == (30, 12)
     assert s["miss_fraction"] == pytest.approx(0.6) and s["mean_delay"] == pytest.approx(55) and s["mean_left"] == pytest.approx(65) and s["mean_stale"] == pytest.approx(235)
@@ -151,9 +151,9 @@ def test_blocks_are_anchored(spark):
 
 def state(spark, values, sec, step=30, phase=0):
     p = panel(spark, values)
-    shown = hold.by_phase(hold.phase_arrays(p, [step])).where(F.col("phase") == phase)
+    shown = hold.samples(p, [step]).where(F.col("phase") == phase)
     e = spark.createDataFrame([(1, 1, float(sec))], "case_id long, event_id int, sec double")
-    return devices.states_at(e, shown, p, 10.0, 65.0).first()
+    return devices.states_at(e, shown, [step], p, 10.0, 65.0).first()
 
 
 def test_states_use_completed_bins(spark):
@@ -171,9 +171,9 @@ def test_states_use_completed_bins(spark):
 
 def recovered(spark, values, sec=315):
     p = panel(spark, values)
-    shown = hold.by_phase(hold.phase_arrays(p, [30])).where("phase = 0")
+    shown = hold.samples(p, [30])
     e = spark.createDataFrame([(1, 1, float(sec))], "case_id long, event_id int, sec double")
-    return devices.recovery(e, shown, p, 10.0, 65.0, 30, 0.8, len(values) - 1).first()
+    return devices.recovery(e, shown, [30], p, 10.0, 65.0, 30, 0.8, len(values) - 1).where("phase = 0").first()
 
 
 def test_recovery_needs_two_normal_bins(spark):
@@ -263,3 +263,21 @@ def test_manifest_faults_and_first_root(spark, tmp_path):
 
 def test_forbidden_columns():
     assert text_audit.forbidden_columns(["Case", "SubjectID", "x"], {"subjectid", "name"}) == ["SubjectID"]
+
+
+def test_sums_of_samples_equal_sums_of_points(spark):
+    """Whatever is missing, sums over samples are those over every phase at every bin."""
+    import random
+
+    r = random.Random(8)
+    rows = [(c, i, None if r.random() < 0.3 else float(r.randint(50, 80))) for c, n in ((1, 1), (2, 3), (3, 31), (4, 40)) for i in range(n)] + [(5, i, None) for i in range(7)]
+    p = spark.createDataFrame(rows, "case_id long, bin int, value double")
+    steps, cuts, keys = [2, 3, 5], [60.0, 65.0, 70.0], ["case_id", "threshold", "step", "phase"]
+    points = deficit.decompose(deficit.with_thresholds(hold.by_phase(hold.phase_arrays(p, steps)), cuts), keys, 0.5)
+    samples = deficit.sum_samples(hold.samples(p, steps, seen=True), ["case_id", "step", "phase"], cuts, 0.5)
+    names = [*keys, *deficit.MEASURES, *deficit.RATIOS]
+    plain = lambda df: sorted((tuple(None if x is None else round(x, 9) + 0.0 for x in row) for row in df.select(*names).collect()), key=repr)
+    assert plain(points) == plain(samples)
+    shown = hold.shown_at(hold.samples(p, steps), p, steps).select("case_id", "bin", "step", "phase", "held_bin", "shown")
+    every = hold.by_phase(hold.phase_arrays(p, steps)).select(shown.columns)
+    assert sorted(map(tuple, shown.collect()), key=repr) == sorted(map(tuple, every.collect()), key=repr)
