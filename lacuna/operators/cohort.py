@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.columns import tally
 
+from . import scan
+
 
 def text_category(columns: list[str], hierarchy: list[tuple[str, list[str]]], banned: list[str]) -> Column:
     """First category of the hierarchy with a banned term in the joined text, then 'other' for other banned terms, else ''."""
@@ -99,11 +101,7 @@ def membership(cohorts: dict[str, DataFrame], key: str) -> DataFrame:
     return rows.groupBy(key).agg(*[F.bool_or(F.col("_c") == n).alias(n) for n in cohorts])
 
 
-#: Ids of one list: their text stays well under the 2 GB of a value.
-MOST_IDS = 50_000_000
-
-
-def ids_digest(df: DataFrame, key: str) -> Column:
-    """Digest of the exact list of ids, in order, one a line. The digest is of one text, so a group may have at most ``MOST_IDS`` ids; more are an error."""
-    whole = F.assert_true(F.count(key) <= MOST_IDS, F.lit(f"over {MOST_IDS} ids in one list"))
-    return F.when(whole.isNull(), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda x: x.cast("string")), "\n").cast("binary"), 256))
+def ids_digest(df: DataFrame, groups: list[str], key: str) -> DataFrame:
+    """groups and digest: SHA-256 of the exact list of a group's ids, in order, one a line. Ids are sorted and streamed through, lists of any length."""
+    rows = df.select(*groups, F.col(key).alias("_key"), F.col(key).cast("string").alias("_text"))
+    return scan.scanned(rows, groups, ["_key"], ["_text"], "digest string", scan.digest_of_lines)

@@ -6,7 +6,6 @@ never dropped before a window function.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,39 +127,60 @@ def wave_bins(samples: DataFrame, step: float, expected: int) -> DataFrame:
     return out.withColumn("span", F.col("p95") - F.col("p05"))
 
 
-def wave_peaks(samples: DataFrame, step: float, distance: int, prominence: float) -> DataFrame:
-    """Per case and bin: local maxima at least ``distance`` samples apart that rise ``prominence`` above the higher of their two valleys."""
+def wave_peaks(samples: DataFrame, step: float, distance: float, prominence: float) -> DataFrame:
+    """Per case and bin: peaks of the samples, by the rules of ``peak_count``; a missing sample stands at the bin's median."""
 
     def peaks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         v = rows.sort_values(["sec", "value"])["value"].to_numpy(float)
         v = np.where(np.isfinite(v), v, np.nanmedian(v) if np.isfinite(v).any() else 0.0)
-        found = [i for i in range(1, len(v) - 1) if v[i] > v[i - 1] and v[i] >= v[i + 1] and v[i] - max(_valley(v, i, -1), _valley(v, i, 1)) >= prominence]
-        kept: list[int] = []
-        for i in sorted(found, key=lambda i: (-v[i], i)):
-            if all(abs(i - j) >= distance for j in kept):
-                kept.append(i)
-        return pd.DataFrame({"case_id": [key[0]], "bin": [key[1]], "peaks": [len(kept)]})
+        return pd.DataFrame({"case_id": [key[0]], "bin": [key[1]], "peaks": [peak_count(v.tolist(), distance, prominence)]})
 
     rows = samples.select("case_id", F.floor(F.col("sec") / step).cast("int").alias("bin"), "sec", "value")
     return rows.groupBy("case_id", "bin").applyInPandas(peaks, "case_id long, bin int, peaks int")
 
 
-def pulse_like(coverage: float, span: float, least: int, most: int) -> Column:
-    """Of rows with coverage, span and peaks: enough samples, enough span, and a plausible number of peaks."""
-    return F.coalesce((F.col("coverage") >= coverage) & (F.col("span") >= span) & F.col("peaks").between(least, most), F.lit(False))
-
+def peak_count(v: list[float], distance: float, prominence: float) -> int:
+    """Peaks that keep their distance and then stand out.
 
-def _valley(v: np.ndarray, i: int, way: int) -> float:
-    low, j = v[i], i + way
-    while 0 <= j < len(v) and v[j] <= v[i]:
-        low, j = min(low, v[j]), j + way
-    return low
+    A peak is a sample, or the middle of a run of equal ones, with lower neighbours on both sides. Of peaks nearer than ``distance`` samples the highest stays (of
+    equal ones the last), whatever its prominence; of those that stay, the ones count that rise ``prominence`` above the higher of the two lowest points
+    between them and a higher sample, or the end.
+    """
+    tops, i = [], 1
+    while i < len(v) - 1:
+        j = i
+        while j < len(v) - 1 and v[j + 1] == v[i]:
+            j += 1
+        if v[i - 1] < v[i] and j < len(v) - 1 and v[j + 1] < v[i]:
+            tops.append((i + j) // 2)
+        i = j + 1
+    gone = [False] * len(tops)
+    for k in sorted(range(len(tops)), key=lambda k: (v[tops[k]], k), reverse=True):
+        if not gone[k]:
+            for way in (-1, 1):
+                n = k + way
+                while 0 <= n < len(tops) and abs(tops[n] - tops[k]) < distance:
+                    gone[n], n = True, n + way
+    left, right = _lows(v), _lows(v[::-1])[::-1]
+    return sum(not g and v[t] - max(left[t], right[t]) >= prominence for t, g in zip(tops, gone, strict=True))
+
+
+def _lows(v: list[float]) -> list[float]:
+    """For each sample the lowest one back to the last higher sample, by a stack of falling values, each with the lowest one since the value below it."""
+    stack: list[tuple[float, float]] = []
+    out = []
+    for x in v:
+        low = x
+        while stack and stack[-1][0] <= x:
+            low = min(low, stack.pop()[1])
+        stack.append((x, low))
+        out.append(low)
+    return out
 
 
-def first_samples(samples: DataFrame, order: list[str], interval: float, seconds: float) -> DataFrame:
-    """Adds idx to a case's samples and stops after the first ``seconds`` of them; Spark keeps no more rows of a case than that while it sorts."""
-    rows = samples.withColumn("_n", F.row_number().over(Window.partitionBy("case_id").orderBy(*order))).where(F.col("_n") <= math.ceil(seconds / interval - 1e-9))
-    return rows.withColumn("idx", F.col("_n") - 1).drop("_n")
+def pulse_like(coverage: float, span: float, least: int, most: int) -> Column:
+    """Of rows with coverage, span and peaks: enough samples, enough span, and a plausible number of peaks."""
+    return F.coalesce((F.col("coverage") >= coverage) & (F.col("span") >= span) & F.col("peaks").between(least, most), F.lit(False))
 
 
 def decoded_times(samples: DataFrame, start: Column, interval: Column) -> DataFrame:

@@ -7,6 +7,7 @@ holds one batch and the function's own state, never a whole case.
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,10 +17,11 @@ from pyspark.sql import DataFrame
 Step = Callable[..., Iterable[tuple]]
 
 
-def scanned(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], made: str, begin: Callable[[], Step]) -> DataFrame:
+def scanned(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], made: str, begin: Callable[[], Step | tuple[Step, Step]]) -> DataFrame:
     """keys and the columns ``made`` (a DDL string) of all tuples that the steps give.
 
     ``begin`` makes a new step function for each value of the keys; it is called with ``columns`` of each record, in the order of ``order``. Missing numbers come as NaN.
+    ``begin`` may give a pair instead: the step function and one without arguments, which is called after the last record of the key.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], made])
@@ -27,15 +29,19 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], columns: list[st
     n = len(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, step = None, None
+        held, step, close = None, None, None
         for b in batches:
             found: list[tuple] = []
             for record in b.itertuples(index=False, name=None):
                 key = tuple(None if x != x else x for x in record[:n])
                 if key != held:
-                    held, step = key, begin()
+                    found += [(*held, *x) for x in close()] if close else []
+                    started = begin()
+                    held, (step, close) = key, started if isinstance(started, tuple) else (started, None)
                 found += [(*key, *x) for x in step(*record[n:])]
             yield pd.DataFrame(found, columns=names)
+        if close:
+            yield pd.DataFrame([(*held, *x) for x in close()], columns=names)
 
     sorted_rows = rows.select(*keys, *dict.fromkeys([*columns, *order])).repartition(*keys).sortWithinPartitions(*keys, *order)
     return sorted_rows.select(*keys, *columns).mapInPandas(run, schema)
@@ -131,3 +137,17 @@ def steady_increases(most_gap: float, stay: float, tiny: float) -> Callable[[],
         return step
 
     return begin
+
+
+def digest_of_lines() -> tuple[Step, Step]:
+    """SHA-256 of the records' texts, one a line; a missing text is no line. Only the state of the digest is held."""
+    digest, lines = hashlib.sha256(), 0
+
+    def step(text: str | None) -> Iterable[tuple]:
+        nonlocal lines
+        if isinstance(text, str):
+            digest.update(b"\n" * (lines > 0) + text.encode())
+            lines += 1
+        return ()
+
+    return step, lambda: [(digest.hexdigest(),)]

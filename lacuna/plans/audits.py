@@ -160,7 +160,7 @@ def policy_refit(spark, d):
     return text.join(F.broadcast(base), F.lit(True)).join(F.broadcast(wide.drop("_all")), F.lit(True)).select("label", "n", "ratio", "text", (F.col("ratio") - F.col("original_ratio")).alias("change"), (F.col("text") == F.col("original_text")).alias("same_text"), *[F.col(n).alias(f"{n}_text") for n in names if n != "original"])  # one row each
 
 
-@add("manifest_check")
+@add("manifest_check", "select * from (values ('region.parquet', 'unexpected'), ('nation.parquet', 'changed'), ('lost-supplier.parquet', 'missing')) f(name, fault)")
 def manifest_check(spark, d):
     """Files of three tables against a saved manifest in which one is missing, one is new and one has changed."""
     now = reduce(DataFrame.unionByName, [files.manifest(spark, f"{d}/{t}.parquet") for t in ("nation", "region", "supplier")])

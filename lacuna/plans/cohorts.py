@@ -109,7 +109,7 @@ def claim_gate(spark, d):
 @add("id_list_hash", "select c_mktsegment, sha256(string_agg(c_custkey::varchar, chr(10) order by c_custkey)) as digest from customer where c_acctbal > 0 group by 1")
 def id_list_hash(spark, d):
     c = table(spark, d, "customer").where("c_acctbal > 0")
-    return c.groupBy("c_mktsegment").agg(cohort.ids_digest(c, "c_custkey").alias("digest"))
+    return cohort.ids_digest(c, ["c_mktsegment"], "c_custkey")
 
 
 @add("text_privacy_scan", "with m as (select doc_id, r.rule, len(regexp_extract_all(coalesce(text, ''), r.pat)) as n from documents cross join (values ('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), ('local_path', '(?:/Users/|/home/|C:\\\\Users\\\\)[A-Za-z0-9_]+'), ('key', '(?i)(?:token|secret|password) = '), ('long_number', '[0-9]{12,}')) r(rule, pat)) select rule, count(*) filter (n > 0) as texts, sum(n) as matches from m group by 1", "", "texts matches")
@@ -170,14 +170,14 @@ def dataset_manifest(spark, d):
     return files.manifest(spark, f"{d}/orders.parquet")
 
 
-@add("track_scan")
+@add("track_scan", f"with {b.SIG} select case_id as tid, count(value) as n, sum(value) as total from sig group by 1", "total", "tid n")
 def track_scan(spark, d):
-    """Readings of every user written as gzip CSV in a folder each and read back by directory scan."""
+    """Readings of every user written as gzip CSV and read back by directory scan."""
     rows = b.readings(spark, d).select(F.col("case_id").alias("tid"), "sec", "value")
     return files.tracks_round_trip(rows).groupBy("tid").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@add("archive_members")
+@add("archive_members", f"with {b.SIG} select case_id, count(*) as n, sum(value) as total from sig group by 1", "total", "n")
 def archive_members(spark, d):
     """Tables of a case packed into zip archives, and one member of each read back."""
     rows = b.readings(spark, d).groupBy("case_id").agg(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws(",", F.col("sec").cast("string"), F.col("value").cast("string"))))).alias("csv"))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import gzip
 import io
+import itertools
+import os
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +19,25 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.columns import number
 
+from . import readers
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new path in the folder that all executors share, spark.checkpoint.dir; a session of one machine may do without (tests), a cluster must name it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = own_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@lru_cache
+def own_folder(application: str) -> str:
+    """One temporary folder for an application without spark.checkpoint.dir."""
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once as a table of the shared folder and read again: for rows that several jobs need."""
     path = shared_path(df.sparkSession, "table")
@@ -29,19 +45,20 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_tracks(rows: DataFrame, path: str) -> None:
-    """tid, sec, value as gzip CSV, a folder per track."""
-    rows.write.partitionBy("tid").option("compression", "gzip").option("header", True).csv(path)
+def write_tracks(rows: DataFrame, path: str, buckets: int = 64) -> None:
+    """sec, value, tid as gzip CSV: tracks are dealt into ``buckets`` files by their id, so that many small tracks are not as many files."""
+    rows.select("sec", "value", F.col("tid").cast("string").alias("tid")).repartition(buckets, "tid").sortWithinPartitions("tid", "sec").write.option("compression", "gzip").option("header", True).csv(path)
 
 
 def read_tracks(spark: SparkSession, *roots: str) -> DataFrame:
     """tid, sec, value of all tracks below the roots; the first root that has a track wins. Text that is no number is NULL.
 
-    The first two columns count, whatever they are called; a track with one column has no rows, and so has one without a file.
+    A track is a folder tid=... of its own, or has its id (a text) in the third column of shared files. The first two columns count, whatever they are
+    called; a track with one column has no rows, and so has one without a file.
     """
     out = None
     for i, root in enumerate(roots):
-        raw = spark.read.schema("first string, second string, tid long").option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(root)
+        raw = spark.read.schema("first string, second string, tid string").option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(root)
         one = raw.where("second is not null").select("tid", number("first").alias("sec"), number("second").alias("value"), F.lit(i).alias("root"))
         out = one if out is None else out.unionByName(one)
     if len(roots) == 1:
@@ -84,21 +101,19 @@ def zipped(rows: DataFrame, key: str, text: str, member: str = "data/signal.csv.
     return rows.select(key, text).mapInPandas(pack, f"{key} long, content binary")
 
 
+#: Lines of a member that are handed on at once.
+LINES = 50_000
+
+
 def archive_member(archives: DataFrame, suffix: str, missing: str = "error") -> DataFrame:
     """case_id, sec, value: rows of the first member of each archive whose name ends in the suffix, with or without .gz.
 
     Text that is no number is NULL, and a line of one column has no value. An archive without such a member is an error; with
-    ``missing`` "empty" it has no rows.
+    ``missing`` "empty" it has no rows. An archive is one value of its row, of 2 GB at most; its member is read line by line.
     """
     if missing not in ("error", "empty"):
         raise ValueError(f"missing must be error or empty, not {missing}")
 
-    def cell(line: list[str], i: int) -> float:
-        try:
-            return float(line[i])
-        except (ValueError, IndexError):
-            return float("nan")
-
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for key, content in zip(b["case_id"], b["content"], strict=True):
@@ -106,26 +121,29 @@ def archive_member(archives: DataFrame, suffix: str, missing: str = "error") ->
                     name = next((n for n in z.namelist() if n.endswith((suffix, f"{suffix}.gz"))), None)
                     if name is None and missing == "error":
                         raise ValueError(f"archive {key} has no member {suffix}")
-                    data = b"" if name is None else z.read(name)
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = [line.split(",") for line in data.decode("utf-8-sig").splitlines() if line]
-                yield pd.DataFrame({"case_id": key, "sec": [cell(r, 0) for r in rows], "value": [cell(r, 1) for r in rows]})
+                    if name is None:
+                        continue
+                    with z.open(name) as member:
+                        start = member.peek(2)[:2]
+                        lines = (x for x in (gzip.open(member) if start == b"\x1f\x8b" else member) if x.strip(b"\r\n"))
+                        first = next(lines, b"").removeprefix(b"\xef\xbb\xbf")
+                        lines = itertools.chain([first] if first.strip() else [], lines)
+                        while part := [readers.cells(x.rstrip(b"\r\n")) for x in itertools.islice(lines, LINES)]:
+                            yield pd.DataFrame({"case_id": key, "sec": [x for x, _ in part], "value": [y for _, y in part]})
 
     rows = archives.mapInPandas(read, "case_id long, sec double, value double")
     return rows.select("case_id", number("sec").alias("sec"), number("value").alias("value"))
 
 
-#: Bytes of a file that are hashed in one piece: Spark holds a file as one value, of 2 GB at most.
-LARGEST_FILE = 2_000_000_000
-
-
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """name, bytes, sha256 of every file at the path; a file over ``LARGEST_FILE`` is an error, before it is read."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    large = f.select("path", "length").where(F.col("length") > LARGEST_FILE).head(1)
-    if large:
-        raise ValueError(f"{large[0]['path']} has {large[0]['length']} bytes; files of over {LARGEST_FILE} cannot be hashed in one piece")
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def manifest(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
+    """name (path relative to the root), bytes, sha256 of every file below the root, of any size. Of files given by ``only``, those outside the root are left out."""
+    readers.register(spark)
+    found = spark.read.format("file_digest").load(root)
+    if only is None:
+        return found
+    inside = os.path.realpath(root)
+    names = [os.path.relpath(os.path.realpath(p), inside) for p in only]
+    return found.where(F.col("name").isin([n for n in names if not n.startswith("..")]))
 
 
 def manifest_faults(now: DataFrame, saved: DataFrame) -> DataFrame:
@@ -140,3 +158,15 @@ def write_json(df: DataFrame, path: str, *order: str) -> None:
     """JSON lines in a stable order within files, NaN and NULL as null."""
     clean = {f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")}
     df.withColumns(clean).sortWithinPartitions(*order).write.option("ignoreNullFields", False).json(path)
+
+
+def write_waves(rows: DataFrame, path: str, key: str, order: list[str], step: str, value: str) -> None:
+    """Waveforms as CSV, time and value, a file for each key: ``step`` is the column of sample times."""
+    text = rows.select(key, *order, F.col(step).alias("_time"), F.col(value).alias("_value")).repartition(key).sortWithinPartitions(key, *order)
+    text.select(F.col("_time").alias("time"), F.col("_value").alias("wave"), key).write.partitionBy(key).option("header", True).csv(path)
+
+
+def wave_prefix(spark: SparkSession, path: str, seconds: float) -> DataFrame:
+    """file, idx, sec, value, read_bytes: the first seconds of every waveform below the path; no more of a file is read than that takes."""
+    readers.register(spark)
+    return spark.read.format("wave_prefix").option("seconds", seconds).load(path)

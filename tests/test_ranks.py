@@ -77,19 +77,34 @@ def test_scenarios_exclude_in_order(spark):
 
 
 def prominences(v, distance, least):
-    """Peaks as commonly defined: local maxima, prominence above the higher of the two lowest points up to a higher value, then the highest first."""
-    out = []
+    """Peaks in three plain steps: maxima (middles of flat tops), the distance rule from the highest down, then prominence by looking outwards."""
+    tops = []
     for i in range(1, len(v) - 1):
-        if v[i] > v[i - 1] and v[i] >= v[i + 1]:
-            left = next((j for j in range(i - 1, -1, -1) if v[j] > v[i]), -1)
-            right = next((j for j in range(i + 1, len(v)) if v[j] > v[i]), len(v))
-            if v[i] - max(min(v[left + 1 : i + 1]), min(v[i:right])) >= least:
-                out.append(i)
+        for j in range(i, len(v) - 1):
+            if v[j] != v[i]:
+                break
+            if v[i - 1] < v[i] and v[j + 1] < v[i]:
+                tops.append((i + j) // 2)
     kept = []
-    for i in sorted(out, key=lambda i: (-v[i], i)):
+    for i in sorted(tops, key=lambda i: (-v[i], -i)):
         if all(abs(i - j) >= distance for j in kept):
             kept.append(i)
-    return len(kept)
+    n = 0
+    for i in kept:
+        left = next((j for j in range(i - 1, -1, -1) if v[j] > v[i]), -1)
+        right = next((j for j in range(i + 1, len(v)) if v[j] > v[i]), len(v))
+        n += v[i] - max(min(v[left + 1 : i + 1]), min(v[i:right])) >= least
+    return n
+
+
+def test_peaks_keep_their_distance_before_they_stand_out():
+    assert grid.peak_count([0, 20, 40, 60, 80, 70, 90, 88, 92, 96, 100, 50, 0], 3, 5) == 1
+    assert grid.peak_count([0, 5, 5, 5, 0, 5, 5], 1, 1) == 1 and grid.peak_count([], 1, 1) == 0 and grid.peak_count([1, 1, 1], 1, 0) == 0
+    r = random.Random(9)
+    for _ in range(600):
+        v = [float(r.randint(0, r.choice([2, 6, 30]))) for _ in range(r.randint(0, 40))]
+        distance, least = r.choice([1, 2, 3, 5, 2.5]), r.choice([0, 1, 3, 5])
+        assert grid.peak_count(v, distance, least) == prominences(v, distance, least)
 
 
 def test_peaks_and_pulses(spark):
