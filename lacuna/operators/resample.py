@@ -1,16 +1,21 @@
 """Cluster bootstrap with weights from md5, agreement of two measurements, and other summaries of groups.
 
 Clusters are reduced to their sums first. In a replicate a cluster has a Poisson weight of mean 1, read from the md5 of (seed, cluster, block of
-replicates): the same on every machine, in every order and for every set of other groups. So replicates are weighted sums, added up
-within each task; there is no join, no ranking of clusters, and only (group, replicate) rows are shuffled. Drawing as many clusters as there are
-with replacement gives weights of the same means and variances; ratios of sums and means of clusters have the same limits.
+replicates): the same on every machine, in every order and for every set of other groups. A task works out the weights of a block of clusters as a matrix,
+clusters by replicates, and multiplies it with the clusters' sums; only its sums by group and replicate are shuffled. There is no row for a
+cluster and a replicate, no join and no ranking. Drawing as many clusters as there are with replacement gives weights of the same means and variances;
+ratios of sums and means of clusters have the same limits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from hashlib import md5
 from math import exp, factorial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +29,10 @@ from . import ranks
 POISSON = [round(2**32 * sum(exp(-1) / factorial(i) for i in range(k + 1))) for k in range(12)]
 #: Hashes of 32 bits in one md5.
 BLOCK = 4
+#: Rows of clusters whose weights a task holds as one matrix, and groups whose sums it holds.
+CLUSTERS, GROUPS = 1000, 500
+#: Replicates whose minima are taken in one aggregation.
+MINIMA = 50
 
 
 def clusters_of(df: DataFrame, groups: list[str], cluster: str, sums: list[Column]) -> DataFrame:
@@ -31,22 +40,55 @@ def clusters_of(df: DataFrame, groups: list[str], cluster: str, sums: list[Colum
     return df.where(F.col(cluster).isNotNull()).groupBy(*groups, cluster).agg(*sums)
 
 
-def draws(clusters: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
-    """Every row of a cluster with rep and w, for each replicate in which the cluster has a weight; weights are worked out once for a cluster's rows."""
-    held = [c for c in clusters.columns if c != cluster]
-    packed = clusters.groupBy(cluster).agg(F.collect_list(F.struct(*held)).alias("_rows"))  # as many as there are groups
-    blocks = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // BLOCK) - 1))))
-    digest = blocks.withColumn("_d", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(cluster).cast("string"), F.col("_block").cast("string"))))
-    part = lambda j: F.conv(F.substring("_d", 1 + 8 * j, 8), 16, 10).cast("long")
-    weight = lambda h: F.size(F.filter(F.array(*[F.lit(t) for t in POISSON]), lambda t: h >= t))
-    drawn = F.explode(F.array(*[F.struct((F.col("_block") * BLOCK + j).alias("rep"), weight(part(j)).alias("w")) for j in range(BLOCK)]))
-    rows = digest.select(cluster, "_rows", drawn.alias("_x")).where(f"_x.w > 0 and _x.rep < {reps}")
-    return rows.select(cluster, F.col("_x.rep").alias("rep"), F.col("_x.w").alias("w"), F.explode("_rows").alias("_r")).select(cluster, "rep", "w", *[F.col(f"_r.{c}").alias(c) for c in held])
-
-
-def replicates(clusters: DataFrame, groups: list[str], cluster: str, reps: int, seed: int, columns: list[str]) -> DataFrame:
-    """groups, rep, the columns' weighted sums over the clusters, and the clusters drawn."""
-    return draws(clusters.select(*groups, cluster, *columns), cluster, reps, seed).groupBy(*groups, "rep").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in columns], F.sum("w").alias("drawn"))
+def weights(clusters: list[str], reps: int, seed: int) -> np.ndarray:
+    """Weights of the clusters (rows) in the replicates (columns)."""
+    blocks = range(-(-reps // BLOCK))
+    digests = b"".join([md5(f"{seed}|{c}|{k}".encode()).digest() for c in clusters for k in blocks])
+    hashes = np.frombuffer(digests, ">u4").reshape(len(clusters), -1)[:, :reps]
+    return np.searchsorted(np.array(POISSON, np.int64), hashes.astype(np.int64), "right").astype(np.float64)
+
+
+def weighted(values: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums of the values (cluster x column) in each replicate, and of the weights: replicate x (column + 1)."""
+    return w.T @ np.column_stack([values, np.ones(len(values))])
+
+
+def replicates(clusters: DataFrame, groups: list[str], cluster: str, reps: int, seed: int, columns: list[str], sums: Callable = weighted, names: list[str] | None = None) -> DataFrame:
+    """groups, rep, the columns' weighted sums over the clusters (missing values count as 0), and the clusters drawn.
+
+    ``sums`` may make other additive numbers, ``names``, of a block's values and weights.
+    """
+    names = names or [*columns, "drawn"]
+    kinds = {f.name: f.dataType.simpleString() for f in clusters.schema.fields}
+    rows = clusters.select(*groups, F.col(cluster).cast("string").alias("_id"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    rows = rows.repartition("_id").sortWithinPartitions("_id")  # a cluster's rows of all groups come together
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for start in range(0, len(b), CLUSTERS):
+                part = b.iloc[start : start + CLUSTERS]
+                at, ids = pd.factorize(part["_id"])
+                w = weights(list(ids), reps, seed)
+                values = np.nan_to_num(part[[f"_v{i}" for i in range(len(columns))]].to_numpy(float))
+                keys = list(part[groups].itertuples(index=False, name=None)) if groups else [()] * len(part)
+                spots: dict[tuple, list[int]] = {}
+                for i, k in enumerate(keys):
+                    spots.setdefault(tuple(None if x != x else x for x in k), []).append(i)
+                for k, i in spots.items():
+                    one = sums(values[i], w[at[i]])
+                    held[k] = held[k] + one if k in held else one
+            if len(held) > GROUPS:
+                yield listed(held)
+                held = {}
+        yield listed(held)
+
+    def listed(held: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame([(*k, *v.T) for k, v in held.items()], columns=[*groups, *names])
+
+    schema = ", ".join([*[f"{g} {kinds[g]}" for g in groups], *[f"{n} array<double>" for n in names]])
+    each = rows.mapInPandas(add_up, schema).select(*groups, F.posexplode(F.arrays_zip(*names)).alias("rep", "_x"))
+    return each.groupBy(*groups, "rep").agg(*[F.sum(f"_x.{n}").alias(n) for n in names]).where("drawn > 0" if "drawn" in names else "true")
 
 
 def interval(reps: DataFrame, groups: list[str], values: dict[str, Column], low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -100,18 +142,26 @@ def random_intercept(moments: DataFrame) -> DataFrame:
 def random_intercept_interval(moments: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
     """One row: percentile intervals of the mean and of both limits of agreement over resampled clusters."""
     c = F.col
-    rows = moments.select(cluster, "n", "s", "m", "ss", (c("n") * c("n")).alias("nn"), (c("n") * c("m") * c("m")).alias("nmm"))
-    t = draws(rows, cluster, reps, seed)
-    sums = t.groupBy("rep").agg(F.sum("w").alias("k"), *[F.sum(c(x) * c("w")).alias(f"_{x}") for x in ("n", "s", "ss", "nn", "nmm")])
-    within = c("_ss") / (c("_n") - c("k"))
-    msb = (c("_nmm") - c("_s") * c("_s") / c("_n")) / (c("k") - 1)
-    n0 = (c("_n") - c("_nn") / c("_n")) / (c("k") - 1)
-    parts = sums.where("k > 1 and _n > k").select("rep", within.alias("within"), F.greatest((msb - within) / n0, F.lit(0.0)).alias("between"))
-    # each replicate has weights of its own: one row per replicate goes back to its draws
-    found = t.join(F.broadcast(parts), "rep").withColumn("_v", c("w") / (c("between") + c("within") / c("n")))
-    means = found.groupBy("rep", "between", "within").agg((F.sum(c("_v") * c("m")) / F.sum("_v")).alias("mean"))
-    half = 1.96 * F.sqrt(c("between") + c("within"))
-    return interval(means.withColumn("_all", F.lit(1)), ["_all"], {"mean": c("mean"), "loa_low": c("mean") - half, "loa_high": c("mean") + half}).drop("_all")
+    rows = settled(moments.select(cluster, "n", "s", "m", "ss", (c("n") * c("n")).alias("nn"), (c("n") * c("m") * c("m")).alias("nmm")))
+    sums = replicates(rows, [], cluster, reps, seed, ["n", "s", "ss", "nn", "nmm"]).withColumnRenamed("drawn", "k")
+    within = c("ss") / (c("n") - c("k"))
+    msb = (c("nmm") - c("s") * c("s") / c("n")) / (c("k") - 1)
+    n0 = (c("n") - c("nn") / c("n")) / (c("k") - 1)
+    parts = sums.where("k > 1 and n > k").select("rep", within.alias("within"), F.greatest((msb - within) / n0, F.lit(0.0)).alias("between"))
+    found = parts.collect()  # a row for each replicate
+    spread = np.full((2, reps), np.nan)
+    for r in found:
+        spread[:, r["rep"]] = r["between"], r["within"]
+
+    def means(values: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Each replicate has variances, and so weights, of its own."""
+        n, m = values.T
+        v = w / (spread[0] + spread[1] / n[:, None])
+        return np.nan_to_num(np.column_stack([v.T @ m, v.sum(0)]))
+
+    mean = replicates(rows, [], cluster, reps, seed, ["n", "m"], means, ["top", "bottom"])
+    ends = mean.join(F.broadcast(parts), "rep").select((c("top") / c("bottom")).alias("mean"), (1.96 * F.sqrt(c("between") + c("within"))).alias("half"), F.lit(1).alias("_all"))  # a row for each replicate
+    return interval(ends, ["_all"], {"mean": c("mean"), "loa_low": c("mean") - c("half"), "loa_high": c("mean") + c("half")}).drop("_all")
 
 
 def reml_profile(moments: DataFrame, ratios: list[float]) -> DataFrame:
@@ -124,10 +174,15 @@ def reml_profile(moments: DataFrame, ratios: list[float]) -> DataFrame:
 
 
 def one_per_cluster(df: DataFrame, cluster: str, key: str, reps: int, seed: int) -> DataFrame:
-    """rep and one row of each cluster per replicate, by the smallest md5."""
-    rows = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_h", hashed(F.lit(seed), "rep", key))
-    w = Window.partitionBy("rep", cluster).orderBy("_h", key)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_h")
+    """rep and one row of each cluster per replicate, by the smallest md5: a minimum for each replicate, taken in each task first."""
+    held = F.struct(*df.columns)
+    parts = [range(k, min(k + MINIMA, reps)) for k in range(0, reps, MINIMA)]
+    out = []
+    for part in parts:
+        least = df.groupBy(F.col(cluster).alias("_cluster")).agg(*[F.min(F.struct(hashed(F.lit(seed), F.lit(r), key).alias("h"), F.col(key).alias("k"), held.alias("row"))).alias(f"_r{r}") for r in part])
+        each = F.explode(F.array(*[F.struct(F.lit(r).alias("rep"), F.col(f"_r{r}.row").alias("row")) for r in part]))
+        out.append(least.select(each.alias("_x")).select("_x.row.*", "_x.rep"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def standardised_differences(df: DataFrame, group: Column, columns: list[str], weight: str | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Quantiles, numbering and running totals against NumPy; rules of audits on small tables."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -43,8 +44,32 @@ def test_weights_have_the_moments_of_drawing_with_replacement(spark):
     reps = resample.replicates(c, ["g"], "c", 1000, 5, ["x"]).collect()
     drawn = np.array([r["drawn"] for r in reps])
     assert len(reps) == 1000 and abs(drawn.mean() - 300) < 3 and abs(drawn.std() - 300**0.5) < 2
-    each = resample.draws(c.drop("g"), "c", 1000, 5).groupBy("c").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q")).collect()
-    assert abs(np.mean([r["s"] for r in each]) / 1000 - 1) < 0.01 and abs(np.mean([r["q"] for r in each]) / 1000 - 2) < 0.05
+    w = resample.weights([str(i) for i in range(300)], 1000, 5)
+    assert abs(w.mean() - 1) < 0.01 and abs((w**2).mean() - 2) < 0.05
+
+
+def test_replicates_are_weighted_sums(spark, monkeypatch):
+    """Whatever the blocks of clusters and the groups held at once: sums by the weights, missing values left out, null groups kept."""
+    monkeypatch.setattr(resample, "CLUSTERS", 7)
+    monkeypatch.setattr(resample, "GROUPS", 2)
+    r = random.Random(3)
+    rows = [(c, g, None if r.random() < 0.2 else r.random(), float(c)) for c in range(40) for g in (None, 1, 2, 3) if r.random() < 0.7]
+    df = spark.createDataFrame(rows, "c long, g int, x double, y double").repartition(5)
+    w = resample.weights([str(c) for c in range(40)], 30, 9)
+    found = {(x["g"], x["rep"]): (x["x"], x["y"], x["drawn"]) for x in resample.replicates(df, ["g"], "c", 30, 9, ["x", "y"]).collect()}
+    for g in (None, 1, 2, 3):
+        mine = [x for x in rows if x[1] == g]
+        for k in range(30):
+            expected = (sum((x[2] or 0) * w[x[0], k] for x in mine), sum(x[3] * w[x[0], k] for x in mine), sum(w[x[0], k] for x in mine))
+            assert found[g, k] == pytest.approx(expected)
+
+
+def test_one_row_of_each_cluster(spark, monkeypatch):
+    monkeypatch.setattr(resample, "MINIMA", 3)
+    df = spark.createDataFrame([(c, e, float(e)) for c in range(5) for e in range(10 * c, 10 * c + c + 1)], "case_id long, event_id long, rep_value double")
+    out = resample.one_per_cluster(df, "case_id", "event_id", 7, 4).collect()
+    pick = lambda k, c: min(range(10 * c, 10 * c + c + 1), key=lambda e: (int(hashlib.md5(f"4|{k}|{e}".encode()).hexdigest()[:8], 16), e))
+    assert sorted((r["rep"], r["case_id"], r["event_id"]) for r in out) == [(k, c, pick(k, c)) for k in range(7) for c in range(5)]
 
 
 def test_a_summary_is_brought_up_to_date(spark):
