@@ -1,37 +1,29 @@
 """Regressions: Poisson with log link and cluster-robust errors, logistic risks out of fold, transport weights.
 
-Rows stay distributed; only Gram matrices of the few parameters reach the driver.
+Rows stay distributed; only gradients and matrices of the few parameters reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.columns import hashed
+from lacuna.sources.files import settled
 
 from . import ranks
 
 
-def _gram(df: DataFrame, names: list[str], weight) -> np.ndarray:
-    k = len(names)
-    one = df.agg(*[F.sum(weight * F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    out = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            out[i, j] = out[j, i] = one[f"g{i}_{j}"] or 0.0
-    return out
-
-
 @dataclass(frozen=True)
 class Spec:
     """A model of a sequence: its label, outcome and terms, and which rows it takes (SQL; NULL is no)."""
@@ -49,50 +41,187 @@ COLUMNS = (
 
 
 def poisson_cluster(df: DataFrame, outcome: str, terms: list[str], cluster: str, label: str = "model", most_steps: int = 50) -> DataFrame:
-    """COLUMNS of complete cases, a row per term.
+    """``sequence_of_models`` of one model on all rows."""
+    return sequence_of_models(df, [Spec(label, outcome, tuple(terms))], cluster, most_steps)
+
+
+def sequence_of_models(df: DataFrame, specs: list[Spec], cluster: str, most_steps: int = 50) -> DataFrame:
+    """COLUMNS of every specification, a row per term, all fitted together on their complete cases.
 
     Modified Poisson: the point estimates are those of a Poisson model with log link; the variance is the cluster
-    sandwich with the factor G / (G - 1) * (n - 1) / (n - k). A model whose steps do not settle within ``most_steps`` is not converged;
-    without rows all numbers are NULL.
+    sandwich with the factor G / (G - 1) * (n - 1) / (n - k). One pass over the rows gives the gradient and the information matrix of every model that has not settled
+    yet, so there are as many passes as the slowest model needs steps, and one more, ordered by cluster, for the sandwich. A step that lowers the
+    likelihood is halved. A model that does not settle within ``most_steps`` is not converged; without rows all numbers are NULL.
     """
-    rows = df.select(outcome, *terms, cluster).dropna().withColumn("_one", F.lit(1.0))
-    rows = rows.withColumn(outcome, F.col(outcome).cast("double"))
-    names = ["_one", *terms]
-    info = rows.agg(F.count("*").alias("n"), F.sum(outcome).alias("events"), F.count_distinct(cluster).alias("g")).first()
-    n, g, k = info["n"], info["g"], len(names)
-    if not n:
-        return df.sparkSession.createDataFrame([(label, "intercept" if x == "_one" else x, *[None] * 6, 0, 0.0, 0, k, None, None, False) for x in names], COLUMNS)
-    fitted = GeneralizedLinearRegression(family="poisson", link="log", labelCol=outcome, featuresCol="_x", maxIter=most_steps, tol=1e-10).fit(VectorAssembler(inputCols=terms, outputCol="_x").transform(rows))
-    beta = np.array([fitted.intercept, *fitted.coefficients])
-    eta = sum((F.lit(float(c)) * F.col(x) for c, x in zip(beta[1:], terms, strict=True)), F.lit(float(beta[0])))
-    scored = rows.withColumn("_eta", eta).withColumn("_mu", F.exp("_eta")).withColumn("_e", F.col(outcome) - F.col("_mu"))
-    bread = np.linalg.pinv(_gram(scored, names, F.col("_mu")))
-    sums = scored.groupBy(cluster).agg(*[F.sum(F.col("_e") * F.col(x)).alias(f"u{i}") for i, x in enumerate(names)])
-    meat = _gram(sums, [f"u{i}" for i in range(k)], F.lit(1.0))
-    # log of y! by its gamma function is 0 for outcomes 0 and 1; larger ones are counts
-    factorials = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col(outcome).cast("int"), F.lit(1))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
-    log_likelihood = scored.agg(F.sum(F.col(outcome) * F.col("_eta") - F.col("_mu") - factorials).alias("l")).first()["l"]
-    factor = g / (g - 1) * (n - 1) / (n - k) if g > 1 and n > k else math.nan
-    se = np.sqrt(np.maximum(np.diag(bread @ meat @ bread), 0) * factor)
-    number = lambda x: float(x) if math.isfinite(x) else None
-    up = lambda x: float(np.exp(x)) if x < 700 else math.inf
+    used = list(dict.fromkeys(x for s in specs for x in (s.outcome, *s.terms)))
+    whole = lambda s: F.coalesce(F.expr(s.rows), F.lit(False)) & reduce(Column.__and__, [F.col(x).isNotNull() for x in (s.outcome, *s.terms, cluster)])
+    flags = F.array(*[whole(s) for s in specs])
+    place = {x: i for i, x in enumerate(used)}
+    rows = df.select(F.col(cluster).alias("cluster"), F.array(*[F.col(x).cast("double") for x in used]).alias("x"), flags.alias("takes"))
+    rows = settled(rows.where(F.exists("takes", lambda f: f)))
+    columns = [[place[t] for t in s.terms] for s in specs]
+    answers = [place[s.outcome] for s in specs]
+    sizes = [1 + len(s.terms) for s in specs]
+
+    def matrices(b: tuple[np.ndarray, np.ndarray], i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mine = b[0][:, i]
+        x = b[1][mine]
+        return np.column_stack([np.ones(len(x)), x[:, columns[i]]]), x[:, answers[i]], mine
+
+    def passed(at: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """n, events, log-likelihood, gradient and information of the models at these estimates, as one vector for each."""
+
+        def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = {i: np.zeros(3 + sizes[i] + sizes[i] ** 2) for i in at}
+            for b in batches:
+                block = arrays(b)
+                for i, beta in at.items():
+                    x, y, _ = matrices(block, i)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        eta = x @ beta
+                        mu = np.exp(eta)
+                        fit = y @ eta - mu.sum() - sum(math.lgamma(v + 1) * n for v, n in zip(*np.unique(y, return_counts=True), strict=True))
+                        sums[i] += np.concatenate([[len(y), y.sum(), fit], x.T @ (y - mu), (x.T @ (x * mu[:, None])).ravel()])
+            yield pd.DataFrame({"model": list(sums), "sums": list(sums.values())})
+
+        each = rows.mapInPandas(add_up, "model int, sums array<double>").select("model", F.posexplode("sums").alias("k", "v"))
+        found = {i: np.zeros(3 + sizes[i] + sizes[i] ** 2) for i in at}
+        for r in each.groupBy("model", "k").agg(F.sum("v").alias("v")).collect():  # the matrices' entries
+            found[r["model"]][r["k"]] = r["v"]
+        return found
+
+    start = {i: np.zeros(k) for i, k in enumerate(sizes)}
+    first = passed(start)
+    fits = {i: Fit(n=int(v[0]), events=float(v[1])) for i, v in first.items()}
+    for i, f in fits.items():
+        if f.n:
+            f.begin(start[i], max(f.events, 0.5) / f.n)
+    for _ in range(most_steps):
+        todo = {i: f.beta for i, f in fits.items() if f.n and not f.converged}
+        if not todo:
+            break
+        for i, v in passed(todo).items():
+            k = sizes[i]
+            fits[i].step(v[2], v[3 : 3 + k], v[3 + k :].reshape(k, k))
+    final = {i: f.best for i, f in fits.items() if f.n}
+    meat, groups = sandwich(rows, final, matrices) if final else ({}, {})
     out = []
-    for x, b, s in zip(names, beta, se, strict=True):
-        p = math.erfc(abs(b) / s / math.sqrt(2)) if s > 0 else math.nan
-        ends = [number(v) for v in (up(b), up(b - 1.959963984540054 * s), up(b + 1.959963984540054 * s), p)]
-        out.append((label, "intercept" if x == "_one" else x, number(b), number(s), *ends, int(n), float(info["events"]), int(g), k, number(log_likelihood), number(2 * k - 2 * log_likelihood), fitted.summary.numIterations < most_steps))
+    for i, s in enumerate(specs):
+        f, k, names = fits[i], sizes[i], ["intercept", *s.terms]
+        if not f.n:
+            out += [(s.label, x, *[None] * 6, 0, 0.0, 0, k, None, None, False) for x in names]
+            continue
+        g = groups[i]
+        factor = g / (g - 1) * (f.n - 1) / (f.n - k) if g > 1 and f.n > k else math.nan
+        bread = np.linalg.pinv(f.information)
+        se = np.sqrt(np.maximum(np.diag(bread @ meat[i] @ bread), 0) * factor)
+        for x, b, e in zip(names, f.best, se, strict=True):
+            p = math.erfc(abs(b) / e / math.sqrt(2)) if e > 0 else math.nan
+            ends = [_number(v) for v in (_up(b), _up(b - Z95 * e), _up(b + Z95 * e), p)]
+            out.append((s.label, x, _number(b), _number(e), *ends, f.n, f.events, g, k, _number(f.likelihood), _number(2 * k - 2 * f.likelihood), f.converged))
     return df.sparkSession.createDataFrame(out, COLUMNS)
 
 
-def sequence_of_models(df: DataFrame, specs: list[Spec], cluster: str) -> DataFrame:
-    """The rows of ``poisson_cluster`` for each specification; ``df`` should be a table, as every model reads it anew."""
-    return reduce(DataFrame.unionByName, [poisson_cluster(df.where(x.rows), x.outcome, list(x.terms), cluster, x.label) for x in specs])
+def arrays(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Which models take each row of a batch, and its numbers, NaN where one is missing."""
+    return np.array(b["takes"].tolist(), bool), np.array(b["x"].tolist(), float)
+
+
+#: The normal quantile of 0.975.
+Z95 = 1.959963984540054
+
+
+def _number(x: float) -> float | None:
+    return float(x) if math.isfinite(x) else None
+
+
+def _up(x: float) -> float:
+    return float(np.exp(x)) if x < 700 else math.inf
+
+
+@dataclass
+class Fit:
+    """Newton steps of one model: the estimates to try next, and the best ones so far with their likelihood and information."""
+
+    n: int
+    events: float
+    beta: np.ndarray | None = None
+    best: np.ndarray | None = None
+    likelihood: float = -math.inf
+    information: np.ndarray | None = None
+    converged: bool = False
+
+    def begin(self, zero: np.ndarray, rate: float) -> None:
+        self.beta = zero.copy()
+        self.beta[0] = math.log(rate)
+
+    def step(self, likelihood: float, gradient: np.ndarray, information: np.ndarray) -> None:
+        whole = np.isfinite(likelihood) and np.isfinite(information).all()
+        if self.best is not None and not (whole and likelihood >= self.likelihood - 1e-9 * (1 + abs(self.likelihood))):
+            self.beta = (self.beta + self.best) / 2
+            return
+        if not whole:  # the start itself
+            self.converged = False
+            self.best, self.information = self.beta, np.zeros((len(self.beta),) * 2)
+            return
+        move = np.linalg.pinv(information, hermitian=True) @ gradient
+        self.best, self.likelihood, self.information = self.beta, likelihood, information
+        self.converged = bool(np.abs(move).max() <= 1e-9 * (1 + np.abs(self.beta).max()))
+        self.beta = self.beta + move
+
+
+def sandwich(rows: DataFrame, at: dict[int, np.ndarray], matrices) -> tuple[dict[int, np.ndarray], dict[int, int]]:
+    """Of each model the sum over clusters of the outer product of their scores, and how many clusters it has."""
+    sizes = {i: len(b) for i, b in at.items()}
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {i: np.zeros(1 + k * k) for i, k in sizes.items()}
+        scores: dict[int, np.ndarray] = {}
+        held = None
+
+        def close() -> None:
+            for i, u in scores.items():
+                sums[i] += np.concatenate([[1], np.outer(u, u).ravel()])
+            scores.clear()
+
+        for b in batches:  # sorted by cluster; the last one of a batch may go on in the next
+            code, ids = pd.factorize(b["cluster"])
+            block, parts = arrays(b), {}
+            for i, beta in at.items():
+                x, y, mine = matrices(block, i)
+                u = x * (y - np.exp(x @ beta))[:, None]
+                own = code[mine]
+                starts = np.flatnonzero(np.diff(own, prepend=-1))
+                found = np.add.reduceat(u, starts) if len(starts) else u
+                parts[i] = dict(zip(own[starts].tolist(), found, strict=True))
+            for c, name in enumerate(ids):
+                if name != held:
+                    close()
+                    held = name
+                for i in at:
+                    if c in parts[i]:
+                        scores[i] = scores.get(i, 0) + parts[i][c]
+        close()
+        yield pd.DataFrame({"model": list(sums), "sums": list(sums.values())})
+
+    ordered = rows.repartition("cluster").sortWithinPartitions("cluster")
+    each = ordered.mapInPandas(add_up, "model int, sums array<double>").select("model", F.posexplode("sums").alias("k", "v"))
+    found = {i: np.zeros(1 + k * k) for i, k in sizes.items()}
+    for r in each.groupBy("model", "k").agg(F.sum("v").alias("v")).collect():  # the matrices' entries
+        found[r["model"]][r["k"]] = r["v"]
+    return {i: v[1:].reshape(sizes[i], sizes[i]) for i, v in found.items()}, {i: int(v[0]) for i, v in found.items()}
+
+
+#: Values of a category, at most.
+MOST_LEVELS = 200
 
 
 def dummies(df: DataFrame, column: str, missing: str = "missing") -> tuple[DataFrame, list[str]]:
-    """Adds a 0/1 column for each value of a category but the first (NULL is a value too); the categories are few."""
+    """Adds a 0/1 column for each value of a category but the first (NULL is a value too); more than ``MOST_LEVELS`` values are an error."""
     value = F.coalesce(F.col(column).cast("string"), F.lit(missing))
-    levels = [r[0] for r in df.select(value.alias("v")).distinct().orderBy("v").collect()]
+    levels = sorted(r[0] for r in df.select(value.alias("v")).distinct().limit(MOST_LEVELS + 1).collect())
+    if len(levels) > MOST_LEVELS:
+        raise ValueError(f"{column} has more than {MOST_LEVELS} values and is no category")
     names = [f"{column}_{i}" for i in range(1, len(levels))]
     return df.withColumns({n: (value == v).cast("double") for n, v in zip(names, levels[1:], strict=True)}), names
 

@@ -97,3 +97,24 @@ def test_transport_weights(spark):
     odds = np.exp(x @ logistic(x, y, np.ones(len(y))))[::2]
     expected = np.clip(odds / np.median(odds), 0.2, 1.5)
     assert [found[i] for i in range(0, len(rows), 2)] == pytest.approx(expected, rel=5e-3)
+
+
+def test_models_are_fitted_together(spark, monkeypatch):
+    """Each model of a sequence has the numbers it has alone, and all of them take as many passes as the slowest, not as many as their steps together."""
+    df, _ = frame(spark, 300, 11)
+    specs = [models.Spec("a", "y", ("x",)), models.Spec("b", "y", ("x", "z"), "code = 'a'"), models.Spec("c", "y", ("z",), "case_id < 200"), models.Spec("flat", "y", ("x", "one"))]
+    df = df.selectExpr("*", "1.0D as one").repartition(6)
+    passes = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: passes.append(1) or collect(self))
+    together = models.sequence_of_models(df, specs, "subject")
+    used, alone = len(passes), []
+    monkeypatch.undo()
+    rows = {(r["label"], r["term"]): r for r in together.collect()}
+    for s in specs[:3]:
+        for r in models.poisson_cluster(df.where(s.rows), s.outcome, list(s.terms), "subject", s.label).collect():
+            alone.append(r)
+            assert all(a == b if a is None or isinstance(a, (str, bool, int)) else a == pytest.approx(b, rel=1e-7) for a, b in zip(r, rows[r["label"], r["term"]], strict=True))
+    assert all(r["converged"] for r in alone) and used <= 12
+    # a column that repeats the intercept shares its weight, and the other estimates are those without it
+    assert rows["flat", "x"]["estimate"] == pytest.approx(rows["a", "x"]["estimate"], rel=1e-6)
