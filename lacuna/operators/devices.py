@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.columns import ratio, tally
 
-from . import hold, scan
+from . import asof, hold, scan
 
 CATEGORIES = ("reference_normal", "unavailable", "normal_display", "fresh_low", "inherited_low")
 
@@ -45,23 +45,19 @@ def window_pairs(events: DataFrame, panel: DataFrame, step: float, before: int,
     return rows.withColumns({"paired": paired, "reference": F.when(paired, F.col("middle"))}).drop("middle")
 
 
-def nearest(left: DataFrame, right: DataFrame, name: str, tolerance: float | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, name: str, tolerance: float | None = None, width: float = asof.BUCKET) -> DataFrame:
     """Adds ``name`` and ``name``_distance: the nearest right record (case_id, sec, value) in time, ties to the earlier one.
 
-    One window over the union of both sides finds the last record at or before and the first at or after each row.
+    Both sides together are dealt by case and time (``asof``), which gives the last record at or before and the first at or after each row.
     """
     a = left.withColumns({"_side": F.lit(1), "_s": F.lit(None).cast("struct<sec:double,value:double>")})
     r = right.select("case_id", "sec", F.lit(0).alias("_side"), F.struct(F.col("sec").cast("double").alias("sec"), F.col("value").cast("double").alias("value")).alias("_s"))
-    rows = a.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy("case_id")
-    back = F.last("_s", ignorenulls=True).over(w.orderBy("sec", "_side", "_s").rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.last("_s", ignorenulls=True).over(w.orderBy(F.desc("sec"), "_side", F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({"_b": back, "_a": ahead}).where("_side = 1")
-    to_b, to_a = F.col("sec") - F.col("_b.sec"), F.col("_a.sec") - F.col("sec")
-    pick = F.when(to_a.isNull() | (to_b <= to_a), F.col("_b")).otherwise(F.col("_a"))
+    rows = asof.neighbours(a.unionByName(r, allowMissingColumns=True), "_s", width).where("_side = 1")
+    to_b, to_a = F.col("sec") - F.col("back.sec"), F.col("ahead.sec") - F.col("sec")
+    pick = F.when(to_a.isNull() | (to_b <= to_a), F.col("back")).otherwise(F.col("ahead"))
     rows = rows.withColumn("_p", pick).withColumn(f"{name}_distance", F.abs(F.col("sec") - F.col("_p.sec")))
     ok = F.lit(True) if tolerance is None else F.col(f"{name}_distance") <= tolerance
-    return rows.withColumn(name, F.when(ok, F.col("_p.value"))).drop("_side", "_s", "_b", "_a", "_p")
+    return rows.withColumn(name, F.when(ok, F.col("_p.value"))).drop("_side", "_s", "back", "ahead", "_p")
 
 
 def channel_changes(joint: DataFrame, names: list[str], gap: float) -> DataFrame:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scan
+from . import asof, scan
 
 _BACK = (Window.unboundedPreceding, 0)
 
@@ -92,15 +92,14 @@ def by_phase(arrays: DataFrame) -> DataFrame:
     return rows.select("case_id", "bin", "value", "step", "phase", F.col("_h.b").alias("held_bin"), F.col("_h.v").alias("shown"))
 
 
-def event_display(panel: DataFrame, events: DataFrame, step: float, limit: float | None = None) -> DataFrame:
+def event_display(panel: DataFrame, events: DataFrame, step: float, limit: float | None = None, width: float = asof.BUCKET) -> DataFrame:
     """Holds irregular events (case_id, sec, shown) on the panel's times: a backward as-of join, same time included."""
-    points = panel.select("case_id", (F.col("bin") * step).cast("double").alias("sec"), F.lit(1).alias("_kind"), "bin", "value", F.lit(None).cast("double").alias("_v"))
-    marks = events.where("shown is not null").select("case_id", F.col("sec").cast("double").alias("sec"), F.lit(0).alias("_kind"), F.lit(None).cast("int").alias("bin"), F.lit(None).cast("double").alias("value"), F.col("shown").alias("_v"))
-    w = Window.partitionBy("case_id").orderBy("sec", "_kind", "_v").rowsBetween(*_BACK)
-    last = F.last(F.when(F.col("_kind") == 0, F.struct("sec", "_v")), ignorenulls=True).over(w)
-    rows = points.unionByName(marks).withColumn("_l", last).where("_kind = 1")
-    shown = F.col("_l._v") if limit is None else F.when(F.col("sec") - F.col("_l.sec") <= limit, F.col("_l._v"))
-    return rows.select("case_id", "bin", "value", shown.alias("shown"), F.when(shown.isNotNull(), F.col("_l.sec")).alias("event_sec"))
+    points = panel.select("case_id", (F.col("bin") * step).cast("double").alias("sec"), "bin", "value", F.lit(None).cast("struct<sec:double,v:double>").alias("_m"))
+    mark = F.struct(F.col("sec").cast("double").alias("sec"), F.col("shown").cast("double").alias("v"))
+    marks = events.where("shown is not null").select("case_id", F.col("sec").cast("double").alias("sec"), mark.alias("_m"))
+    rows = asof.neighbours(points.unionByName(marks, allowMissingColumns=True), "_m", width, ahead=False).where("_m is null")
+    shown = F.col("back.v") if limit is None else F.when(F.col("sec") - F.col("back.sec") <= limit, F.col("back.v"))
+    return rows.select("case_id", "bin", "value", shown.alias("shown"), F.when(shown.isNotNull(), F.col("back.sec")).alias("event_sec"))
 
 
 def adaptive_samples(panel: DataFrame, rule: str, base: int, close: int, hold: int, low: float, drop: float) -> DataFrame:
