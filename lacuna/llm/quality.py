@@ -5,11 +5,14 @@ and source the minimum covariance determinant of those vectors is estimated from
 from two deterministic starts (spread around medians; a damped correlation), concentration steps
 keep the ``kept_share`` of documents nearest in Mahalanobis distance and take their mean and
 covariance, and the start with the smaller determinant wins. Every step is one aggregation of
-moments and one of counts by distance bin, so a group of any size is never gathered. Most shares are
-constant in ordinary text; a floor under the variances (``FLOOR``) keeps the estimate regular and says which
-deviation is too small to matter. The kept documents' covariance is raised to that of all (``consistency``), so that distances follow a
-chi-square law, whose quantile is the cut. A deviation in one statistic gives at most its square over that of the floor: floors are
-so small that each statistic alone can pass the cut, the repeated words within what the base rule allows.
+moments and one of counts by distance bin, so a group of any size is never gathered. The kept documents' covariance is raised to that of all (``consistency``).
+
+Of the nine statistics four have spread in every text: word length and the shares of separators, vowels and capitals. There the estimate is
+wider than the floor under the variances (``FLOOR``) and decides, with its correlations. The other five are zero in most texts, so that their estimated spread is none; their
+floors say from which share on they matter. Short texts are drawn to an ordinary one by ``SMOOTH_WORDS`` words that are added to all, so that chance does not look like deviation.
+
+Rows of a normal law have distances of a chi-square law, whose quantile is the cut. Texts without the rare marks have smaller ones: the cut is on the safe side. A deviation in one
+statistic gives at most its square over that of the floor: floors are so small that each statistic alone can pass the cut, the repeated words within what the base rule allows.
 
 Every group's estimate is drawn to that of all documents by the weight of ``PRIOR`` documents, at every size alike: a large
 group hardly moves, and one of a few documents is not its own measure. A document is kept if it passes the base rules and its
@@ -39,10 +42,12 @@ LEAST_WORDS, REPEAT_PERCENT = 10, 20
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The transformed statistics: log mean word length, and square roots of shares, which spread small shares.
-VECTOR = ("word_length", "symbol_share", "capital_share", "digit_share", "repeat_share", "dup_line_share", "mark_share")
+VECTOR = ("word_length", "separator_share", "vowel_share", "capital_share", "symbol_share", "digit_share", "mark_share", "repeat_share", "dup_line_share")
 D = len(VECTOR)
 #: Standard deviations below which a difference does not matter, in the units of VECTOR.
-FLOOR = (0.08, 0.025, 0.08, 0.11, 0.08, 0.13, 0.05)
+FLOOR = (0.02, 0.01, 0.01, 0.01, 0.02, 0.11, 0.03, 0.075, 0.13)
+#: Words that are added to every text: of five letters, with the shares of separators, vowels and capitals that prose has, and no other marks.
+SMOOTH_WORDS, SMOOTH_LETTERS, SMOOTH_SHARES = 30, 5, (0.03, 0.37, 0.016)
 KEPT_SHARE = 0.75
 STEPS = 4
 #: Documents that the estimate of all groups counts for in each.
@@ -53,6 +58,8 @@ BIN = 1.02
 _BLANK = b" \t\n\x0b\x0c\r"
 _SYMBOL = SYMBOLS.encode()
 _MARK = b"!?{}[]@=~^\\_"
+_SEPARATOR = b".,;:"
+_VOWEL = b"aeiouAEIOU"
 _CAPITAL = bytes(range(0x41, 0x5B))
 _DIGIT = bytes(range(0x30, 0x3A))
 _BOTH = "struct<" + ",".join([*(f"{c}:long" for c in COUNTS), *(f"{c}:double" for c in VECTOR)]) + ">"
@@ -122,8 +129,10 @@ def statistics(text: str | None) -> tuple:
     chars, symbols = len(text) - found(_BLANK), found(_SYMBOL)
     lines = [x for x in raw.split(b"\n") if x.strip()]
     dup, repeat = len(lines) - len(set(lines)), repeated_words(words)
-    share = lambda part: (part / chars) ** 0.5
-    vector = (math.log(chars / n), share(symbols), share(found(_CAPITAL)), share(found(_DIGIT)), (repeat / n) ** 0.5, (dup / len(lines)) ** 0.5, share(found(_MARK)))
+    more = SMOOTH_WORDS * SMOOTH_LETTERS
+    share = lambda part, ordinary=0.0: ((part + ordinary * more) / (chars + more)) ** 0.5
+    spread = [share(found(x), s) for x, s in zip((_SEPARATOR, _VOWEL, _CAPITAL), SMOOTH_SHARES, strict=True)]
+    vector = (math.log((chars + more) / (n + SMOOTH_WORDS)), *spread, share(symbols), share(found(_DIGIT)), share(found(_MARK)), (repeat / n) ** 0.5, (dup / len(lines)) ** 0.5)
     return (n, chars, symbols, dup, repeat, *vector)
 
 

@@ -74,6 +74,7 @@ def test_cut_is_a_quantile_that_each_statistic_can_reach():
 
     draws = np.random.default_rng(1).chisquare(quality.D, 400_000)
     assert quality.chi_square(9.0, quality.D) == pytest.approx((draws <= 9.0).mean(), abs=0.004)
+    assert quality.chi_square(quality.CUT, quality.D) == pytest.approx(1 - quality.BEYOND)
     assert quality.chi_square_quantile(0.95, 7) == pytest.approx(14.067, abs=1e-3) and quality.chi_square_quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3)
     most = {"repeat_share": quality.REPEAT_PERCENT / 100}
     assert all(most.get(v, 1.0) / f**2 > quality.CUT for v, f in zip(quality.VECTOR, quality.FLOOR, strict=True))
@@ -91,6 +92,47 @@ def test_estimate_is_near_that_of_the_clean_rows(spark):
     assert np.abs(np.array(found["mean"]) - x[bad:].mean(0)).max() < 0.06
 
 
+def vectors(spark, rows):
+    """Statistics as ``fitted`` and ``judged`` take them: (id, group, vector)."""
+    names = ", ".join([*(f"{c}: long" for c in quality.COUNTS), *(f"{c}: double" for c in quality.VECTOR)])
+    return spark.createDataFrame([(i, g, (100, 500, 0, 0, 0, *map(float, v))) for i, g, v in rows], f"doc_id long, group string, s struct<{names}>")
+
+
+def test_the_estimate_decides(spark):
+    """Normal rows with spread and correlations: distances are those of NumPy and follow the chi-square law; what breaks the correlations is rejected inside every single limit."""
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    mix = np.linalg.cholesky(0.9 * np.ones((quality.D,) * 2) + 0.1 * np.eye(quality.D))  # spread far wider than the floors
+    x = r.normal(size=(4000, quality.D)) @ mix.T
+    odd = np.tile([1.5, -1.5], quality.D)[: quality.D]  # 1.5 deviations in each statistic, but of opposite signs
+    stats = vectors(spark, [*((i, "g", v) for i, v in enumerate(x)), (9000, "g", odd)])
+    shapes = quality.fitted(stats)
+    found = {q["doc_id"]: q for q in quality.judged(stats, shapes).collect()}
+    shape = {q["group"]: q for q in shapes.collect()}["g"]
+    off = x - np.array(shape["mean"])
+    plain = np.einsum("ij,jk,ik->i", off, np.array(shape["inverse"]).reshape(quality.D, -1), off)
+    assert [found[i]["distance"] for i in range(4000)] == pytest.approx(plain) and all(found[i]["kept"] == (plain[i] <= quality.CUT) for i in range(4000))
+    law = quality.chi_square_quantile(0.5, quality.D)
+    assert abs(np.median(plain) / law - 1) < 0.12 and (plain > quality.CUT).mean() < 20 * quality.BEYOND
+    assert not found[9000]["kept"] and (np.abs(odd) < np.abs(x).max(0)).all()
+    # without the estimate, by the floors alone, nearly all rows would go
+    assert ((x / quality.FLOOR) ** 2).sum(1).min() > quality.CUT or (((x / quality.FLOOR) ** 2).sum(1) > quality.CUT).mean() > 0.9
+
+
+def test_groups_have_limits_of_their_own(spark):
+    """What is ordinary in one group is rejected in another."""
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    ordinary = {"a": 1.4, "b": 1.9}
+    rows = [(k + 2000 * n, g, [m + r.normal(0, 0.03), *r.normal(0.2, 0.012, 3), *[0.0] * 5]) for n, (g, m) in enumerate(ordinary.items()) for k in range(1500)]
+    rows += [(8000, "a", [1.9, 0.2, 0.2, 0.2, *[0.0] * 5]), (8001, "b", [1.4, 0.2, 0.2, 0.2, *[0.0] * 5])]
+    stats = vectors(spark, rows)
+    kept = {q["doc_id"]: q["kept"] for q in quality.judged(stats, quality.fitted(stats)).collect()}
+    assert not kept[8000] and not kept[8001] and sum(kept.values()) >= 2995
+
+
 def test_groups_of_any_size_are_drawn_to_all():
     import numpy as np
 
