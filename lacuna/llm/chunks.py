@@ -70,14 +70,9 @@ def cuts(data: np.ndarray, gear: np.ndarray, reach: int = REACH, longest: int =
 
 
 def named(doc_id: Column, text: Column, kind: str) -> Column:
-    """What tells documents apart: the id, and without one a number or text from the text's hash that comes after all ids."""
-    own = F.shiftrightunsigned(F.xxhash64(text), 2)
-    return F.coalesce(doc_id, own.bitwiseOR(F.lit(1 << 62)) if kind == "bigint" else F.concat(F.lit("\uffff"), F.hex(own)))
-
-
-def unnamed(doc: Column, kind: str) -> Column:
-    """The id again: null where ``named`` took the text's hash."""
-    return F.when(doc < (F.lit(1 << 62) if kind == "bigint" else F.lit("\uffff")), doc)
+    """What tells documents apart: the id, and without one the text's hash. Whether there is an id is kept beside it (``part``), so any id may equal any hash."""
+    own = F.xxhash64(text)
+    return F.coalesce(doc_id, own if kind == "bigint" else F.hex(own))
 
 
 def id_kind(docs: DataFrame) -> str:
@@ -86,14 +81,14 @@ def id_kind(docs: DataFrame) -> str:
 
 
 def chunk_pairs(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc (see ``named``), part (a hash of the text), start, stop (bytes) and digest of each chunk with its successor; a chunk without one stands alone."""
+    """doc (see ``named``), part (a hash of the text, odd if there is no id), start, stop (bytes) and digest of each chunk with its successor; a chunk without one stands alone."""
     gear, kind = gear_table(), id_kind(docs)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest_of, hash_of = xxhash.xxh3_128_digest, xxhash.xxh32_intdigest
         for b in batches:
             parts = []
-            for doc, text in zip(b["doc"], b["text"], strict=True):
+            for doc, unnamed, text in zip(b["doc"], b["unnamed"], b["text"], strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 if not raw:
                     continue
@@ -102,7 +97,7 @@ def chunk_pairs(docs: DataFrame, reach: int = REACH) -> DataFrame:
                 stops = ends[1:] if len(ends) > 1 else ends
                 starts = starts[: len(stops)]
                 digests = b"".join([digest_of(raw[a:z]) for a, z in zip(starts.tolist(), stops.tolist(), strict=True)])
-                parts.append((doc, starts, stops, np.frombuffer(digests, ">i8").reshape(-1, 2), hash_of(raw) - (1 << 31)))
+                parts.append((doc, starts, stops, np.frombuffer(digests, ">i8").reshape(-1, 2), (hash_of(raw) & ~1) + unnamed - (1 << 31)))
             if parts:
                 n = [len(p[1]) for p in parts]
                 high = np.concatenate([p[3] for p in parts]).astype(np.int64)
@@ -110,7 +105,7 @@ def chunk_pairs(docs: DataFrame, reach: int = REACH) -> DataFrame:
                 yield pd.DataFrame({"doc": whose, "part": np.array([p[4] for p in parts], np.int32).repeat(n), "start": np.concatenate([p[1] for p in parts]).astype(np.int32), "stop": np.concatenate([p[2] for p in parts]).astype(np.int32), "d1": high[:, 0], "d2": high[:, 1]})
 
     small_batches(docs.sparkSession)
-    return docs.select(named(F.col("doc_id").cast(kind), F.col("text"), kind).alias("doc"), "text").mapInPandas(cut, f"doc {kind}, part int, start int, stop int, d1 long, d2 long")
+    return docs.select(named(F.col("doc_id").cast(kind), F.col("text"), kind).alias("doc"), F.col("doc_id").isNull().cast("int").alias("unnamed"), "text").mapInPandas(cut, f"doc {kind}, part int, start int, stop int, d1 long, d2 long")
 
 
 def repeated(docs: DataFrame, reach: int = REACH, least_bytes: int = LEAST_BYTES, within: bool = False) -> DataFrame:
@@ -119,14 +114,17 @@ def repeated(docs: DataFrame, reach: int = REACH, least_bytes: int = LEAST_BYTES
     doc_id, start, stop (bytes of the UTF-8 text), n_bytes, first_doc_id (the smallest that holds the passage's beginning),
     n_places (the largest number of places that any part of it has), is_first (the occurrence that deduplication keeps).
     """
-    kind = id_kind(docs)
     spots = settled(chunk_pairs(docs, reach))
-    known = spots.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n_places"))
-    known = known.where(F.col("n_places") > 1 if within else F.col("first") < F.col("last")).drop("last")
-    found = spots.join(known, ["d1", "d2"]).select("doc", "part", "start", "stop", "first", "n_places")
+    unnamed = lambda part="part": F.col(part).bitwiseAND(1) == 1
+    ids, others = F.when(~unnamed(), F.col("doc")), F.when(unnamed(), F.col("doc"))
+    known = spots.groupBy("d1", "d2").agg(F.min(ids).alias("a"), F.max(ids).alias("z"), F.min(others).alias("b"), F.max(others).alias("y"), F.count("*").alias("n_places"))
+    several = F.coalesce(F.col("a") < F.col("z"), F.lit(False)) | F.coalesce(F.col("b") < F.col("y"), F.lit(False)) | (F.col("a").isNotNull() & F.col("b").isNotNull())
+    known = known.where(F.col("n_places") > 1 if within else several).select("d1", "d2", F.coalesce("a", "b").alias("first"), F.col("a").isNull().alias("first_unnamed"), "n_places")
+    found = spots.join(known, ["d1", "d2"]).select("doc", "part", "start", "stop", "first", "first_unnamed", "n_places")
     w = Window.partitionBy("doc", "part").orderBy("start", "stop")
     before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = found.withColumn("new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc", "part", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("first", "start").alias("first"), F.max("n_places").alias("n_places"))
+    runs = runs.groupBy("doc", "part", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by(F.struct("first", "first_unnamed"), "start").alias("f"), F.max("n_places").alias("n_places"))
     runs = runs.withColumn("n_bytes", F.col("stop") - F.col("start")).where(F.col("n_bytes") >= least_bytes)
-    return runs.select(unnamed(F.col("doc"), kind).alias("doc_id"), "start", "stop", "n_bytes", unnamed(F.col("first"), kind).alias("first_doc_id"), "n_places", (F.col("doc") == F.col("first")).alias("is_first"))
+    mine = (F.col("doc") == F.col("f.first")) & (unnamed() == F.col("f.first_unnamed"))
+    return runs.select(F.when(~unnamed(), F.col("doc")).alias("doc_id"), "start", "stop", "n_bytes", F.when(~F.col("f.first_unnamed"), F.col("f.first")).alias("first_doc_id"), "n_places", mine.alias("is_first"))

@@ -66,7 +66,7 @@ def brute(rows, within=False):
         for a, z in sorted({(a, z) for d, t, a, z in places if (d, t) == (doc, text)}):
             held = known[raw[a:z]]
             if len(set(held)) > 1 or within and len(held) > 1:
-                first = min(held, key=lambda x: (0, x[1]) if x[0] == "id" else (1, xxhash.xxh64_intdigest(x[1].encode(), 42) >> 2))
+                first = min(held, key=lambda x: (0, x[1]) if x[0] == "id" else (1, hashed(x[1], any(isinstance(i, str) for i, _ in rows))))
                 if own and a <= own[-1][1]:
                     own[-1] = [own[-1][0], max(z, own[-1][1]), own[-1][2], max(own[-1][3], len(held))]
                 else:
@@ -76,11 +76,19 @@ def brute(rows, within=False):
     return sorted(out, key=repr)
 
 
+def hashed(text, as_text):
+    """The stand-in of a text without an id."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return f"{h:X}" if as_text else h - (h >> 63 << 64)
+
+
 def test_rows_equal_brute_force(spark):
     r = random.Random(11)
     passages = [prose(r, 40) for _ in range(6)]
     rows = [(i, " ".join([prose(r, 20), r.choice(passages), prose(r, 10), r.choice(passages)])) for i in range(30)]
     rows += [rows[3], (3, rows[9][1]), (3, prose(r, 60)), (None, rows[5][1]), (None, f"{passages[0]} {prose(r, 30)}"), (50, None), (51, "")]
+    big = (1 << 62) + 5  # ids as large as any, and one that equals the stand-in of a text without one
+    rows += [(big, rows[2][1]), (big + 4, rows[2][1]), ((1 << 63) - 1, rows[4][1]), (hashed(rows[5][1], False), rows[7][1])]
     lost = prose(r, 50)
     rows += [(None, f"{lost} {prose(r, 8)}"), (None, f"{prose(r, 8)} {lost}")]
     for within in (False, True):
