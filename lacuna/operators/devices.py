@@ -6,10 +6,14 @@ equi-joins on bins or one window over the union of both sides.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.columns import ratio, tally
+from lacuna.sources.files import settled
 
 from . import asof, hold, scan
 
@@ -83,11 +87,12 @@ def sustained(rows: DataFrame, most_gap: float, stay: float, tiny: float = 1e-8)
     return scan.scanned(rows, ["case_id"], ["sec", "event_id", "value"], ["sec", "value"], "sec double, kind string, previous double, value double", scan.steady_increases(most_gap, stay, tiny))
 
 
-def anchored_blocks(changes: DataFrame, width: float) -> DataFrame:
-    """case_id, sec, tracks, kind, changes: blocks that span at most ``width`` from their first change, so that blocks do not chain."""
-    rows = scan.scanned(changes, ["case_id"], ["sec", "track", "kind"], ["sec", "track", "kind"], "anchor double, track string, kind string", scan.anchors(width))
-    b = rows.groupBy("case_id", F.col("anchor").alias("sec")).agg(F.array_join(F.array_sort(F.collect_set("track")), "+").alias("tracks"), F.min("kind").alias("kind"), F.max("kind").alias("_last"), F.count("*").alias("changes"))
-    return b.select("case_id", "sec", "tracks", F.when(F.col("kind") != F.col("_last"), "mixed").otherwise(F.col("kind")).alias("kind"), "changes")
+def anchored_blocks(changes: DataFrame, width: float | str, keys: tuple = ("case_id",)) -> DataFrame:
+    """keys, sec, tracks, kind, changes: blocks that span at most ``width`` (a number, or a column that is constant for the keys) from their first change, so that blocks do not chain."""
+    own = [width] if isinstance(width, str) else []
+    rows = scan.scanned(changes, list(keys), ["sec", "track", "kind"], ["sec", *own, "track", "kind"], "anchor double, track string, kind string", scan.anchors(None if own else width))
+    b = rows.groupBy(*keys, F.col("anchor").alias("sec")).agg(F.array_join(F.array_sort(F.collect_set("track")), "+").alias("tracks"), F.min("kind").alias("kind"), F.max("kind").alias("_last"), F.count("*").alias("changes"))
+    return b.select(*keys, "sec", "tracks", F.when(F.col("kind") != F.col("_last"), "mixed").otherwise(F.col("kind")).alias("kind"), "changes")
 
 
 def states_at(events: DataFrame, samples: DataFrame, steps: list[int], panel: DataFrame, step: float, threshold: float, width: int = 6, least: int = 5) -> DataFrame:
@@ -114,20 +119,61 @@ def category_shares(states: DataFrame, keys: list[str]) -> DataFrame:
 EXCLUSIONS = ("too_early", "poor_support", "short_low_run", "not_first")
 
 
-def scenario(states: DataFrame, events: DataFrame, step: float, first_bin: int, threshold: float, low_bins: int, only_first: bool, subject: Column) -> DataFrame:
-    """Every event with its states (one row per step and phase, none where there is no state), is_low, and why it is excluded.
-
-    Low events need a run of ``low_bins`` bins; with ``only_first`` only the first low event of a subject counts, in the order of case and time.
-    """
-    every = events.select("case_id", "event_id", "sec", (F.floor((F.col("sec") + 1e-9) / step) - 1).alias("_ix"))
-    rows = every.join(states.select("case_id", "event_id", "step", "phase", "value", "category", "low_bins"), ["case_id", "event_id"], "left").withColumn("is_low", F.coalesce(F.col("value") < threshold, F.lit(False)))
-    why = F.when(F.col("_ix") < first_bin, EXCLUSIONS[0]).when(F.col("value").isNull(), EXCLUSIONS[1]).when(F.col("is_low") & (F.col("low_bins") < low_bins), EXCLUSIONS[2])
-    rows = rows.withColumn("why", why)
-    if only_first:
-        each = rows.where("why is null and is_low").select("case_id", "event_id", "sec").distinct().withColumn("_subject", subject)
-        later = each.withColumn("_n", F.row_number().over(Window.partitionBy("_subject").orderBy("case_id", "sec", "event_id"))).where("_n > 1").select("case_id", "event_id", F.lit(True).alias("_later"))
-        rows = rows.join(later, ["case_id", "event_id"], "left").withColumn("why", F.coalesce("why", F.when(F.col("_later"), EXCLUSIONS[3]))).drop("_later")
-    return rows.drop("_ix")
+@dataclass(frozen=True)
+class Scenario:
+    """One way to choose change events: sustained changes or all, the width of a block, the first bin that counts, the least length of a low run, and whether only a subject's first low event counts."""
+
+    name: str
+    sustained: bool = True
+    width: float = 172_800.0
+    first_bin: int = 0
+    low_bins: int = 1
+    only_first: bool = False
+
+
+def scenario_changes(sustained: DataFrame, every: DataFrame, scenarios: list[Scenario]) -> DataFrame:
+    """Changes (case_id, sec, track, kind) with scenario and width, once for each scenario that uses them."""
+    tag = lambda rows, which: rows.select("case_id", "sec", "track", "kind", F.explode(F.array(*[F.struct(F.lit(s.name).alias("scenario"), F.lit(float(s.width)).alias("width")) for s in scenarios if s.sustained == which])).alias("_s")).select("_s.*", "case_id", "sec", "track", "kind")
+    parts = [tag(rows, which) for rows, which in ((sustained, True), (every, False)) if any(s.sustained == which for s in scenarios)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def scenario_blocks(changes: DataFrame) -> DataFrame:
+    """scenario, case_id, event_id, sec, tracks, kind, changes: the blocks of each scenario, numbered within a case."""
+    w = Window.partitionBy("scenario", "case_id").orderBy("sec")
+    return anchored_blocks(changes, "width", ("scenario", "case_id")).withColumn("event_id", F.row_number().over(w))
+
+
+def judged_events(states: DataFrame, events: DataFrame, scenarios: list[Scenario], step: float, least_bin: int, threshold: float, subject: Column) -> DataFrame:
+    """Every event of every scenario with its states (one row per step and phase, none where there is no state), is_low, and ``why`` it is excluded (NULL: it is not)."""
+    of = lambda f: reduce(lambda a, s: a.when(F.col("scenario") == s.name, F.lit(f(s))), scenarios, F)
+    every = events.withColumn("_ix", F.floor((F.col("sec") + 1e-9) / step) - 1)
+    keys = ["scenario", "case_id", "event_id"]
+    rows = every.join(states.select(*keys, "step", "phase", "value", "category", "low_bins"), keys, "left").withColumn("is_low", F.coalesce(F.col("value") < threshold, F.lit(False)))
+    why = F.when(F.col("_ix") < of(lambda s: max(s.first_bin, least_bin)), EXCLUSIONS[0]).when(F.col("value").isNull(), EXCLUSIONS[1]).when(F.col("is_low") & (F.col("low_bins") < of(lambda s: s.low_bins)), EXCLUSIONS[2])
+    rows = rows.withColumn("why", why).drop("_ix")
+    first = [s.name for s in scenarios if s.only_first]
+    if first:
+        each = rows.where(F.col("scenario").isin(*first) & F.col("why").isNull() & F.col("is_low")).select(*keys, "sec").distinct().withColumn("_subject", subject)
+        later = each.withColumn("_n", F.row_number().over(Window.partitionBy("scenario", "_subject").orderBy("case_id", "sec", "event_id"))).where("_n > 1").select(*keys, F.lit(True).alias("_later"))
+        rows = rows.join(later, keys, "left").withColumn("why", F.coalesce("why", F.when(F.col("_later"), EXCLUSIONS[3]))).drop("_later")
+    return rows
+
+
+def strata(rows: DataFrame, by: list[str], kinds: list[str], counts: dict[str, Column], means: dict[str, Column]) -> DataFrame:
+    """by, level ('all' or a name of ``kinds``), stratum, the counts and means of rows: grouping sets over each of ``kinds``. Where the counts of a level do not add up to those of all, it is an error."""
+    sets = rows.groupingSets([[*map(F.col, by)], *[[*map(F.col, by), F.col(k)] for k in kinds]], *by, *kinds)
+    level = F.when(reduce(Column.__and__, [F.grouping(k) == 1 for k in kinds]), F.lit("all"))
+    for k in kinds:
+        level = level.when(F.grouping(k) == 0, F.lit(k))
+    out = sets.agg(level.alias("level"), *[c.alias(n) for n, c in counts.items()], *[c.alias(n) for n, c in means.items()])
+    out = settled(out.select(*by, "level", F.coalesce(*kinds).alias("stratum"), *counts, *means))
+    sums = out.groupBy(*by, "level").agg(*[F.sum(n).alias(n) for n in counts])
+    whole = sums.where("level = 'all'").drop("level").withColumnsRenamed({n: f"_{n}" for n in counts})
+    off = sums.join(whole, by).where(reduce(Column.__or__, [F.col(n) != F.col(f"_{n}") for n in counts])).first()
+    if off:
+        raise ValueError(f"the strata of {off['level']} do not add up: {off}")
+    return out
 
 
 def mask_audit(events: DataFrame, states: DataFrame, samples: DataFrame, steps: list[int], masks: DataFrame, step: float, threshold: float, width: int, after: int) -> DataFrame:
@@ -153,7 +199,7 @@ def mask_audit(events: DataFrame, states: DataFrame, samples: DataFrame, steps:
     return out.withColumn("not_eligible", F.col("_events") - F.col("before_minimum") - F.col("events_checked")).drop("_events")
 
 
-def recovery(events: DataFrame, samples: DataFrame, steps: list[int], panel: DataFrame, step: float, threshold: float, bins: int, least: float, last_bin: int) -> DataFrame:
+def recovery(events: DataFrame, samples: DataFrame, steps: list[int], panel: DataFrame, step: float, threshold: float, bins: int, least: float, last_bin: int, keys: tuple = ("case_id", "event_id")) -> DataFrame:
     """Per event, step and phase: the first confirmed recovery and how long the display stays low after it.
 
     Bins become available at their end. The ``bins`` after the event must all exist and a share ``least`` of them be valid. Recovery is the
@@ -163,24 +209,37 @@ def recovery(events: DataFrame, samples: DataFrame, steps: list[int], panel: Dat
     first = F.floor((F.col("sec") + 1e-9) / step).cast("int")
     at = events.withColumn("first", first).where(F.col("first") + bins - 1 <= last_bin)
     spots = at.withColumn("bin", F.explode(F.sequence(F.col("first"), F.col("first") + bins - 1))).join(panel, ["case_id", "bin"], "left")
-    w = Window.partitionBy("case_id", "event_id").orderBy("bin")
+    w = Window.partitionBy(*keys).orderBy("bin")
     ok = F.col("value") >= threshold
     spots = spots.withColumn("confirmed", ok & F.lag(ok).over(w))
-    found = spots.groupBy("case_id", "event_id", "first").agg(F.count("value").alias("valid"), F.min(F.when(F.col("confirmed"), F.col("bin"))).alias("recovery_bin"), F.max("sec").alias("sec")).where(F.col("valid") >= least * bins)
+    found = spots.groupBy(*keys, "first").agg(F.count("value").alias("valid"), F.min(F.when(F.col("confirmed"), F.col("bin"))).alias("recovery_bin"), F.max("sec").alias("sec")).where(F.col("valid") >= least * bins)
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("step"), F.lit(p).alias("phase")) for s in steps for p in range(s)]))
-    base = found.withColumn("_s", each).select("case_id", "event_id", "first", "valid", "recovery_bin", "sec", "_s.*")
-    later = spots.select("case_id", "event_id", "bin", "value").join(found.select("case_id", "event_id", "recovery_bin", "sec"), ["case_id", "event_id"]).where(F.col("bin") >= F.col("recovery_bin"))
+    base = found.withColumn("_s", each).select(*keys, "first", "valid", "recovery_bin", "sec", "_s.*")
+    later = spots.select(*keys, "bin", "value").join(found.select(*keys, "recovery_bin", "sec"), [*keys]).where(F.col("bin") >= F.col("recovery_bin"))
     rows = hold.shown_at(samples, later, steps)
     reason = F.when(F.col("value").isNull(), "missing_reference").when(F.col("value") < threshold, "recurrent_low").when(F.col("shown").isNull(), "unavailable_display").when(F.col("shown") >= threshold, "normal_display")
     horizon = F.col("sec") + bins * step
     ended = (F.col("bin") + 1) * step >= horizon - 1e-9
     stop = F.when(ended, F.lit("window_end")).otherwise(reason)
-    rows = rows.withColumn("stop", stop).groupBy("case_id", "event_id", "step", "phase", "recovery_bin", "sec").agg(F.min(F.when(F.col("stop").isNotNull(), F.struct("bin", "stop"))).alias("e"), F.max("bin").alias("last"))
+    rows = rows.withColumn("stop", stop).groupBy(*keys, "step", "phase", "recovery_bin", "sec").agg(F.min(F.when(F.col("stop").isNotNull(), F.struct("bin", "stop"))).alias("e"), F.max("bin").alias("last"))
     end = F.coalesce(F.col("e.bin"), F.col("last") + 1)
     upto = F.least((F.lit(1) + end) * step, F.col("sec") + bins * step)
     seconds = F.greatest(F.when(end > F.col("recovery_bin"), upto - (F.col("recovery_bin") + 1) * step).otherwise(F.lit(0.0)), F.lit(0.0))
-    rows = rows.select("case_id", "event_id", "step", "phase", seconds.alias("persistence_sec"), F.coalesce("e.stop", F.lit("window_end")).alias("stop_reason"))
-    return base.join(rows, ["case_id", "event_id", "step", "phase"], "left").withColumn("stop_reason", F.coalesce("stop_reason", F.lit("no_recovery"))).drop("sec", "first")
+    rows = rows.select(*keys, "step", "phase", seconds.alias("persistence_sec"), F.coalesce("e.stop", F.lit("window_end")).alias("stop_reason"))
+    return base.join(rows, [*keys, "step", "phase"], "left").withColumn("stop_reason", F.coalesce("stop_reason", F.lit("no_recovery"))).drop("sec", "first")
+
+
+#: What becomes of a low event afterwards.
+SUPPORT = ("incomplete_interval", "poor_reference", "no_recovery", "recovered")
+
+
+def after_support(low: DataFrame, found: DataFrame, step: float, bins: int, last_bin: int, keys: list[str]) -> DataFrame:
+    """Low events (keys, sec) with ``support``: whether the bins after them exist, are valid enough, and recover. ``found`` are those of ``recovery``."""
+    first = F.floor((F.col("sec") + 1e-9) / step)
+    known = found.groupBy(*keys).agg(F.max("recovery_bin").alias("_r"), F.lit(True).alias("_known"))
+    rows = low.join(known, keys, "left")
+    status = F.when(first + bins - 1 > last_bin, SUPPORT[0]).when(F.col("_known").isNull(), SUPPORT[1]).when(F.col("_r").isNull(), SUPPORT[2]).otherwise(SUPPORT[3])
+    return rows.withColumn("support", status).drop("_r", "_known")
 
 
 def confusion(rows: DataFrame, keys: list[str], truth: Column, shown: Column, available: Column) -> DataFrame:

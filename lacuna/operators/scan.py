@@ -72,14 +72,16 @@ def kept_changes(settings: list[tuple[float, float]]) -> Callable[[], Step]:
     return begin
 
 
-def anchors(width: float) -> Callable[[], Step]:
-    """For each record (sec, ...) the second at which its block began: blocks span at most ``width`` from their first record."""
+def anchors(width: float | None = None) -> Callable[[], Step]:
+    """For each record (sec, ...) the second at which its block began: blocks span at most ``width`` from their first record; without one the second column is each record's own."""
 
     def begin() -> Step:
         anchor: float | None = None
+        given = width
 
         def step(sec: float, *rest) -> Iterator[tuple]:
             nonlocal anchor
+            width, *rest = (given, *rest) if given is not None else rest
             if anchor is None or sec > anchor + width + 1e-9:
                 anchor = sec
             yield (anchor, *rest)

@@ -86,58 +86,122 @@ def mask_audit(spark, d):
     return devices.mask_audit(every, states, samples, steps, p.select("case_id", "bin", flag.alias("masked")), b.STEP, events.T, 6, 8).select(*_AUDIT)
 
 
-def _scenarios(spark, d):
-    """name: (changes, width of a block, first bin, least low bins, only the first low event of a subject)."""
-    stable, raw = events.stable_changes(spark, d), events.changes(spark, d)
-    day = 86400.0
-    return {
-        "primary": (stable, 2 * day, 0, 1, False), "narrow blocks": (stable, day, 0, 1, False), "wide blocks": (stable, 4 * day, 0, 1, False), "no stability": (raw, 2 * day, 0, 1, False),
-        "longer low run": (stable, 2 * day, 0, 3, False), "first low event": (stable, 2 * day, 0, 1, True), "without the start": (stable, 2 * day, 12, 1, False),
-    }
+_SC = devices.Scenario
+_DAY = 86400.0
+SCENARIOS = [
+    _SC("primary"), _SC("narrow blocks", width=_DAY), _SC("wide blocks", width=4 * _DAY), _SC("no stability", sustained=False), _SC("longer low run", low_bins=3), _SC("first low event", only_first=True), _SC("without the start", first_bin=12),
+]
+_EVENT = ["scenario", "case_id", "event_id"]
+_STEPS = [2, 4, 6]
 
 
-def scenario_events(spark, d, panel, samples, steps, changes, width, first_bin, low_bins, only_first):
-    """Blocks of a scenario with their state per phase of each step; ``why`` says what excludes an event (NULL: nothing)."""
-    w = Window.partitionBy("case_id").orderBy("sec")
-    every = devices.anchored_blocks(changes, width).withColumn("event_id", F.row_number().over(w)).select("case_id", "event_id", "sec")
-    states = devices.states_at(every, samples, steps, panel, b.STEP, events.T, 6, 3)
-    return every, devices.scenario(states, every, b.STEP, max(first_bin, 5), events.T, low_bins, only_first, F.floor(F.col("case_id") / 3))
+def scenario_rows(spark, d):
+    """Changes, blocks, and all events of all scenarios with their states and what excludes them."""
+    p = b.panel(spark, d)
+    changes = devices.scenario_changes(events.stable_changes(spark, d), events.changes(spark, d), SCENARIOS)
+    blocks = files.settled(devices.scenario_blocks(changes))
+    states = devices.states_at(blocks, hold.samples(p, _STEPS), _STEPS, p, b.STEP, events.T, 6, 3)
+    return changes, blocks, files.settled(devices.judged_events(states, blocks, SCENARIOS, b.STEP, 5, events.T, F.floor(F.col("case_id") / 3)))
+
+
+def scenario_shares(rows: DataFrame) -> DataFrame:
+    """Per low event that counts and step: the share of phases in each state."""
+    low = rows.where("why is null and step is not null and is_low")
+    return devices.category_shares(low, [*_EVENT, "step", "tracks", "kind"]).withColumn("subject", F.floor(F.col("case_id") / 3))
 
 
-@add("event_scenarios")
+def scenario_recoveries(spark, d, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Low events that count, and their recovery per step and phase."""
+    low = rows.where("why is null and is_low").select(*_EVENT, "sec").distinct()
+    p = b.panel(spark, d)
+    return low, devices.recovery(low, hold.samples(p, _STEPS), _STEPS, p, b.STEP, events.T, 8, 0.5, b.BINS - 1, tuple(_EVENT))
+
+
+_SCEN = f"""with recursive {b.SIG}, {b.panel_sql()},
+r2 as (select case_id, event_type as track, sec, floor(value / 10) * 10 as value, row_number() over w as n, lag(floor(value / 10) * 10) over w as previous, sec - lag(sec) over w as gap from sig where event_type in ('error', 'purchase') window w as (partition by case_id, event_type order by sec, event_id)),
+tr as (select case_id, track, sec, n, previous, case when previous = 0 then 'start' else 'increase' end as kind from r2 where gap > 0 and gap <= 259200 and previous >= 0 and value > previous + 1e-8),
+en as (select t.case_id, t.track, t.n, min(r.n) as e from tr t join r2 r on r.case_id = t.case_id and r.track = t.track and r.n >= t.n and r.sec >= t.sec + 86400 group by all),
+su as (select t.* from tr t join en using (case_id, track, n) where not exists (select 1 from r2 r where r.case_id = t.case_id and r.track = t.track and r.n between t.n and en.e and (not coalesce(r.value > t.previous + 1e-8, false) or (r.n > t.n and r.gap > 259200)))),
+cfg as (select * from (values {', '.join(f"('{s.name}', {str(s.sustained).lower()}, {s.width}::double, {max(s.first_bin, 5)}, {s.low_bins}, {str(s.only_first).lower()})" for s in SCENARIOS)}) c(scenario, stable, width, first_bin, low_need, only_first)),
+ch as (select scenario, width, case_id, sec, track, kind, row_number() over (partition by scenario, case_id order by sec, track, kind) as n from cfg join (select true as stable, * from su union all select false, * from tr) x using (stable)),
+bl as (select scenario, width, case_id, n, sec, track, kind, sec as anchor from ch where n = 1 union all select c.scenario, c.width, c.case_id, c.n, c.sec, c.track, c.kind, case when c.sec > anchor + c.width + 1e-9 then c.sec else anchor end from bl join ch c on c.scenario = bl.scenario and c.case_id = bl.case_id and c.n = bl.n + 1),
+block as (select scenario, case_id, anchor as sec, string_agg(distinct track, '+' order by track) as tracks, case when count(distinct kind) > 1 then 'mixed' else any_value(kind) end as kind from bl group by 1, 2, 3),
+be as (select *, row_number() over (partition by scenario, case_id order by sec) as event_id, floor((sec + 1e-9) / {b.STEP})::int - 1 as ix from block),
+sched as (select s.step::int as step, p.phase::int as phase from (values (2), (4), (6)) s(step), range(s.step) p(phase)),
+display as (select case_id, bin, value, step, phase, last_value(case when (bin - phase) % step = 0 and bin >= phase and value is not null then bin end ignore nulls) over w as held_bin, last_value(case when (bin - phase) % step = 0 and bin >= phase and value is not null then value end ignore nulls) over w as shown
+  from panel cross join sched window w as (partition by case_id, step, phase order by bin rows between unbounded preceding and current row)),
+pr as (select case_id, bin, value, count(value) over (partition by case_id order by bin rows between 5 preceding and current row) as support, coalesce(max(case when not coalesce(value < {events.T}, false) then bin end) over (partition by case_id order by bin) + 1, 0) as low_start from panel),
+ev as (select be.*, p.value, p.low_start, coalesce(p.value < {events.T}, false) as is_low, case when p.value < {events.T} then ix - low_start + 1 else 0 end as low_bins from be left join (select * from pr where bin >= 5 and value is not null and support >= 3) p on p.case_id = be.case_id and p.bin = ix),
+w0 as (select ev.*, only_first, case when ix < first_bin then 'too_early' when value is null then 'poor_support' when is_low and low_bins < low_need then 'short_low_run' end as why0 from ev join cfg using (scenario)),
+je as (select *, coalesce(why0, case when only_first and is_low and row_number() over (partition by scenario, case_id // 3, why0 is null and is_low order by case_id, sec, event_id) > 1 then 'not_first' end) as why from w0),
+st as (select je.*, step, phase, case when je.value >= {events.T} then 'reference_normal' when shown is null then 'unavailable' when shown >= {events.T} then 'normal_display' when held_bin >= low_start then 'fresh_low' else 'inherited_low' end as category from je join display d on d.case_id = je.case_id and d.bin = ix where why is null),
+sh as (select scenario, case_id, case_id // 3 as subject, event_id, step, tracks, kind, {', '.join(f"avg((category = '{c}')::int) as {c}" for c in devices.CATEGORIES)} from st where is_low group by 1, 2, 3, 4, 5, 6, 7)"""
+_MEANS = ", ".join(f"avg({c}) as {c}" for c in devices.CATEGORIES[1:])
+_SHARES = " ".join(devices.CATEGORIES[1:])
+
+
+@add("event_scenarios", f"""{_SCEN}, n as (select scenario, step, count(distinct (case_id, event_id)) as events, count(distinct (case_id, event_id)) filter (is_low) as low_events from st group by 1, 2),
+l as (select scenario, step, count(distinct subject) as subjects, {_MEANS} from sh group by 1, 2), q as (select step, subject, {_MEANS} from sh where scenario = 'primary' group by 1, 2)
+select n.*, l.* exclude (scenario, step) from n left join l using (scenario, step) union all by name select 'equal subjects' as scenario, n.step, events, low_events, e.* exclude (step) from n left join (select step, count(*) as subjects, {_MEANS} from q group by 1) e using (step) where n.scenario = 'primary'""", _SHARES, "step events low_events subjects")
 def event_scenarios(spark, d):
     """Per scenario and step: events, low ones, and the mean share of phases in each state at low events; also with every subject weighing alike."""
-    p = b.panel(spark, d)
-    steps, out = [2, 4, 6], []
-    samples = files.settled(hold.samples(p, steps))
-    for name, how in _scenarios(spark, d).items():
-        _, rows = scenario_events(spark, d, p, samples, steps, *how)
-        kept = rows.where("why is null and step is not null")
-        share = devices.category_shares(kept.where("is_low"), ["case_id", "event_id", "step"]).withColumn("subject", F.floor(F.col("case_id") / 3))
-        n = kept.groupBy("step").agg(F.count_distinct("case_id", "event_id").alias("events"), F.count_distinct(F.when(F.col("is_low"), F.struct("case_id", "event_id"))).alias("low_events"))
-        low = share.groupBy("step").agg(F.count_distinct("subject").alias("subjects"), *[F.avg(c).alias(c) for c in devices.CATEGORIES[1:]])
-        out.append(n.join(low, "step", "left").withColumn("scenario", F.lit(name)))
-        if name == "primary":
-            equal = share.groupBy("step", "subject").agg(*[F.avg(c).alias(c) for c in devices.CATEGORIES[1:]]).groupBy("step").agg(F.count("*").alias("subjects"), *[F.avg(c).alias(c) for c in devices.CATEGORIES[1:]])
-            out.append(n.join(equal, "step", "left").withColumn("scenario", F.lit("equal subjects")))
-    return reduce(DataFrame.unionByName, out)
-
-
-@add("scenario_flow")
+    _, _, rows = scenario_rows(spark, d)
+    kept, share = rows.where("why is null and step is not null"), files.settled(scenario_shares(rows))
+    n = kept.groupBy("scenario", "step").agg(F.count_distinct("case_id", "event_id").alias("events"), F.count_distinct(F.when(F.col("is_low"), F.struct("case_id", "event_id"))).alias("low_events"))
+    means = [F.avg(c).alias(c) for c in devices.CATEGORIES[1:]]
+    low = share.groupBy("scenario", "step").agg(F.count_distinct("subject").alias("subjects"), *means)
+    equal = share.where("scenario = 'primary'").groupBy("step", "subject").agg(*means).groupBy("step").agg(F.count("*").alias("subjects"), *means)
+    alike = n.where("scenario = 'primary'").join(equal, "step", "left").withColumn("scenario", F.lit("equal subjects"))
+    return n.join(low, ["scenario", "step"], "left").unionByName(alike)
+
+
+_WHYS = ", ".join(f"count(*) filter (why = '{x}') as {x}" for x in devices.EXCLUSIONS)
+
+
+@add("scenario_flow", f"""{_SCEN} select scenario, changes, count(*) as blocks, {_WHYS}, count(*) filter (why is null) as eligible, count(*) filter (why is null and is_low) as low, count(*) filter (why is null and not is_low) as normal
+from je join (select scenario, count(*) as changes from ch group by 1) c using (scenario) group by 1, 2""", "", "changes blocks eligible low normal " + " ".join(devices.EXCLUSIONS))
 def scenario_flow(spark, d):
     """Per scenario: changes, blocks, what excludes blocks, low and normal ones; a row whose parts do not add up is an error."""
-    p = b.panel(spark, d)
-    steps, out = [2], []
-    samples = files.settled(hold.samples(p, steps))
-    for name, how in _scenarios(spark, d).items():
-        every, rows = scenario_events(spark, d, p, samples, steps, *how)
-        each = rows.select("case_id", "event_id", "why", "is_low").distinct()
-        n = each.agg(F.count("*").alias("blocks"), *[tally(F.col("why") == x).alias(x) for x in devices.EXCLUSIONS], tally(F.col("why").isNull()).alias("eligible"), tally(F.col("why").isNull() & F.col("is_low")).alias("low"), tally(F.col("why").isNull() & ~F.col("is_low")).alias("normal"))
-        out.append(n.join(how[0].agg(F.count("*").alias("changes")), F.lit(True)).select(F.lit(name).alias("scenario"), "changes", "blocks", *devices.EXCLUSIONS, "eligible", "low", "normal"))  # one row each
-    flow = reduce(DataFrame.unionByName, out)
+    changes, _, rows = scenario_rows(spark, d)
+    each = rows.select(*_EVENT, "why", "is_low").distinct()
+    n = each.groupBy("scenario").agg(F.count("*").alias("blocks"), *[tally(F.col("why") == x).alias(x) for x in devices.EXCLUSIONS], tally(F.col("why").isNull()).alias("eligible"), tally(F.col("why").isNull() & F.col("is_low")).alias("low"), tally(F.col("why").isNull() & ~F.col("is_low")).alias("normal"))
+    flow = n.join(changes.groupBy("scenario").agg(F.count("*").alias("changes")), "scenario").select("scenario", "changes", "blocks", *devices.EXCLUSIONS, "eligible", "low", "normal")
     return tables.conserved(tables.conserved(flow, "blocks", [*devices.EXCLUSIONS, "eligible"]), "eligible", ["low", "normal"])
 
 
+@add("scenario_strata", f"""{_SCEN} select scenario, step, 'all' as level, null as stratum, count(*) as events, {_MEANS} from sh group by 1, 2
+union all select scenario, step, 'tracks', tracks, count(*), {_MEANS} from sh group by 1, 2, 4 union all select scenario, step, 'kind', kind, count(*), {_MEANS} from sh group by 1, 2, 4""", _SHARES, "step events")
+def scenario_strata(spark, d):
+    """Per scenario and step: low events and their mean states, of all, by the set of tracks and by kind; levels that do not add up are an error."""
+    shares = files.settled(scenario_shares(scenario_rows(spark, d)[2]))
+    return devices.strata(shares, ["scenario", "step"], ["tracks", "kind"], {"events": F.count("*")}, {c: F.avg(c) for c in devices.CATEGORIES[1:]})
+
+
+_SCREC = f"""{_SCEN}, le as (select scenario, case_id, event_id, sec, floor((sec + 1e-9) / {b.STEP})::int as first from je where why is null and is_low),
+sp as (select le.*, p.bin, p.value, p.value >= {events.T} as ok, lag(p.value >= {events.T}) over (partition by scenario, le.case_id, event_id order by p.bin) as pok from le join panel p on p.case_id = le.case_id and p.bin between first and first + 7 where first + 7 <= 59),
+fo as (select scenario, case_id, event_id, sec, first, count(value) as valid, min(case when ok and pok then bin end) as recovery_bin from sp group by 1, 2, 3, 4, 5 having count(value) >= 4),
+ls as (select fo.*, d.step, d.phase, d.bin, case when (d.bin + 1) * {b.STEP} >= sec + 8 * {b.STEP} - 1e-9 then 'window_end' when d.value is null then 'missing_reference' when d.value < {events.T} then 'recurrent_low' when d.shown is null then 'unavailable_display' when d.shown >= {events.T} then 'normal_display' end as stop from fo join display d on d.case_id = fo.case_id and d.bin between recovery_bin and first + 7),
+le2 as (select scenario, case_id, event_id, step, phase, recovery_bin, sec, min(case when stop is not null then bin end) as ebin, min_by(stop, bin) filter (stop is not null) as stop, max(bin) as last from ls group by 1, 2, 3, 4, 5, 6, 7),
+re as (select fo.scenario, fo.case_id, fo.event_id, s.step, s.phase, case when l.case_id is null then null else greatest(case when coalesce(ebin, last + 1) > l.recovery_bin then least((1 + coalesce(ebin, last + 1)) * {b.STEP}, l.sec + 8 * {b.STEP}) - (l.recovery_bin + 1) * {b.STEP} else 0 end, 0) end as persistence_sec,
+  case when l.case_id is null then 'no_recovery' else coalesce(l.stop, 'window_end') end as stop_reason from fo cross join sched s left join le2 l on l.scenario = fo.scenario and l.case_id = fo.case_id and l.event_id = fo.event_id and l.step = s.step and l.phase = s.phase)"""
+
+
+@add("scenario_stops", f"{_SCREC} select scenario, step, stop_reason, count(*) as pairs, count(distinct (case_id, event_id)) as events, avg(persistence_sec) as mean_persistence from re group by 1, 2, 3", "mean_persistence", "step pairs events")
+def scenario_stops(spark, d):
+    """Per scenario, step and reason why a low display ended after recovery: event-phase pairs, events and how long it lasted."""
+    _, found = scenario_recoveries(spark, d, scenario_rows(spark, d)[2])
+    return found.groupBy("scenario", "step", "stop_reason").agg(F.count("*").alias("pairs"), F.count_distinct("case_id", "event_id").alias("events"), F.avg("persistence_sec").alias("mean_persistence"))
+
+
+@add("scenario_support", f"""{_SCREC}, z as (select le.scenario, case when le.first + 7 > 59 then 'incomplete_interval' when fo.case_id is null then 'poor_reference' when recovery_bin is null then 'no_recovery' else 'recovered' end as support from le left join fo using (scenario, case_id, event_id))
+select scenario, count(*) as low, {', '.join(f"count(*) filter (support = '{x}') as {x}" for x in devices.SUPPORT)} from z group by 1""", "", "low " + " ".join(devices.SUPPORT))
+def scenario_support(spark, d):
+    """Per scenario: low events and what becomes of them; a row whose parts do not add up is an error."""
+    low, found = scenario_recoveries(spark, d, scenario_rows(spark, d)[2])
+    rows = devices.after_support(low, found, b.STEP, 8, b.BINS - 1, _EVENT)
+    return tables.conserved(rows.groupBy("scenario").agg(F.count("*").alias("low"), *[tally(F.col("support") == x).alias(x) for x in devices.SUPPORT]), "low", list(devices.SUPPORT))
+
+
 @add("wave_pulse")
 def wave_pulse(spark, d):
     """Bins whose waveform looks like a pulse: enough samples, enough span, a plausible number of peaks."""
