@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import asof, scan
+from . import asof, ranks, scan
 
 _BACK = (Window.unboundedPreceding, 0)
 
@@ -111,3 +111,17 @@ def adaptive_samples(panel: DataFrame, rule: str, base: int, close: int, hold: i
     if rule not in ("threshold", "trend"):
         raise ValueError(f"unknown rule: {rule}")
     return scan.scanned(panel, ["case_id"], ["bin"], ["bin", "value"], "bin int, fires boolean", scan.adaptive(rule, base, close, hold, low, drop))
+
+
+def top_share(scores: DataFrame, key: str, score: str, share: float) -> DataFrame:
+    """``key`` of the highest scores: ceil(share of all rows), ties to the smaller key. A missing score comes last."""
+    n = scores.agg(F.ceil(F.count("*") * F.lit(share)).alias("_most"))
+    ranked = ranks.numbered(scores.select(key, score), [F.desc_nulls_last(score), F.col(key)], "_rank")
+    return ranked.join(F.broadcast(n), F.lit(True)).where(F.col("_rank") <= F.col("_most")).select(key)  # one row
+
+
+def selective(panel: DataFrame, chosen: DataFrame, schedule: Column) -> DataFrame:
+    """The display of a schedule, but of the reference itself for the chosen cases: adds continuous, held_bin, shown and sampled."""
+    marked = panel.join(chosen.select("case_id", F.lit(True).alias("_c")), "case_id", "left").withColumn("continuous", F.coalesce("_c", F.lit(False))).drop("_c")
+    rows = held(marked, schedule).withColumn("sampled", F.col("continuous") | schedule)
+    return rows.withColumns({"shown": F.when(F.col("continuous"), F.col("value")).otherwise(F.col("shown")), "held_bin": F.when(F.col("continuous"), F.when(F.col("value").isNotNull(), F.col("bin"))).otherwise(F.col("held_bin"))})

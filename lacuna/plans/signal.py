@@ -306,6 +306,30 @@ def strategy_fixed(spark, d):
     return out.groupBy("strategy", "case_id").agg(tally(F.col("sampled")).alias("samples"), (tally(F.col("sampled")) / 30.0).alias("per_day"), F.count("shown").alias("available"), F.sum(F.abs(F.col("shown") - F.col("value"))).alias("error"))
 
 
+_SELECTIVE = f"""{b.BASE}, {b.CUTS}, sc as (select case_id, coalesce(count(*) filter (value < 35) / nullif(count(value), 0), 0) as score from panel where bin < 20 group by 1),
+rk as (select *, row_number() over (order by score desc, case_id) <= ceil(count(*) over () * 0.2) as continuous from sc),
+h as (select p.*, continuous, last_value(case when bin % 4 = 0 and value is not null then value end ignore nulls) over (partition by p.case_id order by bin rows between unbounded preceding and current row) as held from panel p join rk using (case_id)),
+s as (select unnest(['every4', 'selective']) as strategy, h.* from h), d0 as (select strategy, case_id, bin, value, strategy = 'selective' and continuous as continuous, case when strategy = 'selective' and continuous then value else held end as shown from s),
+pts as (select d0.*, threshold, value is not null as valid, shown is not null as up, case when value is not null then greatest(threshold - value, 0) else 0 end as r, case when value is not null and shown is not null then greatest(threshold - shown, 0) else 0 end as d from d0 cross join thr),
+facts as ({b.sums_sql('strategy, threshold')}), n as (select strategy, count(distinct case_id) as cases, count(distinct case_id) filter (continuous) as continuous_cases, count(*) filter (continuous or bin % 4 = 0) as samples, count(*) filter (not continuous and bin % 4 = 0) / nullif(count(distinct case_id) filter (not continuous) * 30.0, 0) as per_day from d0 group by 1),
+q as (select n.*, threshold, hidden_auc, over_auc, hidden_auc / nullif(true_auc, 0) as hdr from facts join n using (strategy)) select q.*, 1 - q.hidden_auc / nullif(z.hidden_auc, 0) as reduction from q join q z on z.threshold = q.threshold and z.strategy = 'every4'"""
+
+
+@add("strategy_selective", _SELECTIVE, "threshold per_day hidden_auc over_auc hdr reduction", "cases continuous_cases samples")
+def strategy_selective(spark, d):
+    """The fifth of cases with the most low bins at the start is followed continuously, the others every fourth bin: what stays hidden, against every fourth bin for all."""
+    p = files.settled(b.panel(spark, d))
+    score = p.where("bin < 20").groupBy("case_id").agg(F.coalesce(ratio(tally(F.col("value") < 35), F.count("value")), F.lit(0.0)).alias("score"))
+    chosen, every4 = hold.top_share(score, "case_id", "score", 0.2), hold.on_schedule(4, 0)
+    plain = hold.selective(p, chosen.where("false"), every4).withColumn("strategy", F.lit("every4"))
+    rows = plain.unionByName(hold.selective(p, chosen, every4).withColumn("strategy", F.lit("selective")))
+    single = F.when(~F.col("continuous"), F.col("case_id"))
+    n = rows.groupBy("strategy").agg(F.count_distinct("case_id").alias("cases"), F.count_distinct(F.when(F.col("continuous"), F.col("case_id"))).alias("continuous_cases"), tally(F.col("sampled")).alias("samples"), ratio(tally(F.col("sampled") & ~F.col("continuous")), F.count_distinct(single) * 30.0).alias("per_day"))
+    q = deficit.decompose(deficit.with_thresholds(rows, b.THRESHOLDS), ["strategy", "threshold"], b.BIN_MIN).select("strategy", "threshold", "hidden_auc", "over_auc", "hdr").join(n, "strategy")
+    base = q.where("strategy = 'every4'").select("threshold", F.col("hidden_auc").alias("_base"))
+    return q.join(base, "threshold").withColumn("reduction", 1 - ratio("hidden_auc", "_base")).drop("_base")
+
+
 def _adaptive_sql(rule: str) -> str:
     fell = "(prev is not null and prev - value >= 8)" if rule == "trend" else "false"
     fires = f"coalesce(value is not null and (value < 35 or {fell}), false)"
