@@ -28,11 +28,11 @@ def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     return running(df, order, F.lit(1).cast("long"), name).withColumn(name, F.col(name) + 1)
 
 
-def _meet(a: DataFrame, b: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
-    """``a`` with the other columns of ``b`` on keys that may be NULL; ``small``: b has a row for each of few groups."""
+def _meet(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """``a`` with the other columns of ``b`` on keys that may be NULL."""
     b = b.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *[c for c in b.columns if c not in keys])
     on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
-    return a.join(F.broadcast(b) if small else b, on).drop(*[f"_on_{k}" for k in keys])
+    return a.join(b, on).drop(*[f"_on_{k}" for k in keys])
 
 
 def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
@@ -51,7 +51,7 @@ def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, fl
     number = F.when(F.col("_value").isNotNull(), F.col("_n")).otherwise(0)
     up = running(counts.withColumn("_n", number), [*place, F.col("_i"), F.col("_value")], F.col("_n"), "_before")
     spans = up.groupBy(*keys, "_i").agg(F.min("_before").alias("_start"), F.sum("_n").alias("_all"))
-    rows = _meet(up, spans, [*keys, "_i"], small=True).withColumns({"_from": F.col("_before") - F.col("_start"), "_to": F.col("_before") - F.col("_start") + F.col("_n")})
+    rows = _meet(up, spans, [*keys, "_i"]).withColumns({"_from": F.col("_before") - F.col("_start"), "_to": F.col("_before") - F.col("_start") + F.col("_n")})
     out = []
     for name, (c, share) in wanted.items():
         at = (F.col("_all") - 1) * F.lit(share)

@@ -170,6 +170,16 @@ def dataset_manifest(spark, d):
     return files.manifest(spark, f"{d}/orders.parquet")
 
 
+@add("marked_table", "select n_nationkey::varchar as n_nationkey, n_name, r_name, count(c_custkey) as customers from nation left join region on r_regionkey = n_regionkey left join customer on c_nationkey = n_nationkey group by 1, 2, 3", "", "customers")
+def marked_table(spark, d):
+    """A table written as CSV whose header begins with a byte order mark, read back by its own column names and joined."""
+    path = files.shared_path(spark, "marked")
+    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    customers = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("n_nationkey")).agg(F.count("*").alias("customers"))
+    files.write_table(nations.select("n_nationkey", "n_name", "r_name"), path)
+    return files.read_table(spark, path).join(customers, "n_nationkey", "left").select("n_nationkey", "n_name", "r_name", F.coalesce("customers", F.lit(0)).alias("customers"))
+
+
 @add("track_scan", f"with {b.SIG} select case_id as tid, count(value) as n, sum(value) as total from sig group by 1", "total", "tid n")
 def track_scan(spark, d):
     """Readings of every user written as gzip CSV and read back by directory scan."""

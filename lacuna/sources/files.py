@@ -22,14 +22,25 @@ from lacuna.functions.columns import number
 from . import readers
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, spark.checkpoint.dir; a session of one machine may do without (tests), a cluster must name it."""
+def application_folder(spark: SparkSession) -> str:
+    """This application's folder below the one that all executors share, spark.checkpoint.dir; a session of one machine may do without (tests), a cluster must name it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = own_folder(spark.sparkContext.applicationId)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the application's folder."""
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes what this application has written to its folder (``settled`` tables, intermediate files). Frames that read it are of no use afterwards."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 @lru_cache
@@ -154,6 +165,13 @@ def manifest_faults(now: DataFrame, saved: DataFrame) -> DataFrame:
     return rows.select("name", fault.alias("fault")).where("fault is not null")
 
 
+def write_table(df: DataFrame, path: str, mark: bool = True) -> None:
+    """All columns as text in CSV files with a header, which begins with a byte order mark, as spreadsheets write it."""
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    first, *rest = text.columns
+    text.toDF(("\ufeff" if mark else "") + first, *rest).write.option("header", True).option("encoding", "UTF-8").csv(path)
+
+
 def write_json(df: DataFrame, path: str, *order: str) -> None:
     """JSON lines in a stable order within files, NaN and NULL as null."""
     clean = {f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")}

@@ -124,3 +124,13 @@ def test_digests_of_lists_of_ids(spark):
     df = spark.createDataFrame(rows, "g int, id long").repartition(7)
     plain = {g: hashlib.sha256("\n".join(str(i) for i in sorted(i for k, i in rows if k == g and i is not None)).encode()).hexdigest() for g in (1, 2, 3, None)}
     assert {r["g"]: r["digest"] for r in cohort.ids_digest(df, ["g"], "id").collect()} == plain
+
+
+def test_an_application_forgets_its_own_tables(spark, tmp_path, monkeypatch):
+    (tmp_path / "other").mkdir()
+    assert files.application_folder(spark).endswith(spark.sparkContext.applicationId)
+    monkeypatch.setattr(files, "application_folder", lambda spark: f"file://{tmp_path}/mine")
+    assert files.settled(spark.range(3)).count() == 3 and (tmp_path / "mine").exists()
+    files.forget(spark)
+    files.forget(spark)  # nothing left
+    assert [x.name for x in tmp_path.iterdir()] == ["other"]
