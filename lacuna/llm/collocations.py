@@ -33,7 +33,7 @@ from .common import meet, settled, small_batches
 
 LEAST, TOP = 30, 2000
 #: Bytes of text of a chunk, and of the slices in which they are split into words.
-CHUNK_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
+CHUNK_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
 #: Entries that meet in one merged filter, about.
 RANGE_ENTRIES = 1 << 20
 BITMAP_BITS = 26
