@@ -1,17 +1,17 @@
-"""Language-model scoring by logistic mixing of hashed-context bit predictors.
+"""Language-model scoring by logistic mixing of context bit predictors.
 
 A text is its words, lower-cased and joined by single spaces, and a final newline. Each byte is spelled by the bits of a
-prefix code made from the training bytes; every bit is predicted from several contexts (``CONTEXTS``: the last one to seven bytes, and the
-current word so far). A context's key is a hash of its bytes into 64 bits with room for the code node (packed, so that no two contexts
-collide); a slot counts the zeros and ones that followed it over all training documents. The predictions' logits are mixed with
+prefix code made from the training bytes; every bit is predicted from several contexts (``CONTEXTS``: the last one to five bytes, and the
+current word so far, of at most seven bytes). A context's key is its bytes packed into 64 bits with room for the code node: a hash without
+collisions. A slot counts the zeros and ones that followed it over all training documents. The predictions' logits are mixed with
 weights that a gate selects (the longest context seen, how often, and how often the current word's beginning was), learned online; an adaptive
 map then refines the mixed probability by what followed it in training. Both are learned with the current occurrence left out
-of the counts, on every occurrence of every training document. The score is the sum of the bits' log10
+of the counts, on every occurrence of every training document; the online steps go over distinct grams in the order of their keys, weighted by how often they occur. The score is the sum of the bits' log10
 probabilities, a proper probability over token sequences.
 
 The work is done once for each distinct *gram* (a byte and the seven before it), however often it occurs: an aggregation counts
 grams; they are dealt by their last two context bytes, so that every slot of a longer context lies in one task, and the slots of
-the last byte alone (65,536 pairs at most) are sent along. One pass learns weights and map, a second one gives each gram
+the last byte alone (65,536 pairs at most) are sent along. At most 65,536 tasks can so share the work, and the most frequent pair is one of them (3 % of the grams of the test tables). One pass learns weights and map, a second one gives each gram
 its log probability. The slots are as many as the corpus has contexts: nothing has a fixed size.
 
 Texts then add up their grams. At most ``HEAVY_GRAMS`` grams and ``HEAVY`` words, those with the highest counts, are looked up within

@@ -7,8 +7,8 @@ sentences, which is what then locates the offending ones.
 
 The classifier is fitted on a documented bound of labelled documents, at most ``SAMPLE`` rows and ``SAMPLE_BYTES`` bytes of whole texts: those with the smallest
 hashes of doc_id. The bound holds for rows of documents, however often a doc_id repeats, and only these rows reach the driver.
-Which of their words are features is part of the fit (a test of significance against chance, ``EXCESS``, which takes words of ``LEAST_DOCUMENTS`` toxic documents or more); the fitted weights, of a
-bounded size, go to every task, and all documents are scored whole.
+Which of their words are features is part of the fit (a test of significance against chance, ``EXCESS``, which takes words of ``LEAST_DOCUMENTS`` toxic documents or more); the fitted weights, which the
+bound of the sample bounds too, go to every task, and all documents are scored whole.
 
 Defined cases: a null or wordless text has no sentences and gets the leak as its score; null or missing labels are not learned
 from; of repeated labels of a doc_id the largest counts; rows that repeat id and text are learned from once and score alike; without both labels among
@@ -31,7 +31,6 @@ from .common import crc_of_id, small_batches
 
 FOLDS = 5
 SAMPLE, SAMPLE_BYTES = 12_000, 48_000_000
-VOCABULARY = 100_000
 LEAST_DOCUMENTS = 3
 STEM = 5
 STEPS = 150
@@ -105,7 +104,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     bad = Counter({f: k for f, k in bad.items() if k >= LEAST_DOCUMENTS})
     seen = Counter(f for text in texts for f in held(text) if f in bad)
     excess = {f: (k - rate * seen[f]) / (seen[f] * rate * (1 - rate)) ** 0.5 for f, k in bad.items()}
-    ranked = sorted((-e, f) for f, e in excess.items() if e >= EXCESS)[:VOCABULARY]
+    ranked = sorted((-e, f) for f, e in excess.items() if e >= EXCESS)
     ids = {w: i for i, (_, w) in enumerate(ranked)}
     word, at_sentence, at_document = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
