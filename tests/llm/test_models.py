@@ -307,3 +307,49 @@ def test_language_model_edges(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     x = bitmix.score(spark.createDataFrame([(held, "only held out")], "doc_id long, text string")).first()
     assert x["train_tokens"] == x["n_known"] == 0 and x["base_score"] == 0.0 and x["score"] < 0
+
+
+def test_the_fit_is_a_minimum_of_the_likelihood():
+    """No single change of a weight, the bias or the leak makes the documents' labels (with the pull towards the words' own odds) much likelier."""
+    r = random.Random(17)
+    plain, bad = [f"word{k}" for k in range(30)], ["awful", "vile", "nasty"]
+    texts, labels = [], []
+    for k in range(200):
+        toxic = k % 3 == 0
+        body = [" ".join(r.choice(plain) for _ in range(5)) for _ in range(4)]
+        if toxic:
+            body[r.randrange(4)] += f" {r.choice(bad)} {r.choice(bad)}"
+        elif r.random() < 0.1:
+            body[0] += f" {r.choice(bad)}"
+        texts.append(". ".join(body))
+        labels.append(int(toxic))
+    model = toxicity.fit(texts, labels)
+    assert {b"awful", b"vile", b"nasty"} <= set(model.words)
+    features = lambda s: {*s, *(w[: toxicity.STEM] + b"*" for w in s)}
+    names = [*model.words, *(s + b"*" for s in model.stems)]
+    rate = sum(labels) / len(labels)
+    held = [{f for s in toxicity.sentences(t) for f in features(s)} for t in texts]
+
+    def odds(name):
+        k, n = sum(y for h, y in zip(held, labels, strict=True) if name in h), sum(name in h for h in held)
+        return math.log((k + 0.5) / (n - k + 0.5)) - math.log(rate / (1 - rate))
+
+    prior = {n: odds(n) for n in names}
+
+    def loss(weights, bias, leak):
+        total = 0.0
+        for text, y in zip(texts, labels, strict=True):
+            safe = 1 - leak
+            for s in toxicity.sentences(text):
+                safe *= 1 - 1 / (1 + math.exp(-(bias + sum(weights.get(f, 0.0) for f in features(s)))))
+            total -= math.log(max(1 - safe, 1e-9)) if y else math.log(max(safe, 1e-300))
+        return total / len(texts) + toxicity.L2 / 2 * sum((weights[n] - prior[n]) ** 2 for n in names)
+
+    weights = {n: (model.stems[n[:-1]] if n.endswith(b"*") else model.words[n]) for n in names}
+    least = loss(weights, model.bias, model.leak)
+    for step in (0.2, -0.2):
+        assert loss(weights, model.bias + step, model.leak) > least - 1e-3
+        assert loss(weights, model.bias, model.leak * (1 + step)) > least - 1e-3
+        for n in names:
+            assert loss(weights | {n: weights[n] + step}, model.bias, model.leak) > least - 1e-3
+    assert loss(prior, model.bias, model.leak) > least and loss({n: 0.0 for n in names}, -3.0, 0.02) > least + 0.05
