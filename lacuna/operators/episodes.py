@@ -72,13 +72,13 @@ def observability(samples: DataFrame, episodes: DataFrame, steps: list[int], ste
     own = episodes.select("case_id", "threshold", "episode", "start_bin", "end_bin", "auc", (F.col("end_bin") + 1).alias("_end"), which.alias("_i"))
     found = on_show(rows, own, "start_bin", "_end", steps)
     mine = lambda c: F.get(c, F.col("_i"))
-    keys = ["case_id", "threshold", "episode", "step"]
+    keys = ["case_id", "_i", "episode", "step"]  # the threshold's number: keys that are doubles would be dealt anew for the aggregation
     every = Window.partitionBy(*keys)
-    found = found.select(*keys, "phase", "start_bin", "end_bin", "_end", "auc", "bin", "since", "shown", "_last", mine("_clear").alias("_clear"), mine("_burden").alias("_burden"), mine("_stop").alias("_stop"))
+    found = found.select(*keys, "threshold", "phase", "start_bin", "end_bin", "_end", "auc", "bin", "since", "shown", "_last", mine("_clear").alias("_clear"), mine("_burden").alias("_burden"), mine("_stop").alias("_stop"))
     found = found.withColumns({"_at_start": F.max(F.when(F.col("bin") == F.col("start_bin"), F.col("_burden"))).over(every), "_ref": F.max(F.when(F.col("bin") == F.col("_end"), F.coalesce("_stop", F.col("_last") + 1))).over(every)})
     seen = (F.col("shown") < F.col("threshold")) & (F.col("bin") <= F.col("end_bin"))
     at_end = F.col("bin") > F.col("_end") - F.col("step")  # the sample that stands at the first bin after the end
-    out = found.groupBy(*keys, "phase", "start_bin", "end_bin", "auc").agg(
+    out = found.groupBy(*keys, "phase", "threshold", "start_bin", "end_bin", "auc").agg(
         F.min(F.when(seen, F.col("since"))).alias("first_bin"), F.min_by(F.when(F.col("bin") >= F.col("start_bin"), F.col("_burden") - F.col("_at_start")).otherwise(0.0), F.when(seen, F.col("since"))).alias("_before"),
         F.max(F.when(at_end, F.least("_ref", F.greatest(F.coalesce("_clear", F.col("_last") + 1), "_end")))).alias("break_bin"),
     )
@@ -88,7 +88,7 @@ def observability(samples: DataFrame, episodes: DataFrame, steps: list[int], ste
         "detected": hit, "delay": (F.col("first_bin") - F.col("start_bin")) * step, "left": (recovery - F.col("first_bin")) * step,
         "auc_before": F.when(hit, F.col("_before")).otherwise(F.col("auc")), "stale": F.when(hit, F.coalesce(F.col("break_bin") - recovery, F.lit(0)) * step),
     })
-    return out.withColumns({f"left_{k}": F.col("detected") & (F.col("left") >= m) for k, m in enumerate(margins, 1)}).drop("_before", "break_bin")
+    return out.withColumns({f"left_{k}": F.col("detected") & (F.col("left") >= m) for k, m in enumerate(margins, 1)}).drop("_i", "_before", "break_bin")
 
 
 def observability_sums(pairs: DataFrame, keys: list[str]) -> DataFrame:

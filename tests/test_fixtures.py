@@ -281,3 +281,13 @@ def test_sums_of_samples_equal_sums_of_points(spark):
     shown = hold.shown_at(hold.samples(p, steps), p, steps).select("case_id", "bin", "step", "phase", "held_bin", "shown")
     every = hold.by_phase(hold.phase_arrays(p, steps)).select(shown.columns)
     assert sorted(map(tuple, shown.collect()), key=repr) == sorted(map(tuple, every.collect()), key=repr)
+
+
+def test_samples_are_as_many_as_bins_whatever_the_phases(spark):
+    p = panel(spark, [60.0] * 40)
+    for step in (2, 5, 20):
+        assert hold.samples(p, [step]).count() == 40 + step - 1
+    assert hold.samples(p, [2, 5, 20]).count() == 3 * 40 + 1 + 4 + 19
+    seen = hold.samples(p, [20], seen=True)
+    # each phase sees every bin once
+    assert seen.groupBy("phase").agg(F.sum("bins").alias("n"), F.sum(F.size("seen")).alias("v")).where("n = 40 and v = 40").count() == 20
