@@ -88,6 +88,13 @@ select page_id, n::bigint as payload_bytes,
   case when page_id is not distinct from top then 'response' else 'revisit' end as record_type,
   case when page_id is distinct from top then top end as refers_to, cast(null as varchar) as error
 from q""",
+    "op11_histogram_sharding": r"""
+with tab as (select list(c order by i) as t from (select i, list_reduce(range(0, 8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i::bigint) as c from range(256) r(i))),
+d as (select doc_id, coalesce(text, '') as text from documents),
+b as (select doc_id, strlen(text) + 16 as size, ('0x' || substr(md5(text), 1, 15))::bigint as k, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::bigint) as bytes from d),
+c as (select *, sum(size) over (order by k, doc_id nulls first rows unbounded preceding) - size as before, sum(size) over () as total, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::bigint), 4294967295) as crc from b, tab),
+s as (select *, ((2 * before + size) * 40 // (2 * total))::int as shard from c)
+select doc_id, size::bigint as size, crc::bigint as text_crc32, 'bytes' as law, shard, (row_number() over (partition by shard order by k, doc_id nulls first) - 1)::bigint as slot, null::int as grown_shard from s""",
     "op12_phrase_collocations": r"""
 with t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
 p as (select lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) as piece from t), w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
