@@ -287,7 +287,7 @@ def grams(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]
     spark = docs.sparkSession
     size, tokens = vocab.count(), totals.agg(F.sum("n")).first()[0] or 0
     range_bits = max(1, (max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * tokens // RANGE_ENTRIES) - 1).bit_length())
-    bits = max(size.bit_length(), (range_bits + 4) // 2)
+    bits = max(size.bit_length(), range_bits + 3)  # a half of a pair's key has the range's bits at least
     if bits > 32:
         raise ValueError("word numbers of more than 32 bits")
     text = renumbered(chunks, words, vocab)

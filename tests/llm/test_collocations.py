@@ -57,6 +57,16 @@ def test_empty_tables(spark):
     assert c.phrases(spark.createDataFrame([("en", None), (None, "one word")], "lang string, text string")).collect() == []
 
 
+def test_many_partitions_and_few_words(spark):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = [("en", "a b a b. A b")] * 10
+        assert sorted(tuple(x) for x in c.phrases(spark.createDataFrame(rows, "lang string, text string"), 3).collect()) == brute(rows, 3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
 def test_slices_and_giant_words(monkeypatch):
     monkeypatch.setattr(c, "SLICE_BYTES", 7)
     for text in (b"aa bb, cc dd", b"x" * 50, b"x" * 50 + b" y." + b"z" * 30, b"", b"  ", b"a" * 7 + b" b"):
