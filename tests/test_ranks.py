@@ -94,11 +94,30 @@ def test_consistency_and_conservation(spark):
 
 
 def test_scenarios_exclude_in_order(spark):
-    events = spark.createDataFrame([(1, 1, 100.0), (1, 2, 700.0), (2, 1, 700.0), (3, 1, 900.0), (4, 1, 800.0)], "case_id long, event_id long, sec double")
-    states = spark.createDataFrame([(1, 2, 2, 0, 30.0, "fresh_low", 1), (2, 1, 2, 0, 30.0, "fresh_low", 3), (3, 1, 2, 0, 90.0, "reference_normal", 0)], "case_id long, event_id long, step int, phase int, value double, category string, low_bins int")
-    why = lambda *how: {(r["case_id"], r["event_id"]): r["why"] for r in devices.scenario(states, events, 100.0, 5, 35.0, *how, F.lit(1)).collect()}
-    assert why(1, False) == {(1, 1): "too_early", (1, 2): None, (2, 1): None, (3, 1): None, (4, 1): "poor_support"}
-    assert why(2, False)[1, 2] == "short_low_run" and why(1, True)[2, 1] == "not_first" and why(1, True)[1, 2] is None
+    ways = [devices.Scenario("plain"), devices.Scenario("long", low_bins=2), devices.Scenario("first", only_first=True), devices.Scenario("late", first_bin=7)]
+    names = [w.name for w in ways]
+    events = spark.createDataFrame([(n, c, e, t) for n in names for c, e, t in ((1, 1, 100.0), (1, 2, 700.0), (2, 1, 700.0), (3, 1, 900.0), (4, 1, 800.0))], "scenario string, case_id long, event_id long, sec double")
+    states = spark.createDataFrame([(n, *x) for n in names for x in ((1, 2, 2, 0, 30.0, "fresh_low", 1), (2, 1, 2, 0, 30.0, "fresh_low", 3), (3, 1, 2, 0, 90.0, "reference_normal", 0))], "scenario string, case_id long, event_id long, step int, phase int, value double, category string, low_bins int")
+    why = {(r["scenario"], r["case_id"], r["event_id"]): r["why"] for r in devices.judged_events(states, events, ways, 100.0, 5, 35.0, F.lit(1)).collect()}
+    plain = {(1, 1): "too_early", (1, 2): None, (2, 1): None, (3, 1): None, (4, 1): "poor_support"}
+    changed = {"plain": {}, "long": {(1, 2): "short_low_run"}, "first": {(2, 1): "not_first"}, "late": {(1, 2): "too_early", (2, 1): "too_early"}}
+    assert why == {(n, *k): v for n in names for k, v in (plain | changed[n]).items()}
+
+
+def test_scenarios_share_a_pass_over_blocks(spark):
+    one = lambda *rows: spark.createDataFrame([(1, t, k, "start") for t, k in rows], "case_id long, sec double, track string, kind string")
+    ways = [devices.Scenario("narrow", width=10.0), devices.Scenario("wide", width=100.0), devices.Scenario("all", sustained=False, width=100.0)]
+    blocks = devices.scenario_blocks(devices.scenario_changes(one((0.0, "a"), (50.0, "b")), one((0.0, "a"), (50.0, "b"), (300.0, "a")), ways)).collect()
+    assert sorted((r["scenario"], r["event_id"], r["sec"], r["tracks"], r["changes"]) for r in blocks) == [("all", 1, 0.0, "a+b", 2), ("all", 2, 300.0, "a", 1), ("narrow", 1, 0.0, "a", 1), ("narrow", 2, 50.0, "b", 1), ("wide", 1, 0.0, "a+b", 2)]
+
+
+def test_strata_add_up(spark):
+    rows = spark.createDataFrame([("x", "a", "s", 1.0), ("x", "b", "s", 3.0), ("y", "a", "t", 5.0)], "scenario string, tracks string, kind string, v double")
+    out = devices.strata(rows, ["scenario"], ["tracks", "kind"], {"events": F.count("*")}, {"v": F.avg("v")}).collect()
+    assert {(r["scenario"], r["level"], r["stratum"]): (r["events"], r["v"]) for r in out} == {
+        ("x", "all", None): (2, 2.0), ("x", "tracks", "a"): (1, 1.0), ("x", "tracks", "b"): (1, 3.0), ("x", "kind", "s"): (2, 2.0), ("y", "all", None): (1, 5.0), ("y", "tracks", "a"): (1, 5.0), ("y", "kind", "t"): (1, 5.0)}
+    with pytest.raises(ValueError, match="do not add up"):
+        devices.strata(rows, ["scenario"], ["tracks", "kind"], {"kinds": F.count_distinct("kind")}, {})
 
 
 def prominences(v, distance, least):
