@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.columns import ratio, tally
 
+from . import ranks
+
 DAY = 86400.0
 
 
@@ -37,16 +39,20 @@ def windowed(labs: DataFrame, cases: DataFrame, rise: float, fold: float, absolu
 def two_by_two(df: DataFrame, exposure: Column, outcome: Column) -> DataFrame:
     """One row: the four cells, whether an odds ratio can be estimated, the crude one, and Fisher's two-sided p.
 
-    The p value adds the probabilities of all tables with the same margins that are no likelier than the observed one, from a table of log factorials.
+    The p value adds the probabilities of all tables with the same margins that are no likelier than the observed one. A table's probability follows from that of the one with
+    one case less in the first cell, so their logarithms are a running sum over the first cell; together they are 1.
     """
     c = F.col
     t = df.agg(tally(exposure & outcome).alias("a"), tally(exposure & ~outcome).alias("b"), tally(~exposure & outcome).alias("c"), tally(~exposure & ~outcome).alias("d"))
-    t = t.withColumn("n", c("a") + c("b") + c("c") + c("d"))
-    support = t.withColumn("x", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), c("a") + c("c") - (c("c") + c("d"))), F.least(c("a") + c("b"), c("a") + c("c")))))
-    lf = lambda x: F.expr(f"aggregate(sequence(1L, greatest({x}, 1L)), 0d, (s, i) -> s + ln(i))")
-    log_p = lf("a + b") + lf("c + d") + lf("a + c") + lf("b + d") - lf("n") - lf("x") - lf("a + b - x") - lf("a + c - x") - lf("d - a + x")
-    at = lf("a + b") + lf("c + d") + lf("a + c") + lf("b + d") - lf("n") - lf("a") - lf("b") - lf("c") - lf("d")
-    p = support.withColumns({"lp": log_p, "l0": at}).groupBy("a", "b", "c", "d").agg(F.sum(F.when(c("lp") <= c("l0") + 1e-7, F.exp("lp")).otherwise(0.0)).alias("fisher_p"))
+    least, most = F.greatest(F.lit(0).cast("long"), c("a") - c("d")), F.least(c("a") + c("b"), c("a") + c("c"))
+    support = t.withColumn("_x", F.explode(F.sequence(least, most)))
+    # log of the next table's probability over this one's; the last table has no next one
+    up = F.when(c("_x") < most, F.ln((c("a") + c("b") - c("_x")).cast("double")) + F.ln((c("a") + c("c") - c("_x")).cast("double")) - F.ln(c("_x") + 1.0) - F.ln(c("d") - c("a") + c("_x") + 1.0)).otherwise(0.0)
+    rows = ranks.running(support, [c("_x")], up, "_lp")
+    ends = rows.agg(F.max("_lp").alias("_top"), F.max(F.when(c("_x") == c("a"), c("_lp"))).alias("_at"))
+    rows = rows.join(F.broadcast(ends), F.lit(True))  # one row
+    weight = F.exp(c("_lp") - c("_top"))
+    p = rows.groupBy("a", "b", "c", "d").agg((F.sum(F.when(c("_lp") <= c("_at") + 1e-7, weight).otherwise(0.0)) / F.sum(weight)).alias("fisher_p"))
     sound = F.least("a", "b", "c", "d") > 0
     return p.withColumns({"estimable": sound, "odds_ratio": F.when(sound, c("a") * c("d") / (c("b") * c("c"))), "fisher_p": F.least("fisher_p", F.lit(1.0))})
 

@@ -74,8 +74,9 @@ FEAT = f"{signal.OBS}, fm as (select case_id, true_auc, hidden_auc, valid_min fr
 
 
 def features(spark, d):
-    m = signal.means(spark, d).where("threshold = 35 and step = 4").select("case_id", "true_auc", ratio("true_auc", "valid_min").alias("twa"), "hdr")
-    e = signal.pairs(spark, d).where("threshold = 35 and step = 4").groupBy("case_id").agg(F.count("*").alias("pairs"), tally(F.col("detected")).alias("det"))
+    one = ([4], [35.0])  # what is asked for only, not every step and threshold
+    m = signal.means(spark, d, *one).select("case_id", "true_auc", ratio("true_auc", "valid_min").alias("twa"), "hdr")
+    e = signal.pairs(spark, d, *one).groupBy("case_id").agg(F.count("*").alias("pairs"), tally(F.col("detected")).alias("det"))
     out = m.join(e, "case_id", "left")
     return out.select("case_id", "true_auc", "twa", "hdr", (F.coalesce("pairs", F.lit(0)) / 4).alias("episodes"), ratio("det", "pairs").alias("p_detected"))
 
@@ -112,7 +113,7 @@ _SPLINE = f"{_FRAME}, k as (select min(baseline_10) as lo, median(baseline_10) a
 @add("bspline_basis", f"""{_SPLINE} select case_id, case when x < mid then (x - lo) / (mid - lo) * (mid - x) / (mid - lo) + (hi - x) / (hi - lo) * (x - lo) / (mid - lo) else (hi - x) / (hi - lo) * (hi - x) / (hi - mid) end as s1,
 case when x < mid then (x - lo) / (hi - lo) * (x - lo) / (mid - lo) else (x - lo) / (hi - lo) * (hi - x) / (hi - mid) + (hi - x) / (hi - mid) * (x - mid) / (hi - mid) end as s2, case when x < mid then 0 else ((x - mid) / (hi - mid)) ** 2 end as s3 from sp""", "s1 s2 s3")
 def bspline_basis(spark, d):
-    f = files.settled(frame(spark, d))
+    f = files.settled(frame(spark, d).select("case_id", "baseline_10"))
     knots = ranks.with_quantiles(f.agg(F.min("baseline_10").alias("lo"), F.max("baseline_10").alias("hi")), f, [], {"mid": (F.col("baseline_10"), 0.5)})
     return outcomes.spline_basis(f.where("baseline_10 is not null"), "baseline_10", knots).select("case_id", "s1", "s2", "s3")
 
@@ -145,7 +146,7 @@ _ERF = "(case when {0} >= 4 then 1 else 2 / sqrt(pi()) * list_sum(list_transform
 @add("poisson_cluster", f"""{_FRAME}, {poisson_sql('frame', 'event', 'log_twa', 'baseline_10', 'subject')} select 'model' as label, term, estimate, se, exp(estimate) as ratio, exp(estimate - {models.Z95} * se) as low, exp(estimate + {models.Z95} * se) as high,
 1 - {_ERF.format('abs(estimate / se) / sqrt(2)')} as p, n, events, g as clusters, 3 as parameters, ll as log_likelihood, 6 - 2 * ll as aic, true as converged from fit""", "estimate se ratio low high p events log_likelihood aic", "n clusters parameters")
 def poisson_cluster(spark, d):
-    return models.poisson_cluster(files.settled(frame(spark, d)), "event", ["log_twa", "baseline_10"], "subject")
+    return models.poisson_cluster(files.settled(frame(spark, d).select("event", "log_twa", "baseline_10", "subject")), "event", ["log_twa", "baseline_10"], "subject")
 
 
 def analysis_rows(spark, d):
@@ -154,9 +155,9 @@ def analysis_rows(spark, d):
     Exposures are per 10 units: hidden area per valid hour, hidden share, share of an episode's area before its first low display.
     Outcomes: event (7 days), event_2d (48 h), event_late (with a baseline of the last two days before the anchor).
     """
-    m = signal.means(spark, d).where("step = 4")
+    m = signal.means(spark, d, [4])
     m = m.select("case_id", "threshold", "true_auc", (ratio("hidden_auc", F.col("valid_min") / 60) / 10).alias("hidden_10"), (10 * F.col("hdr")).alias("hdr_10"), F.log1p(ratio("true_auc", F.col("valid_min") / 60)).alias("burden"))
-    e = signal.pairs(spark, d).where("step = 4").groupBy("case_id", "threshold").agg((10 * ratio(F.sum("auc_before"), F.sum("auc"))).alias("before_10"), (F.count("*") / 4 > 4).cast("int").alias("many"))
+    e = signal.pairs(spark, d, [4]).groupBy("case_id", "threshold").agg((10 * ratio(F.sum("auc_before"), F.sum("auc"))).alias("before_10"), (F.count("*") / 4 > 4).cast("int").alias("many"))
     o = outcome(spark, d)
     acute = F.coalesce(F.col("max_2d") - F.col("baseline") >= 5, F.lit(False)) | F.coalesce(ratio("max_2d", "baseline") >= 1.5, F.lit(False))
     late = anchors(spark, d).join(outcomes.latest_before(labs(spark, d), anchors(spark, d).select("case_id", "anchor"), 2 * DAY).withColumnRenamed("value", "baseline"), "case_id", "left")
