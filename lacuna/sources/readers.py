@@ -2,7 +2,7 @@
 
 ``register(spark)`` makes both formats known to a session:
 
-* ``wave_prefix``: the first seconds of regularly sampled waveforms, a partition per file. The first two samples give start and interval; reading stops at the end.
+* ``wave_prefix``: the first seconds of regularly sampled waveforms, ``MOST_WAVES`` files a partition. The first two samples give start and interval; reading stops at the end.
 * ``file_digest``: path relative to a root, bytes and SHA-256 of every file below it, files dealt into partitions by size. Links that lead out of the root are left out.
 
 Files are listed and read through ``pyarrow.fs``: local paths, file:// and the stores it knows by their URI.
@@ -25,6 +25,8 @@ BUFFER = 64 << 10
 DIGEST_BUFFER = 1 << 20
 #: Files of a partition, and their bytes; a larger file is a partition of its own.
 MOST_FILES, MOST_BYTES = 1000, 256 << 20
+#: Of waveforms a prefix is read only, whatever their size.
+MOST_WAVES = 250
 
 
 def register(spark: SparkSession) -> None:
@@ -124,11 +126,15 @@ class WavePrefixReader(DataSourceReader):
         self.most = float(options.get("most_interval", 1))
 
     def partitions(self) -> list[InputPartition]:
-        return [Files((x.path,)) for x in listed(self.path)[2] if not os.path.basename(x.path).startswith(("_", "."))]
+        paths = [x.path for x in listed(self.path)[2] if not os.path.basename(x.path).startswith(("_", "."))]
+        return [Files(tuple(paths[k : k + MOST_WAVES])) for k in range(0, len(paths), MOST_WAVES)]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         store, root = opened(self.path)
-        path = partition.paths[0]
+        for path in partition.paths:
+            yield from self.prefix(store, root, path)
+
+    def prefix(self, store: fs.FileSystem, root: str, path: str) -> Iterator[tuple]:
         name = os.path.relpath(path, root) if path != root else os.path.basename(path)
         lines = Lines(store, path)
         try:
