@@ -3,14 +3,16 @@
 import contextlib
 import io
 import math
+import re
 
 import duckdb
 import pytest
 
-from lacuna.operators import devices, episodes, hold, outcomes
+from lacuna.operators import devices, episodes, grid, hold, outcomes
 from lacuna.plans import bindings as b
 from lacuna.plans import outcomes as plans
-from lacuna.sources import readers
+from lacuna.plans import signal
+from lacuna.sources import files, readers
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +76,21 @@ def test_changes_are_between_neighbouring_records(spark):
     rows = spark.createDataFrame([(1, 1, 0.0, 10.0), (1, 2, 60.0, None), (1, 3, 120.0, 30.0), (1, 4, 180.0, -5.0), (1, 5, 240.0, 40.0), (1, 6, 300.0, 50.0)], "case_id long, event_id long, sec double, value double")
     found = [(r["sec"], r["previous"], r["value"]) for r in devices.rate_transitions(rows, 3600.0).collect()]
     assert found == [(300.0, 40.0, 50.0)]
+
+
+def test_robustness_has_a_row_for_each_gap_only(spark):
+    assert not re.search(r"case_id#\w+, threshold#\w+, gap_bins#\w+, least_low", plan(signal.QUERIES["event_robustness"](spark, SF)))
+
+
+def test_peaks_are_counted_for_many_bins_at_once(spark):
+    df = spark.createDataFrame([(1, 0.0, 1.0), (1, 1.0, 9.0), (1, 2.0, None), (1, 3.0, 9.0), (1, 4.0, 1.0), (2, 5.0, None)], "case_id long, sec double, value double")
+    out = grid.wave_peaks(df, 10.0, 2, 5.0)
+    assert "FlatMapGroupsInPandas" not in plan(out)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 0, grid.peak_count([1, 9, 5, 9, 1], 2, 5.0)), (2, 0, 0)]
+
+
+def test_waveforms_are_one_file_a_key(spark, tmp_path):
+    df = spark.createDataFrame([(k, i, i / 4, float(i) if i else None) for k in range(50) for i in range(3)], "case_id long, idx int, at double, value double")
+    files.write_waves(df, str(tmp_path / "w"), "case_id", ["idx"], "at", "value")
+    assert sorted(p.name for p in (tmp_path / "w").iterdir()) == sorted(f"case_id={k}.csv" for k in range(50))
+    assert (tmp_path / "w" / "case_id=7.csv").read_text() == "time,wave\n0.0,\n0.25,1.0\n0.5,2.0\n"
