@@ -37,6 +37,9 @@ CHUNK_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
 #: Entries that meet in one merged filter, about.
 RANGE_ENTRIES = 1 << 20
 BITMAP_BITS = 26
+#: Words of a chunk that are counted in one filter a range, words whose phrases are permuted together, and bits by which the keys are then dealt: a task holds the keys
+#: of one block, and sorts and packs one part of them at a time.
+BLOCK_WORDS, PIECE_WORDS, PART_BITS = 1 << 22, 1 << 18, 3
 #: Phrases that are ranked in one task, about.
 RANKED = 50_000
 
@@ -216,23 +219,46 @@ def unpacked(data: bytes, half: int, first: int, bits: int) -> tuple[np.ndarray,
     return (slots << np.uint64(half - q)) | low, b, n + 1
 
 
-def pairs_of(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
-    both = (g[:-1] > 0) & (g[1:] > 0)
-    return g[:-1][both], g[1:][both], bits
+def pairs_of(g: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of two words that begin among the first ``most`` words."""
+    at = np.flatnonzero((g[:-1] > 0) & (g[1:] > 0))
+    at = at[at < most]
+    return g[at], g[at + 1]
 
 
-def longer_of(g: np.ndarray, bits: int, marks: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Phrases of three and four words all of whose pairs are marked, as halves of two words."""
+def longer_of(g: np.ndarray, most: int, bits: int, marks: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of three and four words all of whose pairs are marked and that begin among the first ``most`` words, as halves of two words."""
     at = np.flatnonzero((g[:-1] > 0) & (g[1:] > 0))
     spot = leading(*permuted(g[at], g[at + 1], bits), bits, wide)
     ok = np.zeros(len(g) + 2, bool)
     ok[at] = (marks[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1
     three = np.flatnonzero(ok[:-1] & ok[1:])
+    three = three[three < most]
     four = three[ok[three + 2]] if len(three) else three
     s = np.uint64(bits)
     a = (g[three] << s) | g[three + 1]
     c = g[three + 2] << s
-    return np.concatenate([a, (g[four] << s) | g[four + 1]]), np.concatenate([c, (g[four + 2] << s) | g[four + 3]]), 2 * bits
+    return np.concatenate([a, (g[four] << s) | g[four + 1]]), np.concatenate([c, (g[four + 2] << s) | g[four + 3]])
+
+
+def filters_of(words: np.ndarray, keys_of, half: int, range_bits: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Ranges and filters of a chunk: for each block of words a filter for each range that its phrases have; those that begin in a block belong to it."""
+    part_bits = min(PART_BITS, range_bits)
+    for at in range(0, len(words), BLOCK_WORDS):
+        end, parts = min(at + BLOCK_WORDS, len(words)), [[] for _ in range(1 << part_bits)]
+        for start in range(at, end, PIECE_WORDS):
+            most = min(PIECE_WORDS, end - start)
+            a, b = permuted(*keys_of(words[start : start + most + 3].astype(np.uint64), most), half)
+            part_of = leading(a, b, half, part_bits)
+            for k, part in enumerate(parts):
+                mine = part_of == k
+                part.append((a[mine], b[mine]))
+        while parts:
+            a, b, n = summed(*[np.concatenate(x) for x in zip(*parts.pop(), strict=True)], None, half)
+            ranges = leading(a, b, half, range_bits).astype(np.int64)
+            starts = np.flatnonzero(np.diff(ranges, prepend=-1))
+            made = [packed(a[i:j], b[i:j], n[i:j], half, int(ranges[i]), range_bits) for i, j in zip(starts, [*starts[1:], len(a)], strict=False)]
+            yield ranges[starts], made
 
 
 def counted(chunks: DataFrame, keys_of, half: int, least: int, range_bits: int, mark_bits: int = 0) -> DataFrame:
@@ -241,14 +267,8 @@ def counted(chunks: DataFrame, keys_of, half: int, least: int, range_bits: int,
     def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("grams"):
-                g = np.frombuffer(data.as_buffer(), np.uint32).astype(np.uint64)
-                a, b, wide = keys_of(g)
-                a, b, n = summed(*permuted(a, b, wide), None, wide)
-                ranges = leading(a, b, wide, range_bits).astype(np.int64)
-                starts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(a) else []
-                cuts = [*starts, len(a)]
-                made = [packed(a[i:j], b[i:j], n[i:j], wide, int(ranges[i]), range_bits) for i, j in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(ranges[starts], pa.int32()), pa.array(made, pa.binary())], ["range", "filter"])
+                for ranges, made in filters_of(np.frombuffer(data.as_buffer(), np.uint32), keys_of, half, range_bits):
+                    yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(made, pa.binary())], ["range", "filter"])
 
     def merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         first = int(key[0])
@@ -292,9 +312,9 @@ def grams(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]
         raise ValueError("word numbers of more than 32 bits")
     text = renumbered(chunks, words, vocab)
     mark_bits = max(range_bits + 3, min(BITMAP_BITS, 2 * bits))
-    two = counted(text, lambda g: pairs_of(g, bits), bits, least, range_bits, mark_bits)
+    two = counted(text, pairs_of, bits, least, range_bits, mark_bits)
     marks = spark.sparkContext.broadcast(marks_of(two, range_bits, mark_bits))
-    more = counted(text, lambda g: longer_of(g, bits, marks.value, mark_bits), 2 * bits, least, range_bits)
+    more = counted(text, lambda g, most: longer_of(g, most, bits, marks.value, mark_bits), 2 * bits, least, range_bits)
     word = lambda c, k: F.shiftrightunsigned(c, k * bits).bitwiseAND((1 << bits) - 1)
     both = lambda x, y: F.shiftleft(x, 32).bitwiseOR(y)
     one = vocab.select(F.shiftleft("id", 32).alias("hi"), F.lit(0).cast("long").alias("lo"), "f")

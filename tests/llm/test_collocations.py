@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -94,3 +95,33 @@ def test_filters_lose_nothing(half):
             mine = c.leading(a, b, half, bits) == first
             back = c.unpacked(c.packed(a[mine], b[mine], n[mine], half, first, bits), half, first, bits)
             assert all((x == y).all() for x, y in zip(back, (a[mine], b[mine], n[mine]), strict=True))
+
+
+@pytest.mark.parametrize("block,piece", [(1 << 22, 1 << 18), (7, 3), (64, 64), (100, 7)])
+def test_blocks_lose_no_phrase(monkeypatch, block, piece):
+    monkeypatch.setattr(c, "BLOCK_WORDS", block)
+    monkeypatch.setattr(c, "PIECE_WORDS", piece)
+    words = np.random.default_rng(block).integers(0, 6, 500).astype(np.uint32)
+    marks, bits, plain = np.full(1 << 3, 255, np.uint8), 6, words.tolist()
+    grams = lambda k: Counter(g for i in range(len(plain) - k + 1) if 0 not in (g := tuple(plain[i : i + k])))
+    pairs, longer = Counter(), Counter()
+    for found, keys_of, half in ((pairs, c.pairs_of, bits), (longer, lambda g, most: c.longer_of(g, most, bits, marks, 6), 2 * bits)):
+        for ranges, made in c.filters_of(words, keys_of, half, 3):
+            for r, data in zip(ranges.tolist(), made, strict=True):
+                a, b, n = c.unpacked(data, half, r, 3)
+                for x, y, k in zip(*[v.tolist() for v in c.restored(a, b, half)], n.tolist(), strict=True):
+                    found[x, y] += k
+    assert pairs == grams(2)
+    assert longer == Counter({(g[0] << bits | g[1], g[2] << bits | (g[3] if k == 4 else 0)): n for k in (3, 4) for g, n in grams(k).items()})
+
+
+def test_a_chunk_is_counted_within_bounds():
+    words = np.random.default_rng(1).integers(1, 1 << 20, 3_000_000).astype(np.uint32)
+    marks = np.full(1 << 17, 255, np.uint8)
+    tracemalloc.start()
+    try:
+        total = sum(c._HEAD.unpack_from(data)[0] for _, made in c.filters_of(words, lambda g, most: c.longer_of(g, most, 20, marks, 20), 40, 6) for data in made)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == 5_999_995 and peak < 200 << 20  # the keys alone are 92 MB; all at once took more than 400
