@@ -7,8 +7,9 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from lacuna.operators import devices, episodes, grid, hold, outcomes
+from lacuna.operators import deficit, devices, episodes, grid, hold, outcomes
 from lacuna.plans import bindings as b
 from lacuna.plans import outcomes as plans
 from lacuna.plans import signal
@@ -40,6 +41,28 @@ def test_exploded_sides_are_not_broadcast(spark, panel):
         assert "BroadcastHashJoin" not in plan(df)
 
 
+def wavy(spark, cases=3, bins=40):
+    rows = [(c, k, None if (k * 7 + c) % 11 == 0 else float((k * k * (c + 3) + 5 * c) % 41 + 20 * (k % 9 < 4))) for c in range(cases) for k in range(bins)]
+    return spark.createDataFrame(rows, "case_id long, bin int, value double")
+
+
+def test_episodes_are_carried_by_the_panel(spark):
+    p, steps, cuts = wavy(spark), [2, 3, 5], [25.0, 40.0]
+    e = episodes.tolerant(deficit.with_thresholds(p, cuts), 10.0, 20.0, 0.0)
+    joined = episodes.observability(hold.samples(p, steps), e, steps, 10.0, (10.0, 20.0), cuts)
+    carried = episodes.observed(p, e, steps, 10.0, (10.0, 20.0), cuts)
+    rounded = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select(sorted(df.columns)).fillna(-1).collect())
+    assert rounded(carried) == rounded(joined) and carried.count() > 30
+    ev = episodes.bridged(deficit.with_thresholds(p, cuts), 1, 2)
+    assert rounded(episodes.classified(p, ev, steps)) == rounded(episodes.classes(hold.samples(p, steps), ev, steps))
+
+
+def test_samples_are_not_exchanged(spark):
+    for name in ("observability", "event_classes", "episode_detection"):
+        for keys in re.findall(r"hashpartitioning\(([^)]*)", plan(signal.QUERIES[name](spark, SF))):
+            assert "phase" not in keys and "_s#" not in keys and ("step" not in keys or "case_id" not in keys)
+
+
 def test_features_of_one_step_and_threshold(spark):
     text = plan(plans.features(spark, SF))
     assert "[4]" in text and "[2,3,4,6,12]" not in text and "60.0" not in text
