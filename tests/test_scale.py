@@ -63,6 +63,19 @@ def test_samples_are_not_exchanged(spark):
             assert "phase" not in keys and "_s#" not in keys and ("step" not in keys or "case_id" not in keys)
 
 
+def test_a_panel_is_exchanged_once(spark):
+    text = plan(signal.QUERIES["longest_run"](spark, SF))
+    assert "bin#" not in " ".join(re.findall(r"hashpartitioning\(([^)]*)", text))
+    text = plan(signal.QUERIES["numeric_screen"](spark, SF))
+    assert "full_outer" not in text.lower() and "FullOuter" not in text and len(re.findall(r"^\(\d+\) SortMergeJoin", text, re.M)) <= 3
+
+
+def test_screen_breaks_runs_at_gaps(spark):
+    rows = [(1, k, v, v) for k, v in [(0, None), (1, 5.0), (2, 5.0), (4, 5.0), (5, 50.0), (6, 5.0), (7, 5.0), (8, 5.0), (9, 5.0)]] + [(2, 0, None, 1.0)]
+    out = grid.numeric_screen(spark.createDataFrame(rows, "case_id long, bin int, a double, b double"), ["a", "b"], 8, {"low": F.col("a") < 40, "high": F.col("a") > 90}, 35.0, 1.0).collect()
+    assert [(r["case_id"], r["screened"], r["paired"], r["low"], r["high"], r["auc"], r["first_auc"]) for r in out] == [(1, 7, 7, 3, 0, 210.0, 180.0)]
+
+
 def test_features_of_one_step_and_threshold(spark):
     text = plan(plans.features(spark, SF))
     assert "[4]" in text and "[2,3,4,6,12]" not in text and "60.0" not in text
