@@ -1,12 +1,19 @@
 """Scans over sorted records against plain loops, on random records and on one long case."""
 
+import os
 import random
 import time
 
+import duckdb
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lacuna.operators import devices, hold, scan
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def records(seed, cases=6, n=80):
     r = random.Random(seed)
@@ -109,6 +116,38 @@ def test_state_is_carried_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.fixture
+def merged(spark):
+    """Small partitions of a shuffle are merged by their size, as on larger tables."""
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_cases_stay_whole_over_a_union_of_windows(merged):
+    by_case = Window.partitionBy("case_id").orderBy("sec")
+    side = lambda n, at, track: merged.range(n).select((F.col("id") % 90).alias("case_id"), (F.floor(F.col("id") / 90) * 10.0 + at).alias("sec"), F.lit(track).alias("track")).withColumn("kind", F.when(F.row_number().over(by_case) > 0, "start"))
+    got = devices.anchored_blocks(side(1800, 0.0, "a").unionByName(side(900, 1.0, "b")), 2.0).collect()
+    assert len(got) == 1800 and sum(r["tracks"] == "a+b" for r in got) == 900
+
+
+QUERIES = ["anchored_blocks"]
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_queries_over_blocks_equal_their_sql_with_merged_partitions(merged, name):
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{SF}/events.parquet'")
+    df = entry.queries()[name](merged, SF)
+    columns = sorted(df.columns)
+    expected = con.execute(f"select {', '.join(columns)} from ({entry.oracle_sql()[name]}) q").fetchall()
+    assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == sorted(expected, key=repr)
+
+
 def test_one_long_case_is_linear(spark):
     """Ten times the records take about ten times as long at most, and 400,000 of one case take seconds."""
     took = {}
