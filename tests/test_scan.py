@@ -135,7 +135,7 @@ def test_cases_stay_whole_over_a_union_of_windows(merged):
     assert len(got) == 1800 and sum(r["tracks"] == "a+b" for r in got) == 900
 
 
-QUERIES = ["anchored_blocks", "distinct_recovery", "mask_audit", "mask_overlap", "recovery"]
+QUERIES = ["anchored_blocks", "distinct_recovery", "mask_audit", "mask_overlap", "recovery", "event_flow"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
