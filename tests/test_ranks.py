@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lacuna.operators import devices, grid, ranks, resample, tables
+from lacuna.plans import audits
 
 
 def values(spark, n=400):
@@ -120,6 +122,30 @@ def test_strata_add_up(spark):
         devices.strata(rows, ["scenario"], ["tracks", "kind"], {"kinds": F.count_distinct("kind")}, {})
 
 
+def test_named_counts_add_up(spark):
+    rows = lambda n: spark.createDataFrame([("x", "all", 3), ("x", "a", 2), ("x", "b", n), ("y", "all", 0)], "k string, name string, n long")
+    rules = {"all": ["a", "b"]}
+    assert sorted(map(tuple, tables.balanced(rows(1), ["k"], "name", "n", rules).collect())) == [("x", "a", 2), ("x", "all", 3), ("x", "b", 1), ("y", "all", 0)]
+    with pytest.raises(Exception, match="all is not the sum of a, b"):
+        tables.balanced(rows(2), ["k"], "name", "n", rules).collect()
+
+
+def test_event_flow_is_that_of_all_scenarios(spark):
+    rows = entry.queries()["event_flow"](spark, "/root/testdata/sf0.001").collect()
+    flow = {(r["scenario"], r["name"]): r for r in rows if r["part"] == "flow"}
+    assert set(flow) == {(s.name, n) for s in audits.SCENARIOS for n in ["cohort", "raw_changes", "stable_changes", *audits._FLOW]}
+    assert {r["part"] for r in rows} == {"flow", "stop_reason", "all", "tracks", "kind"}
+    for s in audits.SCENARIOS:
+        n = {name: r["events"] for (scenario, name), r in flow.items() if scenario == s.name}
+        assert n["blocks"] <= n["stable_changes" if s.sustained else "raw_changes"] and n["stable_changes"] < n["raw_changes"]
+        assert n["blocks"] == sum(n[x] for x in devices.EXCLUSIONS) + n["low"] + n["normal"]
+        assert n["low"] == sum(n[x] for x in devices.SUPPORT)
+        for step in (2, 4, 6):
+            mine = [r for r in rows if r["scenario"] == s.name and r["step"] == step]
+            assert sum(r["pairs"] for r in mine if r["part"] == "stop_reason") == step * n["supported"]
+            assert all(sum(r["events"] for r in mine if r["part"] == part) == n["low"] for part in ("all", "tracks", "kind"))
+
+
 def prominences(v, distance, least):
     """Peaks in three plain steps: maxima (middles of flat tops), the distance rule from the highest down, then prominence by looking outwards."""
     tops = []
